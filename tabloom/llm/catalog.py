@@ -1,15 +1,17 @@
 """Queries of the corpus operators, and their SQL where SQL can express them."""
 
-from tabloom.llm import bitplanes, html_text, packing, quality, shuffle, simhash, toxicity
+from tabloom.llm import bitplanes, contamination, html_text, packing, quality, sanitise, shuffle, simhash, toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
     "op2_html_extraction": html_text.query,
     "op3_quality_rules": quality.query,
     "op5_external_shuffle": shuffle.query,
+    "op6_benchmark_decontamination": contamination.query,
     "op7_toxicity_ftrl": toxicity.query,
     "op8_bit_planes": bitplanes.query,
+    "op9_pii_sanitisation": sanitise.query,
     "op10_power_of_two_packing": packing.query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_benchmark_decontamination": contamination.SQL}
