@@ -101,18 +101,23 @@ def _tokens(text: Column) -> Column:
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, threshold: float = THRESHOLD, contexts: int = CONTEXTS) -> DataFrame:
     """(term) of the terms that tell too much, from the documents and their texts' (h1, h2, copies, base, near)."""
-    each = found.select("copies", F.explode(F.arrays_zip("base", "near")).alias("z")).select("copies", F.col("z.base.entity").alias("entity"), F.col("z.near").alias("near"))
+    n = docs.count()
+    each = found.select("h1", "h2", "copies", F.explode(F.arrays_zip("base", "near")).alias("z")).select("h1", "h2", "copies", F.col("z.base.entity").alias("entity"), F.col("z.near").alias("near"))
     each = each.withColumn("context", F.xxhash64("near"))
-    entities = found.select("copies", F.explode(F.array_distinct("base.entity")).alias("entity")).groupBy("entity").agg(F.sum("copies").alias("n_e"))
-    pairs = each.select("copies", "entity", "context", F.explode(F.array_distinct(F.transform("near", F.lower))).alias("term")).where(F.length("term") >= LETTERS)
-    pairs = pairs.groupBy("term", "entity", "context").agg(F.sum("copies").alias("n")).groupBy("term", "entity").agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= contexts)
-    pairs = cut(pairs)
+    entities = found.select("copies", F.explode(F.array_distinct("base.entity")).alias("entity")).groupBy("entity").agg(F.sum("copies").alias("n_e")).where(F.col("n_e") < n)
+    near = cut(each.select("h1", "h2", "copies", "entity", "context", F.explode(F.array_distinct(F.transform("near", F.lower))).alias("term")).where(F.length("term") >= LETTERS))
+    pairs = near.groupBy("term", "entity", "context").agg(F.sum("copies").alias("n")).groupBy("term", "entity").agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= contexts)
+
+    def tells(n_t: str) -> Column:
+        return F.log2(F.col("n_te") * n / (F.col(n_t) * F.col("n_e"))) >= threshold * F.log2(F.lit(float(max(n, 1))) / F.col("n_e"))
+
+    # a term is in at least the documents that have it next to any entity: what tells too little at that count tells less at its own
+    at_least = near.groupBy("term", "h1", "h2").agg(F.max("copies").alias("copies")).groupBy("term").agg(F.sum("copies").alias("least"))
+    pairs = cut(pairs.join(entities, "entity").join(at_least, "term").where(tells("least")))
     terms = cut(pairs.select("term").distinct())
-    n = docs.count()
     words = docs.select(F.explode(F.array_distinct(F.transform(_tokens(F.col("text")), F.lower))).alias("term"))
     counts = words.join(small(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    told = F.log2(F.col("n_te") * n / (F.col("n_t") * F.col("n_e")))
-    return pairs.join(cut(counts), "term").join(entities, "entity").where((F.col("n_e") < n) & (told >= threshold * F.log2(F.lit(float(max(n, 1))) / F.col("n_e")))).select("term").distinct()
+    return pairs.join(cut(counts), "term").where(tells("n_t")).select("term").distinct()
 
 
 def spans(docs: DataFrame) -> DataFrame:
