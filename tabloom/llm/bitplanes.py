@@ -22,9 +22,10 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tabloom.llm.common import scratch, session, table
-from tabloom.llm.tokens import encoder
+from tabloom.llm.tokens import encoded
 
 BLOCK = 1 << 16
 END = 1
@@ -48,7 +49,7 @@ def from_planes(planes: list[bytes], n: int) -> np.ndarray:
 
 def _encoded(path: str, block: int, end: int, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, file = encoder(path).ids, TaskContext.get().partitionId()
+        file = TaskContext.get().partitionId()
         held, size, chunk, docs, lengths = [], 0, 0, [], []
 
         def row(ids: np.ndarray) -> pa.RecordBatch:
@@ -57,9 +58,8 @@ def _encoded(path: str, block: int, end: int, kind: pa.DataType):
                 names=["file", "chunk", "first", "n_ids", "doc_ids", "n_tokens", "planes"],
             )
 
-        for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = np.append(ids_of(text.as_py()), np.array([end], "<u4")).astype("<u4")
+        for some, all_ids in encoded(batches, path, end):
+            for doc, ids in zip(some, all_ids, strict=True):
                 docs.append(doc)
                 lengths.append(len(ids))
                 held.append(ids)
@@ -79,7 +79,7 @@ def _encoded(path: str, block: int, end: int, kind: pa.DataType):
 def write(docs: DataFrame, out: str, vocabulary: str = VOCABULARY, block: int = BLOCK, end: int = END) -> None:
     """Writes the ids of docs to the folder out."""
     session(docs)
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[dict(docs.dtypes)["doc_id"]]
+    kind = to_arrow_type(docs.schema["doc_id"].dataType)
     schema = f"file int, chunk int, first long, n_ids int, doc_ids array<{dict(docs.dtypes)['doc_id']}>, n_tokens array<long>, planes array<binary>"
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.crc32(F.coalesce("text", F.lit(""))))
     ordered.mapInArrow(_encoded(public_tokenizers.path(vocabulary), block, end, kind), schema).write.option("compression", "zstd").parquet(out)
@@ -120,7 +120,7 @@ def read(spark: SparkSession, out: str, digests: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document, from the files; ids_crc32 in place of ids if digests is set."""
     blocks = spark.read.parquet(out)
     name = dict(blocks.dtypes)["doc_ids"][6:-1]
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]
+    kind = to_arrow_type(blocks.schema["doc_ids"].dataType.elementType)
     last = "ids_crc32 long" if digests else "ids binary"
     rows = blocks.repartition("file").sortWithinPartitions("file", "chunk").mapInArrow((_digests if digests else _documents)(kind), f"doc_id {name}, file int, place long, n_tokens long, {last}")
     # one row a file

@@ -14,15 +14,15 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tabloom.llm.common import scratch, session, small, table
-from tabloom.llm.tokens import encoder
+from tabloom.llm.tokens import encoded
 
 LONGEST = 2048
 END = 1
@@ -34,21 +34,20 @@ def cuts(n: int, longest: int = LONGEST) -> list[int]:
     return [longest] * (n // longest) + [1 << k for k in range(longest.bit_length() - 2, -1, -1) if n % longest >> k & 1]
 
 
-def _pieces(path: str, longest: int, end: int):
+def _pieces(path: str, longest: int, end: int, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, part, ranks = encoder(path).ids, TaskContext.get().partitionId(), Counter()
-        for batch in batches:
+        part, ranks = TaskContext.get().partitionId(), Counter()
+        for docs, all_ids in encoded(batches, path, end):
             rows = []
-            for doc, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                ids = np.append(ids_of(text.as_py()), np.array([end], "<u4")).astype("<u4").tobytes()
-                start = 0
-                for n in cuts(len(ids) // 4, longest):
-                    piece = ids[4 * start : 4 * (start + n)]
-                    rows.append((doc.as_py(), start, n, zlib.crc32(piece), len(ids) // 4, part, ranks[n], piece))
+            for doc, ids in zip(docs, all_ids, strict=True):
+                data, start = ids.tobytes(), 0
+                for n in cuts(len(ids), longest):
+                    piece = data[4 * start : 4 * (start + n)]
+                    rows.append((doc, start, n, zlib.crc32(piece), len(ids), part, ranks[n], piece))
                     ranks[n] += 1
                     start += n
             columns = list(zip(*rows, strict=True)) or [()] * 8
-            kinds = [batch.schema.field("doc_id").type, *[pa.int64()] * 4, pa.int32(), pa.int64(), pa.binary()]
+            kinds = [kind, *[pa.int64()] * 4, pa.int32(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "rank", "ids"])
 
     return run
@@ -60,7 +59,7 @@ def pack(docs: DataFrame, out: str, longest: int = LONGEST, vocabulary: str = VO
         raise ValueError("longest must be a power of two")
     spark = session(docs)
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long, part int, rank long, ids binary"
-    rows = docs.select("doc_id", "text").mapInArrow(_pieces(public_tokenizers.path(vocabulary), longest, end), schema)
+    rows = docs.select("doc_id", "text").mapInArrow(_pieces(public_tokenizers.path(vocabulary), longest, end, to_arrow_type(docs.schema["doc_id"].dataType)), schema)
     rows.withColumn("bucket", F.col("length")).write.partitionBy("bucket").option("compression", "zstd").parquet(out)
     pieces = spark.read.schema(rows.schema).parquet(out)
     # a row for each length and part: what comes before it

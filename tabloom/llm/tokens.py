@@ -1,51 +1,132 @@
 """Encoding with the tokenizers library, a piece of text at a time.
 
-A piece is a run of ASCII white space and what follows up to the next one; both vocabularies used here split a text at
-these places whatever stands around them, so pieces are encoded once and looked up after that. A text with other white
-space or with a special token's opening is encoded whole.
+The vocabularies used here split a text into words, numbers, signs and white space before they look for merges. Texts
+are cut where they split whatever stands around: before a single space, around a single line break, and before a comma
+or full stop that follows a Latin letter or digit. The distinct pieces of many texts are found by Arrow, encoded once
+and looked up after that, and the ids are gathered by numpy. A text with white space, signs or special tokens for which
+these cuts might not hold is encoded whole.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-PIECE = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
-WHOLE = re.compile(r"<\||(?![ \t\n\r\f\v])[\s\x1c-\x1f\x85\u180e\u200b\ufeff]")
+_LATIN = "A-Za-z0-9À-ÖØ-öø-ɏ"
+#: Special tokens, the mark that is used for cuts, white space that isn't ASCII, and signs before a comma or full stop.
+_NEVER = rf"<\||\x00|[\x1c-\x1f\x{{85}}\x{{a0}}\x{{1680}}\x{{180e}}\x{{2000}}-\x{{200b}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}\x{{feff}}]|[^{_LATIN} \n][,.]"
+_SPACES = _NEVER + r"|[ \t\n\r\f\v][ \t\n\r\f\v]|[ \n][,.]"
+#: Letters whose lower case may depend on what follows, or that compose with it.
+_CASE = _NEVER + r"|[\x{130}\x{300}-\x{10ffff}]"
+OTHER = re.compile(rf"[^{_LATIN} ]")
+#: Words that are learnt in one text.
+TOGETHER = 256
 #: Pieces kept, at about 200 bytes each.
-CACHE = 1_000_000
+CACHE = 500_000
 #: Characters; longer pieces are encoded but not kept.
 KEPT = 64
+#: Bytes of text that are cut at once.
+CHUNK = 3 << 20
 
 
 class Encoder:
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.spaces = ids(" a") != ids("a")
+        self.lower = ids("A") == ids("a")
 
-    def ids(self, text: str | None) -> np.ndarray:
-        """The ids of a text, as little-endian unsigned 32-bit integers."""
-        if not text:
-            return np.empty(0, "<u4")
-        if WHOLE.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+    def _pieces(self, texts: pa.Array) -> pa.ListArray:
+        if self.spaces:
+            cuts = ((" ", "\0 "), ("\n", "\0\n\0"), (",", "\0,"), (".", "\0."))
+        else:
+            cuts = ((" ", "\0"), ("\n", "\0"), (",", "\0,"), (".", "\0."))
+            texts = pc.ascii_lower(texts) if self.lower else texts
+        for sign, cut in cuts:
+            texts = pc.replace_substring(texts, sign, cut)
+        return pc.split_pattern(texts, "\0")
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Learns words of letters, many in one text, which costs half as much as one by one."""
+        parts = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
+        texts = ["".join(w if self.spaces and w[0] == " " else "\n" + w for w in part) for part in parts]
+        for part, e in zip(parts, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+            # a line break is a word of its own where white space counts
+            at = np.cumsum([1 + (self.spaces and w[0] != " ") for w in part]) - 1
+            of, data = np.array(e.word_ids, np.int64), array("I", e.ids).tobytes()
+            if not len(of) or of[-1] != at[-1]:
+                continue
+            starts, ends = (4 * np.searchsorted(of, at, "left")).tolist(), (4 * np.searchsorted(of, at, "right")).tolist()
+            self.known.update((w, data[i:j]) for w, i, j in zip(part, starts, ends, strict=True))
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def all_ids(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text (null: none), as little-endian unsigned 32-bit integers."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        whole = pc.match_substring_regex(texts, _SPACES if self.spaces else _CASE if self.lower else _NEVER)
+        pieces = self._pieces(pc.if_else(whole, "", texts))
+        flat = pieces.flatten().dictionary_encode()
+        words, codes = flat.dictionary.to_pylist(), flat.indices.to_numpy()
         if len(self.known) > CACHE:
             self.known.clear()
-        pieces, known = PIECE.findall(text), self.known
-        if new := list(set(pieces).difference(known)):
-            found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(new, found, strict=True))
-        ids = np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<u4")
-        for p in new:
-            if len(p) > KEPT:
-                del known[p]
-        return ids
+        known = self.known
+        new = [w for w in words if w not in known]
+        letters = [w for w in new if w.removeprefix(" ").isalpha() and not OTHER.search(w)]
+        self._learn_words(letters)
+        rest = [w for w in new if w not in known]
+        found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        known.update((w, array("I", e.ids).tobytes()) for w, e in zip(rest, found, strict=True))
+        parts = list(map(known.__getitem__, words))
+        for w in new:
+            if len(w) > KEPT:
+                del known[w]
+        # where each piece's ids lie among those of the distinct pieces, and then each id of each piece
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        starts, ids = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(parts), "<u4")
+        counts = sizes[codes]
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        every = ids[np.repeat(starts[codes] - (ends - counts), counts) + np.arange(total)]
+        ends = np.concatenate(([0], ends))[pieces.offsets.to_numpy()]
+        out = [every[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        for k in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
+            out[k] = self._whole(texts[k].as_py())
+        return out
+
+    def ids(self, text: str | None) -> np.ndarray:
+        return self.all_ids(pa.array([text], pa.string()))[0]
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One for each Python worker and vocabulary file."""
     return Encoder(path)
+
+
+def encoded(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """The doc_ids and ids, with the end id, of a few megabytes of texts at a time."""
+    held, size, last = [], 0, np.array([end], "<u4")
+
+    def made() -> tuple[list, list[np.ndarray]]:
+        table = pa.Table.from_batches(held)
+        texts = table.column("text").combine_chunks()
+        return table.column("doc_id").to_pylist(), [np.concatenate((ids, last)) for ids in encoder(path).all_ids(texts)]
+
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= CHUNK:
+            yield made()
+            held, size = [], 0
+    if held:
+        yield made()
