@@ -29,7 +29,7 @@ OTHER = re.compile(rf"[^{_LATIN} ]")
 #: Words that are learnt in one text.
 TOGETHER = 256
 #: Pieces kept, at about 200 bytes each.
-CACHE = 500_000
+CACHE = 800_000
 #: Characters; longer pieces are encoded but not kept.
 KEPT = 64
 #: Bytes of text that are cut at once.
@@ -76,18 +76,20 @@ class Encoder:
         whole = pc.match_substring_regex(texts, _SPACES if self.spaces else _CASE if self.lower else _NEVER)
         pieces = self._pieces(pc.if_else(whole, "", texts))
         flat = pieces.flatten().dictionary_encode()
-        words, codes = flat.dictionary.to_pylist(), flat.indices.to_numpy()
+        words, codes = flat.dictionary.to_numpy(zero_copy_only=False).tolist(), flat.indices.to_numpy()
         if len(self.known) > CACHE:
             self.known.clear()
         known = self.known
-        new = [w for w in words if w not in known]
+        parts = list(map(known.get, words))
+        missing = [k for k, part in enumerate(parts) if part is None]
+        new = [words[k] for k in missing]
         letters = [w for w in new if w.removeprefix(" ").isalpha() and not OTHER.search(w)]
         self._learn_words(letters)
         rest = [w for w in new if w not in known]
         found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
         known.update((w, array("I", e.ids).tobytes()) for w, e in zip(rest, found, strict=True))
-        parts = list(map(known.__getitem__, words))
-        for w in new:
+        for k, w in zip(missing, new, strict=True):
+            parts[k] = known[w]
             if len(w) > KEPT:
                 del known[w]
         # where each piece's ids lie among those of the distinct pieces, and then each id of each piece
