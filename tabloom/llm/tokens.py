@@ -28,8 +28,8 @@ _CASE = _NEVER + r"|[\x{130}\x{300}-\x{10ffff}]"
 OTHER = re.compile(rf"[^{_LATIN} ]")
 #: Words that are learnt in one text.
 TOGETHER = 256
-#: Pieces kept, at about 200 bytes each.
-CACHE = 800_000
+#: Pieces kept in each of two generations, at about 230 bytes each.
+CACHE = 300_000
 #: Characters; longer pieces are encoded but not kept.
 KEPT = 64
 #: Bytes of text that are cut at once.
@@ -40,6 +40,7 @@ class Encoder:
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
         self.spaces = ids(" a") != ids("a")
         self.lower = ids("A") == ids("a")
@@ -56,6 +57,10 @@ class Encoder:
 
     def _learn_words(self, words: list[str]) -> None:
         """Learns words of letters, many in one text, which costs half as much as one by one."""
+        if len(words) > 64 * TOGETHER:
+            for k in range(0, len(words), 64 * TOGETHER):
+                self._learn_words(words[k : k + 64 * TOGETHER])
+            return
         parts = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
         texts = ["".join(w if self.spaces and w[0] == " " else "\n" + w for w in part) for part in parts]
         for part, e in zip(parts, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
@@ -78,10 +83,16 @@ class Encoder:
         flat = pieces.flatten().dictionary_encode()
         words, codes = flat.dictionary.to_numpy(zero_copy_only=False).tolist(), flat.indices.to_numpy()
         if len(self.known) > CACHE:
-            self.known.clear()
-        known = self.known
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
         parts = list(map(known.get, words))
-        missing = [k for k, part in enumerate(parts) if part is None]
+        missing = []
+        for k, part in enumerate(parts):
+            if part is None:
+                if (part := older.get(words[k])) is None:
+                    missing.append(k)
+                else:
+                    parts[k] = known[words[k]] = part
         new = [words[k] for k in missing]
         letters = [w for w in new if w.removeprefix(" ").isalpha() and not OTHER.search(w)]
         self._learn_words(letters)
