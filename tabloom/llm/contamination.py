@@ -100,11 +100,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     marks = cut(places.groupBy("h1", "h2").agg(F.collect_list("place").alias("__places")).select(F.col("h1").alias("__1"), F.col("h2").alias("__2"), "__places"))
     h1, h2 = text_key(F.col("text"))
     rows = docs.join(small(marks), (h1 == F.col("__1")) & (h2 == F.col("__2")), "left")
-    own = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    between = F.split("text", WORD, -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("__places"))
-    text = F.concat(F.array_join(F.transform(left, lambda k: F.concat(F.get(between, k), F.get(own, k))), ""), F.element_at(between, -1))
-    rows = rows.where(F.col("__places").isNull() | (F.size("__places") <= most_hit * F.size(own))).withColumn("text", F.when(F.col("__places").isNull(), F.col("text")).otherwise(text))
+    # what stands before each word, and the word (null behind the last); as an argument they are found once for a text
+    pairs = F.arrays_zip(F.split("text", WORD, -1).alias("before"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("word"))
+    pairs = F.filter(pairs, lambda p, k: p["word"].isNull() | ~F.array_contains("__places", k))
+    text = F.array_join(F.transform(pairs, lambda p: F.concat(p["before"], F.coalesce(p["word"], F.lit("")))), "")
+    few = F.size("__places") <= most_hit * F.size(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    rows = rows.where(F.when(F.col("__places").isNull(), True).otherwise(few)).withColumn("text", F.when(F.col("__places").isNull(), F.col("text")).otherwise(text))
     if "n_chars" in names:
         rows = rows.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return rows.select(*names)

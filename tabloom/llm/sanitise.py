@@ -59,11 +59,18 @@ def _valid(kind: str, m: Column) -> Column:
     return n.between(9, 15) if kind == "phone" else F.lit(True)
 
 
-def _places(text: Column, pattern: str) -> Column:
-    """Structs of start and value of all matches: a match starts after all that was between and in those before it."""
-    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    total = lambda a, n: F.length(F.array_join(F.slice(a, 1, n), ""))
-    return F.transform(found, lambda m, k: F.struct((total(between, k + 1) + F.when(k > 0, total(found, k)).otherwise(0)).alias("start"), m.alias("value")))
+def _places(text: Column, pattern: str, at: Column | None = None) -> Column:
+    """Structs of start and value of all matches, or of those whose numbers are in `at`: one fold over what is between and the matches."""
+    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
+    none = F.array().cast("array<struct<start:int,value:string>>")
+
+    def step(done: Column, p: Column) -> Column:
+        start = done["end"] + F.length(p["between"])
+        wanted = p["value"].isNotNull() if at is None else p["value"].isNotNull() & F.array_contains(at, done["n"])
+        out = F.when(wanted, F.concat(done["out"], F.array(F.struct(start.alias("start"), p["value"].alias("value"))))).otherwise(done["out"])
+        return F.struct(out.alias("out"), (start + F.coalesce(F.length(p["value"]), F.lit(0))).alias("end"), (done["n"] + 1).alias("n"))
+
+    return F.aggregate(pairs, F.struct(none.alias("out"), F.lit(0).alias("end"), F.lit(0).alias("n")), step, lambda done: done["out"])
 
 
 def base_spans(text: Column) -> Column:
@@ -132,9 +139,7 @@ def spans(docs: DataFrame) -> DataFrame:
     told = words.join(small(terms), "term", "left_semi").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.collect_set("at").alias("at"))  # of a text, at most its words
     told = cut(told.select(F.col("h1").alias("t1"), F.col("h2").alias("t2"), "rep", "at"))
     one = (h1 == F.col("t1")) & (h2 == F.col("t2")) & F.col("doc_id").eqNullSafe(F.col("rep"))
-    own, between = _tokens(F.col("text")), F.split("text", WORD, -1)
-    start = lambda k: F.length(F.array_join(F.slice(between, 1, k + 1), "")) + F.when(k > 0, F.length(F.array_join(F.slice(own, 1, k), ""))).otherwise(0)
-    term = F.transform("at", lambda k: F.struct(start(k).alias("start"), F.lit(len(PATTERNS)).alias("number"), F.lit("term").alias("kind"), (start(k) + F.length(F.get(own, k))).alias("end")))
+    term = F.transform(_places(F.col("text"), WORD, F.col("at")), lambda s: F.struct(s["start"], F.lit(len(PATTERNS)).alias("number"), F.lit("term").alias("kind"), (s["start"] + F.length(s["value"])).alias("end")))
     added = docs.join(small(told), one).select("t1", "t2", term.alias("terms")).dropDuplicates(["t1", "t2"])
     both = found.select("h1", "h2", F.transform("base", lambda s: F.struct(s["start"], s["number"], s["kind"], s["end"])).alias("base")).join(added, (F.col("h1") == F.col("t1")) & (F.col("h2") == F.col("t2")), "full_outer")
     none = F.array().cast("array<struct<start:int,number:int,kind:string,end:int>>")
