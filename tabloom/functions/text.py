@@ -60,7 +60,7 @@ def fuzzy_variants(x: Column) -> Column:
         F.get(words, F.lit(0)),
         F.when(F.size(words) >= 3, F.concat_ws(" ", F.slice(words, 1, 2))),
     ]
-    return F.filter(F.array_distinct(F.transform(F.array_compact(F.array(*rules)), F.trim)), lambda v: (v != "") & (v != x))
+    return F.filter(F.array_distinct(F.transform(F.array_compact(F.array(*rules)), lambda v: F.trim(v))), lambda v: (v != "") & (v != x))
 
 
 def tokens(x: Column) -> Column:

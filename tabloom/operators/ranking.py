@@ -64,7 +64,7 @@ def top(rows: DataFrame) -> DataFrame:
     return ranked(rows).where("rank = 1")
 
 
-def gated(tops: DataFrame, margin: float, gate: str = "uncertain") -> Column:
+def gated(margin: float, gate: str = "uncertain") -> Column:
     """Whether a model would be asked: several candidates, and for `uncertain` a gap under the margin."""
     return F.col("gap").isNotNull() & (F.lit(gate == "all") | (F.col("gap") < margin))
 

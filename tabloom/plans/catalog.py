@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from tabloom.plans import q_eval, q_misc, q_rank, q_text
+
+_ALL = [q_text, q_rank, q_eval, q_misc]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for m in _ALL for name, (f, _) in m.CATALOG.items()}
+SQL: dict[str, str] = {name: sql for m in _ALL for name, (_, sql) in m.CATALOG.items() if sql}
