@@ -29,7 +29,7 @@ OTHER = re.compile(rf"[^{_LATIN} ]")
 #: Words that are learnt in one text.
 TOGETHER = 256
 #: Pieces kept in each of two generations, at about 230 bytes each.
-CACHE = 300_000
+CACHE = 400_000
 #: Characters; longer pieces are encoded but not kept.
 KEPT = 64
 #: Bytes of text that are cut at once.
@@ -104,13 +104,13 @@ class Encoder:
             if len(w) > KEPT:
                 del known[w]
         # where each piece's ids lie among those of the distinct pieces, and then each id of each piece
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        starts, ids = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(parts), "<u4")
+        sizes = np.fromiter(map(len, parts), np.int32, len(parts)) // np.int32(4)
+        starts, ids = np.cumsum(sizes, dtype=np.int32) - sizes, np.frombuffer(b"".join(parts), "<u4")
         counts = sizes[codes]
-        ends = np.cumsum(counts)
+        ends = np.cumsum(counts, dtype=np.int32)  # a few megabytes of text have fewer ids
         total = int(ends[-1]) if len(ends) else 0
-        every = ids[np.repeat(starts[codes] - (ends - counts), counts) + np.arange(total)]
-        ends = np.concatenate(([0], ends))[pieces.offsets.to_numpy()]
+        every = ids[np.repeat(starts[codes] - (ends - counts), counts) + np.arange(total, dtype=np.int32)]
+        ends = np.concatenate((np.zeros(1, np.int32), ends))[pieces.offsets.to_numpy()]
         out = [every[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
         for k in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
             out[k] = self._whole(texts[k].as_py())
