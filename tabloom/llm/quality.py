@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import cut, session, small, table
+from tabloom.llm.common import cut, give_back, session, small, table
 
 MIN_WORDS = 20
 MAX_REPEATED = 30
@@ -32,7 +32,7 @@ SHARE = 0.01
 DIVERSE = 0.5
 LEFT = 0.5
 SYMBOLS = "#*$%&|<>"
-CACHE = 500_000
+CACHE = 100_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -116,6 +116,8 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [batch.column("doc_id"), batch.column("source"), *columns, pa.array([r[8] for r in rows], pa.list_(pa.int64())), pa.array([r[9] for r in rows], pa.list_(pa.int32()))],
             names=["doc_id", "source", *NAMES, "lines", "sizes"],
         )
+    hashes.clear()
+    give_back()
 
 
 def measured(docs: DataFrame) -> DataFrame:

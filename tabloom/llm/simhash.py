@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import components, cut, session, small, table
+from tabloom.llm.common import components, cut, give_back, session, small, table
 
 SEED = 42
 SHINGLE = 4
@@ -129,6 +129,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         prints = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints)], names=["doc_id", "fp"])
+    give_back()
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
