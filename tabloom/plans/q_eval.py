@@ -1 +1,240 @@
-CATALOG = {}
+"""Queries of evaluation and statistics: three weight settings are the runs, the cell's own part is gold."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from tabloom.operators import evaluation as ev
+from tabloom.operators import ranking as rk
+from tabloom.plans.standin import BASE, CHOICES, HITS, RUNS, SCORED, candidates, cells, read
+
+CATALOG: dict[str, tuple] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        CATALOG[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+def choices(spark, sf_dir) -> DataFrame:
+    """(run, tab_id, row_id, qid, gold, score, p31, quality): the features are computed once for all runs."""
+    feats = rk.features(candidates(spark, sf_dir))
+    runs = F.explode(F.array(*[F.struct(F.lit(n).alias("run"), rk.combined(*w).alias("score")) for n, w in RUNS.items()])).alias("r")
+    rows = feats.select("*", runs).select("*", "r.run", "r.score")
+    w = Window.partitionBy("run", *rk.CELL).orderBy(F.desc("score"), "ord")
+    return rows.withColumn("rank", F.row_number().over(w)).where("rank = 1").select("run", "tab_id", "row_id", "col_id", "qid", "gold", "score", "p31", "quality")
+
+
+def gold(spark, sf_dir) -> DataFrame:
+    return cells(spark, sf_dir).withColumn("gold", F.concat(F.lit("Q"), F.col("gold").cast("string")))
+
+
+def hits(spark, sf_dir) -> DataFrame:
+    """(run, tab_id, row_id, hit, qid) of all cells in all runs."""
+    every = gold(spark, sf_dir).select("*", F.explode(F.array(*[F.lit(n) for n in RUNS])).alias("run"))
+    made = choices(spark, sf_dir).select("run", "tab_id", "row_id", "qid")
+    return every.join(made, ["run", "tab_id", "row_id"], "left").select("run", "tab_id", "row_id", F.coalesce(F.col("qid") == F.col("gold"), F.lit(False)).alias("hit"), "qid", "gold")
+
+
+_PRF = "round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1"
+
+
+@query(CHOICES + f" SELECT run, n_right, n_made, n_gold, {_PRF} FROM (SELECT *, CAST(n_right AS DOUBLE) / n_made AS p, CAST(n_right AS DOUBLE) / n_gold AS r FROM (SELECT run, count(CASE WHEN qid = gold THEN 1 END) AS n_right, count(*) AS n_made, (SELECT count(*) FROM cell) AS n_gold FROM choice GROUP BY run))")
+def cea_scores(spark, sf_dir) -> DataFrame:
+    g = gold(spark, sf_dir).select("tab_id", "row_id", F.array("gold").alias("values"))
+    made = choices(spark, sf_dir).select("run", "tab_id", "row_id", F.col("qid").alias("value"))
+    return ev.exact_scores(ev.reject_duplicates(made, ["run", "tab_id", "row_id"]), g, ["tab_id", "row_id"])
+
+
+_NATION = "SELECT 'a' AS run, c_custkey AS tab_id, 0 AS col_id, c_nationkey AS g, (c_nationkey * 7 + c_custkey) % 25 AS v FROM customer UNION ALL SELECT 'b', c_custkey, 0, c_nationkey, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey ELSE c_nationkey + 1 END FROM customer"
+
+
+@query(f"""SELECT run, round(s, 6) AS sum_score, n_made, n_gold, {_PRF} FROM (SELECT *, s / n_made AS p, s / n_gold AS r FROM (
+SELECT run, sum(CASE WHEN v = g THEN 1.0 WHEN v < g AND g - v <= 5 THEN pow(0.8, g - v) WHEN v > g AND v - g <= 3 THEN pow(0.7, v - g) ELSE 0.0 END) AS s, count(*) AS n_made, (SELECT count(*) FROM customer) AS n_gold FROM ({_NATION}) GROUP BY run))""")
+def cta_scores(spark, sf_dir) -> DataFrame:
+    c = read(spark, sf_dir, "customer")
+    name = lambda x: F.concat(F.lit("T"), x.cast("string"))
+    g = c.select(F.col("c_custkey").alias("tab_id"), F.lit(0).alias("col_id"), name(F.col("c_nationkey")).alias("type"))
+    a = c.select(F.lit("a").alias("run"), F.col("c_custkey").alias("tab_id"), F.lit(0).alias("col_id"), name((F.col("c_nationkey") * 7 + F.col("c_custkey")) % 25).alias("value"))
+    b = c.select(F.lit("b").alias("run"), F.col("c_custkey").alias("tab_id"), F.lit(0).alias("col_id"), name(F.when(F.col("c_custkey") % 2 == 0, F.col("c_nationkey")).otherwise(F.col("c_nationkey") + 1)).alias("value"))
+    n = spark.range(26)
+    h = n.withColumnRenamed("id", "g").join(n.withColumnRenamed("id", "v"), F.col("g") != F.col("v"))
+    h = h.select(name(F.col("g")).alias("h_type"), name(F.col("v")).alias("other"), F.when(F.col("v") < F.col("g"), "ancestor").otherwise("descendant").alias("direction"), F.abs(F.col("g") - F.col("v")).cast("int").alias("depth"))
+    return ev.type_scores(a.unionByName(b), g, h)
+
+
+@query(f"SELECT run, n_right, n_made, n_gold, {_PRF} FROM (SELECT *, CAST(n_right AS DOUBLE) / n_made AS p, CAST(n_right AS DOUBLE) / n_gold AS r FROM (SELECT run, count(CASE WHEN upper(v) = g THEN 1 END) AS n_right, count(*) AS n_made, (SELECT count(*) FROM orders) AS n_gold FROM (SELECT 'a' AS run, concat('p', o_custkey % 3) AS v, concat('P', o_orderkey % 3) AS g FROM orders UNION ALL SELECT 'b', concat('P', o_orderkey % 2), concat('P', o_orderkey % 3) FROM orders WHERE o_orderkey % 5 > 0) GROUP BY run))")
+def cpa_scores(spark, sf_dir) -> DataFrame:
+    o = read(spark, sf_dir, "orders")
+    p = lambda x, letter="P": F.concat(F.lit(letter), x.cast("string"))
+    g = o.select("o_orderkey", F.array(p(F.col("o_orderkey") % 3)).alias("values"))
+    made = o.select(F.lit("a").alias("run"), "o_orderkey", p(F.col("o_custkey") % 3, "p").alias("value")).union(o.where("o_orderkey % 5 > 0").select(F.lit("b"), "o_orderkey", p(F.col("o_orderkey") % 2)))
+    return ev.exact_scores(made, g, ["o_orderkey"])
+
+
+_FOUND = BASE + ", found AS (SELECT c.tab_id, c.row_id, count(d.qid) AS n, coalesce(max(CASE WHEN d.qid = concat('Q', c.gold) THEN 1 ELSE 0 END), 0) AS has FROM cell c LEFT JOIN cand d ON d.tab_id = c.tab_id AND d.row_id = c.row_id GROUP BY 1, 2)"
+
+
+def _found(spark, sf_dir) -> DataFrame:
+    c = candidates(spark, sf_dir).groupBy("tab_id", "row_id").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("qid") == F.col("gold")).cast("int")).alias("has"))
+    return gold(spark, sf_dir).join(c, ["tab_id", "row_id"], "left").fillna(0, ["n", "has"])
+
+
+@query(_FOUND + " SELECT count(*) AS n_gold, sum(has)::BIGINT AS n_hit, count(CASE WHEN n = 0 THEN 1 END) AS n_none, round(sum(has) / count(*), 6) AS recall FROM found")
+def candidate_recall(spark, sf_dir) -> DataFrame:
+    return _found(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_gold"), F.sum("has").cast("long").alias("n_hit"), ev.count_if(F.col("n") == 0).alias("n_none"), F.round(F.sum("has") / F.count(F.lit(1)), 6).alias("recall"))
+
+
+@query(BASE + " SELECT quality, count(*) AS n_rows, count(CASE WHEN qid = gold THEN 1 END) AS n_hit, count(DISTINCT (tab_id, row_id)) AS n_cells FROM cand GROUP BY quality")
+def candidate_recall_detail(spark, sf_dir) -> DataFrame:
+    c = candidates(spark, sf_dir)
+    cells_ = c.select("quality", "tab_id", "row_id").distinct().groupBy("quality").agg(F.count(F.lit(1)).alias("n_cells"))
+    return c.groupBy("quality").agg(F.count(F.lit(1)).alias("n_rows"), ev.count_if(F.col("qid") == F.col("gold")).alias("n_hit")).join(cells_, "quality")
+
+
+@query(BASE + " SELECT kind, count(*) AS n FROM (SELECT tab_id, row_id, CASE WHEN max(CASE WHEN qid = gold AND quality = 1 THEN 1 ELSE 0 END) = 1 THEN 'direct' WHEN max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) = 1 THEN 'direct_missed' ELSE 'void' END AS kind FROM cand GROUP BY 1, 2) GROUP BY kind")
+def llm_case(spark, sf_dir) -> DataFrame:
+    right, there = F.max(((F.col("qid") == F.col("gold")) & (F.col("quality") == 1)).cast("int")), F.max((F.col("quality") == 1).cast("int"))
+    cases = candidates(spark, sf_dir).groupBy("tab_id", "row_id").agg(F.when(right == 1, "direct").when(there == 1, "direct_missed").otherwise("void").alias("kind"))
+    return cases.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+
+
+@query(SCORED + """, found AS (SELECT tab_id, row_id, max(CASE WHEN qid = gold THEN 1 ELSE 0 END) AS has FROM cand GROUP BY 1, 2),
+st AS (SELECT CASE WHEN f.has IS NULL THEN 'no_candidates' WHEN f.has = 0 THEN 'not_retrieved' WHEN r.qid = concat('Q', c.gold) THEN 'correct' ELSE 'wrong_selection' END AS status FROM cell c LEFT JOIN found f USING (tab_id, row_id) LEFT JOIN (SELECT tab_id, row_id, qid FROM ranked WHERE rank = 1) r USING (tab_id, row_id))
+SELECT status, count(*) AS n, round(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM st), 6) AS share FROM st GROUP BY status""")
+def gold_status(spark, sf_dir) -> DataFrame:
+    c = candidates(spark, sf_dir)
+    rows = ev.gold_status(gold(spark, sf_dir), c, rk.top(rk.scored(c))).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return rows.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
+
+
+@query(HITS + """, b AS (SELECT tab_id, row_id, hit AS bh, qid AS bq FROM hit WHERE run = 'a_default')
+SELECT *, n_fixed - n_broken AS net, round(100.0 * n_changed / n, 4) AS pct_changed FROM (SELECT run, count(*) AS n, count(CASE WHEN qid IS DISTINCT FROM bq THEN 1 END) AS n_changed, count(CASE WHEN NOT bh AND hit THEN 1 END) AS n_fixed, count(CASE WHEN bh AND NOT hit THEN 1 END) AS n_broken, count(CASE WHEN qid IS DISTINCT FROM bq AND NOT bh AND NOT hit THEN 1 END) AS n_wrong_to_wrong FROM hit JOIN b USING (tab_id, row_id) WHERE run <> 'a_default' GROUP BY run)""")
+def transition_matrix(spark, sf_dir) -> DataFrame:
+    return ev.transitions(hits(spark, sf_dir), "a_default")
+
+
+@query(CHOICES + """, has AS (SELECT tab_id, row_id, max(CASE WHEN qid = gold THEN 1 ELSE 0 END) AS h FROM cand GROUP BY 1, 2)
+SELECT run, count(CASE WHEN h = 1 THEN 1 END) AS n_retrieved, count(CASE WHEN h = 1 AND qid = gold THEN 1 END) AS n_right, round(CAST(count(CASE WHEN h = 1 AND qid = gold THEN 1 END) AS DOUBLE) / count(CASE WHEN h = 1 THEN 1 END), 6) AS accuracy FROM choice JOIN has USING (tab_id, row_id) GROUP BY run""")
+def conditional_accuracy(spark, sf_dir) -> DataFrame:
+    has = candidates(spark, sf_dir).groupBy("tab_id", "row_id").agg(F.max((F.col("qid") == F.col("gold")).cast("int")).alias("h"))
+    rows = choices(spark, sf_dir).join(has, ["tab_id", "row_id"])
+    out = rows.groupBy("run").agg(ev.count_if(F.col("h") == 1).alias("n_retrieved"), ev.count_if((F.col("h") == 1) & (F.col("qid") == F.col("gold"))).alias("n_right"))
+    return out.withColumn("accuracy", F.round(ev.ratio(F.col("n_right"), F.col("n_retrieved")), 6))
+
+
+_KIND = "CASE WHEN v = g THEN 'exact' WHEN v < g AND g - v <= 5 THEN 'ancestor' WHEN v < g THEN 'ancestor_far' WHEN v - g <= 3 THEN 'descendant' ELSE 'descendant_far' END"
+
+
+def _kinds(spark, sf_dir) -> DataFrame:
+    c = read(spark, sf_dir, "customer")
+    v = F.explode(F.array(F.struct(F.lit("a").alias("run"), ((F.col("c_nationkey") * 7 + F.col("c_custkey")) % 25).alias("v")), F.struct(F.lit("b").alias("run"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_nationkey")).otherwise(F.col("c_nationkey") + 1).alias("v")))).alias("x")
+    rows = c.select(F.col("c_nationkey").alias("g"), v).select("g", "x.*").withColumn("depth", F.abs(F.col("v") - F.col("g")))
+    kind = F.when(F.col("depth") == 0, "exact").when((F.col("v") < F.col("g")) & (F.col("depth") <= 5), "ancestor").when(F.col("v") < F.col("g"), "ancestor_far").when(F.col("depth") <= 3, "descendant").otherwise("descendant_far")
+    return rows.withColumn("kind", kind)
+
+
+@query(f"SELECT run, {_KIND} AS kind, count(*) AS n, round(avg(abs(v - g)), 6) AS mean_depth FROM ({_NATION}) GROUP BY 1, 2")
+def cta_breakdown(spark, sf_dir) -> DataFrame:
+    return _kinds(spark, sf_dir).groupBy("run", "kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("depth"), 6).alias("mean_depth"))
+
+
+@query(f"SELECT run, count(CASE WHEN d = 0 THEN 1 END) AS d0, count(CASE WHEN d = 1 THEN 1 END) AS d1, count(CASE WHEN d = 2 THEN 1 END) AS d2, count(CASE WHEN d = 3 THEN 1 END) AS d3 FROM (SELECT run, abs(v - g) AS d FROM ({_NATION})) GROUP BY run")
+def pivot_depth(spark, sf_dir) -> DataFrame:
+    rows = _kinds(spark, sf_dir).withColumn("d", F.concat(F.lit("d"), F.col("depth").cast("string")))
+    return rows.groupBy("run").pivot("d", ["d0", "d1", "d2", "d3"]).agg(F.count(F.lit(1))).fillna(0)
+
+
+@query("SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN l.k IS NULL THEN 'table absent' WHEN l.n = 0 THEN 'pair missing' WHEN o_orderkey % 2 = 0 THEN 'correct' ELSE 'wrong' END AS outcome FROM orders LEFT JOIN (SELECT l_orderkey AS k, count(CASE WHEN l_linenumber = 1 THEN 1 END) AS n FROM lineitem GROUP BY 1) l ON l.k = o_orderkey) GROUP BY outcome")
+def cpa_outcomes(spark, sf_dir) -> DataFrame:
+    tables = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(ev.count_if(F.col("l_linenumber") == 1).alias("n"))
+    outcome = F.when(F.col("k").isNull(), "table absent").when(F.col("n") == 0, "pair missing").when(F.col("o_orderkey") % 2 == 0, "correct").otherwise("wrong")
+    return read(spark, sf_dir, "orders").join(tables, F.col("o_orderkey") == F.col("k"), "left").select(outcome.alias("outcome")).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(HITS + ", t AS (SELECT run, tab_id, avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END) AS acc FROM hit GROUP BY 1, 2) SELECT run, CASE WHEN acc < 0.25 THEN 'a [0,.25)' WHEN acc < 0.5 THEN 'b [.25,.5)' WHEN acc < 0.75 THEN 'c [.5,.75)' WHEN acc < 1 THEN 'd [.75,1)' ELSE 'e 1' END AS bin, count(*) AS n, round(avg(acc), 6) AS mean FROM t GROUP BY 1, 2")
+def cea_cta_bins(spark, sf_dir) -> DataFrame:
+    t = hits(spark, sf_dir).groupBy("run", "tab_id").agg(F.avg(F.col("hit").cast("int")).alias("acc"))
+    edges = [(0.25, "a [0,.25)"), (0.5, "b [.25,.5)"), (0.75, "c [.5,.75)"), (1.0, "d [.75,1)")]
+    name = reduce(lambda c, e: c.when(F.col("acc") < e[0], e[1]), edges[1:], F.when(F.col("acc") < edges[0][0], edges[0][1])).otherwise("e 1")
+    return t.groupBy("run", name.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("acc"), 6).alias("mean"))
+
+
+_MC = HITS + """, pairs AS (SELECT x.run AS run_a, y.run AS run_b, count(CASE WHEN x.hit AND NOT y.hit THEN 1 END) AS b, count(CASE WHEN NOT x.hit AND y.hit THEN 1 END) AS c FROM hit x JOIN hit y USING (tab_id, row_id) WHERE x.run < y.run GROUP BY 1, 2),
+pv AS (SELECT *, CASE WHEN b + c = 0 THEN 1.0 ELSE 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda k: exp(lgamma(b + c + 1.0) - lgamma(k + 1.0) - lgamma(b + c - k + 1.0) - (b + c) * ln(2.0)))) END AS p FROM pairs)"""
+
+
+@query(_MC + " SELECT run_a, run_b, b, c, round(p, 6) AS p FROM pv")
+def mcnemar_pairs(spark, sf_dir) -> DataFrame:
+    return ev.discordant(hits(spark, sf_dir)).withColumn("p", F.round(ev.exact_p(F.col("b"), F.col("c")), 6))
+
+
+@query(_MC + " SELECT run_a, run_b, round(max(least(1.0, p * (m - rn + 1))) OVER (ORDER BY rn), 6) AS holm, CASE WHEN b > c THEN run_a WHEN c > b THEN run_b ELSE '' END AS favors FROM (SELECT *, row_number() OVER (ORDER BY p, run_a, run_b) AS rn, count(*) OVER () AS m FROM (SELECT run_a, run_b, b, c, round(p, 9) AS p FROM pv))")
+def holm(spark, sf_dir) -> DataFrame:
+    rows = ev.discordant(hits(spark, sf_dir)).withColumn("p", F.round(ev.exact_p(F.col("b"), F.col("c")), 9))
+    favors = F.when(F.col("b") > F.col("c"), F.col("run_a")).when(F.col("c") > F.col("b"), F.col("run_b")).otherwise("")
+    return ev.holm(rows, ties=("run_a", "run_b")).select("run_a", "run_b", F.round("holm", 6).alias("holm"), favors.alias("favors"))
+
+
+_BOOT = """WITH s AS (SELECT l_returnflag AS run, l_suppkey AS cluster, count(CASE WHEN l_linestatus = 'F' THEN 1 END) AS hits, count(*) AS n FROM lineitem GROUP BY 1, 2),
+ix AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS k FROM (SELECT DISTINCT cluster FROM s)), m AS (SELECT count(*) AS m FROM ix),
+d AS (SELECT rep, ((rep * 1103515245 + j * 12345 + rep * j * 48271) % 2147483647) % m AS k FROM range(200) r(rep), m, unnest(range(0, m)) u(j)),
+t AS (SELECT rep, cluster, count(*) AS times FROM d JOIN ix USING (k) GROUP BY 1, 2),
+rate AS (SELECT run, rep, CAST(sum(hits * times) AS DOUBLE) / sum(n * times) AS rate FROM t JOIN s USING (cluster) GROUP BY 1, 2) """
+
+
+def _replicates(spark, sf_dir) -> DataFrame:
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("run"), "l_suppkey", (F.col("l_linestatus") == "F").alias("hit"))
+    return ev.bootstrap(ev.cluster_sums(rows, "l_suppkey"), 200)
+
+
+@query(_BOOT + "SELECT run, rep, round(rate, 6) AS rate FROM rate")
+def bootstrap_cluster(spark, sf_dir) -> DataFrame:
+    return _replicates(spark, sf_dir).withColumn("rate", F.round("rate", 6))
+
+
+@query(_BOOT + "SELECT run, round(avg(rate), 6) AS mean, round(quantile_cont(rate, 0.025), 6) AS low, round(quantile_cont(rate, 0.975), 6) AS high, round(stddev_samp(rate), 6) AS se, round((quantile_cont(rate, 0.975) - quantile_cont(rate, 0.025)) / 2, 6) AS half FROM rate GROUP BY run")
+def bootstrap_ci(spark, sf_dir) -> DataFrame:
+    out = ev.interval(_replicates(spark, sf_dir))
+    return out
+
+
+@query(_BOOT + ", x AS (SELECT a.run, a.rate - b.rate AS d FROM rate a JOIN rate b ON a.rep = b.rep AND b.run = 'A' WHERE a.run <> 'A') SELECT run, round(avg(d), 6) AS delta, round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high, round(least(1.0, 2 * least(avg(CASE WHEN d <= 0 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN d >= 0 THEN 1.0 ELSE 0.0 END))), 6) AS p, quantile_cont(d, 0.025) > 0 OR quantile_cont(d, 0.975) < 0 AS significant FROM x GROUP BY run")
+def bootstrap_delta(spark, sf_dir) -> DataFrame:
+    return ev.deltas(_replicates(spark, sf_dir), "A")
+
+
+@query("WITH r AS (SELECT o_custkey AS run, avg(o_totalprice) AS x, CAST(count(*) AS DOUBLE) AS y FROM orders GROUP BY 1), k AS (SELECT x, y, avg(i) OVER (PARTITION BY x) AS rx, avg(j) OVER (PARTITION BY y) AS ry FROM (SELECT x, y, row_number() OVER (ORDER BY x) AS i, row_number() OVER (ORDER BY y) AS j FROM r)) SELECT round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman, count(*) AS n FROM k")
+def run_correlation(spark, sf_dir) -> DataFrame:
+    r = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.avg("o_totalprice").alias("x"), F.count(F.lit(1)).cast("double").alias("y"))
+    i, j = F.row_number().over(Window.orderBy("x")), F.row_number().over(Window.orderBy("y"))
+    k = r.withColumns({"i": i, "j": j}).withColumns({"rx": F.avg("i").over(Window.partitionBy("x")), "ry": F.avg("j").over(Window.partitionBy("y"))})
+    return k.agg(F.round(F.corr("x", "y"), 6).alias("pearson"), F.round(F.corr("rx", "ry"), 6).alias("spearman"), F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH " + BASE[5:] + """, w AS (SELECT * FROM (VALUES (0.5, 0.2, 0.3), (1.0, 0.0, 0.0), (0.2, 0.6, 0.2), (0.3, 0.3, 0.4)) v(a, b, c)),
+g AS (SELECT w.a, w.b, w.c, f.*, round(CAST(w.a AS DOUBLE) * sim + CAST(w.b AS DOUBLE) * qual + CAST(w.c AS DOUBLE) * coherence, 9) AS score FROM feat f, w),
+k AS (SELECT *, row_number() OVER o AS rank, round(score - lead(score) OVER o, 9) AS gap FROM g WINDOW o AS (PARTITION BY a, b, c, tab_id, row_id, col_id ORDER BY score DESC, ord))
+SELECT CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, CAST(c AS DOUBLE) AS c, count(*) AS n, round(CAST(count(CASE WHEN qid = gold THEN 1 END) AS DOUBLE) / count(*), 6) AS accuracy, count(CASE WHEN gap < 0.05 THEN 1 END) AS n_close FROM k WHERE rank = 1 GROUP BY 1, 2, 3""")
+def weight_grid(spark, sf_dir) -> DataFrame:
+    grid = [(0.5, 0.2, 0.3), (1.0, 0.0, 0.0), (0.2, 0.6, 0.2), (0.3, 0.3, 0.4)]
+    each = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("abc", w, strict=True)], rk.combined(*w).alias("score")) for w in grid])).alias("w")
+    rows = rk.features(candidates(spark, sf_dir)).select("*", each).select("*", "w.*")
+    o = Window.partitionBy("a", "b", "c", *rk.CELL).orderBy(F.desc("score"), "ord")
+    top = rows.withColumns({"rank": F.row_number().over(o), "gap": F.round(F.col("score") - F.lead("score").over(o), 9)}).where("rank = 1")
+    n = F.count(F.lit(1))
+    return top.groupBy("a", "b", "c").agg(n.alias("n"), F.round(ev.count_if(F.col("qid") == F.col("gold")) / n, 6).alias("accuracy"), ev.count_if(F.col("gap") < 0.05).alias("n_close"))
+
+
+@query(SCORED + ", m AS (SELECT unnest([0.01, 0.05, 0.1, 0.2, 0.3, 0.5]) AS margin) SELECT CAST(margin AS DOUBLE) AS margin, count(*) AS n_under, count(CASE WHEN qid = gold THEN 1 END) AS n_right, count(CASE WHEN qid <> gold THEN 1 END) AS n_wrong FROM ranked, m WHERE rank = 1 AND gap < CAST(margin AS DOUBLE) GROUP BY 1")
+def margin_sweep(spark, sf_dir) -> DataFrame:
+    top = rk.top(rk.scored(candidates(spark, sf_dir))).withColumn("margin", F.explode(F.array(*[F.lit(m) for m in (0.01, 0.05, 0.1, 0.2, 0.3, 0.5)])))
+    return top.where("gap < margin").groupBy("margin").agg(F.count(F.lit(1)).alias("n_under"), ev.count_if(F.col("qid") == F.col("gold")).alias("n_right"), ev.count_if(F.col("qid") != F.col("gold")).alias("n_wrong"))
