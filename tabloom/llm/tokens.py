@@ -9,6 +9,7 @@ these cuts might not hold is encoded whole.
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
 from collections.abc import Iterator
@@ -19,6 +20,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+# A Python worker has one core; threads of the library would each keep memory of their own.
+os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
 _LATIN = "A-Za-z0-9À-ÖØ-öø-ɏ"
 #: Special tokens, the mark that is used for cuts, white space that isn't ASCII, and signs before a comma or full stop.
 _NEVER = rf"<\||\x00|[\x1c-\x1f\x{{85}}\x{{a0}}\x{{1680}}\x{{180e}}\x{{2000}}-\x{{200b}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}\x{{feff}}]|[^{_LATIN} \n][,.]"
