@@ -107,19 +107,19 @@ def _tokens(text: Column) -> Column:
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, threshold: float = THRESHOLD, contexts: int = CONTEXTS) -> DataFrame:
-    """(term) of the terms that tell too much, from the documents and their texts' (h1, h2, copies, base, near)."""
+    """(term) of the terms that tell too much, from the documents and the texts with entities (copies, base, near, words)."""
     n = docs.count()
-    each = found.select("h1", "h2", "copies", F.explode(F.arrays_zip("base", "near")).alias("z")).select("h1", "h2", "copies", F.col("z.base.entity").alias("entity"), F.col("z.near").alias("near"))
+    each = found.select("copies", F.explode(F.arrays_zip("base", "near")).alias("z")).select("copies", F.col("z.base.entity").alias("entity"), F.col("z.near").alias("near"))
     each = each.withColumn("context", F.xxhash64("near"))
     entities = found.select("copies", F.explode(F.array_distinct("base.entity")).alias("entity")).groupBy("entity").agg(F.sum("copies").alias("n_e")).where(F.col("n_e") < n)
-    near = cut(each.select("h1", "h2", "copies", "entity", "context", F.explode(F.array_distinct(F.transform("near", F.lower))).alias("term")).where(F.length("term") >= LETTERS))
+    near = cut(each.select("copies", "entity", "context", F.explode(F.array_distinct(F.transform("near", F.lower))).alias("term")).where(F.length("term") >= LETTERS))
     pairs = near.groupBy("term", "entity", "context").agg(F.sum("copies").alias("n")).groupBy("term", "entity").agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= contexts)
 
     def tells(n_t: str) -> Column:
         return F.log2(F.col("n_te") * n / (F.col(n_t) * F.col("n_e"))) >= threshold * F.log2(F.lit(float(max(n, 1))) / F.col("n_e"))
 
-    # a term is in at least the documents that have it next to any entity: what tells too little at that count tells less at its own
-    at_least = near.groupBy("term", "h1", "h2").agg(F.max("copies").alias("copies")).groupBy("term").agg(F.sum("copies").alias("least"))
+    # a term is in at least the documents with entities that have it: what tells too little at that count tells less at its own
+    at_least = found.select("copies", F.explode("words").alias("term")).groupBy("term").agg(F.sum("copies").alias("least"))
     pairs = cut(pairs.join(entities, "entity").join(at_least, "term").where(tells("least")))
     terms = cut(pairs.select("term").distinct())
     words = docs.select(F.explode(F.array_distinct(F.transform(_tokens(F.col("text")), F.lower))).alias("term"))
@@ -132,8 +132,8 @@ def spans(docs: DataFrame) -> DataFrame:
     h1, h2 = text_key(F.col("text"))
     some = reduce(lambda a, b: a | b, [F.col("text").rlike(p) for p in PATTERNS.values()])
     rows = docs.where(some).select(h1, h2, F.col("text"), base_spans(F.col("text")).alias("base")).where("size(base) > 0")
-    rows = rows.select("h1", "h2", "base", F.transform("base", lambda s: _near(F.col("text"), s)).alias("near"))
-    found = cut(rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"), F.first("base").alias("base"), F.first("near").alias("near")))
+    rows = rows.select("h1", "h2", "base", F.transform("base", lambda s: _near(F.col("text"), s)).alias("near"), F.array_distinct(F.transform(_tokens(F.col("text")), F.lower)).alias("words"))
+    found = cut(rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"), F.first("base").alias("base"), F.first("near").alias("near"), F.first("words").alias("words")))
     terms = cut(disclosing_terms(docs, found))
     words = docs.select("doc_id", h1, h2, F.posexplode(F.transform(_tokens(F.col("text")), F.lower)).alias("at", "term"))
     told = words.join(small(terms), "term", "left_semi").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.collect_set("at").alias("at"))  # of a text, at most its words
