@@ -61,6 +61,25 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, __rest): all other columns in one, so that their names clash with none."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", (F.struct(*rest) if rest else F.lit(None)).alias("__rest"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs from packed rows with a new text; n_chars, if there, is the new text's length."""
+    kinds = dict(docs.dtypes)
+
+    def column(c: str):
+        if c in ("doc_id", "text"):
+            return F.col(c)
+        old = F.col("__rest").getField(c)
+        return (F.coalesce(F.length("text").cast(kinds[c]), old) if c == "n_chars" else old).alias(c)
+
+    return rows.select(*[column(c) for c in docs.columns])
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z and nothing else, unlike lower()."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import cut, give_back, session, small, table
+from tabloom.llm.common import cut, give_back, packed, session, small, table, unpacked
 
 MIN_WORDS = 20
 MAX_REPEATED = 30
@@ -164,16 +164,13 @@ def clean(docs: DataFrame) -> DataFrame:
 
     Decisions go back to the rows by doc_id and the text's hash, so rows that share a doc_id are told apart.
     """
-    names = docs.columns
     found = cut(decisions(docs).where("not kept or n_removed > 0").select("doc_id", "text_hash", "removed", "kept"))
     marks = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.first("removed").alias("__removed"), F.first("kept").alias("__kept"))
     key = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__hash"))
-    rows = docs.join(small(marks, found.count()), key, "left").where("coalesce(__kept, true)")
+    rows = packed(docs).join(small(marks, found.count()), key, "left").where("coalesce(__kept, true)")
     stays = F.filter(F.split("text", "\n", -1), lambda line, at: ~F.array_contains(F.col("__removed"), at))
     rows = rows.withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n")))
-    if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return rows.select(*names)
+    return unpacked(rows, docs)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import cut, small, table
+from tabloom.llm.common import cut, packed, small, table, unpacked
 from tabloom.llm.contamination import text_key
 
 # Possessive, as no shorter match could do; a match starts at the end of the last one or not inside a run that it could have taken.
@@ -129,6 +129,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, threshold: float = THRES
 
 def spans(docs: DataFrame) -> DataFrame:
     """(h1, h2, base, spans) of the texts with spans: structs of start, number and name of the kind, and end, in order."""
+    docs = docs.select("doc_id", "text")
     h1, h2 = text_key(F.col("text"))
     some = reduce(lambda a, b: a | b, [F.col("text").rlike(p) for p in PATTERNS.values()])
     rows = docs.where(some).select(h1, h2, F.col("text"), base_spans(F.col("text")).alias("base")).where("size(base) > 0")
@@ -150,10 +151,9 @@ def spans(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs, all columns, with each span generalised to its kind in brackets; of spans that overlap the first names the kind. n_chars, if there, follows."""
-    names = docs.columns
     found = cut(spans(docs).select(F.col("h1").alias("__1"), F.col("h2").alias("__2"), F.col("spans").alias("__spans")))
     h1, h2 = text_key(F.col("text"))
-    rows = docs.join(small(found), (h1 == F.col("__1")) & (h2 == F.col("__2")), "left")
+    rows = packed(docs).join(small(found), (h1 == F.col("__1")) & (h2 == F.col("__2")), "left")
 
     def step(done: Column, s: Column) -> Column:
         ahead = s["start"] >= done["at"]
@@ -162,9 +162,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
     whole = F.aggregate("__spans", F.struct(F.lit("").alias("text"), F.lit(0).alias("at")), step, lambda done: F.concat(done["text"], F.substring("text", done["at"] + 1, F.length("text"))))
     rows = rows.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(whole))
-    if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return rows.select(*names)
+    return unpacked(rows, docs)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -58,7 +58,7 @@ def _fisher_yates(held: list[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBa
 def external_shuffle(docs: DataFrame, path: str, shards: int = SHARDS, bucket_bytes: int = BUCKET_BYTES, seed: int = SEED) -> DataFrame:
     """Writes docs to path, in folders shard=s, and returns what was written, with columns shard, slot, size and text_crc32."""
     session(docs)
-    docs = docs.drop("shard", "slot", "size", "text_crc32")
+    docs = docs.drop("shard", "slot", "size", "text_crc32", "__bucket", "__place", "__start")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
     total = docs.agg(F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()["bytes"]
     buckets = max(1, -(-int(total) // bucket_bytes))
