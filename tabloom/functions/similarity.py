@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tabloom.functions.text import normalise, tokens
+from tabloom.functions.text import normalise, squeeze, tokens
 
 
 def levenshtein_similarity(a: Column, b: Column) -> Column:
@@ -37,7 +37,7 @@ def context_overlap(terms: Column, text: Column) -> Column:
 
 
 def to_number(x: Column) -> Column:
-    return F.trim(F.replace(x, F.lit(","), F.lit(""))).try_cast("double")
+    return squeeze(F.replace(x, F.lit(","), F.lit(""))).try_cast("double")
 
 
 def numbers_close(a: Column, b: Column) -> Column:
@@ -54,6 +54,6 @@ def texts_match(a: Column, b: Column) -> Column:
 
 
 def is_numeric(x: Column) -> Column:
-    return F.trim(x).rlike(r"\A[-+]?\d[\d,]*\.?\d*\z")
+    return squeeze(x).rlike(r"\A[-+]?\d[\d,]*\.?\d*\z")
 
 
