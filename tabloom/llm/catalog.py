@@ -1,11 +1,12 @@
 """Queries of the corpus operators, and their SQL where SQL can express them."""
 
-from tabloom.llm import bitplanes, contamination, html_text, packing, quality, sanitise, shuffle, simhash, toxicity
+from tabloom.llm import bitplanes, contamination, html_text, licenses, packing, quality, sanitise, shuffle, simhash, toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
     "op2_html_extraction": html_text.query,
     "op3_quality_rules": quality.query,
+    "op4_license_scan": licenses.query,
     "op5_external_shuffle": shuffle.query,
     "op6_benchmark_decontamination": contamination.query,
     "op7_toxicity_ftrl": toxicity.query,
