@@ -16,23 +16,57 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tabloom.llm.common import session, table
 
-#: Notices by the license they name.
+#: The wording of notices, by the license they name; a name with -line is a short mention, others the usual notice.
 NOTICES = {
     "all-rights-reserved": "All rights reserved.",
-    "apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "mit": "Released under the MIT License.",
+    "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
+    "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0.",
+    "gpl-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
+    "mit-line": "Released under the MIT License.",
+    "apache-2.0": (
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
+        'software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. '
+        "See the License for the specific language governing permissions and limitations under the License."
+    ),
+    "bsd-conditions": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+        "in the documentation and/or other materials provided with the distribution."
+    ),
+    "gpl": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License "
+        "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+    ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies."
+    ),
+    "mit": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+        '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, '
+        "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+    ),
+    "mpl-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. "
+        "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    ),
+    "unlicense": "This is free and unencumbered software released into the public domain.",
 }
 COVERAGE = 0.8
-#: Words that a copy of a notice may have more than the notice, on either side of a seed.
+#: Words that a copy of a notice may have more than the notice, on either side of a seed: SLACK, or a SLACK_SHARE of a long notice.
 SLACK = 4
-COMMON = frozenset("a all and are by for in is it of on or that the this to under was with work".split())
+SLACK_SHARE = 0.25
 WORD = re.compile(r"\w+")
 
 
@@ -95,15 +129,24 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 class Scanner:
+    """Finds notices. Seeds are a notice's longest words, so many that a find must have one of them aligned."""
+
     def __init__(self, notices: dict[str, str], coverage: float = COVERAGE) -> None:
         self.words = {name: WORD.findall(text.lower()) for name, text in sorted(notices.items())}
         self.coverage = coverage
         self.seeds: dict[str, list[tuple[str, int]]] = {}
+        self.ids: dict[str, int] = {}
         for name, ws in self.words.items():
-            for at, w in enumerate(ws):
-                if w not in COMMON and not w.isdigit():
-                    self.seeds.setdefault(w, []).append((name, at))
+            places = sorted(range(len(ws)), key=lambda at: (-len(ws[at]), at))
+            for at in places[: int(len(ws) * (1 - coverage) + 1e-9) + 1]:
+                self.seeds.setdefault(ws[at], []).append((name, at))
+            for w in ws:
+                self.ids.setdefault(w, len(self.ids) + 1)
         self.seed = re.compile(r"\b(?:" + "|".join(map(re.escape, self.seeds)) + r")\b") if self.seeds else None
+        self.member = {}
+        for name, ws in self.words.items():
+            self.member[name] = np.zeros(len(self.ids) + 1, np.int64)
+            self.member[name][[self.ids[w] for w in ws]] = 1
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """(name, coverage, first and last word) of each notice that is found, by name."""
@@ -111,14 +154,24 @@ class Scanner:
         if not self.seed or not self.seed.search(text):
             return []
         ws = WORD.findall(text)
+        ids = np.fromiter((self.ids.get(w, 0) for w in ws), np.int64, len(ws))
+        shared: dict[str, np.ndarray] = {}
+        done: set[tuple[str, int]] = set()
         best: dict[str, tuple[float, int, int]] = {}
         for k, w in enumerate(ws):
             for name, at in self.seeds.get(w, ()):
-                if name in best and best[name][0] == 1:
+                if best.get(name, (0.0,))[0] == 1 or (name, k - at) in done:
                     continue
+                done.add((name, k - at))
                 notice = self.words[name]
-                low = max(0, k - at - SLACK)
-                pairs = align(notice, ws[low : k - at + len(notice) + SLACK])
+                slack = max(SLACK, int(len(notice) * SLACK_SHARE))
+                low, high = max(0, k - at - slack), min(len(ws), k - at + len(notice) + slack)
+                if name not in shared:
+                    shared[name] = np.concatenate(([0], np.cumsum(self.member[name][ids])))
+                # no more words can be aligned than the place has words of the notice
+                if shared[name][high] - shared[name][low] < self.coverage * len(notice):
+                    continue
+                pairs = align(notice, ws[low:high])
                 share = len(pairs) / len(notice)
                 if share >= self.coverage and share > best.get(name, (0.0,))[0]:
                     best[name] = (share, low + pairs[0][1], low + pairs[-1][1])

@@ -1,16 +1,45 @@
+from itertools import pairwise
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from tabloom.llm import licenses
 
 
 def test_align_and_scan(spark, small_dir):
     assert licenses.align("a b c d".split(), "x a c b d d".split())[0] == (0, 1)
     scan = licenses.Scanner(licenses.NOTICES).scan
-    assert [f[0] for f in scan("Some text. Licensed under the Apache License, Version 2.0. More.\nAll rights reserved.")] == ["all-rights-reserved", "apache-2.0"]
-    assert [f[0] for f in scan("this work was licensed under the new GNU general public license version 3")] == ["gpl-3.0"]
+    assert [f[0] for f in scan("Some text. Licensed under the Apache License, Version 2.0. More.\nAll rights reserved.")] == ["all-rights-reserved", "apache-2.0-line"]
+    assert [f[0] for f in scan("this work was licensed under the new GNU general public license version 3")] == ["gpl-3.0-line"]
     assert scan("all of the rights that were lost") == [] == scan(None) == scan("")
     two = "Released under the MIT License. Released under the MIT License."
-    assert scan(two) == [("mit", 1.0, 0, 4)]
+    assert scan(two) == [("mit-line", 1.0, 0, 4)]
     docs = spark.read.parquet(f"{small_dir}/documents.parquet")
     got = {r.doc_id: set(filter(None, r.licenses.split(","))) for r in licenses.query(spark, small_dir).collect()}
     for r in docs.select("doc_id", "text").collect():
         assert {n for n, t in licenses.NOTICES.items() if t in r.text} <= got[r.doc_id]
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_full_notices():
+    """Each notice is found in a long text around it, also with words left out, changed or put in, and only there."""
+    scan = licenses.Scanner(licenses.NOTICES).scan
+    prose = "the river and the software of a program that was distributed to any person in the version of the work " * 40
+    assert scan(prose) == []
+    for name, text in licenses.NOTICES.items():
+        found = {f[0]: f for f in scan(prose + text + " " + prose)}
+        n = len(licenses.WORD.findall(text.lower()))
+        assert found[name][1:] == (1.0, 800, 800 + n - 1)
+        if n > 20:
+            words = text.split()
+            changed = " ".join("other" if k % 12 == 5 else w + " extra" if k % 15 == 7 else w for k, w in enumerate(words))
+            assert 0.8 <= {f[0]: f for f in scan(prose + changed + prose)}[name][1] < 1
+            assert name not in {f[0] for f in scan(" ".join(words[: len(words) // 2]) + " " + prose)}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abcdefg"), max_size=14), st.lists(st.sampled_from("abcdefg"), max_size=14))
+def test_align_is_common_and_increasing(a, b):
+    pairs = licenses.align(a, b)
+    assert all(a[i] == b[j] for i, j in pairs) and all(p < q and r < s for (p, r), (q, s) in pairwise(pairs))
+    assert len(licenses.align(a, a)) == len(a)
