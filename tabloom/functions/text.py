@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Texts that the CSV reader of the data frames library takes as missing.
 MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
@@ -129,6 +132,12 @@ def strip_signs(x: Column) -> Column:
     return F.regexp_replace(x, r"^[\p{P}\p{S}]+|[\p{P}\p{S}]+$", "")
 
 
+@F.pandas_udf(StringType())
+def nfkc(texts: pd.Series) -> pd.Series:
+    """In Unicode's compatibility form, for which there is no built-in function; a null stays one."""
+    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+
 def uri(x: Column, prefix: str) -> Column:
     return F.when(x.startswith(prefix), x).otherwise(F.concat(F.lit(prefix), x))
 

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.plans import q_eval, q_lookup, q_misc, q_rank, q_text
+from tabloom.plans import q_eval, q_lookup, q_method, q_misc, q_rank, q_text
 
-_ALL = [q_text, q_rank, q_eval, q_misc, q_lookup]
+_ALL = [q_text, q_rank, q_eval, q_misc, q_lookup, q_method]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for m in _ALL for name, (f, _) in m.CATALOG.items()}
 SQL: dict[str, str] = {name: sql for m in _ALL for name, (_, sql) in m.CATALOG.items() if sql}
