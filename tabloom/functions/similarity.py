@@ -15,9 +15,9 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
 
 
 def token_jaccard(a: Column, b: Column) -> Column:
+    """0 if either has no tokens. Without branches, so that both lists of tokens are made once."""
     a, b = tokens(F.lower(a)), tokens(F.lower(b))
-    both = F.size(F.array_union(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)).cast("double") / F.nullif(both, F.lit(0)))
+    return F.size(F.array_intersect(a, b)).cast("double") / F.greatest(F.size(F.array_union(a, b)), F.lit(1))
 
 
 def best_similarity(mention: Column, label: Column, aliases: Column | None = None) -> Column:

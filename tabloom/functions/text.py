@@ -67,7 +67,8 @@ def fuzzy_variants(x: Column) -> Column:
 
 
 def tokens(x: Column) -> Column:
-    return F.filter(F.split(x, SPACE), lambda w: w != "")
+    """Split at single spaces, as Spark compiles any other pattern of split() again for each row."""
+    return F.array_remove(F.split(F.regexp_replace(x, SPACE, " "), " "), "")
 
 
 def row_terms(x: Column) -> Column:
