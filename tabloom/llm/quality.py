@@ -6,7 +6,9 @@ counts for each host, which is the column `source`, the distinct documents a lin
 documents and in more than SHARE of the host's documents are removed, and documents that keep less than LEFT of their
 words or fewer than MIN_WORDS are rejected. Equal texts count as one document. Near copies share all their lines without
 any of them being boilerplate; so a line's documents must also differ in content: of two min-hashes over 3-word
-shingles, at least one must have DIVERSE as many values among them as there are documents.
+shingles, at least one must have DIVERSE as many values among them as there are documents. The min-hashes are taken over
+a document's own lines: those that are not themselves candidates for removal on the host and share no min-hash with one,
+as an edited copy of a candidate does. A document without lines of its own counts by the min-hashes of its whole text.
 
 Null and empty texts have no words and are rejected by the base rules. A null source is a host of its own. Repeated rows
 each get their row. An empty table gives an empty one. Other columns are ignored by decisions() and kept by clean().
@@ -27,6 +29,7 @@ from tabloom.llm.common import cut, give_back, packed, session, small, table, un
 MIN_WORDS = 20
 MAX_REPEATED = 30
 WINDOW = 8
+PAIRS = 8
 LEAST_DOCS = 10
 SHARE = 0.01
 DIVERSE = 0.5
@@ -80,6 +83,31 @@ def _sketches(h: np.ndarray) -> tuple[int, int]:
     return int((s ^ (s >> np.uint64(31))).min().view(np.int64)), int((t ^ (t >> np.uint64(29))).min().view(np.int64))
 
 
+def _line_sketches(h: np.ndarray, sizes: list[int]) -> list[list[int | None]]:
+    """Min-hashes of 32 bits for each line, null for one without words: two over shingles of three words (words, if there
+    are fewer) and two that an edited copy of the line shares, over pairs of words (words, below PAIRS of them)."""
+    of = np.array(sizes, np.int64)
+    full = np.flatnonzero(of)
+    outs: list[list[int | None]] = [[None] * len(sizes) for _ in range(4)]
+    if not len(full):
+        return outs
+    n, ends = of[full], np.cumsum(of[full])
+    size, rest = np.repeat(n, n), np.repeat(ends, n) - np.arange(len(h))
+    one, three = h * _MIX[0], h * _MIX[0]
+    two = one.copy()
+    two[:-1] += h[1:] * _MIX[1]
+    three[:-2] += h[1:-1] * _MIX[1] + h[2:] * _MIX[2]
+    for at, s, across in ((0, np.where(size < 3, one, three), (size >= 3) & (rest < 3)), (2, np.where(size < PAIRS, one, two), (size >= PAIRS) & (rest < 2))):
+        s = (s ^ (s >> np.uint64(29))) * _MIX[3]
+        t = (s ^ (s >> np.uint64(32))) * _MIX[2]
+        for out, x in ((outs[at], s ^ (s >> np.uint64(31))), (outs[at + 1], t ^ (t >> np.uint64(29)))):
+            x = (x >> np.uint64(32)).astype(np.uint32)
+            x[across] = 0xFFFFFFFF
+            for k, v in zip(full.tolist(), np.minimum.reduceat(x, ends - n).view(np.int32).tolist(), strict=True):
+                out[k] = v
+    return outs
+
+
 def _signed(h: int) -> int:
     """As Spark's xxhash64 gives it."""
     return h - (1 << 64) if h >> 63 else h
@@ -101,10 +129,11 @@ def measures(text: str | None, hashes: dict[bytes, int]) -> tuple:
             lines.append(None)
         sizes.append(len(tokens))
     chars = len(text) - sum(map(text.count, " \t\n\v\f\r"))
-    return len(words), chars, sum(map(text.count, SYMBOLS)), n_dup, _repeated(h), _signed(xxhash.xxh64_intdigest(data, 42)), *_sketches(h), lines, sizes
+    return len(words), chars, sum(map(text.count, SYMBOLS)), n_dup, _repeated(h), _signed(xxhash.xxh64_intdigest(data, 42)), *_sketches(h), lines, sizes, *_line_sketches(h, sizes)
 
 
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "text_hash", "sketch_a", "sketch_b")
+LINE_SKETCHES = ("own_a", "own_b", "near_a", "near_b")
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,18 +142,18 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [measures(t, hashes) for t in batch.column("text").to_pylist()]
         columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(8)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("source"), *columns, pa.array([r[8] for r in rows], pa.list_(pa.int64())), pa.array([r[9] for r in rows], pa.list_(pa.int32()))],
-            names=["doc_id", "source", *NAMES, "lines", "sizes"],
+            [batch.column("doc_id"), batch.column("source"), *columns, pa.array([r[8] for r in rows], pa.list_(pa.int64())), *[pa.array([r[k] for r in rows], pa.list_(pa.int32())) for k in range(9, 14)]],
+            names=["doc_id", "source", *NAMES, "lines", "sizes", *LINE_SKETCHES],
         )
     hashes.clear()
     give_back()
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """A row for each document: the counts, its hash and sketches, and the hash (null: no word) and words of each line."""
+    """A row for each document: the counts, its hash and sketches, and the hash (null: no word), words and sketches of each line."""
     session(docs)
     kinds = dict(docs.dtypes)
-    schema = f"doc_id {kinds['doc_id']}, source {kinds['source']}, {', '.join(f'{n} long' for n in NAMES)}, lines array<long>, sizes array<int>"
+    schema = f"doc_id {kinds['doc_id']}, source {kinds['source']}, {', '.join(f'{n} long' for n in NAMES)}, lines array<long>, sizes array<int>, {', '.join(f'{n} array<int>' for n in LINE_SKETCHES)}"
     return docs.select("doc_id", "source", "text").mapInArrow(_measured, schema)
 
 
@@ -133,10 +162,19 @@ def frequent_lines(rows: DataFrame) -> DataFrame:
     host = F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host")
     limits = rows.groupBy(host).agg(F.count(F.lit(1)).alias("n")).select("host", F.greatest(F.lit(LEAST_DOCS), F.col("n") * SHARE).alias("most"))
     # rows of a line are at least its documents; only the few lines above that are counted exactly
-    lines = rows.select(host, "text_hash", "sketch_a", "sketch_b", F.explode("lines").alias("line")).where("line is not null")
+    lines = rows.select(host, "text_hash", F.explode("lines").alias("line")).where("line is not null")
     often = lines.groupBy("host", "line").count().join(small(limits), "host").where("count > most").select("host", "line", "most")
     often = cut(often)
-    found = lines.join(small(often), ["host", "line"]).groupBy("host", "line", "text_hash").agg(F.min("sketch_a").alias("sketch_a"), F.min("sketch_b").alias("sketch_b"), F.min("most").alias("most"))
+    zipped = F.arrays_zip(F.col("lines").alias("line"), *LINE_SKETCHES)
+    each = rows.select(host, "text_hash", "sketch_a", "sketch_b", F.explode(zipped).alias("z")).select("host", "text_hash", "sketch_a", "sketch_b", "z.*").where("line is not null")
+    few = small(often)
+    near = cut(each.join(few, ["host", "line"]).select("host", "near_a", "near_b").distinct())
+    own = each.join(few.select("host", "line"), ["host", "line"], "left_anti")
+    for s in ("near_a", "near_b"):
+        own = own.join(small(cut(near.select("host", s).distinct())), ["host", s], "left_anti")
+    own = own.groupBy("host", "text_hash").agg(F.min("own_a").cast("long").alias("own_a"), F.min("own_b").cast("long").alias("own_b"))
+    found = each.join(few, ["host", "line"]).groupBy("host", "line", "text_hash").agg(F.min("sketch_a").alias("sketch_a"), F.min("sketch_b").alias("sketch_b"), F.min("most").alias("most"))
+    found = cut(found.join(own, ["host", "text_hash"], "left").withColumns({f"sketch_{s}": F.coalesce(f"own_{s}", f"sketch_{s}") for s in ("a", "b")}).drop("own_a", "own_b"))
     # distinct values by summing in two steps, so that no task holds all documents of a line
     docs = found.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs"), F.min("most").alias("most"))
     for s in ("sketch_a", "sketch_b"):
@@ -154,7 +192,7 @@ def decisions(docs: DataFrame) -> DataFrame:
     cut_lines = each.join(small(bad), ["host", "line"]).select("host", "text_hash", "at", "size").distinct()
     removed = cut_lines.groupBy("host", "text_hash").agg(F.sum("size").alias("n"), F.sort_array(F.collect_list("at")).alias("removed"))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    out = rows.drop("lines", "sizes").withColumn("host", F.coalesce(F.col("source").cast("string"), F.lit(""))).join(cut(removed), ["host", "text_hash"], "left")
+    out = rows.drop("lines", "sizes", *LINE_SKETCHES).withColumn("host", F.coalesce(F.col("source").cast("string"), F.lit(""))).join(cut(removed), ["host", "text_hash"], "left")
     left = F.col("n_words") - F.col("n_removed")
     return out.withColumns({"n_removed": F.coalesce("n", F.lit(0).cast("long")), "base_failed": base}).withColumn("kept", ~F.col("base_failed") & (left >= MIN_WORDS) & (left >= LEFT * F.col("n_words")))
 

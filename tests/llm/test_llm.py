@@ -130,6 +130,22 @@ def test_frequent_lines(spark, odd, none):
     assert quality.decisions(odd).count() == 12 and quality.clean(odd).columns == odd.columns and quality.decisions(none).count() == 0
 
 
+@pytest.mark.parametrize("share", [60, 75, 90])
+def test_lines_that_fill_their_pages(spark, share):
+    """A template of 60 to 90 % of every page goes, and its pages with it; near copies with a word changed in any line stay whole."""
+    menu = [" ".join(f"menu{j}x{i}" for i in range(10)) for j in range(share // 5)]
+    pages = [(k, "\n".join([*menu, *[" ".join(f"w{k}x{j}x{i}" for i in range(10)) for j in range(20 - share // 5)]]), "h") for k in range(60)]
+    copies = []
+    for k in range(48):
+        width, host = ((10, "h"), (5, "g"))[k % 2]
+        mine = [[f"{host}{j}x{i}" for i in range(width)] for j in range(20)]
+        mine[k // 2 % 20][2 + k // 40] = f"other{k}"
+        copies.append((1000 + k, "\n".join(map(" ".join, mine)), host))
+    got = {r.doc_id: r for r in quality.decisions(spark.createDataFrame([*pages, *copies], "doc_id long, text string, source string")).collect()}
+    assert all(got[k].n_removed == 2 * share and not got[k].kept for k in range(60))
+    assert all(got[1000 + k].n_removed == 0 and got[1000 + k].kept for k in range(48))
+
+
 def test_shuffle(spark, tmp_path, odd, none, docs, small_dir):
     got = shuffle.query(spark, small_dir).toPandas()
     assert dict(zip(got.doc_id, got["size"])) == {k: len(t.encode()) + 1 for k, t in zip(docs.doc_id, docs.text)}
