@@ -3,7 +3,7 @@
 A text fails the base rules if it has fewer than MIN_WORDS words or if words in repeated 8-word windows make up more
 than MAX_REPEATED percent. The method then hashes the normalised lines (lower case, single spaces) of all texts and
 counts for each host, which is the column `source`, the distinct documents a line is in. Lines in more than LEAST_DOCS
-documents and in more than SHARE of the host's documents are removed, and documents that keep less than LEFT of their
+documents and in more than SHARE of the host's documents, or in more than MOST_DOCS, are removed, and documents that keep less than LEFT of their
 words or fewer than MIN_WORDS are rejected. Equal texts count as one document. Near copies share all their lines without
 any of them being boilerplate; so a line's documents must also differ in content: of two min-hashes over 3-word
 shingles, at least one must have DIVERSE as many values among them as there are documents. The min-hashes are taken over
@@ -32,6 +32,8 @@ WINDOW = 8
 PAIRS = 8
 LEAST_DOCS = 10
 SHARE = 0.01
+#: A line in more documents than this goes however large its host is.
+MOST_DOCS = 1000
 DIVERSE = 0.5
 LEFT = 0.5
 SYMBOLS = "#*$%&|<>"
@@ -160,7 +162,8 @@ def measured(docs: DataFrame) -> DataFrame:
 def frequent_lines(rows: DataFrame) -> DataFrame:
     """(host, line) of the lines above the limits, from measured()."""
     host = F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host")
-    limits = rows.groupBy(host).agg(F.count(F.lit(1)).alias("n")).select("host", F.greatest(F.lit(LEAST_DOCS), F.col("n") * SHARE).alias("most"))
+    texts = rows.select(host, "text_hash").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    limits = cut(texts.select("host", F.least(F.lit(float(MOST_DOCS)), F.greatest(F.lit(LEAST_DOCS), F.col("n") * SHARE)).alias("most")))
     # rows of a line are at least its documents; only the few lines above that are counted exactly
     lines = rows.select(host, "text_hash", F.explode("lines").alias("line")).where("line is not null")
     often = lines.groupBy("host", "line").count().join(small(limits), "host").where("count > most").select("host", "line", "most")

@@ -146,6 +146,18 @@ def test_lines_that_fill_their_pages(spark, share):
     assert all(got[1000 + k].n_removed == 0 and got[1000 + k].kept for k in range(48))
 
 
+def test_limit_of_a_line(spark, monkeypatch):
+    """A host's copies don't raise the limit of its lines, and the absolute limit holds on a large host."""
+    own = [" ".join(f"w{k}x{j}" for j in range(30)) for k in range(100)]
+    rows = [(k, f"menu of the site\n{t}" if k < 20 else t, "h") for k, t in enumerate(own)] + [(1000 + k, own[-1], "h") for k in range(2000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.n_removed for r in quality.decisions(table).collect()}
+    assert all(got[k] == (4 if k < 20 else 0) for k in range(100)) and got[1000] == 0
+    big = spark.createDataFrame([(k, ("menu of the site\n" if k < 20 else "") + " ".join(f"w{k}x{j}" for j in range(30)), "h") for k in range(3000)], "doc_id long, text string, source string")
+    monkeypatch.setattr(quality, "MOST_DOCS", 15, raising=False)
+    assert quality.decisions(big).where("n_removed = 4").count() == 20 == quality.decisions(big).where("n_removed > 0").count()
+
+
 def test_shuffle(spark, tmp_path, odd, none, docs, small_dir):
     got = shuffle.query(spark, small_dir).toPandas()
     assert dict(zip(got.doc_id, got["size"])) == {k: len(t.encode()) + 1 for k, t in zip(docs.doc_id, docs.text)}
