@@ -3,7 +3,10 @@
 A notice is aligned to the words around each of its seed words in a text: the alignment is anchored on words that are
 unique on both sides, of which the longest increasing sequence is taken, and goes on in the gaps between anchors; a gap
 without unique words is aligned by its longest common subsequence. The share of the notice's words that are aligned is
-its coverage; COVERAGE or more is a find. Of the places of a notice the first with the best coverage is given.
+its coverage; COVERAGE or more is a find, unless one of the words that tell the notice from others of its family (TELLING)
+is not aligned or a word of another license (FOREIGN) stands among the aligned ones. Where notices are aligned to the same
+words, the one with the most of them aligned wins the place. Of the places that a notice has won the first with the best
+coverage is given.
 
 Null and empty texts have no finds. Repeated rows each get their row; an empty table gives an empty one; other columns
 are ignored.
@@ -63,6 +66,65 @@ NOTICES = {
     ),
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
+_CC = {"by": (), "by-sa": ("sharealike",), "by-nd": ("noderivatives",), "by-nc": ("noncommercial",), "by-nc-sa": ("noncommercial", "sharealike"), "by-nc-nd": ("noncommercial", "noderivatives")}
+_GNU = {"gpl": ("", ("1", "2", "3")), "lgpl": ("Lesser ", ("2.1", "3")), "agpl": ("Affero ", ("3",))}
+NOTICES |= {f"cc-{kind}-{v}-line": f"Licensed under CC {kind.upper()} {v}." for kind in _CC for v in ("2.0", "2.5", "3.0", "4.0")}
+NOTICES |= {
+    f"cc-{kind}-{v}": f"This work is licensed under a Creative Commons {'-'.join(('Attribution', *(w.title() for w in words)))} {v} {port} License."
+    for kind, words in _CC.items()
+    for v, port in (("3.0", "Unported"), ("4.0", "International"))
+}
+NOTICES |= {
+    f"{name}-{v if '.' in v else v + '.0'}-line": f"This work is licensed under the GNU {word}General Public License, version {v}." for name, (word, versions) in _GNU.items() for v in versions
+}
+NOTICES |= {
+    "lgpl": NOTICES["gpl"].replace("General Public", "Lesser General Public"),
+    "agpl": NOTICES["gpl"].replace("General Public", "Affero General Public"),
+    "bsd-2-clause-line": "Licensed under the BSD 2-Clause License.",
+    "bsd-3-clause-line": "Licensed under the BSD 3-Clause License.",
+    "bsd-warranty": (
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, '
+        "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+    ),
+    "cc0-1.0-line": "Licensed under CC0 1.0.",
+    "cc0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "epl-1.0-line": "Licensed under the Eclipse Public License, Version 1.0.",
+    "epl-2.0-line": "Licensed under the Eclipse Public License, Version 2.0.",
+    "epl-1.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution",
+    "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+}
+
+
+def _telling() -> tuple[dict[str, set[str]], dict[str, set[str]]]:
+    telling = {
+        "apache-2.0-line": {"apache", "2"},
+        "mit-line": {"mit"},
+        "bsd-2-clause-line": {"bsd", "2"},
+        "bsd-3-clause-line": {"bsd", "3"},
+        "cc0-1.0-line": {"cc0"},
+        "epl-1.0-line": {"eclipse", "1"},
+        "epl-2.0-line": {"eclipse", "2"},
+        "epl-1.0": {"eclipse"},
+        "epl-2.0": {"eclipse", "2"},
+        "mpl-2.0": {"mozilla"},
+    }
+    foreign: dict[str, set[str]] = {"epl-1.0": {"2", "v2"}}
+    short = {"sharealike": "sa", "noderivatives": "nd", "noncommercial": "nc"}
+    for name in NOTICES:
+        if m := re.fullmatch(r"cc-(by[a-z-]*)-(\d)\.(\d)(-line)?", name):
+            words = set(_CC[m[1]])
+            own = {short[w] for w in words} if m[4] else words
+            telling[name] = {"by" if m[4] else "attribution", m[2], m[3], *own}
+            foreign[name] = set(short.values() if m[4] else short) - own
+        elif m := re.fullmatch(r"([al]?gpl)(?:-(\d)\.(\d)-line)?", name):
+            word = {"gpl": set(), "lgpl": {"lesser"}, "agpl": {"affero"}}[m[1]]
+            telling[name] = word | ({m[2]} if m[2] else set()) | ({m[3]} if m[3] and m[3] != "0" else set())
+            foreign[name] = {"lesser", "affero", "library"} - word
+    return telling, foreign
+
+
+#: By notice, words that must be aligned and words that must not stand between the first and the last aligned word.
+TELLING, FOREIGN = _telling()
 COVERAGE = 0.8
 #: Words that a copy of a notice may have more than the notice, on either side of a seed: SLACK, or a SLACK_SHARE of a long notice.
 SLACK = 4
@@ -133,7 +195,12 @@ class Scanner:
 
     def __init__(self, notices: dict[str, str], coverage: float = COVERAGE) -> None:
         self.words = {name: WORD.findall(text.lower()) for name, text in sorted(notices.items())}
+        self.counts = {name: Counter(ws) for name, ws in self.words.items()}
         self.coverage = coverage
+        # of notices of the caller's, only those worded as here
+        same = {name for name, text in notices.items() if NOTICES.get(name) == text}
+        self.telling = {name: TELLING.get(name, set()) if name in same else set() for name in notices}
+        self.foreign = {name: FOREIGN.get(name, set()) if name in same else set() for name in notices}
         self.seeds: dict[str, list[tuple[str, int]]] = {}
         self.ids: dict[str, int] = {}
         for name, ws in self.words.items():
@@ -157,10 +224,10 @@ class Scanner:
         ids = np.fromiter((self.ids.get(w, 0) for w in ws), np.int64, len(ws))
         shared: dict[str, np.ndarray] = {}
         done: set[tuple[str, int]] = set()
-        best: dict[str, tuple[float, int, int]] = {}
+        finds: list[tuple[int, float, str, list[int]]] = []
         for k, w in enumerate(ws):
             for name, at in self.seeds.get(w, ()):
-                if best.get(name, (0.0,))[0] == 1 or (name, k - at) in done:
+                if (name, k - at) in done:
                     continue
                 done.add((name, k - at))
                 notice = self.words[name]
@@ -171,10 +238,24 @@ class Scanner:
                 # no more words can be aligned than the place has words of the notice
                 if shared[name][high] - shared[name][low] < self.coverage * len(notice):
                     continue
+                there = Counter(ws[low:high])
+                if not self.telling[name] <= there.keys() or sum(min(n, there[w]) for w, n in self.counts[name].items()) < self.coverage * len(notice):
+                    continue
                 pairs = align(notice, ws[low:high])
                 share = len(pairs) / len(notice)
-                if share >= self.coverage and share > best.get(name, (0.0,))[0]:
-                    best[name] = (share, low + pairs[0][1], low + pairs[-1][1])
+                if share < self.coverage:
+                    continue
+                if self.telling[name] <= {notice[x] for x, _ in pairs} and self.foreign[name].isdisjoint(ws[low + pairs[0][1] : low + pairs[-1][1]]):
+                    finds.append((len(pairs), share, name, [low + y for _, y in pairs]))
+        best: dict[str, tuple[float, int, int]] = {}
+        won: dict[int, str] = {}
+        for n, share, name, places in sorted(finds, key=lambda f: (-f[0], -f[1], f[3][0], f[2])):
+            if 2 * sum(won.get(y, name) != name for y in places) > n:
+                continue
+            for y in places:
+                won.setdefault(y, name)
+            if name not in best or (-share, places[0]) < (-best[name][0], best[name][1]):
+                best[name] = (share, places[0], places[-1])
         return [(name, *best[name]) for name in sorted(best)]
 
 

@@ -21,6 +21,30 @@ def test_align_and_scan(spark, small_dir):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_families_and_versions():
+    scan = licenses.Scanner(licenses.NOTICES).scan
+    gnu = "This work is licensed under the GNU {}General Public License, version {}."
+    for text, name in {
+        "Licensed under CC BY 4.0.": "cc-by-4.0-line",
+        "Licensed under CC BY-SA 4.0.": "cc-by-sa-4.0-line",
+        "Licensed under CC BY-NC 4.0.": "cc-by-nc-4.0-line",
+        "Licensed under CC BY-NC-ND 3.0.": "cc-by-nc-nd-3.0-line",
+        gnu.format("", "2"): "gpl-2.0-line",
+        gnu.format("", "3"): "gpl-3.0-line",
+        gnu.format("Lesser ", "2.1"): "lgpl-2.1-line",
+        gnu.format("Lesser ", "3"): "lgpl-3.0-line",
+        gnu.format("Affero ", "3"): "agpl-3.0-line",
+        "Licensed under the BSD 3-Clause License.": "bsd-3-clause-line",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "cc-by-sa-4.0",
+    }.items():
+        assert [f[0] for f in scan("Some prose. " + text + " More prose.")] == [name]
+    for text in ("Licensed under CC BY 9.0.", "Released under the Foo License.", "Licensed under the Apache License, Version 1.0.", gnu.format("Affero ", "2")):
+        assert scan(text) == []
+    both = scan(gnu.format("Lesser ", "3") + " Much other prose stands between the two of them here. " + gnu.format("", "3"))
+    assert [f[0] for f in both] == ["gpl-3.0-line", "lgpl-3.0-line"] and both[0][2] > both[1][3]
+    assert [f[0] for f in scan("x " + licenses.NOTICES["lgpl"])] == ["lgpl"]
+
+
 def test_full_notices():
     """Each notice is found in a long text around it, also with words left out, changed or put in, and only there."""
     scan = licenses.Scanner(licenses.NOTICES).scan
