@@ -41,7 +41,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Fingerprints, groups and token ids are beyond SQL; the tests hold the pipeline against brute force.
+#: Fingerprints, groups and token ids are beyond SQL; the tests check the pipeline only for how many documents it keeps and for its ids.
 ORACLE_SQL = None
 
 
