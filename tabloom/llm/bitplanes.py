@@ -12,19 +12,20 @@ follow each other, in the order of their texts' checksums. An empty table gives
 from __future__ import annotations
 
 import zlib
+from collections import deque
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tabloom.llm.common import scratch, session, table
+from tabloom.llm.common import cut, give_back, partitions, scratch, session, small, table
 from tabloom.llm.tokens import encoded
 
 BLOCK = 1 << 16
@@ -81,52 +82,61 @@ def write(docs: DataFrame, out: str, vocabulary: str = VOCABULARY, block: int =
     session(docs)
     kind = to_arrow_type(docs.schema["doc_id"].dataType)
     schema = f"file int, chunk int, first long, n_ids int, doc_ids array<{dict(docs.dtypes)['doc_id']}>, n_tokens array<long>, planes array<binary>"
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.crc32(F.coalesce("text", F.lit(""))))
+    # rows that share a doc_id are dealt by their texts, and rows alike in both by their place in the input
+    keys = [F.col("doc_id"), F.crc32(F.coalesce("text", F.lit(""))), F.col("__row")]
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("__row"))
+    ordered = rows.repartitionByRange(partitions(docs), *keys).sortWithinPartitions(*keys).drop("__row")
     ordered.mapInArrow(_encoded(public_tokenizers.path(vocabulary), block, end, kind), schema).write.option("compression", "zstd").parquet(out)
 
 
-def _documents(kind: pa.DataType):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, held, todo, place = None, b"", [], 0
-        for batch in chain(batches):
+def _in_file(content: pa.Buffer) -> Iterator[tuple[int, list[tuple]]]:
+    """(file, its documents that end in a block: doc_id, place, ids) of each block of a file."""
+    held, size, todo, place = [], 0, deque(), 0
+    for batch in pq.ParquetFile(pa.BufferReader(content)).iter_batches(8):
+        for r in batch.to_pylist():
+            held.append(from_planes(r["planes"], r["n_ids"]))
+            size += r["n_ids"]
+            todo.extend(zip(r["doc_ids"], r["n_tokens"], strict=True))
             out = []
-            for r in batch.to_pylist():
-                if r["file"] != file:
-                    file, held, todo, place = r["file"], b"", [], 0
-                held += from_planes(r["planes"], r["n_ids"]).tobytes()
-                todo += zip(r["doc_ids"], r["n_tokens"], strict=True)
-                at = done = 0
-                for doc, n in todo:
-                    if at + 4 * n > len(held):
-                        break
-                    out.append((doc, file, place, n, held[at : at + 4 * n]))
-                    at, place, done = at + 4 * n, place + n, done + 1
-                held, todo = held[at:], todo[done:]
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (kind, pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "file", "place", "n_tokens", "ids"])
-
-    return run
+            if todo and size >= todo[0][1]:
+                ids, at = np.concatenate(held), 0
+                while todo and at + todo[0][1] <= size:
+                    doc, n = todo.popleft()
+                    out.append((doc, place, ids[at : at + n]))
+                    at, place = at + n, place + n
+                held, size = [ids[at:].copy()], size - at
+            yield r["file"], out
 
 
-def _digests(kind: pa.DataType):
+def _documents(kind: pa.DataType, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _documents(kind)(batches):
-            yield b.set_column(4, "ids_crc32", pa.array([zlib.crc32(x) for x in b.column("ids").to_pylist()], pa.int64()))
+        for batch in batches:
+            for content in batch.column("content"):
+                for file, docs in _in_file(content.as_buffer()):
+                    last = pa.array([zlib.crc32(ids) for *_, ids in docs], pa.int64()) if digests else pa.array([ids.tobytes() for *_, ids in docs], pa.binary())
+                    columns = [pa.array([d[0] for d in docs], kind), pa.array([file] * len(docs), pa.int32()), pa.array([d[1] for d in docs], pa.int64()), pa.array([len(d[2]) for d in docs], pa.int64()), last]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "file", "place", "n_tokens", "ids_crc32" if digests else "ids"])
+        give_back()
 
     return run
 
 
 def read(spark: SparkSession, out: str, digests: bool = False) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every document, from the files; ids_crc32 in place of ids if digests is set."""
+    """(doc_id, start, n_tokens, ids) of every document, from the files; ids_crc32 in place of ids if digests is set.
+
+    A file holds about partitions() bytes of text and is read whole by one task, so that nothing is shuffled.
+    """
     blocks = spark.read.parquet(out)
+    session(blocks)
     name = dict(blocks.dtypes)["doc_ids"][6:-1]
     kind = to_arrow_type(blocks.schema["doc_ids"].dataType.elementType)
     last = "ids_crc32 long" if digests else "ids binary"
-    rows = blocks.repartition("file").sortWithinPartitions("file", "chunk").mapInArrow((_digests if digests else _documents)(kind), f"doc_id {name}, file int, place long, n_tokens long, {last}")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(out).select("content")
+    rows = files.mapInArrow(_documents(kind, digests), f"doc_id {name}, file int, place long, n_tokens long, {last}")
     # one row a file
     sums = blocks.groupBy("file").agg(F.sum("n_ids").alias("n"))
-    before = sums.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
-    return rows.join(before, "file").select("doc_id", (F.col("before") + F.col("place")).alias("start"), "n_tokens", last.split()[0])
+    before = cut(sums.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before")))
+    return rows.join(small(before), "file").select("doc_id", (F.col("before") + F.col("place")).alias("start"), "n_tokens", last.split()[0])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -7,21 +7,31 @@ import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch that goes to Python: with texts of up to about 100 kB a batch stays far below a worker's memory.
-BATCH_ROWS = 256
+#: Rows and bytes in one Arrow batch that goes to Python; a single longer row makes a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 #: A side with more rows than this is shuffled, never broadcast; callers broadcast rows of a few dozen bytes.
 BROADCAST_ROWS = 100_000
 
 
 def session(df: DataFrame) -> SparkSession:
+    """The session of df, with small Arrow batches. The setting stays: a lazy result needs it when the caller computes it."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
+def partitions(df: DataFrame, each: int = 32 << 20) -> int:
+    """How many partitions of about `each` bytes df makes, by the plan's estimate of its size, but no fewer than the session's."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // each), 1_000_000))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -52,6 +62,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def give_back() -> None:
     """Gives what a Python worker has freed back to the system; an idle worker else keeps the memory of its last task."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only glibc has it
         ctypes.CDLL(None).malloc_trim(0)
 
