@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,6 +73,54 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
+def small_lists(df: DataFrame, column: str) -> DataFrame:
+    """As small(), for rows with an array, of which every item counts as a row."""
+    return small(df, df.agg(F.coalesce(F.sum(1 + F.coalesce(F.size(column), F.lit(0))), F.lit(0)).alias("n")).first()["n"])
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where value is found once however often body names it, also inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Items in a block of fold().
+FOLD = 128
+
+
+def fold(items: Column, state: dict[str, Column], kind: str, step: Callable[[Column, Column], tuple[Column, dict[str, Column]]], last: Callable[[Column], Column] | None = None) -> Column:
+    """All that step(state, item) puts out, an array of `kind` each time, over the items from left to right; last(state) puts out more at the end.
+
+    What is put out is gathered block by block, as appending to one long array for each item takes quadratic time.
+    """
+    none, fields = F.array().cast(f"array<{kind}>"), list(state)
+
+    def inner(acc: Column, item: Column) -> Column:
+        out, new = step(acc, item)
+        return F.struct(F.concat(acc["out"], out).alias("out"), *[new[f].alias(f) for f in fields])
+
+    def outer(acc: Column, block: Column) -> Column:
+        done = F.aggregate(block, F.struct(none.alias("out"), *[acc[f].alias(f) for f in fields]), inner)
+        return let(done, lambda r: F.struct(F.concat(acc["out"], F.array(r["out"])).alias("out"), *[r[f].alias(f) for f in fields]))
+
+    def blocks(x: Column) -> Column:
+        starts = F.when(F.size(x) > 0, F.sequence(F.lit(1), F.size(x), F.lit(FOLD))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda k: F.slice(x, k, FOLD))
+
+    start = F.struct(F.array().cast(f"array<array<{kind}>>").alias("out"), *[state[f].alias(f) for f in fields])
+    end = (lambda acc: F.flatten(acc["out"])) if last is None else (lambda acc: F.concat(F.flatten(acc["out"]), last(acc)))
+    return F.aggregate(let(items, blocks), start, outer, end)
+
+
+def without(items: Column, places: Column) -> Column:
+    """items but for those at the places, which count from 0."""
+
+    def left(all_: Column) -> Column:
+        at = F.when(F.size(all_) > 0, F.sequence(F.lit(0), F.size(all_) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(F.array_except(at, places), lambda k: F.get(all_, k))
+
+    return let(items, left)
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """(doc_id, text, __rest): all other columns in one, so that their names clash with none."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]

@@ -1,14 +1,16 @@
 """Personal data, and the terms of a corpus that give it away, in DataFrame operations only.
 
-The protected entities are the e-mail and IP addresses, card and phone numbers that patterns find. A term is a word of
-LETTERS letters or more. Terms among the NEAR words on either side of an entity (at most REACH characters away) occur
-with it; over all documents, a term t then tells log2(n(t,e) N / (n(t) n(e))) bits about entity e, of the
-log2(N / n(e)) bits that e itself has. A term that tells at least the share THRESHOLD of them, and does so in at least
-CONTEXTS different contexts, so that copies of one passage are no evidence, is generalised wherever it occurs.
+The protected entities are the e-mail and IP addresses, card and phone numbers that patterns find. A term is a word
+in lower case, outside of e-mail addresses. Over all documents, a term t tells log2(n(t,e) N / (n(t) n(e))) bits about entity e, of the log2(N / n(e))
+bits that e itself has, where each n counts documents and n(t,e) those that have both anywhere. A term that tells at
+least the share THRESHOLD of them is generalised wherever it occurs. Copies of a document or a passage are no evidence:
+the texts with both must be CONTEXTS or more, the words around the term and each of three min-hashes of the texts (over shingles) must
+differ among them, and the first of the min-hashes and the words around the term must do so in the share DIVERSE of them.
 
 Matches are leftmost and do not overlap within a kind. Null and empty texts have no spans. Repeated rows each get their
-row; an empty table gives an empty one. Terms inside other spans aren't listed. Other columns are ignored by spans() and
-kept by redact().
+row; an empty table gives an empty one. Terms that overlap other spans aren't listed. Scripts without spaces have no
+words other than whole runs of letters. Other columns are ignored by spans() and kept by redact(). Time is linear in a
+text, but for pairs of its words and of its entities that are in other texts too.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import cut, packed, small, table, unpacked
+from tabloom.llm.common import cut, fold, let, packed, small, small_lists, table, unpacked
 from tabloom.llm.contamination import text_key
 
 # Possessive, as no shorter match could do; a match starts at the end of the last one or not inside a run that it could have taken.
@@ -28,12 +30,14 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: Words on either side of a term whose hash is its context.
 NEAR = 5
-REACH = 200
-LETTERS = 4
+SHINGLE = 5
 CONTEXTS = 2
+DIVERSE = 0.75
 THRESHOLD = 0.9
 WORD = r"\p{L}+"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 
 
 def _digits(m: Column) -> Column:
@@ -59,18 +63,16 @@ def _valid(kind: str, m: Column) -> Column:
     return n.between(9, 15) if kind == "phone" else F.lit(True)
 
 
-def _places(text: Column, pattern: str, at: Column | None = None) -> Column:
-    """Structs of start and value of all matches, or of those whose numbers are in `at`: one fold over what is between and the matches."""
+def _places(text: Column, pattern: str) -> Column:
+    """Structs of start and value of all matches: one fold over what is between and the matches."""
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
-    none = F.array().cast("array<struct<start:int,value:string>>")
 
-    def step(done: Column, p: Column) -> Column:
+    def step(done: Column, p: Column) -> tuple[Column, dict[str, Column]]:
         start = done["end"] + F.length(p["between"])
-        wanted = p["value"].isNotNull() if at is None else p["value"].isNotNull() & F.array_contains(at, done["n"])
-        out = F.when(wanted, F.concat(done["out"], F.array(F.struct(start.alias("start"), p["value"].alias("value"))))).otherwise(done["out"])
-        return F.struct(out.alias("out"), (start + F.coalesce(F.length(p["value"]), F.lit(0))).alias("end"), (done["n"] + 1).alias("n"))
+        out = F.when(p["value"].isNotNull(), F.array(F.struct(start.alias("start"), p["value"].alias("value")))).otherwise(F.array().cast("array<struct<start:int,value:string>>"))
+        return out, {"end": start + F.coalesce(F.length(p["value"]), F.lit(0))}
 
-    return F.aggregate(pairs, F.struct(none.alias("out"), F.lit(0).alias("end"), F.lit(0).alias("n")), step, lambda done: done["out"])
+    return fold(pairs, {"end": F.lit(0)}, "struct<start:int,value:string>", step)
 
 
 def base_spans(text: Column) -> Column:
@@ -87,80 +89,119 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[of(number, kind) for number, kind in enumerate(PATTERNS)]))
 
 
-def _near(text: Column, span: Column) -> Column:
-    """The words next to a span: NEAR before and NEAR behind it, without those that the reach cuts."""
-    low = F.greatest(span["start"] - REACH, F.lit(0))
-    before = F.substring(text, low + 1, span["start"] - low)
-    behind = F.substring(text, span["end"] + 1, F.lit(REACH))
-    whole = F.when(low > 0, F.regexp_replace(before, r"^\p{L}+", "")).otherwise(before)
-    cut_ = F.when(F.length(behind) == REACH, F.regexp_replace(behind, r"\p{L}+\z", "")).otherwise(behind)
-    left, right = F.regexp_extract_all(whole, F.lit(WORD), F.lit(0)), F.regexp_extract_all(cut_, F.lit(WORD), F.lit(0))
-    return F.concat(F.slice(left, F.greatest(F.size(left) - NEAR + 1, F.lit(1)), NEAR), F.slice(right, 1, NEAR))
-
-
 def _lines(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+def _words(text: Column) -> Column:
+    """The words of a text in lower case, and in their places its e-mail addresses, whose parts are no words."""
+    text = F.coalesce(text, F.lit(""))
+    found = F.when(text.contains("@"), F.regexp_extract_all(text, F.lit(f"{EMAIL}|{WORD}"), F.lit(0))).otherwise(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+    return F.transform(found, F.lower)
+
+
+def _tells(n_te: Column, n_t: Column, n_e: Column, n: int, threshold: float) -> Column:
+    return F.log2(n_te * n / (n_t * n_e)) >= threshold * F.log2(F.lit(float(max(n, 1))) / n_e)
+
+
+def candidate_terms(found: DataFrame, n: int, threshold: float = THRESHOLD, contexts: int = CONTEXTS, diverse: float = DIVERSE) -> DataFrame:
+    """(term, entity, n_te, n_e) of what tells enough if no other document has the term, of the texts with entities (h1, h2, copies, entities, tokens)."""
+    each = found.select("h1", "h2", "copies", F.explode("entities").alias("entity"))
+    # an entity of one text tells nothing about others
+    entities = cut(each.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count(F.lit(1)).alias("texts")).where((F.col("texts") >= contexts) & (F.col("n_e") < n)).drop("texts"))
+    of = cut(each.join(small(entities.select("entity")), "entity", "left_semi").select("h1", "h2", "entity"))
+    texts = found.join(small(of.select("h1", "h2").distinct()), ["h1", "h2"], "left_semi")
+    size = F.size("tokens")
+    shingles = F.transform(F.sequence(F.lit(1), F.greatest(size - (SHINGLE - 1), F.lit(1))), lambda k: F.xxhash64(F.slice("tokens", k, SHINGLE)))
+    texts = cut(texts.where(size > 0).withColumn("shingles", shingles).select("h1", "h2", "copies", "tokens", *[F.array_min(F.transform("shingles", lambda h, i=i: F.xxhash64(F.lit(i), h))).alias(f"s{i}") for i in (1, 2, 3)]))
+    around = F.transform(F.sequence(F.lit(1), size), lambda k: F.struct(F.get("tokens", k - 1).alias("term"), F.xxhash64(F.slice("tokens", F.greatest(k - NEAR, F.lit(1)), F.least(k, F.lit(NEAR + 1)) + NEAR)).alias("context")))
+    words = texts.select("h1", "h2", "copies", "s1", "s2", "s3", F.explode(around).alias("w")).groupBy("h1", "h2", "copies", "s1", "s2", "s3", "w.term").agg(F.min("w.context").alias("context"))
+    words = cut(words)
+    differ = ("context", "s1", "s2", "s3")
+    pairs = words.join(of, ["h1", "h2"]).groupBy("term", "entity").agg(F.sum("copies").alias("n_te"), F.count(F.lit(1)).alias("texts"), *[(F.min(c) < F.max(c)).alias(c) for c in differ])
+    pairs = pairs.where(reduce(lambda a, b: a & b, [F.col("texts") >= contexts, *map(F.col, differ)])).drop(*differ)
+    # a term is in at least the documents with entities that have it: what tells too little at that count tells less at its own
+    least = words.groupBy("term").agg(F.sum("copies").alias("least"))
+    pairs = cut(pairs.join(small(entities), "entity").join(least, "term").where(_tells(F.col("n_te"), F.col("least"), F.col("n_e"), n, threshold)).select("term", "entity", "n_te", "n_e", "texts"))
+    # distinct values by summing in two steps, so that no task holds all texts of a pair
+    those = cut(words.join(small(pairs.select("term").distinct()), "term", "left_semi").join(of, ["h1", "h2"]).join(small(pairs.select("term", "entity")), ["term", "entity"], "left_semi").select("term", "entity", "context", "s1"))
+    for c in ("context", "s1"):
+        distinct = those.groupBy("term", "entity", c).agg(F.lit(1).alias("one")).groupBy("term", "entity").agg(F.count("one").alias("distinct"))
+        pairs = pairs.join(distinct, ["term", "entity"]).where(F.col("distinct") >= diverse * F.col("texts")).drop("distinct")
+    return cut(pairs.drop("texts"))
+
+
+def told(docs: DataFrame, found: DataFrame, threshold: float = THRESHOLD, contexts: int = CONTEXTS, diverse: float = DIVERSE) -> DataFrame:
+    """(h1, h2, rep, at) of the texts with terms that tell too much: the least doc_id of each and which of its words they are."""
+    n = docs.count()
+    pairs = candidate_terms(found, n, threshold, contexts, diverse)
+    terms = cut(pairs.select("term").distinct())
+    words = docs.select("doc_id", *text_key(F.col("text")), F.monotonically_increasing_id().alias("row"), F.posexplode(_words(F.col("text"))).alias("at", "term"))
+    rows = cut(words.join(small(terms), "term", "left_semi"))
+    counts = rows.select("row", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    good = cut(pairs.join(counts, "term").where(_tells(F.col("n_te"), F.col("n_t"), F.col("n_e"), n, threshold)).select("term").distinct())
+    # of a text, at most its words
+    return cut(rows.join(small(good), "term", "left_semi").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.array_sort(F.collect_set("at")).alias("at")))
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, threshold: float = THRESHOLD, contexts: int = CONTEXTS) -> DataFrame:
-    """(term) of the terms that tell too much, from the documents and the texts with entities (copies, base, near, words)."""
-    n = docs.count()
-    each = found.select("copies", F.explode(F.arrays_zip("base", "near")).alias("z")).select("copies", F.col("z.base.entity").alias("entity"), F.col("z.near").alias("near"))
-    each = each.withColumn("context", F.xxhash64("near"))
-    entities = found.select("copies", F.explode(F.array_distinct("base.entity")).alias("entity")).groupBy("entity").agg(F.sum("copies").alias("n_e")).where(F.col("n_e") < n)
-    near = cut(each.select("copies", "entity", "context", F.explode(F.array_distinct(F.transform("near", F.lower))).alias("term")).where(F.length("term") >= LETTERS))
-    pairs = near.groupBy("term", "entity", "context").agg(F.sum("copies").alias("n")).groupBy("term", "entity").agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= contexts)
+def _merged(base: Column, terms: Column) -> Column:
+    """Structs of start, number and name of the kind, and end, in order, without terms that overlap others."""
+    kind = "struct<start:int,number:int,kind:string,end:int>"
+    none = F.array().cast(f"array<{kind}>")
 
-    def tells(n_t: str) -> Column:
-        return F.log2(F.col("n_te") * n / (F.col(n_t) * F.col("n_e"))) >= threshold * F.log2(F.lit(float(max(n, 1))) / F.col("n_e"))
+    def one(s: Column) -> Column:
+        return F.when(s.isNotNull(), F.array(s)).otherwise(none)
 
-    # a term is in at least the documents with entities that have it: what tells too little at that count tells less at its own
-    at_least = found.select("copies", F.explode("words").alias("term")).groupBy("term").agg(F.sum("copies").alias("least"))
-    pairs = cut(pairs.join(entities, "entity").join(at_least, "term").where(tells("least")))
-    terms = cut(pairs.select("term").distinct())
-    words = docs.select(F.explode(F.array_distinct(F.transform(_tokens(F.col("text")), F.lower))).alias("term"))
-    counts = words.join(small(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    return pairs.join(cut(counts), "term").where(tells("n_t")).select("term").distinct()
+    def step(acc: Column, s: Column) -> tuple[Column, dict[str, Column]]:
+        term, held = s["number"] == len(PATTERNS), acc["held"]
+        # a term is held until it is known that no span begins inside it
+        before = F.when(~term & held.isNotNull() & (s["start"] < held["end"]), none).otherwise(one(held))
+        out = F.when(term, before).otherwise(F.concat(before, F.array(s)))
+        return out, {"end": F.when(term, acc["end"]).otherwise(F.greatest(acc["end"], s["end"])), "held": F.when(term & (s["start"] >= acc["end"]), s)}
+
+    return fold(F.array_sort(F.concat(base, terms)), {"end": F.lit(0), "held": F.lit(None).cast(kind)}, kind, step, lambda acc: one(acc["held"]))
 
 
-def spans(docs: DataFrame) -> DataFrame:
+def spans(docs: DataFrame, **how) -> DataFrame:
     """(h1, h2, base, spans) of the texts with spans: structs of start, number and name of the kind, and end, in order."""
     docs = docs.select("doc_id", "text")
     h1, h2 = text_key(F.col("text"))
     some = reduce(lambda a, b: a | b, [F.col("text").rlike(p) for p in PATTERNS.values()])
-    rows = docs.where(some).select(h1, h2, F.col("text"), base_spans(F.col("text")).alias("base")).where("size(base) > 0")
-    rows = rows.select("h1", "h2", "base", F.transform("base", lambda s: _near(F.col("text"), s)).alias("near"), F.array_distinct(F.transform(_tokens(F.col("text")), F.lower)).alias("words"))
-    found = cut(rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"), F.first("base").alias("base"), F.first("near").alias("near"), F.first("words").alias("words")))
-    terms = cut(disclosing_terms(docs, found))
-    words = docs.select("doc_id", h1, h2, F.posexplode(F.transform(_tokens(F.col("text")), F.lower)).alias("at", "term"))
-    told = words.join(small(terms), "term", "left_semi").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.collect_set("at").alias("at"))  # of a text, at most its words
-    told = cut(told.select(F.col("h1").alias("t1"), F.col("h2").alias("t2"), "rep", "at"))
+    rows = docs.where(some).select(h1, h2, base_spans(F.col("text")).alias("base"), F.filter(_words(F.col("text")), lambda w: ~w.contains("@")).alias("tokens"))
+    found = cut(rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"), F.first("base").alias("base"), F.first("tokens").alias("tokens")).where("size(base) > 0").withColumn("entities", F.array_distinct("base.entity")))
+    marks = told(docs, found, **how).select(F.col("h1").alias("t1"), F.col("h2").alias("t2"), "rep", "at")
     one = (h1 == F.col("t1")) & (h2 == F.col("t2")) & F.col("doc_id").eqNullSafe(F.col("rep"))
-    term = F.transform(_places(F.col("text"), WORD, F.col("at")), lambda s: F.struct(s["start"], F.lit(len(PATTERNS)).alias("number"), F.lit("term").alias("kind"), (s["start"] + F.length(s["value"])).alias("end")))
-    added = docs.join(small(told), one).select("t1", "t2", term.alias("terms")).dropDuplicates(["t1", "t2"])
-    both = found.select("h1", "h2", F.transform("base", lambda s: F.struct(s["start"], s["number"], s["kind"], s["end"])).alias("base")).join(added, (F.col("h1") == F.col("t1")) & (F.col("h2") == F.col("t2")), "full_outer")
+    picked = let(_places(F.col("text"), f"{EMAIL}|{WORD}"), lambda all_: F.transform("at", lambda k: F.get(all_, k)))
+    term = F.transform(picked, lambda s: F.struct(s["start"].alias("start"), F.lit(len(PATTERNS)).alias("number"), F.lit("term").alias("kind"), (s["start"] + F.length(s["value"])).alias("end")))
+    added = docs.join(small_lists(marks, "at"), one).select("t1", "t2", term.alias("terms")).dropDuplicates(["t1", "t2"])
+    base = F.transform("base", lambda s: F.struct(s["start"], s["number"], s["kind"], s["end"]))
+    both = found.select("h1", "h2", base.alias("base")).join(added, (F.col("h1") == F.col("t1")) & (F.col("h2") == F.col("t2")), "full_outer")
     none = F.array().cast("array<struct<start:int,number:int,kind:string,end:int>>")
     both = both.select(F.coalesce("h1", "t1").alias("h1"), F.coalesce("h2", "t2").alias("h2"), F.coalesce("base", none).alias("base"), F.coalesce("terms", none).alias("terms"))
-    free = F.filter("terms", lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return both.select("h1", "h2", "base", F.array_sort(F.concat("base", free)).alias("spans"))
+    return both.select("h1", "h2", "base", F.when(F.size("terms") == 0, F.col("base")).otherwise(_merged(F.col("base"), F.col("terms"))).alias("spans"))
 
 
-def redact(docs: DataFrame) -> DataFrame:
+def redact(docs: DataFrame, **how) -> DataFrame:
     """docs, all columns, with each span generalised to its kind in brackets; of spans that overlap the first names the kind. n_chars, if there, follows."""
-    found = cut(spans(docs).select(F.col("h1").alias("__1"), F.col("h2").alias("__2"), F.col("spans").alias("__spans")))
+    found = cut(spans(docs, **how).select(F.col("h1").alias("__1"), F.col("h2").alias("__2"), F.col("spans").alias("__spans")))
     h1, h2 = text_key(F.col("text"))
-    rows = packed(docs).join(small(found), (h1 == F.col("__1")) & (h2 == F.col("__2")), "left")
+    rows = packed(docs).join(small_lists(found, "__spans"), (h1 == F.col("__1")) & (h2 == F.col("__2")), "left")
+
+    def gap(acc: Column, s: Column) -> tuple[Column, dict[str, Column]]:
+        ahead = s["start"] >= acc["at"]
+        out = F.when(ahead, F.array(F.struct(acc["at"].alias("from"), s["start"].alias("to"), s["kind"].alias("kind")))).otherwise(F.array().cast("array<struct<from:int,to:int,kind:string>>"))
+        return out, {"at": F.greatest(acc["at"], s["end"])}
+
+    length = F.length("text")
+    gaps = fold(F.col("__spans"), {"at": F.lit(0)}, "struct<from:int,to:int,kind:string>", gap, lambda acc: F.array(F.struct(acc["at"].alias("from"), length.alias("to"), F.lit(None).cast("string").alias("kind"))))
 
-    def step(done: Column, s: Column) -> Column:
-        ahead = s["start"] >= done["at"]
-        more = F.concat(done["text"], F.substring("text", done["at"] + 1, F.greatest(s["start"] - done["at"], F.lit(0))), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.when(ahead, more).otherwise(done["text"]).alias("text"), F.greatest(done["at"], s["end"]).alias("at"))
+    def stretch(block: Column) -> Column:
+        """The new text of a block of gaps: they are taken from the piece of text that they span, as each look-up reads from its start."""
+        first, end = F.get(block, F.lit(0))["from"], F.element_at(block, F.lit(-1))["to"]
+        new = lambda piece: F.array_join(F.transform(block, lambda g: F.concat(F.substring(piece, g["from"] - first + 1, g["to"] - g["from"]), F.when(g["kind"].isNull(), F.lit("")).otherwise(F.concat(F.lit("["), F.upper(g["kind"]), F.lit("]"))))), "")
+        return let(F.substring("text", first + 1, end - first), new)
 
-    whole = F.aggregate("__spans", F.struct(F.lit("").alias("text"), F.lit(0).alias("at")), step, lambda done: F.concat(done["text"], F.substring("text", done["at"] + 1, F.length("text"))))
+    whole = let(gaps, lambda g: F.array_join(F.transform(F.transform(F.sequence(F.lit(1), F.size(g), F.lit(64)), lambda k: F.slice(g, k, 64)), stretch), ""))
     rows = rows.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(whole))
     return unpacked(rows, docs)
 
