@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import cut, lower_ascii, packed, small, table, unpacked
+from tabloom.llm.common import cut, lower_ascii, packed, small, small_lists, table, unpacked, without
 
 WINDOW = 10
 #: Documents with more than this share of their words in windows are left out, from others these words are.
@@ -98,11 +98,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     # the places in a text are at most its words
     marks = cut(places.groupBy("h1", "h2").agg(F.collect_list("place").alias("__places")).select(F.col("h1").alias("__1"), F.col("h2").alias("__2"), "__places"))
     h1, h2 = text_key(F.col("text"))
-    rows = packed(docs).join(small(marks), (h1 == F.col("__1")) & (h2 == F.col("__2")), "left")
-    # what stands before each word, and the word (null behind the last); as an argument they are found once for a text
+    rows = packed(docs).join(small_lists(marks, "__places"), (h1 == F.col("__1")) & (h2 == F.col("__2")), "left")
+    # what stands before each word, and the word (null behind the last)
     pairs = F.arrays_zip(F.split("text", WORD, -1).alias("before"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("word"))
-    pairs = F.filter(pairs, lambda p, k: p["word"].isNull() | ~F.array_contains("__places", k))
-    text = F.array_join(F.transform(pairs, lambda p: F.concat(p["before"], F.coalesce(p["word"], F.lit("")))), "")
+    text = F.array_join(F.transform(without(pairs, F.col("__places")), lambda p: F.concat(p["before"], F.coalesce(p["word"], F.lit("")))), "")
     few = F.size("__places") <= most_hit * F.size(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
     rows = rows.where(F.when(F.col("__places").isNull(), True).otherwise(few)).withColumn("text", F.when(F.col("__places").isNull(), F.col("text")).otherwise(text))
     return unpacked(rows, docs)

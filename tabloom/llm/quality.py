@@ -3,8 +3,8 @@
 A text fails the base rules if it has fewer than MIN_WORDS words or if words in repeated 8-word windows make up more
 than MAX_REPEATED percent. The method then hashes the normalised lines (lower case, single spaces) of all texts and
 counts for each host, which is the column `source`, the distinct documents a line is in. Lines in more than LEAST_DOCS
-documents and in more than SHARE of the host's documents, or in more than MOST_DOCS, are removed, and documents that keep less than LEFT of their
-words or fewer than MIN_WORDS are rejected. Equal texts count as one document. Near copies share all their lines without
+documents and in more than SHARE of the host's documents, or in more than MOST_DOCS, are removed, and documents that
+keep less than LEFT of their words or fewer than MIN_WORDS are rejected. Equal texts count as one document. Near copies share all their lines without
 any of them being boilerplate; so a line's documents must also differ in content: of two min-hashes over 3-word
 shingles, at least one must have DIVERSE as many values among them as there are documents. The min-hashes are taken over
 a document's own lines: those that are not themselves candidates for removal on the host and share no min-hash with one,
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import cut, give_back, packed, session, small, table, unpacked
+from tabloom.llm.common import cut, give_back, packed, session, small, small_lists, table, unpacked, without
 
 MIN_WORDS = 20
 MAX_REPEATED = 30
@@ -159,9 +159,14 @@ def measured(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", "text").mapInArrow(_measured, schema)
 
 
+def _host():
+    """The source, marked so that a null one is apart from an empty one."""
+    return F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+
+
 def frequent_lines(rows: DataFrame) -> DataFrame:
     """(host, line) of the lines above the limits, from measured()."""
-    host = F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host")
+    host = _host().alias("host")
     texts = rows.select(host, "text_hash").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n"))
     limits = cut(texts.select("host", F.least(F.lit(float(MOST_DOCS)), F.greatest(F.lit(LEAST_DOCS), F.col("n") * SHARE)).alias("most")))
     # rows of a line are at least its documents; only the few lines above that are counted exactly
@@ -190,12 +195,12 @@ def decisions(docs: DataFrame) -> DataFrame:
     rows = cut(measured(docs))
     bad = cut(frequent_lines(rows))
     # by the text, so that copies' rows meet before the shuffle
-    host = F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host")
+    host = _host().alias("host")
     each = rows.select(host, "text_hash", F.posexplode("lines").alias("at", "line"), "sizes").select("host", "text_hash", "at", "line", F.element_at("sizes", F.col("at") + 1).alias("size"))
     cut_lines = each.join(small(bad), ["host", "line"]).select("host", "text_hash", "at", "size").distinct()
     removed = cut_lines.groupBy("host", "text_hash").agg(F.sum("size").alias("n"), F.sort_array(F.collect_list("at")).alias("removed"))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    out = rows.drop("lines", "sizes", *LINE_SKETCHES).withColumn("host", F.coalesce(F.col("source").cast("string"), F.lit(""))).join(cut(removed), ["host", "text_hash"], "left")
+    out = rows.drop("lines", "sizes", *LINE_SKETCHES).withColumn("host", _host()).join(cut(removed), ["host", "text_hash"], "left")
     left = F.col("n_words") - F.col("n_removed")
     return out.withColumns({"n_removed": F.coalesce("n", F.lit(0).cast("long")), "base_failed": base}).withColumn("kept", ~F.col("base_failed") & (left >= MIN_WORDS) & (left >= LEFT * F.col("n_words")))
 
@@ -208,8 +213,8 @@ def clean(docs: DataFrame) -> DataFrame:
     found = cut(decisions(docs).where("not kept or n_removed > 0").select("doc_id", "text_hash", "removed", "kept"))
     marks = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.first("removed").alias("__removed"), F.first("kept").alias("__kept"))
     key = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__hash"))
-    rows = packed(docs).join(small(marks, found.count()), key, "left").where("coalesce(__kept, true)")
-    stays = F.filter(F.split("text", "\n", -1), lambda line, at: ~F.array_contains(F.col("__removed"), at))
+    rows = packed(docs).join(small_lists(cut(marks), "__removed"), key, "left").where("coalesce(__kept, true)")
+    stays = without(F.split("text", "\n", -1), F.col("__removed"))
     rows = rows.withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n")))
     return unpacked(rows, docs)
 
