@@ -2,14 +2,20 @@
 
 A notice is aligned to the words around each of its seed words in a text: the alignment is anchored on words that are
 unique on both sides, of which the longest increasing sequence is taken, and goes on in the gaps between anchors; a gap
-without unique words is aligned by its longest common subsequence. The share of the notice's words that are aligned is
-its coverage; COVERAGE or more is a find, unless one of the words that tell the notice from others of its family (TELLING)
-is not aligned or a word of another license (FOREIGN) stands among the aligned ones. Where notices are aligned to the same
-words, the one with the most of them aligned wins the place. Of the places that a notice has won the first with the best
-coverage is given.
+without unique words is aligned by its longest common subsequence. The words around a seed are as many as the notice has
+on that side and slack() more, so a copy may have as many words put in as slack() tells: a notice of SHORT words or more
+may be twice as long as it was, a shorter one must be nearly whole. A notice has so many seeds, its longest words, that a
+find must have one of them aligned; so no place is missed that has COVERAGE within the slack. Anchors are unique within
+those words and not within the text, as a text may hold a notice twice.
+
+The share of the notice's words that are aligned is its coverage; COVERAGE or more is a find, unless one of the words that
+tell the notice from others of its family (TELLING) is not aligned or a word of another license (FOREIGN) stands among
+the aligned ones. Where notices are aligned to the same words, the one with the most of them aligned wins the place;
+ties go to the better coverage, then the first place, then the lesser name. All places of a notice are given.
 
 Null and empty texts have no finds. Repeated rows each get their row; an empty table gives an empty one; other columns
-are ignored.
+are ignored. Long texts take time in proportion to their words, and where all words of a notice are near, to the
+notice's length too.
 """
 
 from __future__ import annotations
@@ -65,6 +71,56 @@ NOTICES = {
         "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
     ),
     "unlicense": "This is free and unencumbered software released into the public domain.",
+    "zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+        "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. "
+        "If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+        "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. "
+        "3. This notice may not be removed or altered from any source distribution."
+    ),
+    "bsl-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license "
+        '(the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, '
+        "and to permit third-parties to whom the Software is furnished to do so, all subject to the following: "
+        "The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, "
+        "must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, "
+        "unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor."
+    ),
+}
+_MIT_WARRANTY = (
+    ' THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+    "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_BSD_WARRANTY = (
+    ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, '
+    "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+    "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+    "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_BSD_THIRD = " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_ISC_WARRANTY = (
+    ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. '
+    "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+    "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+#: Whole license texts.
+NOTICES |= {
+    "mit-full": NOTICES["mit"] + _MIT_WARRANTY,
+    "bsl-1.0-full": NOTICES["bsl-1.0"] + _MIT_WARRANTY.replace("THE AUTHORS OR COPYRIGHT HOLDERS", "THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE").replace("AND NONINFRINGEMENT", ", TITLE AND NON-INFRINGEMENT"),
+    "bsd-2-clause-full": NOTICES["bsd-conditions"] + _BSD_WARRANTY,
+    "bsd-3-clause-full": NOTICES["bsd-conditions"] + _BSD_THIRD + _BSD_WARRANTY,
+    "isc-full": NOTICES["isc"] + _ISC_WARRANTY,
+    "unlicense-full": NOTICES["unlicense"]
+    + (
+        " Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. "
+        "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. "
+        "We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. "
+        "We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."
+    ),
 }
 _CC = {"by": (), "by-sa": ("sharealike",), "by-nd": ("noderivatives",), "by-nc": ("noncommercial",), "by-nc-sa": ("noncommercial", "sharealike"), "by-nc-nd": ("noncommercial", "noderivatives")}
 _GNU = {"gpl": ("", ("1", "2", "3")), "lgpl": ("Lesser ", ("2.1", "3")), "agpl": ("Affero ", ("3",))}
@@ -107,8 +163,10 @@ def _telling() -> tuple[dict[str, set[str]], dict[str, set[str]]]:
         "epl-1.0": {"eclipse"},
         "epl-2.0": {"eclipse", "2"},
         "mpl-2.0": {"mozilla"},
+        "all-rights-reserved": {"all", "rights", "reserved"},
+        "bsd-3-clause-full": {"neither", "endorse"},
     }
-    foreign: dict[str, set[str]] = {"epl-1.0": {"2", "v2"}}
+    foreign: dict[str, set[str]] = {"epl-1.0": {"2", "v2"}, "bsd-2-clause-full": {"endorse"}}
     short = {"sharealike": "sa", "noderivatives": "nd", "noncommercial": "nc"}
     for name in NOTICES:
         if m := re.fullmatch(r"cc-(by[a-z-]*)-(\d)\.(\d)(-line)?", name):
@@ -126,12 +184,16 @@ def _telling() -> tuple[dict[str, set[str]], dict[str, set[str]]]:
 #: By notice, words that must be aligned and words that must not stand between the first and the last aligned word.
 TELLING, FOREIGN = _telling()
 COVERAGE = 0.8
-#: Words that a copy of a notice may have more than the notice, on either side of a seed: SLACK, or a SLACK_SHARE of a long notice.
-SLACK = 4
-SLACK_SHARE = 0.25
+#: Words from which on a notice may be twice as long in a text.
+SHORT = 20
 WORD = re.compile(r"\w+")
 
 
+def slack(n: int) -> int:
+    """The words that a copy of a notice of n words may have more than the notice on either side of a seed."""
+    return n if n >= SHORT else n // 5
+
+
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest sequence of pairs, in the order of their first parts, whose second parts increase."""
     piles: list[int] = []
@@ -190,6 +252,31 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return out
 
 
+def _tight(pairs: list[tuple[int, int]], at: int, b: list[str]) -> list[tuple[int, int]]:
+    """The same words of the notice, aligned to those of their places in b that are nearest to the middle one's, `at`."""
+    out = list(pairs)
+    for k in range(at - 1, -1, -1):
+        word, end = b[out[k][1]], out[k + 1][1]
+        out[k] = out[k][0], next(y for y in range(end - 1, -1, -1) if b[y] == word)
+    for k in range(at + 1, len(out)):
+        word, start = b[out[k][1]], out[k - 1][1]
+        out[k] = out[k][0], next(y for y in range(start + 1, len(b)) if b[y] == word)
+    return out
+
+
+def _ends(pairs: list[tuple[int, int]], least: float) -> list[tuple[int, int]]:
+    """pairs without a few at either end that stand far off and so belong to the text around, if `least` are left."""
+    first, last = 0, len(pairs)
+    for k in range(len(pairs) - 1):
+        put_in = (pairs[k + 1][1] - pairs[k][1]) - (pairs[k + 1][0] - pairs[k][0])
+        if put_in > max(4, 3 * (k + 1)) and len(pairs) - (k + 1) >= least:
+            first = k + 1
+        if put_in > max(4, 3 * (len(pairs) - k - 1)) and k + 1 - first >= least:
+            last = k + 1
+            break
+    return pairs[first:last]
+
+
 class Scanner:
     """Finds notices. Seeds are a notice's longest words, so many that a find must have one of them aligned."""
 
@@ -202,61 +289,100 @@ class Scanner:
         self.telling = {name: TELLING.get(name, set()) if name in same else set() for name in notices}
         self.foreign = {name: FOREIGN.get(name, set()) if name in same else set() for name in notices}
         self.seeds: dict[str, list[tuple[str, int]]] = {}
-        self.ids: dict[str, int] = {}
         for name, ws in self.words.items():
             places = sorted(range(len(ws)), key=lambda at: (-len(ws[at]), at))
             for at in places[: int(len(ws) * (1 - coverage) + 1e-9) + 1]:
                 self.seeds.setdefault(ws[at], []).append((name, at))
-            for w in ws:
-                self.ids.setdefault(w, len(self.ids) + 1)
         self.seed = re.compile(r"\b(?:" + "|".join(map(re.escape, self.seeds)) + r")\b") if self.seeds else None
-        self.member = {}
+        # which bits of a row stand for a word, for the length of a longest common subsequence
+        self.bits: dict[str, dict[str, int]] = {name: {} for name in self.words}
         for name, ws in self.words.items():
-            self.member[name] = np.zeros(len(self.ids) + 1, np.int64)
-            self.member[name][[self.ids[w] for w in ws]] = 1
+            for k, w in enumerate(ws):
+                self.bits[name][w] = self.bits[name].get(w, 0) | 1 << k
+
+    def _enough(self, name: str, lows: np.ndarray, highs: np.ndarray, where: dict[str, np.ndarray]) -> np.ndarray:
+        """Which of the windows have the telling words and enough words of the notice in any order."""
+        left, least = len(self.words[name]), self.coverage * len(self.words[name]) - 1e-9
+        have, kept = np.zeros(len(lows), np.int64), np.arange(len(lows))
+        # rare words first, as they soon leave few windows that can still have enough
+        for w, n in sorted(self.counts[name].items(), key=lambda c: len(where.get(c[0], ()))):
+            left -= n
+            if w in where:
+                there = np.searchsorted(where[w], highs[kept]) - np.searchsorted(where[w], lows[kept])
+                have[kept] += np.minimum(there, n)
+                kept = kept[(have[kept] + left >= least) & ((there > 0) | (w not in self.telling[name]))]
+            else:
+                kept = kept[(have[kept] + left >= least) & (w not in self.telling[name])]
+            if not len(kept):
+                break
+        return kept
+
+    def _common(self, name: str, window: list[str]) -> int:
+        """The length of the longest common subsequence, a row of bits at a time: no alignment has more."""
+        bits, full = self.bits[name], (1 << len(self.words[name])) - 1
+        row = full
+        for w in window:
+            if m := bits.get(w):
+                row = ((row + (row & m)) | (row & ~m)) & full
+        return (full & ~row).bit_count()
+
+    def _aligned(self, name: str, at: int, k: int, low: int, window: list[str]) -> list[tuple[int, int]]:
+        """The pairs (word of the notice, word of the text), if they are a find."""
+        notice, least = self.words[name], self.coverage * len(self.words[name]) - 1e-9
+        if self._common(name, window) < least:
+            return []
+        pairs = align(notice, window)
+        if len(pairs) < least:
+            return []
+        near = min(range(len(pairs)), key=lambda p: (abs(pairs[p][0] - at), abs(low + pairs[p][1] - k)))
+        pairs = _ends(_tight(pairs, near, window), least)
+        if not self.telling[name] <= {notice[x] for x, _ in pairs} or not self.foreign[name].isdisjoint(window[pairs[0][1] : pairs[-1][1]]):
+            return []
+        return [(x, low + y) for x, y in pairs]
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        """(name, coverage, first and last word) of each notice that is found, by name."""
+        """(name, coverage, first and last word) of each place of a notice, by name and place."""
         text = (text or "").lower()
         if not self.seed or not self.seed.search(text):
             return []
         ws = WORD.findall(text)
-        ids = np.fromiter((self.ids.get(w, 0) for w in ws), np.int64, len(ws))
-        shared: dict[str, np.ndarray] = {}
-        done: set[tuple[str, int]] = set()
-        finds: list[tuple[int, float, str, list[int]]] = []
+        todo: dict[str, set[tuple[int, int]]] = {}
+        where: dict[str, list[int]] = {}
         for k, w in enumerate(ws):
+            where.setdefault(w, []).append(k)
             for name, at in self.seeds.get(w, ()):
-                if (name, k - at) in done:
-                    continue
-                done.add((name, k - at))
-                notice = self.words[name]
-                slack = max(SLACK, int(len(notice) * SLACK_SHARE))
-                low, high = max(0, k - at - slack), min(len(ws), k - at + len(notice) + slack)
-                if name not in shared:
-                    shared[name] = np.concatenate(([0], np.cumsum(self.member[name][ids])))
-                # no more words can be aligned than the place has words of the notice
-                if shared[name][high] - shared[name][low] < self.coverage * len(notice):
-                    continue
-                there = Counter(ws[low:high])
-                if not self.telling[name] <= there.keys() or sum(min(n, there[w]) for w, n in self.counts[name].items()) < self.coverage * len(notice):
-                    continue
-                pairs = align(notice, ws[low:high])
-                share = len(pairs) / len(notice)
-                if share < self.coverage:
+                todo.setdefault(name, set()).add((k - at, at))
+        places = {w: np.array(at) for w, at in where.items()}
+        finds: list[tuple[int, float, str, list[int]]] = []
+        for name, seeds in todo.items():
+            n = len(self.words[name])
+            # of seeds that mean the same place, the first
+            starts = dict(sorted(seeds, reverse=True))
+            begin, at = np.array(sorted(starts)), np.array([starts[b] for b in sorted(starts)])
+            lows, highs = np.maximum(0, begin - slack(n)), np.minimum(len(ws), begin + n + slack(n))
+            known: set[tuple[int, int]] = set()
+            whole: set[int] = set()
+            for first in begin.tolist():
+                if first >= 0 and ws[first] == self.words[name][0] and ws[first : first + n] == self.words[name]:
+                    whole.update(range(first, first + n))
+                    finds.append((n, 1.0, name, list(range(first, first + n))))
+            for j in self._enough(name, lows, highs, places).tolist():
+                low, seed = int(lows[j]), int(at[j])
+                k = int(begin[j]) + seed
+                # a word of a whole copy is a word of no better place
+                if k in whole or (seed, k) in known:
                     continue
-                if self.telling[name] <= {notice[x] for x, _ in pairs} and self.foreign[name].isdisjoint(ws[low + pairs[0][1] : low + pairs[-1][1]]):
-                    finds.append((len(pairs), share, name, [low + y for _, y in pairs]))
-        best: dict[str, tuple[float, int, int]] = {}
-        won: dict[int, str] = {}
-        for n, share, name, places in sorted(finds, key=lambda f: (-f[0], -f[1], f[3][0], f[2])):
-            if 2 * sum(won.get(y, name) != name for y in places) > n:
-                continue
-            for y in places:
-                won.setdefault(y, name)
-            if name not in best or (-share, places[0]) < (-best[name][0], best[name][1]):
-                best[name] = (share, places[0], places[-1])
-        return [(name, *best[name]) for name in sorted(best)]
+                if pairs := self._aligned(name, seed, k, low, ws[low : int(highs[j])]):
+                    known.update(pairs)
+                    finds.append((len(pairs), len(pairs) / n, name, [y for _, y in pairs]))
+        out: set[tuple[str, float, int, int]] = set()
+        won: dict[int, int] = {}
+        for number, (n, share, name, at) in enumerate(sorted(finds, key=lambda f: (-f[0], -f[1], f[3][0], f[2]))):
+            if 2 * sum(won.get(y, number) != number for y in at) <= n:
+                for y in at:
+                    won.setdefault(y, number)
+                out.add((name, share, at[0], at[-1]))
+        return sorted(out, key=lambda f: (f[0], f[2]))
 
 
 def _scanned(notices: dict[str, str]):
@@ -265,7 +391,7 @@ def _scanned(notices: dict[str, str]):
         for batch in batches:
             found = [scan(t) for t in batch.column("text").to_pylist()]
             columns = [
-                pa.array([",".join(f[0] for f in fs) for fs in found], pa.string()),
+                pa.array([",".join(sorted({f[0] for f in fs})) for fs in found], pa.string()),
                 pa.array([max((f[1] for f in fs), default=0.0) for fs in found], pa.float64()),
                 pa.array([",".join(f"{f[0]}:{f[2]}:{f[3]}" for f in fs) for fs in found], pa.string()),
             ]
@@ -275,7 +401,7 @@ def _scanned(notices: dict[str, str]):
 
 
 def scan(docs: DataFrame, notices: dict[str, str] | None = None) -> DataFrame:
-    """(doc_id, licenses, coverage, places) of every document: names of the notices found, the best coverage, and name:first word:last word."""
+    """(doc_id, licenses, coverage, places) of every document: names of the notices found, the best coverage, and name:first word:last word of all their places."""
     session(docs)
     return docs.select("doc_id", "text").mapInArrow(_scanned(notices or NOTICES), f"doc_id {dict(docs.dtypes)['doc_id']}, licenses string, coverage double, places string")
 

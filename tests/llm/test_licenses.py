@@ -1,3 +1,5 @@
+import random
+import time
 from itertools import pairwise
 
 from hypothesis import given, settings
@@ -13,7 +15,8 @@ def test_align_and_scan(spark, small_dir):
     assert [f[0] for f in scan("this work was licensed under the new GNU general public license version 3")] == ["gpl-3.0-line"]
     assert scan("all of the rights that were lost") == [] == scan(None) == scan("")
     two = "Released under the MIT License. Released under the MIT License."
-    assert scan(two) == [("mit-line", 1.0, 0, 4)]
+    assert scan(two) == [("mit-line", 1.0, 0, 4), ("mit-line", 1.0, 5, 9)]
+    assert scan("all of the rights that were reserved") == []
     docs = spark.read.parquet(f"{small_dir}/documents.parquet")
     got = {r.doc_id: set(filter(None, r.licenses.split(","))) for r in licenses.query(spark, small_dir).collect()}
     for r in docs.select("doc_id", "text").collect():
@@ -61,6 +64,52 @@ def test_full_notices():
             assert name not in {f[0] for f in scan(" ".join(words[: len(words) // 2]) + " " + prose)}
 
 
+def test_every_place():
+    """Copies of notices, with words put in, left out and changed, are found at each of their places, and nothing between them."""
+    rng = random.Random(4)
+    scan = licenses.Scanner(licenses.NOTICES).scan
+    names = [n for n, t in licenses.NOTICES.items() if len(licenses.WORD.findall(t)) > 25]
+    for _ in range(12):
+        text, want = [], []
+        for name in rng.choices(names, k=5):
+            text += [f"prose{rng.randrange(99)}" for _ in range(rng.randrange(5, 300))]
+            copy = licenses.WORD.findall(licenses.NOTICES[name].lower())
+            telling = licenses.TELLING.get(name, set())
+            loose = [k for k in range(1, len(copy) - 1) if copy[k] not in telling and copy[k] not in ("endorse", "neither")]
+            for k in rng.sample(loose, len(copy) // 8):
+                copy[k] = "changed"
+            at = rng.randrange(len(copy) // 3, len(copy) // 2)
+            copy[at:at] = [f"put{k}" for k in range(rng.randrange(len(copy) // 2))]
+            want.append((name, len(text), len(text) + len(copy) - 1))
+            text += copy
+        got = scan(" ".join(text))
+        # a family's shorter notice may be the one that is named, where words of the longer are changed
+        for name, first, end in want:
+            assert any(abs(f[2] - first) + abs(f[3] - end) <= 8 or f[0].split("-")[0] == name.split("-")[0] and first <= f[2] and f[3] <= end for f in got), (name, first, end, got)
+        assert all(any(min(f[3], end) > max(f[2], first) for _, first, end in want) for f in got)
+
+
+def test_long_and_repeated(spark):
+    """A text of 100,000 seed words and one of 200 notices are scanned in time; odd rows and names don't matter."""
+    scan = licenses.Scanner(licenses.NOTICES).scan
+    began = time.time()
+    assert scan(" ".join(["license merchantability redistribution"] * 33_000)) == []
+    found = scan(" ".join([licenses.NOTICES["mit-full"]] * 200))
+    assert len(found) == 200 and {f[0] for f in found} == {"mit-full"}
+    assert time.time() - began < 20
+    rows = [(1, None, "x", "l"), (2, "", "x", "l"), (3, "Released under the MIT License.", "x", "l"), (3, "Released under the MIT License.", "x", "l"), (None, "Licensed under CC0 1.0.", "x", "l")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, licenses string, places string"))
+    assert sorted((r.doc_id or 0, r.licenses, r.places) for r in got.collect()) == [(0, "cc0-1.0-line", "cc0-1.0-line:0:4"), (1, "", ""), (2, "", ""), (3, "mit-line", "mit-line:0:4"), (3, "mit-line", "mit-line:0:4")]
+
+
+def test_common_length():
+    rng = random.Random(1)
+    scanner = licenses.Scanner({"x": "a b a c d e b f"})
+    for _ in range(300):
+        window = [rng.choice("abcdefgh") for _ in range(rng.randrange(14))]
+        assert scanner._common("x", window) == len(licenses._common(scanner.words["x"], window))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from("abcdefg"), max_size=14), st.lists(st.sampled_from("abcdefg"), max_size=14))
 def test_align_is_common_and_increasing(a, b):
