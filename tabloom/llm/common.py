@@ -7,6 +7,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,11 @@ BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 #: A side with more rows than this is shuffled, never broadcast; callers broadcast rows of a few dozen bytes.
 BROADCAST_ROWS = 100_000
 
+#: The same for a side that whole documents are joined with; beyond it the plan is alike at all sizes.
+TEXT_ROWS = 1000
+#: Parts into which the rows of one text are dealt when they are joined by their text.
+SALTS = 16
+
 
 def session(df: DataFrame) -> SparkSession:
     """The session of df, with small Arrow batches. The setting stays: a lazy result needs it when the caller computes it."""
@@ -73,9 +79,24 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
-def small_lists(df: DataFrame, column: str) -> DataFrame:
-    """As small(), for rows with an array, of which every item counts as a row."""
-    return small(df, df.agg(F.coalesce(F.sum(1 + F.coalesce(F.size(column), F.lit(0))), F.lit(0)).alias("n")).first()["n"])
+def few(df: DataFrame, column: str | None = None) -> bool:
+    """Whether df has at most TEXT_ROWS rows, where every item of an array in the column counts as another."""
+    rows = F.lit(1) if column is None else 1 + F.coalesce(F.size(column), F.lit(0))
+    return df.agg(F.coalesce(F.sum(rows), F.lit(0)).alias("n")).first()["n"] <= TEXT_ROWS
+
+
+def with_marks(docs: DataFrame, key: list[Column], marks: DataFrame, names: list[str], column: str) -> DataFrame:
+    """packed docs, each with the marks (or nulls) of its text: key are the columns of docs that the names of marks equal.
+
+    A text's rows are dealt into SALTS parts by their doc_id, so that many copies of one don't meet in one task.
+    """
+    rows, marks = packed(docs), cut(marks)
+    same = reduce(lambda a, b: a & b, [k == F.col(n) for k, n in zip(key, names, strict=True)])
+    if few(marks, column):
+        return rows.join(F.broadcast(marks), same, "left")
+    rows = rows.withColumn("__part", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    marks = marks.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    return rows.join(marks, same & (F.col("__part") == F.col("__salt")), "left")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -127,15 +148,15 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", (F.struct(*rest) if rest else F.lit(None)).alias("__rest"))
 
 
-def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """The columns of docs from packed rows with a new text; n_chars, if there, is the new text's length."""
+def unpacked(rows: DataFrame, docs: DataFrame, new: bool = True) -> DataFrame:
+    """The columns of docs from packed rows, whose text may be new: n_chars, if there, then is the new text's length."""
     kinds = dict(docs.dtypes)
 
     def column(c: str):
         if c in ("doc_id", "text"):
             return F.col(c)
         old = F.col("__rest").getField(c)
-        return (F.coalesce(F.length("text").cast(kinds[c]), old) if c == "n_chars" else old).alias(c)
+        return (F.coalesce(F.length("text").cast(kinds[c]), old) if new and c == "n_chars" else old).alias(c)
 
     return rows.select(*[column(c) for c in docs.columns])
 

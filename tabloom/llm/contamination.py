@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import cut, lower_ascii, packed, small, small_lists, table, unpacked, without
+from tabloom.llm.common import cut, lower_ascii, small, table, unpacked, with_marks, without
 
 WINDOW = 10
 #: Documents with more than this share of their words in windows are left out, from others these words are.
@@ -96,9 +96,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     every, found, _ = _found(docs, benchmark, window)
     places = found.select("h1", "h2", F.explode(F.sequence(F.col("place"), F.col("place") + F.col("n") - 1)).alias("place")).distinct()
     # the places in a text are at most its words
-    marks = cut(places.groupBy("h1", "h2").agg(F.collect_list("place").alias("__places")).select(F.col("h1").alias("__1"), F.col("h2").alias("__2"), "__places"))
-    h1, h2 = text_key(F.col("text"))
-    rows = packed(docs).join(small_lists(marks, "__places"), (h1 == F.col("__1")) & (h2 == F.col("__2")), "left")
+    marks = places.groupBy("h1", "h2").agg(F.collect_list("place").alias("__places")).select(F.col("h1").alias("__1"), F.col("h2").alias("__2"), "__places")
+    rows = with_marks(docs, text_key(F.col("text")), marks, ["__1", "__2"], "__places")
     # what stands before each word, and the word (null behind the last)
     pairs = F.arrays_zip(F.split("text", WORD, -1).alias("before"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("word"))
     text = F.array_join(F.transform(without(pairs, F.col("__places")), lambda p: F.concat(p["before"], F.coalesce(p["word"], F.lit("")))), "")

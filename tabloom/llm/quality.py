@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import cut, give_back, packed, session, small, small_lists, table, unpacked, without
+from tabloom.llm.common import cut, few, give_back, packed, session, small, table, unpacked, without
 
 MIN_WORDS = 20
 MAX_REPEATED = 30
@@ -213,7 +213,8 @@ def clean(docs: DataFrame) -> DataFrame:
     found = cut(decisions(docs).where("not kept or n_removed > 0").select("doc_id", "text_hash", "removed", "kept"))
     marks = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.first("removed").alias("__removed"), F.first("kept").alias("__kept"))
     key = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__hash"))
-    rows = packed(docs).join(small_lists(cut(marks), "__removed"), key, "left").where("coalesce(__kept, true)")
+    marks = cut(marks)
+    rows = packed(docs).join(F.broadcast(marks) if few(marks, "__removed") else marks, key, "left").where("coalesce(__kept, true)")
     stays = without(F.split("text", "\n", -1), F.col("__removed"))
     rows = rows.withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n")))
     return unpacked(rows, docs)

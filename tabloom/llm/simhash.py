@@ -3,54 +3,106 @@
 Two fingerprints of 64 bits that differ in at most `radius` bits agree on some BLOCKS - radius of the BLOCKS blocks.
 So every distinct fingerprint goes to one small shard for each choice of that many blocks, by the bits in them; each
 shard is a BK-tree whose children are keyed by their Hamming distance to the parent, and a search follows only edges
-within the radius. A shard with more than SHARD fingerprints is split into chunks; what the chunks leave apart is found
+within the radius. A shard with more than SHARD members is split into chunks; what the chunks leave apart is found
 by broadcasting the trees of its smaller components, a bounded number of nodes at a time, to all its rows.
 
-Nulls and texts without words have fingerprint zero and are linked like any other; repeated rows each keep their row;
-a null doc_id never is a component's id unless all are null; an empty table gives an empty one; other columns are
-ignored by links() and kept by near_dedup().
+That finds fingerprints a few bits apart. Texts whose shingles have a Jaccard similarity of 0.8 are some 10 bits apart, and
+no choice of blocks finds such pairs without comparing nearly all. So near_dedup(), which looks for texts of that
+similarity, takes its shards from min-hashes: BANDS keys of ROWS min-hashes each, of which two texts of similarity 0.8
+share one with a probability of 0.998. In a shard the BK-tree is searched as above, within WIDE bits, and a pair that is
+found is linked if its similarity, counted over the shingles, is SIMILARITY or more. Texts of more than LEAST shingles are
+compared by the LEAST least hashes of both, with a standard error of 0.0125.
+
+Nulls and texts without words have fingerprint zero and are linked like any other; repeated rows each keep their row in
+near_groups(); a null doc_id never is a component's id unless all are null; an empty table gives an empty one; other
+columns are ignored by near_groups() and kept by near_dedup().
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import components, cut, give_back, session, small, table
+from tabloom.llm.common import components, cut, few, give_back, packed, session, small, table, unpacked
 
 SEED = 42
 SHINGLE = 4
 RADIUS = 4
 BLOCKS = 6
 SHARD = 20_000
-#: Nodes in the trees that one pass over a split shard broadcasts.
-PASS_NODES = 200_000
+#: Nodes at most in the trees that one pass over a split shard broadcasts, and if they have shingles.
+PASS_NODES, PASS_SETS = 100_000, 10_000
+#: near_dedup(): words in a shingle, similarity, bits within which it is counted, shards of a text and min-hashes for each.
+WIDTH, SIMILARITY, WIDE, BANDS, ROWS = 5, 0.8, 20, 16, 5
+LEAST = 1024
+_RNG = np.random.default_rng(20240611)
+_TIMES, _PLUS = _RNG.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1), _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
+_KEYS = _RNG.integers(0, 1 << 62, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def fingerprint(text: str | None, width: int = SHINGLE) -> int:
-    words = (text or "").encode().lower().split()  # bytes: A-Z only, and only ASCII white space
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()  # bytes: A-Z only, and only ASCII white space
+
+
+def shingles(words: list[bytes], width: int) -> np.ndarray:
+    """The hash of each run of `width` words, or of all words if there are fewer."""
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined, n = b" ".join(words), max(1, len(words) - width + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
     ends = ends[min(width, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
+    n = len(hashes)
     ones = np.zeros(64, np.int64)
     for k in range(0, n, 8192):
         ones += np.unpackbits(hashes[k : k + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, width: int = SHINGLE) -> int:
+    return majority(shingles(_words(text), width))
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """BANDS keys, each of its own ROWS min-hashes of shingles."""
+    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for k in range(0, len(hashes), 4096):
+        x = (hashes[k : k + 4096] >> np.uint64(32)).astype(np.uint32)[None, :] * _TIMES[:, None] + _PLUS[:, None]
+        x ^= x >> np.uint32(15)
+        x *= np.uint32(0x2C1B3C6D)
+        np.minimum(least, x.min(axis=1), out=least)
+    keys = (least.reshape(BANDS, ROWS).astype(np.uint64) * _KEYS + (_KEYS >> np.uint64(7))).sum(axis=1) + np.arange(BANDS, dtype=np.uint64) * _KEYS[0]
+    return ((keys ^ (keys >> np.uint64(29))) * _KEYS[1]).view(np.int64)
+
+
+def least(hashes: np.ndarray) -> np.ndarray:
+    """The LEAST least of the distinct hashes, of which 32 bits are taken."""
+    return np.unique((hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32))[:LEAST]
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of what least() gave: exact for whole sets, an estimate if one was cut off."""
+    if len(a) == LEAST or len(b) == LEAST:
+        both = np.union1d(a, b)[:LEAST]
+        return len(np.intersect1d(np.intersect1d(a, b, assume_unique=True), both, assume_unique=True)) / len(both)
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / max(1, len(a) + len(b) - shared)
+
+
 class Tree:
-    """A BK-tree of distinct integers. Nodes can be taken out; subtrees without nodes are skipped."""
+    """A BK-tree of integers. Nodes can be taken out; subtrees without nodes are skipped."""
 
     def __init__(self, values: Iterable[int]) -> None:
         self.value: list[int] = []
@@ -99,19 +151,21 @@ class Tree:
             k = self.parent[k]
 
 
-def groups(values: list[int], radius: int) -> Iterator[list[int]]:
-    """The connected components, of two values at least, of values that differ in at most radius bits."""
+def groups(values: list[int], radius: int, alike: Callable[[int, int], bool] | None = None) -> Iterator[list[int]]:
+    """The connected components, of two at least, of places whose values differ in at most radius bits, and are alike if that is given."""
     tree = Tree(values)
     for k, v in enumerate(values):
         if not tree.there[k]:
             continue
         tree.take(k)
-        group, todo = [v], [v]
-        while todo:
-            for j in tree.search(todo.pop(), radius):
-                tree.take(j)
-                group.append(tree.value[j])
-                todo.append(tree.value[j])
+        group, todo = [k], [k]
+        while todo and tree.left[0]:
+            i = todo.pop()
+            for j in tree.search(values[i], radius):
+                if alike is None or alike(i, j):
+                    tree.take(j)
+                    group.append(j)
+                    todo.append(j)
         if len(group) > 1:
             yield group
 
@@ -141,7 +195,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def _runs(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.empty((4, 0), np.int64)
+        rest = np.empty((3, 0), np.int64)
         for batch in chain(batches, [None]):
             found, rest = _linked(rest, batch, radius)
             yield from found
@@ -151,69 +205,108 @@ def _runs(radius: int):
 
 def _linked(rest: np.ndarray, batch: pa.RecordBatch | None, radius: int) -> tuple[list[pa.RecordBatch], np.ndarray]:
     """Edges of the whole shards in what was left over and a batch; the last shard, which may go on, is left over."""
-    rows = rest if batch is None else np.concatenate([rest, np.array([batch.column(c).to_numpy() for c in ("t", "key", "chunk", "fp")])], axis=1)
-    cuts = np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(axis=0)) + 1
+    rows = rest if batch is None else np.concatenate([rest, np.array([batch.column(c).to_numpy() for c in ("key", "chunk", "fp")])], axis=1)
+    cuts = np.flatnonzero((rows[:2, 1:] != rows[:2, :-1]).any(axis=0)) + 1
     cuts = np.concatenate(([0], cuts, [rows.shape[1]])) if batch is None else np.concatenate(([0], cuts))
     rest = rows[:, cuts[-1] :]
-    fps, sizes = rows[3], np.diff(cuts)
+    fps, sizes = rows[2], np.diff(cuts)
     pairs = cuts[:-1][sizes == 2]
     near = pairs[np.bitwise_count((fps[pairs] ^ fps[pairs + 1]).view(np.uint64)) <= radius]  # a tree of two nodes has one edge
     a, b = list(fps[near]), list(fps[near + 1])
     for k in np.flatnonzero(sizes > 2):
-        for group in groups(fps[cuts[k] : cuts[k + 1]].view(np.uint64).tolist(), radius):
-            signed = np.array(group, np.uint64).view(np.int64)
+        of = fps[cuts[k] : cuts[k + 1]]
+        for group in groups(of.view(np.uint64).tolist(), radius):
+            signed = of[group]
             a += [signed.min()] * len(group)
             b += list(signed)
     edges = pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)), pa.array(np.array(b, np.int64))], names=["a", "b"])
     return [edges] if a else [], rest
 
 
-def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shard: int = SHARD, pass_nodes: int = PASS_NODES) -> DataFrame:
-    """(node, label) of every fingerprint (column fp, long) that is linked to another one, label the least of its component."""
-    spark = session(fps)
-    keys = fps.select("fp").distinct().select("fp", F.explode(F.array(*[F.struct(F.lit(t).cast("long").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks(radius, blocks))])).alias("k")).select("k.t", "k.key", "fp")
-    hot = cut(keys.groupBy("t", "key").count().where(F.col("count") > shard))
+def _set_runs(radius: int, alike: float):
+    """As _runs, of nodes with shingles: pairs within the radius are linked if they are alike enough."""
+
+    def edges(shard: list[tuple[bytes, int, bytes]]) -> pa.RecordBatch | None:
+        nodes, fps = [r[0] for r in shard], [r[1] & 0xFFFFFFFFFFFFFFFF for r in shard]
+        sets = [np.frombuffer(r[2], np.uint32) for r in shard]
+        pairs = [(min(nodes[k] for k in group), nodes[j]) for group in groups(fps, radius, lambda i, j: similarity(sets[i], sets[j]) >= alike) for j in group]
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"]) if pairs else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            for key, chunk, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "chunk", "node", "fp", "set")), strict=True):
+                if (key, chunk) != at:
+                    if len(held) > 1 and (found := edges(held)):
+                        yield found
+                    at, held = (key, chunk), []
+                held.append(row)
+        if len(held) > 1 and (found := edges(held)):
+            yield found
+        give_back()
+
+    return run
+
+
+def _search(keys: DataFrame, radius: int, shard: int, pass_nodes: int, alike: float | None = None) -> DataFrame:
+    """(a, b): edges that connect the members of shards that are within the radius of each other, and alike if that is asked for.
+
+    keys: key, fp (long), a row for each member of a shard; fp is the node, or with `alike` the column node (binary), and set holds its shingles.
+    """
+    node, kind, mine = ("node", "binary", ["node", "fp", "set"]) if alike else ("fp", "long", ["fp"])
+    hot = cut(keys.groupBy("key").count().where(F.col("count") > shard))
     n_hot = hot.count()
     if n_hot:
         parts = F.coalesce(F.ceil(F.col("count") / shard), F.lit(1)).cast("long")
-        keys = keys.join(small(hot, n_hot), ["t", "key"], "left").select("t", "key", F.pmod(F.xxhash64("fp", "t"), parts).alias("chunk"), "fp")
+        keys = keys.join(small(hot, n_hot), "key", "left").select("key", F.pmod(F.xxhash64(node, "key"), parts).alias("chunk"), *mine)
     else:
-        keys = keys.withColumn("chunk", F.lit(0).cast("long"))
-    names = ["t", "key", "chunk"]
-    edges = cut(keys.repartition(*names).sortWithinPartitions(*names, "fp").mapInArrow(_runs(radius), "a long, b long"))
-    labels = components(edges)
+        keys = keys.select("key", F.lit(0).cast("long").alias("chunk"), *mine)
+    run = _set_runs(radius, alike) if alike else _runs(radius)
+    edges = cut(keys.repartition("key", "chunk").sortWithinPartitions("key", "chunk", node).mapInArrow(run, f"a {kind}, b {kind}"))
     if not n_hot:
-        return labels
-    rows = cut(keys.join(small(hot.select("t", "key"), n_hot), ["t", "key"], "left_semi").join(labels, F.col("fp") == F.col("node"), "left").select("t", "key", "fp", F.coalesce("label", "fp").alias("label")))
-    top = rows.groupBy("t", "key", "label").count().groupBy("t", "key").agg(F.max_by("label", F.struct("count", "label")).alias("top"))
-    minor = cut(rows.join(top, ["t", "key"]).where("label <> top").select("t", "key", "fp", "label"))
+        return edges
+    labels = components(edges).withColumnRenamed("node", "__node")
+    rows = cut(keys.join(small(hot.select("key"), n_hot), "key", "left_semi").join(labels, F.col(node) == F.col("__node"), "left").select("key", *mine, F.coalesce("label", node).alias("label")))
+    top = rows.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("top"))
+    minor = cut(rows.join(top, "key").where("label <> top").select("key", *mine, "label"))
     passes = -(-minor.count() // max(1, pass_nodes // 2))
-    more = []
+    number = lambda: F.pmod(F.xxhash64(node, "key"), F.lit(passes))
+    while passes and minor.groupBy(number().alias("pass")).count().agg(F.max("count")).first()[0] > pass_nodes:
+        passes *= 2
     for k in range(passes):
-        part = minor.where(F.pmod(F.xxhash64("fp", "t"), F.lit(passes)) == k).limit(2 * pass_nodes + 1).collect()
-        if len(part) > 2 * pass_nodes:
-            raise ValueError("a pass has more nodes than its bound; raise pass_nodes")
-        shards: dict[tuple[int, int], dict[int, int]] = {}
-        for r in part:
-            shards.setdefault((r.t, r.key), {})[r.fp & 0xFFFFFFFFFFFFFFFF] = r.label
-        trees = spark.sparkContext.broadcast({key: (Tree(of), list(of.values())) for key, of in shards.items()})
-        more.append(cut(rows.mapInArrow(_against(trees, radius), "a long, b long").distinct()))
+        shards: dict[int, list[dict]] = {}
+        for r in minor.where(number() == k).toArrow().to_pylist():  # at most pass_nodes rows
+            shards.setdefault(r["key"], []).append(r)
+        trees = rows.sparkSession.sparkContext.broadcast({key: (Tree(r["fp"] & 0xFFFFFFFFFFFFFFFF for r in of), [r["label"] for r in of], [r.get("set") for r in of]) for key, of in shards.items()})
+        edges = edges.union(cut(rows.mapInArrow(_against(trees, radius, alike), f"a {kind}, b {kind}").distinct()))
         trees.unpersist()
-    for found in more:
-        edges = edges.union(found)
-    return components(edges.union(labels.select("node", "label"))) if more else labels
+    return edges.union(labels.select("__node", "label"))
+
+
+def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shard: int = SHARD, pass_nodes: int = PASS_NODES) -> DataFrame:
+    """(node, label) of every fingerprint (column fp, long) that is linked to another one, label the least of its component."""
+    session(fps)
 
+    def key(t: int, mask: int) -> Column:
+        return F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(mask)))
 
-def _against(trees, radius: int):
+    keys = fps.select("fp").distinct().select(F.explode(F.array(*[key(t, m) for t, m in enumerate(masks(radius, blocks))])).alias("key"), "fp")
+    return components(_search(keys, radius, shard, pass_nodes))
+
+
+def _against(trees, radius: int, alike: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = set()
-            for t, key, fp, label in zip(*(batch.column(c).to_pylist() for c in ("t", "key", "fp", "label")), strict=True):
-                tree, labels = trees.value.get((t, key), (None, None))
-                if tree:
-                    out.update((min(label, labels[j]), max(label, labels[j])) for j in tree.search(fp & 0xFFFFFFFFFFFFFFFF, radius) if labels[j] != label)
+            for r in batch.to_pylist():
+                tree, labels, sets = trees.value.get(r["key"], (None, None, None))
+                for j in tree.search(r["fp"] & 0xFFFFFFFFFFFFFFFF, radius) if tree else ():
+                    if labels[j] != r["label"] and (alike is None or similarity(np.frombuffer(r["set"], np.uint32), np.frombuffer(sets[j], np.uint32)) >= alike):
+                        out.add((min(r["label"], labels[j]), max(r["label"], labels[j])))
+            kind = batch.schema.field("label").type
             a, b = zip(*sorted(out), strict=True) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
+        give_back()
 
     return run
 
@@ -229,20 +322,75 @@ def near_groups(docs: DataFrame, **how) -> DataFrame:
     return fps.join(cut(of.join(least, "label").select("fp", "component_id")), "fp").select("doc_id", "fp", "component_id")
 
 
+def _described(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in batch.column("text").to_pylist():
+                words = _words(text)
+                h = shingles(words, width)
+                rows.append((xxhash.xxh3_128_digest(b" ".join(words)), majority(h), bands(h) if words else None))
+            columns = [pa.array([r[0] for r in rows], pa.binary()), pa.array(np.array([r[1] for r in rows], np.uint64).view(np.int64)), pa.array([r[2] for r in rows], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), *columns], names=["doc_id", "hash", "node", "fp", "keys"])
+        give_back()
+
+    return run
+
+
+def _sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [_words(text) for text in batch.column("text").to_pylist()]
+            nodes = pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in words], pa.binary())
+            yield pa.RecordBatch.from_arrays([nodes, pa.array([least(shingles(w, width)).tobytes() for w in words], pa.binary())], names=["node", "set"])
+        give_back()
+
+    return run
+
+
+def alike_groups(docs: DataFrame, width: int = WIDTH, alike: float = SIMILARITY, radius: int = WIDE, shard: int = SHARD, pass_nodes: int = PASS_SETS) -> DataFrame:
+    """(doc_id, hash, label) of every row: the text's hash and its group. Texts of the same words are alike, others by their shingles."""
+    session(docs)
+    kind = dict(docs.dtypes)["doc_id"]
+    hash_ = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = cut(docs.select("doc_id", hash_.alias("hash"), "text").mapInArrow(_described(width), f"doc_id {kind}, hash long, node binary, fp long, keys array<long>"))
+    nodes = cut(rows.groupBy("node", "fp", "keys").agg(F.min("hash").alias("hash")))
+    each = nodes.select("node", "fp", "hash", F.explode("keys").alias("key"))
+    # first by fingerprints alone: only what has company needs its shingles
+    near = _search(each.select("key", "fp").distinct(), radius, shard, PASS_NODES)
+    company = near.select(F.col("a").alias("fp")).union(near.select("b")).union(nodes.groupBy("fp").count().where("count > 1").select("fp")).distinct()
+    company = cut(company)
+    some = cut(nodes.join(small(company), "fp", "left_semi").select("hash").distinct())
+    sets = docs.select("text").where("text is not null").join(small(some).withColumnRenamed("hash", "__hash"), hash_ == F.col("__hash"), "left_semi")
+    sets = cut(sets.mapInArrow(_sets(width), "node binary, set binary").dropDuplicates(["node"]))
+    keys = each.join(small(company), "fp", "left_semi").join(sets, "node").select("key", "node", "fp", "set")
+    labels = components(_search(keys, radius, shard, pass_nodes, alike)).withColumnRenamed("node", "__node")
+    return rows.join(labels, F.col("node") == F.col("__node"), "left").select("doc_id", "hash", F.coalesce("label", "node").alias("label"))
+
+
 def near_dedup(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs, all columns, without those that another document of their group stands for.
 
-    The document with a group's least doc_id stays, once if its row is repeated; rows without a doc_id stay.
+    Of a group, the row with the least doc_id stays (rows without one come last), of those with the same the one with the
+    least hash of its text, and of rows alike in both any one. Rows that share a doc_id are told apart by their texts.
     """
-    found = cut(near_groups(docs, **how))
-    drop = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(small(cut(drop)), "doc_id", "left_anti")
-    again = cut(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    n = again.count()
-    if n:
-        once = kept.join(small(again, n), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.join(small(again, n), "doc_id", "left_anti").unionByName(once)
-    return kept.select(*docs.columns)
+    found = cut(alike_groups(docs, **how))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    firsts = found.groupBy("label").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("label", "first")
+    each = cut(found.join(firsts, "label").groupBy("doc_id", "hash").agg(F.count(F.lit(1)).alias("n"), F.first(order == F.col("first")).alias("stays")))
+
+    def mark(rows: DataFrame) -> DataFrame:
+        rows = cut(rows.select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash")))
+        return F.broadcast(rows) if few(rows) else rows
+
+    key = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__hash"))
+    rest = packed(docs).join(mark(each.where("not stays")), key, "left_anti")
+    again = each.where("stays and n > 1")
+    if again.isEmpty():
+        return unpacked(rest, docs, False)
+    again = mark(again)
+    once = rest.join(again, key, "left_semi").withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "__hash"]).drop("__hash")
+    return unpacked(rest.join(again, key, "left_anti").unionByName(once), docs, False)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
