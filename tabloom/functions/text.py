@@ -44,26 +44,31 @@ def clean_query(x: Column) -> Column:
     """What is looked up for a cell: no quotes or double asterisks, and no full stop at the end unless there are two."""
     raw = F.trim(x)
     bare = F.trim(F.replace(F.replace(raw, F.lit('"'), F.lit("")), F.lit("**"), F.lit("")))
-    return F.when(bare.endswith(".") & ~raw.endswith(".."), F.substring(bare, F.lit(1), F.length(bare) - 1)).otherwise(bare)
+    return F.when(bare.endswith(".") & ~raw.endswith(".."), F.trim(F.substring(bare, F.lit(1), F.length(bare) - 1))).otherwise(bare)
 
 
 def fuzzy_variants(x: Column) -> Column:
-    """Other spellings of a name, in the order of these rules, each once and none equal to the name."""
-    words = F.filter(F.split(x, r"\s+"), lambda w: w != "")
-    halves = [F.when(x.contains(mark), F.split(x, mark, 2)[0]) for mark in (" - ", " – ", " / ")]
-    comma = F.split(x, ", ", 2)
+    """Other spellings of a name, in the order of these rules, each once and none equal to the name.
+
+    All but the first are made of the name without double quotes and asterisks.
+    """
+    bare = F.trim(F.regexp_replace(x, r'["*]', ""))
+    words = F.filter(F.split(bare, r"\s+"), lambda w: w != "")
+    first, none = F.get(words, F.lit(0)), F.array().cast("array<string>")
+    comma = F.transform(F.split(bare, ",", 2), lambda p: F.trim(p))
+    swapped = F.when((F.size(comma) == 2) & F.forall(comma, lambda p: p != ""), F.array(F.concat(F.get(comma, F.lit(1)), F.lit(" "), F.get(comma, F.lit(0))), F.get(comma, F.lit(0)))).otherwise(none)
+    unlike = lambda v: F.when(v != bare, F.array(v)).otherwise(none)
     rules = [
-        F.replace(x, F.lit('"'), F.lit("")),
-        F.regexp_replace(x, r"\s*\([^)]*\)", ""),
-        F.regexp_extract(x, r"\(([^)]+)\)", 1),
-        F.regexp_replace(x, r"^(?i:the|a|an)\s+", ""),
-        F.when(F.size(comma) == 2, F.concat(comma[1], F.lit(" "), comma[0])),
-        F.when(F.size(comma) == 2, comma[0]),
-        *halves,
-        F.get(words, F.lit(0)),
-        F.when(F.size(words) >= 3, F.concat_ws(" ", F.slice(words, 1, 2))),
+        F.array(bare),
+        unlike(F.trim(F.regexp_replace(bare, r"\s*\(.*?\)\s*", " "))),
+        F.regexp_extract_all(bare, F.lit(r"\(([^)]+)\)"), F.lit(1)),
+        unlike(F.trim(F.regexp_replace(bare, r"^(?i:the|a|an)\s+", ""))),
+        swapped,
+        *[F.when(bare.contains(mark), F.split(bare, mark)).otherwise(none) for mark in (" - ", " – ", " / ")],
+        F.when(~F.lower(first).isin("the", "a", "an") & (first != bare), F.array(first)).otherwise(none),
+        F.when(F.size(words) >= 3, F.array(F.concat_ws(" ", F.slice(words, 1, 2)))).otherwise(none),
     ]
-    return F.filter(F.array_distinct(F.transform(F.array_compact(F.array(*rules)), lambda v: F.trim(v))), lambda v: (v != "") & (v != x))
+    return F.filter(F.array_distinct(F.transform(F.concat(*[F.coalesce(r, none) for r in rules]), lambda v: F.trim(v))), lambda v: (v != "") & (v != x))
 
 
 def tokens(x: Column) -> Column:
@@ -89,7 +94,8 @@ def split_list(x: Column) -> Column:
 
 
 def llm_terms(x: Column) -> Column:
-    """Suggested terms: what follows the last marker of the first kind that is there, split at semicolons, without numbering."""
+    """Suggested terms: what follows the last marker of the first kind that is there, split at semicolons, without numbering; line breaks are spaces."""
+    x = F.replace(x, F.lit("\n"), F.lit(" "))
     after = reduce(lambda rest, mark: F.when(x.contains(mark), F.substring_index(x, mark, -1)).otherwise(rest), ["Answer:", "Candidates:", "FINAL:"], x)
     return F.array_distinct(F.filter(F.transform(F.split(after, ";"), lambda t: F.trim(F.regexp_replace(F.trim(t), r"^\d+[.)]\s*", ""))), lambda t: t != ""))
 
@@ -98,15 +104,25 @@ def entity_id(x: Column) -> Column:
     return F.regexp_extract(x, r"\bQ\d+\b", 0)
 
 
-def final_answer(x: Column) -> Column:
-    """The id after a label such as `answer:`, else the last id, else empty."""
-    labelled = F.regexp_extract(x, r"(?i:final answer|answer|final|winning qid|qid)\s*[:=]\s*\W*(Q\d+)", 1)
-    ids = F.regexp_extract_all(x, F.lit(r"\bQ\d+\b"), F.lit(0))
-    return F.when(labelled != "", labelled).otherwise(F.coalesce(F.try_element_at(ids, F.lit(-1)), F.lit("")))
+def property_id(x: Column) -> Column:
+    return F.regexp_extract(x, r"\bP\d+\b", 0)
+
+
+def final_answer(x: Column, ids: Column | None = None, allow_nil: bool = True) -> Column:
+    """The choice an answer ends in: the id or NIL after a label such as `answer:`, else the last id, else NIL if it says so, else null.
+
+    With ids, only those count; a labelled id that isn't among them is passed over. A labelled NIL that isn't allowed is null.
+    """
+    labelled = F.regexp_extract(x, r"(?i)(?:answer|final|winning\s*qid|qid)\s*[:\-]?\s*(Q\d+|NIL)", 1)
+    every = F.regexp_extract_all(x, F.lit(r"Q\d+"), F.lit(0))
+    known = every if ids is None else F.filter(every, lambda q: F.array_contains(ids, q))
+    nil = F.when(F.lit(allow_nil), F.lit("NIL"))
+    good = labelled.rlike(r"^Q\d+$") if ids is None else F.array_contains(ids, labelled)
+    return F.when(F.upper(labelled) == "NIL", nil).when((labelled != "") & good, labelled).when(F.size(known) > 0, F.try_element_at(known, F.lit(-1))).when(is_nil(x), nil)
 
 
 def is_nil(x: Column) -> Column:
-    return x.rlike(r"(?i)\bnil\b|\bnone of\b|\bno match\b|\bidk\b|\bi don'?t know\b")
+    return x.rlike(r"(?i)\bnil\b|\bnone of (?:the|these|them)\b|\bno match\b|\bnot (?:in|among) the candidates\b|\bidk\b|\bi don'?t know\b")
 
 
 def slug(x: Column) -> Column:

@@ -77,11 +77,17 @@ def transitions(hits: DataFrame, base: str) -> DataFrame:
     return out.withColumns({"net": F.col("n_fixed") - F.col("n_broken"), "pct_changed": F.round(100.0 * F.col("n_changed") / F.col("n"), 4)})
 
 
-def discordant(hits: DataFrame) -> DataFrame:
-    """(run_a, run_b, b, c) of each pair of runs: cells that only the first has right, and only the second."""
-    a, b = hits.select("tab_id", "row_id", F.col("run").alias("run_a"), F.col("hit").alias("hit_a")), hits.select("tab_id", "row_id", F.col("run").alias("run_b"), F.col("hit").alias("hit_b"))
-    pairs = a.join(b, ["tab_id", "row_id"]).where("run_a < run_b")
-    return pairs.groupBy("run_a", "run_b").agg(count_if(F.col("hit_a") & ~F.col("hit_b")).alias("b"), count_if(~F.col("hit_a") & F.col("hit_b")).alias("c"))
+def discordant(hits: DataFrame, runs: list[str]) -> DataFrame:
+    """(run_a, run_b, b, c) of each pair of runs: cells of both that only the first has right, and only the second.
+
+    One aggregation brings a cell's runs together; no cell is joined with itself.
+    """
+    names = sorted(runs)
+    cell = hits.groupBy("tab_id", "row_id").agg(*[F.max(F.when(F.col("run") == r, F.col("hit").cast("int"))).alias(f"__{k}") for k, r in enumerate(names)])
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
+    each = F.explode(F.array(*[F.struct(F.lit(names[i]).alias("run_a"), F.lit(names[j]).alias("run_b"), F.col(f"__{i}").alias("x"), F.col(f"__{j}").alias("y")) for i, j in pairs])).alias("p")
+    rows = cell.select(each).where("p.x is not null and p.y is not null")
+    return rows.groupBy("p.run_a", "p.run_b").agg(count_if(F.col("p.x") > F.col("p.y")).alias("b"), count_if(F.col("p.x") < F.col("p.y")).alias("c"))
 
 
 def exact_p(b: Column, c: Column) -> Column:
@@ -113,16 +119,42 @@ def cluster_sums(hits: DataFrame, cluster: str) -> DataFrame:
     return hits.groupBy("run", F.col(cluster).alias("cluster")).agg(F.sum(F.col("hit").cast("long")).alias("hits"), F.count(F.lit(1)).alias("n"))
 
 
-def bootstrap(sums: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
-    """(run, rep, rate): clusters drawn with replacement, the same for all runs; draw j of replicate r is a linear congruence of both."""
+def mixed(x: Column) -> Column:
+    """A hash of 32 bits of an integer of as many, by multiplying and shifting."""
+    for _ in range(2):
+        x = (F.shiftright(x, 16).bitwiseXOR(x) * 73244475) % 4294967296
+    return F.shiftright(x, 16).bitwiseXOR(x)
+
+
+#: Clusters that are sent along with every replicate, at a few dozen bytes each.
+MOST_CLUSTERS = 200_000
+
+
+def bootstrap(sums: DataFrame, replicates: int, runs: list[str], seed: int = 0) -> DataFrame:
+    """(run, rep, rate): clusters drawn with replacement, the same for all runs; draw j of replicate r is a hash of both and the seed.
+
+    Up to MOST_CLUSTERS clusters go as one row of arrays to the replicates, each of which sums its own draws; nothing is
+    exploded or shuffled. Of more clusters, draws are joined with them.
+    """
     spark = sums.sparkSession
-    index = sums.select("cluster").distinct().withColumn("k", F.row_number().over(Window.orderBy("cluster")) - 1)
-    m = index.count()
-    draws = spark.range(replicates).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(max(m, 1) - 1))).alias("j"))
-    draws = draws.withColumn("k", ((F.col("rep") * 1103515245 + F.col("j") * 12345 + F.col("rep") * F.col("j") * 48271 + seed) % 2147483647) % F.lit(max(m, 1)))
-    rows = draws.join(F.broadcast(index), "k").groupBy("rep", "cluster").agg(F.count(F.lit(1)).alias("times"))
-    out = rows.join(sums, "cluster").groupBy("run", "rep").agg(F.sum(F.col("hits") * F.col("times")).alias("h"), F.sum(F.col("n") * F.col("times")).alias("n"))
-    return out.select("run", "rep", (F.col("h") / F.col("n")).alias("rate"))
+    of = lambda r, c: F.sum(F.when(F.col("run") == r, F.col(c)).otherwise(0))
+    wide = sums.groupBy("cluster").agg(*[of(r, c).alias(f"{c}_{k}") for k, r in enumerate(runs) for c in ("hits", "n")])
+    m = wide.count()
+    reps = spark.range(replicates).withColumnRenamed("id", "rep")
+    draw = lambda rep, j: mixed(mixed((rep * 40503 + seed) % 4294967296).bitwiseXOR(j)) % max(m, 1)
+    names = [f"{c}_{k}" for k in range(len(runs)) for c in ("hits", "n")]
+    if m <= MOST_CLUSTERS:
+        one = wide.agg(F.array_sort(F.collect_list(F.struct("cluster", *names))).alias("all")).select(*[F.col(f"all.{n}") for n in names])
+        draws = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")), lambda j: draw(F.col("rep"), j).cast("int")) if m else F.array().cast("array<int>")
+        rows = reps.withColumn("draws", draws).crossJoin(F.broadcast(one))
+        total = lambda n: F.aggregate("draws", F.lit(0).cast("long"), lambda acc, k: acc + F.get(F.col(n), k))
+        rows = rows.select("rep", *[total(n).alias(n) for n in names])
+    else:
+        at = wide.select("cluster").rdd.map(lambda r: r[0]).sortBy(lambda c: c).zipWithIndex().toDF(f"cluster {dict(wide.dtypes)['cluster']}, k long")
+        each = reps.crossJoin(spark.range(m).withColumnRenamed("id", "j")).select("rep", draw(F.col("rep"), F.col("j")).alias("k"))
+        rows = each.join(at.join(wide, "cluster").drop("cluster"), "k").groupBy("rep").agg(*[F.sum(n).alias(n) for n in names])
+    every = F.explode(F.array(*[F.struct(F.lit(r).alias("run"), F.col(f"hits_{k}").alias("h"), F.col(f"n_{k}").alias("n")) for k, r in enumerate(runs)])).alias("x")
+    return rows.select("rep", every).where("x.n > 0").select("x.run", "rep", (F.col("x.h") / F.col("x.n")).alias("rate"))
 
 
 def interval(replicates: DataFrame, value: str = "rate") -> DataFrame:

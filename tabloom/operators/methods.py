@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.text import is_nil
@@ -79,3 +79,14 @@ def decide(cells: DataFrame, scored: DataFrame, answers: DataFrame, method: Meth
         .otherwise(F.struct(F.col("first").alias("qid"), F.lit("score").alias("source")))
     )
     return rows.select(*CELL, choice.alias("c")).where("c is not null").select(*CELL, "c.qid", "c.source")
+
+
+def vote(samples: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """(keys, term, votes, rank): the terms that most of several answers to one question suggest, from (keys, sample, pos, term).
+
+    A sample votes once for a term, in whatever case it is written; the form seen first is given, and of equal votes the term seen first leads.
+    """
+    seen = F.struct("sample", "pos")
+    votes = samples.where("term is not null").groupBy(*keys, F.lower("term").alias("__folded")).agg(F.count_distinct("sample").alias("votes"), F.min(seen).alias("__first"), F.min_by("term", seen).alias("term"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("votes"), "__first"))
+    return votes.withColumn("rank", rank).where(F.col("rank") <= limit).select(*keys, "term", "votes", "rank")

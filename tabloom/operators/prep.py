@@ -14,10 +14,10 @@ def draw(key: Column, seed: int) -> Column:
 
 
 def small_and_random(sizes: DataFrame, n_small: int, most: int, n_random: int, seed: int) -> DataFrame:
-    """Of (tab_id, n): n_small tables of at most `most`, and n_random of the others."""
-    part = F.when(F.col("n") <= most, "small").otherwise("random")
-    k = F.row_number().over(Window.partitionBy("part").orderBy(draw(F.col("tab_id"), seed), "tab_id"))
-    return sizes.withColumn("part", part).withColumn("k", k).where(F.col("k") <= F.when(F.col("part") == "small", n_small).otherwise(n_random)).drop("k")
+    """Of (tab_id, n), with part: n_small tables of at most `most`, and n_random of all that are left, small ones too."""
+    small = sizes.where(F.col("n") <= most).orderBy(draw(F.col("tab_id"), seed), "tab_id").limit(n_small)
+    rest = sizes.join(F.broadcast(small.select("tab_id")), "tab_id", "left_anti").orderBy(draw(F.col("tab_id"), seed + 1), "tab_id").limit(n_random)
+    return small.withColumn("part", F.lit("small")).unionByName(rest.withColumn("part", F.lit("random")))
 
 
 def split_tables(tables: DataFrame, ratio: float, seed: int) -> DataFrame:
@@ -34,18 +34,40 @@ def cap_nil(rows: DataFrame, key: str, share: float, seed: int) -> DataFrame:
     return rest.unionByName(rows.where("is_nil").orderBy(draw(F.col(key), seed), key).limit(cap))
 
 
-def example_status(cells: DataFrame, ranked: DataFrame, margin: float) -> DataFrame:
-    """Each cell (tab_id, row_id, gold) and whether it makes a training example."""
-    of = ranked.groupBy("tab_id", "row_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("qid") == F.col("gold"), F.col("rank"))).alias("gold_rank"), F.max(F.when(F.col("rank") == 1, F.col("gap"))).alias("gap"))
-    status = F.when(F.col("n").isNull(), "no_candidates").when(F.col("gold_rank").isNull(), "gold_absent").when(F.col("n") == 1, "trivial").when(F.col("gap") >= margin, "not_gated").otherwise("kept")
-    return cells.join(of, ["tab_id", "row_id"], "left").withColumn("status", status)
+def example_status(cells: DataFrame, ranked: DataFrame, builder: str, margin: float, topk: int, review: float = 0.0, switched: DataFrame | None = None, nil: str | None = "NIL") -> DataFrame:
+    """cells (tab_id, row_id, gold) with the status of a training example.
+
+    A cell without gold has no_gold. builder `limited`: one without several candidates is not_ambiguous; `context`: one without any has no_candidates.
+    Then, in this order: resolved_by_tiebreak (in switched), not_gated (neither a lead under the margin nor a score under
+    review), gold_absent (of the first topk; a gold of nil never is), trivial (the first topk are one entity), kept_nil, kept.
+    """
+    head = F.col("rank") <= topk
+    of = ranked.groupBy("tab_id", "row_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.when(head & (F.col("qid") == F.col("gold")), F.col("rank"))).alias("gold_rank"),
+        F.max(F.when(F.col("rank") == 1, F.col("gap"))).alias("gap"), F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("score"),
+        (F.min(F.when(head, F.col("qid"))) != F.max(F.when(head, F.col("qid")))).alias("several"),
+    )
+    rows = cells.join(of, ["tab_id", "row_id"], "left")
+    if switched is not None:
+        rows = rows.join(switched.select("tab_id", "row_id", F.lit(True).alias("switched")).distinct(), ["tab_id", "row_id"], "left")
+    else:
+        rows = rows.withColumn("switched", F.lit(False))
+    is_nil = F.coalesce(F.col("gold") == nil, F.lit(False)) if nil else F.lit(False)
+    gated = F.coalesce(F.col("gap") < margin, F.lit(False)) | (F.lit(review > 0) & (F.col("score") < review))
+    first = F.when(F.coalesce("gold", F.lit("")) == "", "no_gold")
+    first = first.when(F.coalesce("n", F.lit(0)) <= 1, "not_ambiguous") if builder == "limited" else first.when(F.col("n").isNull(), "no_candidates")
+    status = (
+        first.when(F.coalesce("switched", F.lit(False)) & (F.col("n") > 1), "resolved_by_tiebreak").when(~gated, "not_gated")
+        .when(~is_nil & F.col("gold_rank").isNull(), "gold_absent").when(~F.col("several"), "trivial").when(is_nil, "kept_nil").otherwise("kept")
+    )
+    return rows.withColumn("status", status)
 
 
 def table_windows(rows: DataFrame, most: int) -> DataFrame:
     """(tab_id, row_id, n_rows, first_row, context): up to `most` rows of text, from half of them before the row on; all rows of a table that has no more."""
     w = Window.partitionBy("tab_id").orderBy("row_id")
     behind = w.rowsBetween(-(most // 2), most)
-    held = rows.withColumns({"n": F.count(F.lit(1)).over(Window.partitionBy("tab_id")), "near": F.collect_list(F.struct("row_id", "text")).over(behind), "all": F.when(F.col("row_id") < most, 1)})
+    held = rows.withColumns({"n": F.count(F.lit(1)).over(Window.partitionBy("tab_id")), "near": F.collect_list(F.struct("row_id", "text")).over(behind)})
     first = F.when(F.col("n") <= most, F.lit(0).cast("long")).otherwise(F.greatest(F.lit(0).cast("long"), F.col("row_id") - most // 2))
     held = held.withColumn("first", first).withColumn("near", F.filter("near", lambda r: (r["row_id"] >= F.col("first")) & (r["row_id"] < F.col("first") + most)))
     small = rows.join(held.where(F.col("n") <= most).select("tab_id").distinct(), "tab_id", "left_semi").groupBy("tab_id").agg(F.sort_array(F.collect_list(F.struct("row_id", "text"))).alias("whole"))

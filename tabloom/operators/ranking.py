@@ -24,25 +24,63 @@ def dedup(candidates: DataFrame, cap: int = 0) -> DataFrame:
     return rows.where(F.col("ord") <= cap) if cap else rows
 
 
+def support(candidates: DataFrame, own: bool = False) -> DataFrame:
+    """(tab_id, col_id, prop, type, n_cells, pct): the share of a column's cells with a candidate of the type, for prop p31 and p279.
+
+    With own, candidates with a true `own` alone count in the columns that have any. A column's cells are counted as a
+    type of their own, so that one pass gives all shares.
+    """
+    mine = F.coalesce(F.col("own"), F.lit(False)).cast("int") if own else F.lit(0)
+    tag = lambda p: F.transform(p, lambda t: F.struct(F.lit(p).alias("prop"), t.alias("type")))
+    tagged = [tag("p31"), tag("p279")]
+    each = F.explode(F.concat(F.array(F.struct(F.lit("").alias("prop"), F.lit("").alias("type"))), *[F.coalesce(t, F.array().cast("array<struct<prop:string,type:string>>")) for t in tagged]))
+    rows = candidates.select(*CELL, mine.alias("mine"), each.alias("t")).groupBy(*CELL, "t.prop", "t.type").agg(F.max("mine").alias("mine"))
+    sums = rows.groupBy(*COLUMN, "prop", "type").agg(F.count(F.lit(1)).alias("n_all"), F.sum("mine").alias("n_own"))
+    column = Window.partitionBy(*COLUMN)  # a row for each type of the column
+    total = lambda n: F.max(F.when(F.col("prop") == "", F.col(n))).over(column)
+    sums = sums.withColumns({"all": total("n_all"), "own": total("n_own")})
+    n, of = (F.when(F.col("own") > 0, F.col("n_own")).otherwise(F.col("n_all")), F.when(F.col("own") > 0, F.col("own")).otherwise(F.col("all"))) if own else (F.col("n_all"), F.col("all"))
+    return sums.where("prop <> ''").select(*COLUMN, "prop", "type", n.alias("n_cells"), (n / of).alias("pct")).where("n_cells > 0")
+
+
+def with_placeholders(cells: DataFrame, candidates: DataFrame, blank: bool = False) -> DataFrame:
+    """candidates and a row without qid for each cell (tab_id, row_id, col_id, mention) that has none; for blank mentions only if asked for.
+
+    The placeholder's label and qid are empty and its quality is 0, so that later counts see the cell.
+    """
+    empty = F.coalesce(F.trim("mention"), F.lit("")) == ""
+    rest = cells.where(~empty | F.lit(blank)).withColumn("mention", F.when(empty, F.lit("")).otherwise(F.col("mention"))).join(candidates.select(*CELL).distinct(), CELL, "left_anti")
+    kinds = dict(candidates.dtypes)
+    given = {"qid": F.lit(""), "label": F.lit(""), "quality": F.lit(0), "mention": F.col("mention"), **{c: F.col(c) for c in CELL}}
+    return candidates.unionByName(rest.select(*[given.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in candidates.columns]))
+
+
 def type_support(candidates: DataFrame, prop: str) -> DataFrame:
-    """(tab_id, col_id, type, n_cells, pct): the share of a column's cells with a candidate of the type."""
-    cells = candidates.groupBy(*COLUMN).agg(F.count_distinct("row_id").alias("n"))
-    types = candidates.select(*CELL, F.explode(prop).alias("type")).distinct().groupBy(*COLUMN, "type").agg(F.count(F.lit(1)).alias("n_cells"))
-    return types.join(cells, COLUMN).select(*COLUMN, "type", "n_cells", (F.col("n_cells") / F.col("n")).alias("pct"))
+    """(tab_id, col_id, type, n_cells, pct) of one of the properties."""
+    return support(candidates).where(F.col("prop") == prop).drop("prop")
 
 
 def merged_types(candidates: DataFrame) -> DataFrame:
     """(tab_id, col_id, type, weight): the larger of the direct share and half the subclass share."""
-    both = type_support(candidates, "p31").select(*COLUMN, "type", F.col("pct").alias("weight")).union(type_support(candidates, "p279").select(*COLUMN, "type", F.col("pct") * 0.5))
-    return both.groupBy(*COLUMN, "type").agg(F.max("weight").alias("weight"))
+    share = F.when(F.col("prop") == "p31", F.col("pct")).otherwise(F.col("pct") * 0.5)
+    return support(candidates).groupBy(*COLUMN, "type").agg(F.max(share).alias("weight"))
+
+
+def similarities(candidates: DataFrame) -> DataFrame:
+    """(mention, label[, aliases], sim) of each different pair, once."""
+    names = ["mention", "label", *(["aliases"] if "aliases" in candidates.columns else [])]
+    best = sim.best_similarity(F.col("mention"), F.col("label"), F.col("aliases") if len(names) == 3 else None)
+    return candidates.select(*names).distinct().withColumn("sim", best)
 
 
 def features(candidates: DataFrame) -> DataFrame:
-    """candidates with sim, qual and coherence."""
+    """candidates with sim (of the label and, if there, the aliases), qual and coherence."""
     types = candidates.select(*CELL, "ord", F.explode(F.array_union("p31", "p279")).alias("type")).join(merged_types(candidates), [*COLUMN, "type"], "left")
     best = types.groupBy(*CELL, "ord").agg(F.max("weight").alias("w"))
-    rows = candidates.join(best, [*CELL, "ord"], "left")
-    return rows.withColumns({"sim": sim.best_similarity(F.col("mention"), F.col("label")), "qual": sim.quality_score(F.col("quality")), "coherence": F.coalesce("w", F.lit(0.0))}).drop("w")
+    pairs = similarities(candidates)
+    same = [F.col(f"__{c}").eqNullSafe(F.col(c)) for c in pairs.columns[:-1]]
+    rows = candidates.join(pairs.withColumnsRenamed({c: f"__{c}" for c in pairs.columns[:-1]}), same, "left").drop(*[f"__{c}" for c in pairs.columns[:-1]])
+    return rows.join(best, [*CELL, "ord"], "left").withColumns({"qual": sim.quality_score(F.col("quality")), "coherence": F.coalesce("w", F.lit(0.0))}).drop("w")
 
 
 def combined(a: float, b: float, c: float) -> Column:
@@ -88,20 +126,25 @@ def context_tiebreak(rows: DataFrame, context: DataFrame, margin: float = 0.10)
     return one.select(*CELL, F.when(switch, F.col("best.qid")).otherwise(F.col("first_qid")).alias("qid"), F.coalesce(switch, F.lit(False)).alias("switched"))
 
 
-def column_types(p31: DataFrame, p279: DataFrame, margin: float = 0.3) -> DataFrame:
-    """(tab_id, col_id, type, pct, uncertain): the dominant direct type, or subclass where a column has no direct type at all."""
-    have = p31.select(*COLUMN).distinct()
-    both = p31.unionByName(p279.join(have, COLUMN, "left_anti")).withColumn("pct", F.round("pct", 9))
-    w = Window.partitionBy(*COLUMN).orderBy(F.desc("pct"), "type")
+def dominant_types(shares: DataFrame, margin: float = 0.3) -> DataFrame:
+    """(tab_id, col_id, type, pct, uncertain) from support(): the dominant direct type, or subclass where a column has no direct type at all."""
+    column = Window.partitionBy(*COLUMN)
+    direct = F.max((F.col("prop") == "p31").cast("int")).over(column) == 1
+    both = shares.withColumns({"pct": F.round("pct", 9), "direct": direct}).where((F.col("prop") == "p31") | ~F.col("direct"))
+    w = column.orderBy(F.desc("pct"), "type")
     rows = both.withColumns({"n": F.row_number().over(w), "next": F.lead("pct").over(w)}).where("n = 1")
     return rows.select(*COLUMN, "type", "pct", F.coalesce(F.round(F.col("pct") - F.col("next"), 9) < margin, F.lit(False)).alias("uncertain"))
 
 
-def support_of_selection(candidates: DataFrame, chosen: DataFrame, prop: str) -> DataFrame:
-    """Type support of the chosen candidates alone; a column without any keeps that of all candidates."""
-    own = candidates.join(chosen.select(*CELL, "qid"), [*CELL, "qid"], "left_semi")
-    rest = candidates.join(own.select(*COLUMN).distinct(), COLUMN, "left_anti")
-    return type_support(own.unionByName(rest), prop)
+def column_types(p31: DataFrame, p279: DataFrame, margin: float = 0.3) -> DataFrame:
+    """dominant_types() of two tables (tab_id, col_id, type, pct)."""
+    return dominant_types(p31.withColumn("prop", F.lit("p31")).unionByName(p279.withColumn("prop", F.lit("p279"))), margin)
+
+
+def support_of_selection(candidates: DataFrame, chosen: DataFrame) -> DataFrame:
+    """support() of the chosen candidates alone; a column without any keeps that of all candidates."""
+    own = chosen.select(*CELL, "qid").distinct().withColumn("own", F.lit(True))
+    return support(candidates.join(own, [*CELL, "qid"], "left"), own=True)
 
 
 def literal_types(cells: DataFrame) -> DataFrame:
@@ -111,17 +154,19 @@ def literal_types(cells: DataFrame) -> DataFrame:
 
 
 def matching_properties(subjects: DataFrame, objects: DataFrame, claims: DataFrame) -> DataFrame:
-    """(tab_id, row_id, pid), each once: claims of the row's subject that the row's object matches by kind.
+    """(tab_id, row_id, pid), each once: claims of the row's subject that the row's object matches.
 
-    subjects: tab_id, row_id, qid; objects: tab_id, row_id, qid, value; claims: qid, pid, vtype, v_entity, v_num, v_time, v_str.
+    subjects: tab_id, row_id, qid; objects: tab_id, row_id, is_entity, qid, value; claims: qid, pid, vtype, v_entity, v_num, v_time, v_str.
+    An object that is an entity matches claims of its qid and no others; another matches numbers, years and texts by its value.
     """
     rows = subjects.join(claims, "qid").drop("qid").join(objects.withColumnRenamed("qid", "object"), ["tab_id", "row_id"])
-    number = sim.to_number(F.col("value"))
+    number, entity = sim.to_number(F.col("value")), F.coalesce(F.col("is_entity"), F.lit(False))
     match = (
-        F.when(F.col("vtype") == "entity", F.col("v_entity") == F.col("object"))
+        F.when(F.col("vtype") == "entity", entity & (F.col("v_entity") == F.col("object")))
+        .when(entity, F.lit(False))
         .when(F.col("vtype") == "quantity", sim.numbers_close(number, F.col("v_num")))
         .when(F.col("vtype") == "time", sim.years_match(number, F.col("v_time")))
-        .when(F.col("vtype") == "string", normalise(F.col("v_str")) == normalise(F.col("value")))
+        .when(F.col("vtype") == "string", (normalise(F.col("value")) != "") & (normalise(F.col("v_str")) == normalise(F.col("value"))))
     )
     return rows.where(match).select("tab_id", "row_id", "pid").distinct()
 

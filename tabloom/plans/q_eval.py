@@ -174,31 +174,45 @@ pv AS (SELECT *, CASE WHEN b + c = 0 THEN 1.0 ELSE 2 * list_sum(list_transform(r
 
 @query(_MC + " SELECT run_a, run_b, b, c, round(p, 6) AS p FROM pv")
 def mcnemar_pairs(spark, sf_dir) -> DataFrame:
-    return ev.discordant(hits(spark, sf_dir)).withColumn("p", F.round(ev.exact_p(F.col("b"), F.col("c")), 6))
+    return ev.discordant(hits(spark, sf_dir), list(RUNS)).withColumn("p", F.round(ev.exact_p(F.col("b"), F.col("c")), 6))
 
 
 @query(_MC + " SELECT run_a, run_b, round(max(least(1.0, p * (m - rn + 1))) OVER (ORDER BY rn), 6) AS holm, CASE WHEN b > c THEN run_a WHEN c > b THEN run_b ELSE '' END AS favors FROM (SELECT *, row_number() OVER (ORDER BY p, run_a, run_b) AS rn, count(*) OVER () AS m FROM (SELECT run_a, run_b, b, c, round(p, 9) AS p FROM pv))")
 def holm(spark, sf_dir) -> DataFrame:
-    rows = ev.discordant(hits(spark, sf_dir)).withColumn("p", F.round(ev.exact_p(F.col("b"), F.col("c")), 9))
+    rows = ev.discordant(hits(spark, sf_dir), list(RUNS)).withColumn("p", F.round(ev.exact_p(F.col("b"), F.col("c")), 9))
     favors = F.when(F.col("b") > F.col("c"), F.col("run_a")).when(F.col("c") > F.col("b"), F.col("run_b")).otherwise("")
     return ev.holm(rows, ties=("run_a", "run_b")).select("run_a", "run_b", F.round("holm", 6).alias("holm"), favors.alias("favors"))
 
 
-_BOOT = """WITH s AS (SELECT l_returnflag AS run, l_suppkey AS cluster, count(CASE WHEN l_linestatus = 'F' THEN 1 END) AS hits, count(*) AS n FROM lineitem GROUP BY 1, 2),
+REPLICATES = 50_000
+_MIX = "xor({0} >> 16, {0})"
+
+
+def _mixed(x: str) -> str:
+    """ev.mixed() in SQL, of a subquery's column each time, so that x is not written out over and over."""
+    once = lambda of: f"((xor(({of}) >> 16, {of}) * 73244475) % 4294967296)"
+    return f"list_transform(list_transform(list_transform([{x}], lambda v: {once('v')}), lambda v: {once('v')}), lambda v: {_MIX.format('v')})[1]"
+
+
+_BOOT = f"""WITH s AS (SELECT l_returnflag AS run, l_suppkey AS cluster, count(CASE WHEN l_linestatus = 'F' THEN 1 END) AS hits, count(*) AS n FROM lineitem GROUP BY 1, 2),
 ix AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS k FROM (SELECT DISTINCT cluster FROM s)), m AS (SELECT count(*) AS m FROM ix),
-d AS (SELECT rep, ((rep * 1103515245 + j * 12345 + rep * j * 48271) % 2147483647) % m AS k FROM range(200) r(rep), m, unnest(range(0, m)) u(j)),
+seeds AS (SELECT rep, {_mixed('(rep * 40503) % 4294967296')} AS x FROM range({REPLICATES}) r(rep)),
+d0 AS (SELECT rep, m, xor(x, j) AS y FROM seeds, m, unnest(range(0, m)) u(j)),
+d1 AS (SELECT rep, m, (xor(y >> 16, y) * 73244475) % 4294967296 AS y FROM d0),
+d2 AS (SELECT rep, m, (xor(y >> 16, y) * 73244475) % 4294967296 AS y FROM d1),
+d AS (SELECT rep, xor(y >> 16, y) % m AS k FROM d2),
 t AS (SELECT rep, cluster, count(*) AS times FROM d JOIN ix USING (k) GROUP BY 1, 2),
 rate AS (SELECT run, rep, CAST(sum(hits * times) AS DOUBLE) / sum(n * times) AS rate FROM t JOIN s USING (cluster) GROUP BY 1, 2) """
 
 
 def _replicates(spark, sf_dir) -> DataFrame:
     rows = read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("run"), "l_suppkey", (F.col("l_linestatus") == "F").alias("hit"))
-    return ev.bootstrap(ev.cluster_sums(rows, "l_suppkey"), 200)
+    return ev.bootstrap(ev.cluster_sums(rows, "l_suppkey"), REPLICATES, ["A", "N", "R"])
 
 
-@query(_BOOT + "SELECT run, rep, round(rate, 6) AS rate FROM rate")
+@query(_BOOT + "SELECT run, rep, round(rate, 12) AS rate FROM rate")
 def bootstrap_cluster(spark, sf_dir) -> DataFrame:
-    return _replicates(spark, sf_dir).withColumn("rate", F.round("rate", 6))
+    return _replicates(spark, sf_dir).withColumn("rate", F.round("rate", 12))
 
 
 @query(_BOOT + "SELECT run, round(avg(rate), 6) AS mean, round(quantile_cont(rate, 0.025), 6) AS low, round(quantile_cont(rate, 0.975), 6) AS high, round(stddev_samp(rate), 6) AS se, round((quantile_cont(rate, 0.975) - quantile_cont(rate, 0.025)) / 2, 6) AS half FROM rate GROUP BY run")
@@ -220,13 +234,16 @@ def run_correlation(spark, sf_dir) -> DataFrame:
     return k.agg(F.round(F.corr("x", "y"), 6).alias("pearson"), F.round(F.corr("rx", "ry"), 6).alias("spearman"), F.count(F.lit(1)).alias("n"))
 
 
-@query("WITH " + BASE[5:] + """, w AS (SELECT * FROM (VALUES (0.5, 0.2, 0.3), (1.0, 0.0, 0.0), (0.2, 0.6, 0.2), (0.3, 0.3, 0.4)) v(a, b, c)),
+#: The weights of text, source and type that are tried.
+GRID = [(0.5, 0.2, 0.3), (1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0), (1 / 3, 1 / 3, 1 / 3), (0.7, 0.3, 0.0), (0.6, 0.0, 0.4), (0.4, 0.2, 0.4), (0.6, 0.2, 0.2)]
+
+
+@query(BASE + f", w AS (SELECT * FROM (VALUES {', '.join(map(str, GRID))}) v(a, b, c))," + """
 g AS (SELECT w.a, w.b, w.c, f.*, round(CAST(w.a AS DOUBLE) * sim + CAST(w.b AS DOUBLE) * qual + CAST(w.c AS DOUBLE) * coherence, 9) AS score FROM feat f, w),
 k AS (SELECT *, row_number() OVER o AS rank, round(score - lead(score) OVER o, 9) AS gap FROM g WINDOW o AS (PARTITION BY a, b, c, tab_id, row_id, col_id ORDER BY score DESC, ord))
 SELECT CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, CAST(c AS DOUBLE) AS c, count(*) AS n, round(CAST(count(CASE WHEN qid = gold THEN 1 END) AS DOUBLE) / count(*), 6) AS accuracy, count(CASE WHEN gap < 0.05 THEN 1 END) AS n_close FROM k WHERE rank = 1 GROUP BY 1, 2, 3""")
 def weight_grid(spark, sf_dir) -> DataFrame:
-    grid = [(0.5, 0.2, 0.3), (1.0, 0.0, 0.0), (0.2, 0.6, 0.2), (0.3, 0.3, 0.4)]
-    each = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("abc", w, strict=True)], rk.combined(*w).alias("score")) for w in grid])).alias("w")
+    each = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("abc", w, strict=True)], rk.combined(*w).alias("score")) for w in GRID])).alias("w")
     rows = rk.features(candidates(spark, sf_dir)).select("*", each).select("*", "w.*")
     o = Window.partitionBy("a", "b", "c", *rk.CELL).orderBy(F.desc("score"), "ord")
     top = rows.withColumns({"rank": F.row_number().over(o), "gap": F.round(F.col("score") - F.lead("score").over(o), 9)}).where("rank = 1")

@@ -64,9 +64,9 @@ def retry_wait(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", lookup.retry_wait(F.col("event_id") % 9, asked).alias("seconds"))
 
 
-@query("SELECT user_id, event_type, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seen, event_type) AS rank FROM (SELECT user_id, event_type, min(event_id) AS seen FROM events GROUP BY 1, 2)) WHERE rank <= 3")
+@query("SELECT user_id, event_type, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seen, event_type) AS rank FROM (SELECT user_id, event_type, min(event_id) AS seen FROM events GROUP BY 1, 2)) WHERE rank <= 30")
 def column_values(spark, sf_dir) -> DataFrame:
-    return lookup.first_values(read(spark, sf_dir, "events"), ["user_id"], "event_type", "event_id", limit=3)
+    return lookup.first_values(read(spark, sf_dir, "events"), ["user_id"], "event_type", "event_id", limit=30)
 
 
 @query("SELECT user_id, subject, object, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rank FROM (SELECT user_id, event_id, CASE WHEN event_id % 7 = 0 THEN ' ' ELSE event_type END AS subject, CASE WHEN event_id % 5 <> 0 THEN event_id END AS object FROM events) WHERE trim(subject) <> '' AND object IS NOT NULL) WHERE rank <= 15")
@@ -76,10 +76,10 @@ def column_pairs(spark, sf_dir) -> DataFrame:
     return lookup.first_pairs(rows, ["user_id"], "subject", "object", "event_id", limit=15)
 
 
-@query("SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_partkey % 4 = 0 THEN ' ' ELSE p_brand END, p_type, CAST(p_size AS VARCHAR), CASE WHEN p_partkey % 3 = 0 THEN p_name END], lambda x: x IS NOT NULL AND trim(x) <> '')[1:2], '|') AS context FROM part")
+@query("SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_partkey % 4 = 0 THEN ' ' ELSE p_brand END, p_type, CAST(p_size AS VARCHAR), CASE WHEN p_partkey % 3 = 0 THEN p_name END], lambda x: x IS NOT NULL AND trim(x) <> '')[1:5], '|') AS context FROM part")
 def row_context(spark, sf_dir) -> DataFrame:
     row = [F.col("p_name"), F.when(F.col("p_partkey") % 4 == 0, F.lit(" ")).otherwise(F.col("p_brand")), F.col("p_type"), F.col("p_size"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_name"))]
-    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(lookup.row_context(row, 0, limit=2), "|").alias("context"))
+    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(lookup.row_context(row, 0), "|").alias("context"))
 
 
 _VERSIONS = "v AS (SELECT p_partkey, p_brand, p_name, replace(p_name, 'e', '') AS base, CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 5 = 0 THEN NULL ELSE replace(p_name, 'r', '') END AS value FROM part)"

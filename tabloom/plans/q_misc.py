@@ -83,7 +83,10 @@ def gold_uniques(spark, sf_dir) -> DataFrame:
 _H = "(o_orderkey * 48271 + 11) % 2147483647"
 
 
-@query(f"WITH n AS (SELECT o_orderkey, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n, {_H} AS h FROM orders) SELECT o_orderkey AS tab_id, part FROM (SELECT *, row_number() OVER (ORDER BY h, o_orderkey) AS k, 'small' AS part FROM n WHERE n <= 3 UNION ALL SELECT *, row_number() OVER (ORDER BY h, o_orderkey), 'random' FROM n WHERE n > 3) WHERE k <= 250")
+@query(f"""WITH n AS (SELECT o_orderkey, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n, {_H} AS h FROM orders),
+s AS (SELECT o_orderkey FROM (SELECT *, row_number() OVER (ORDER BY h, o_orderkey) AS k FROM n WHERE n <= 3) WHERE k <= 250),
+r AS (SELECT o_orderkey FROM (SELECT *, row_number() OVER (ORDER BY (o_orderkey * 48271 + 12) % 2147483647, o_orderkey) AS k FROM n WHERE o_orderkey NOT IN (SELECT o_orderkey FROM s)) WHERE k <= 250)
+SELECT o_orderkey AS tab_id, 'small' AS part FROM s UNION ALL SELECT o_orderkey, 'random' FROM r""")
 def small_subset(spark, sf_dir) -> DataFrame:
     return prep.small_and_random(_sizes(spark, sf_dir), n_small=250, most=3, n_random=250, seed=11).select("tab_id", "part")
 
@@ -109,12 +112,20 @@ def nil_cap(spark, sf_dir) -> DataFrame:
     return prep.cap_nil(read(spark, sf_dir, "events").select("event_id", (F.col("event_type") == "error").alias("is_nil")), "event_id", share=0.1, seed=11)
 
 
-@query(SCORED + ", x AS (SELECT tab_id, row_id, count(*) AS n, min(CASE WHEN qid = gold THEN rank END) AS g, max(CASE WHEN rank = 1 THEN gap END) AS gap FROM ranked GROUP BY 1, 2) SELECT status, count(*) AS n FROM (SELECT CASE WHEN x.n IS NULL THEN 'no_candidates' WHEN x.g IS NULL THEN 'gold_absent' WHEN x.n = 1 THEN 'trivial' WHEN x.gap >= 0.05 THEN 'not_gated' ELSE 'kept' END AS status FROM cell LEFT JOIN x USING (tab_id, row_id)) GROUP BY status")
+def _example_sql(builder: str, first: str, margin: float, topk: int) -> str:
+    return f"""SELECT '{builder}' AS builder, CASE WHEN {first} WHEN NOT coalesce(gap < {margin}, false) THEN 'not_gated' WHEN NOT coalesce(g{topk}, false) THEN 'gold_absent' WHEN d{topk} < 2 THEN 'trivial' ELSE 'kept' END AS status FROM cell LEFT JOIN x USING (tab_id, row_id)"""
+
+
+@query(SCORED + f""", x AS (SELECT tab_id, row_id, count(*) AS n, bool_or(qid = gold AND rank <= 5) AS g5, bool_or(qid = gold AND rank <= 10) AS g10, max(CASE WHEN rank = 1 THEN gap END) AS gap,
+  count(DISTINCT CASE WHEN rank <= 5 THEN qid END) AS d5, count(DISTINCT CASE WHEN rank <= 10 THEN qid END) AS d10 FROM ranked GROUP BY 1, 2),
+st AS ({_example_sql("limited", "coalesce(x.n, 0) <= 1 THEN 'not_ambiguous'", 0.05, 5)} UNION ALL {_example_sql("context", "x.n IS NULL THEN 'no_candidates'", 0.1, 10)})
+SELECT builder, status, count(*) AS n FROM st GROUP BY 1, 2""")
 def example_status(spark, sf_dir) -> DataFrame:
     from tabloom.plans.q_eval import gold
 
     rows = rk.ranked(rk.scored(candidates(spark, sf_dir)))
-    return prep.example_status(gold(spark, sf_dir), rows, margin=0.05).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    both = [prep.example_status(gold(spark, sf_dir), rows, b, margin, topk).select(F.lit(b).alias("builder"), "status") for b, margin, topk in (("limited", 0.05, 5), ("context", 0.10, 10))]
+    return both[0].unionByName(both[1]).groupBy("builder", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT event_id, 'k' AS pid, CAST(json_extract(props, '$.k') AS BIGINT) AS v FROM events")

@@ -51,9 +51,7 @@ def enrich_candidates(spark, sf_dir) -> DataFrame:
 
 @query(BASE + " SELECT tab_id, col_id, prop, type, n_cells, round(pct, 6) AS pct FROM sup")
 def type_support(spark, sf_dir) -> DataFrame:
-    c = candidates(spark, sf_dir)
-    both = rk.type_support(c, "p31").withColumn("prop", F.lit("p31")).unionByName(rk.type_support(c, "p279").withColumn("prop", F.lit("p279")))
-    return both.select("tab_id", "col_id", "prop", "type", "n_cells", F.round("pct", 6).alias("pct"))
+    return rk.support(candidates(spark, sf_dir)).select("tab_id", "col_id", "prop", "type", "n_cells", F.round("pct", 6).alias("pct"))
 
 
 @query(BASE + " SELECT tab_id, col_id, type, round(w, 6) AS weight FROM weight")
@@ -102,8 +100,7 @@ SELECT tab_id, col_id, type, round(pct, 6) AS pct, coalesce(round(pct - next, 9)
 
 @query(BASE + _CTA.format("sup"))
 def cta_from_candidates(spark, sf_dir) -> DataFrame:
-    c = candidates(spark, sf_dir)
-    out = rk.column_types(*[rk.type_support(c, p).select("tab_id", "col_id", "type", "pct") for p in ("p31", "p279")])
+    out = rk.dominant_types(rk.support(candidates(spark, sf_dir)))
     return out.withColumn("pct", F.round("pct", 6))
 
 
@@ -112,18 +109,18 @@ osup AS (SELECT tab_id, col_id, prop, type, CAST(n_cells AS DOUBLE) / n AS pct F
 def cta_from_selection(spark, sf_dir) -> DataFrame:
     c = candidates(spark, sf_dir)
     chosen = rk.top(rk.scored(c))
-    out = rk.column_types(*[rk.support_of_selection(c, chosen, p).select("tab_id", "col_id", "type", "pct") for p in ("p31", "p279")])
+    out = rk.dominant_types(rk.support_of_selection(c, chosen))
     return out.withColumn("pct", F.round("pct", 6))
 
 
 def _claims(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Subjects: the customer of an order; objects: its line items, with the supplier as entity and a number as text."""
+    """Subjects: the customer of an order; objects: its line items, the even ones an entity (the supplier's nation), the odd ones a number as text."""
     o, li = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem").dropDuplicates(["l_orderkey", "l_linenumber", "l_suppkey"])
     c = read(spark, sf_dir, "customer")
     rows = o.join(li, F.col("o_orderkey") == F.col("l_orderkey"))
     s = read(spark, sf_dir, "supplier")
     subjects = rows.select(F.col("o_orderkey").alias("tab_id"), F.concat_ws("-", F.col("l_linenumber").cast("string"), F.col("l_suppkey").cast("string")).alias("row_id"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("qid"))
-    objects = rows.join(s, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("o_orderkey").alias("tab_id"), F.concat_ws("-", F.col("l_linenumber").cast("string"), F.col("l_suppkey").cast("string")).alias("row_id"), F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("qid"), (F.col("s_nationkey") * 10).cast("string").alias("value"))
+    objects = rows.join(s, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("o_orderkey").alias("tab_id"), F.concat_ws("-", F.col("l_linenumber").cast("string"), F.col("l_suppkey").cast("string")).alias("row_id"), F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("qid"), (F.col("s_nationkey") * 10).cast("string").alias("value"), (F.col("l_linenumber") % 2 == 0).alias("is_entity"))
     null = F.lit(None)
     one = c.select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("qid"), F.lit("P1").alias("pid"), F.lit("entity").alias("vtype"), F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("v_entity"), null.cast("double").alias("v_num"), null.cast("string").alias("v_time"), null.cast("string").alias("v_str"))
     two = c.select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("qid"), F.lit("P2"), F.lit("quantity"), null.cast("string"), (F.col("c_nationkey") * 10 + 2.0).cast("double"), null.cast("string"), null.cast("string"))
@@ -132,8 +129,8 @@ def _claims(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 _VOTES = """WITH li AS (SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey FROM lineitem),
-r AS (SELECT o_orderkey AS tab_id, concat(l_linenumber, '-', l_suppkey) AS row_id, c_nationkey AS a, s_nationkey AS b FROM orders JOIN li ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey),
-m AS (SELECT tab_id, row_id, 'P1' AS pid FROM r WHERE a = b UNION ALL SELECT tab_id, row_id, 'P2' FROM r WHERE abs(b * 10 - (a * 10 + 2.0)) <= greatest(0.5, 0.02 * greatest(abs(b * 10), abs(a * 10 + 2.0))) UNION ALL SELECT tab_id, row_id, 'P3' FROM r WHERE a = b),
+r AS (SELECT o_orderkey AS tab_id, concat(l_linenumber, '-', l_suppkey) AS row_id, c_nationkey AS a, s_nationkey AS b, l_linenumber % 2 = 0 AS e FROM orders JOIN li ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey),
+m AS (SELECT tab_id, row_id, 'P1' AS pid FROM r WHERE e AND a = b UNION ALL SELECT tab_id, row_id, 'P2' FROM r WHERE NOT e AND abs(b * 10 - (a * 10 + 2.0)) <= greatest(0.5, 0.02 * greatest(abs(b * 10), abs(a * 10 + 2.0))) UNION ALL SELECT tab_id, row_id, 'P3' FROM r WHERE NOT e AND a = b),
 v AS (SELECT tab_id, pid, count(*) AS votes FROM m GROUP BY 1, 2), k AS (SELECT *, rank() OVER (PARTITION BY tab_id ORDER BY votes DESC) AS rank FROM v) """
 
 

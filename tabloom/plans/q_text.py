@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions import similarity as sim
 from tabloom.functions import text as tx
+from tabloom.operators import methods
 from tabloom.operators import ranking as rk
 from tabloom.plans.standin import read
 
@@ -36,7 +37,7 @@ def clean_text_wrappers(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", tx.unwrap(x).alias("cleaned"))
 
 
-@query("""SELECT p_partkey, CASE WHEN b LIKE '%.' AND NOT r LIKE '%..' THEN substring(b, 1, length(b) - 1) ELSE b END AS q
+@query("""SELECT p_partkey, CASE WHEN b LIKE '%.' AND NOT r LIKE '%..' THEN trim(substring(b, 1, length(b) - 1)) ELSE b END AS q
 FROM (SELECT p_partkey, trim(x) AS r, trim(replace(replace(trim(x), '"', ''), '**', '')) AS b FROM
  (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN concat(' "', p_name, '" ') WHEN 1 THEN concat('**', p_name, '**.') WHEN 2 THEN concat(p_name, '..') ELSE concat(p_name, '.') END AS x FROM part))""")
 def query_clean(spark, sf_dir) -> DataFrame:
@@ -46,22 +47,26 @@ def query_clean(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", tx.clean_query(x).alias("q"))
 
 
-_FUZZY = """CASE p_partkey % 4 WHEN 0 THEN concat('The ', p_name, ' (', p_brand, ')') WHEN 1 THEN concat(p_name, ', ', p_type) WHEN 2 THEN concat(p_name, ' - ', p_brand) ELSE concat('"', p_name, '"') END"""
+_FUZZY = """CASE p_partkey % 6 WHEN 0 THEN concat('The ', p_name, ' (', p_brand, ') and (', p_type, ')') WHEN 1 THEN concat(p_name, ',', p_type) WHEN 2 THEN concat(p_name, ' - ', p_brand, ' - ', p_type) WHEN 3 THEN concat('"', p_name, '"') WHEN 4 THEN concat('*', p_brand, '* / ', p_type) ELSE concat('a ', p_brand) END"""
 
 
-@query(f"""WITH t AS (SELECT p_partkey, {_FUZZY} AS x FROM part),
-w AS (SELECT p_partkey, x, list_filter(string_split_regex(x, '\\s+'), lambda v: v <> '') AS ws, string_split(x, ', ') AS c FROM t),
-v AS (SELECT p_partkey, x, [replace(x, '"', ''), regexp_replace(x, '\\s*\\([^)]*\\)', '', 'g'), regexp_extract(x, '\\(([^)]+)\\)', 1), regexp_replace(x, '^(?i:the|a|an)\\s+', ''),
-  CASE WHEN len(c) >= 2 THEN concat(substring(x, length(c[1]) + 3), ' ', c[1]) END, CASE WHEN len(c) >= 2 THEN c[1] END,
-  CASE WHEN contains(x, ' - ') THEN string_split(x, ' - ')[1] END, CASE WHEN contains(x, ' – ') THEN string_split(x, ' – ')[1] END, CASE WHEN contains(x, ' / ') THEN string_split(x, ' / ')[1] END,
-  ws[1], CASE WHEN len(ws) >= 3 THEN concat(ws[1], ' ', ws[2]) END] AS vs FROM w)
+@query(f"""WITH t AS (SELECT p_partkey, x, trim(regexp_replace(x, '["*]', '', 'g')) AS b FROM (SELECT p_partkey, {_FUZZY} AS x FROM part)),
+w AS (SELECT *, list_filter(string_split_regex(b, '\\s+'), lambda v: v <> '') AS ws, trim(string_split(b, ',')[1]) AS c1, trim(substring(b, length(string_split(b, ',')[1]) + 2)) AS c2,
+  trim(regexp_replace(b, '\\s*\\(.*?\\)\\s*', ' ', 'g')) AS p, trim(regexp_replace(b, '^(?i:the|a|an)\\s+', '')) AS a FROM t),
+v AS (SELECT p_partkey, x, list_concat([b, CASE WHEN p <> b THEN p END, CASE WHEN a <> b THEN a END, CASE WHEN contains(b, ',') AND c1 <> '' AND c2 <> '' THEN concat(c2, ' ', c1) END, CASE WHEN contains(b, ',') AND c1 <> '' AND c2 <> '' THEN c1 END,
+   CASE WHEN lower(ws[1]) NOT IN ('the', 'a', 'an') AND ws[1] <> b THEN ws[1] END, CASE WHEN len(ws) >= 3 THEN concat(ws[1], ' ', ws[2]) END], regexp_extract_all(b, '\\(([^)]+)\\)', 1),
+  CASE WHEN contains(b, ' - ') THEN string_split(b, ' - ') ELSE [] END, CASE WHEN contains(b, ' – ') THEN string_split(b, ' – ') ELSE [] END, CASE WHEN contains(b, ' / ') THEN string_split(b, ' / ') ELSE [] END) AS vs FROM w)
 SELECT DISTINCT p_partkey, trim(s) AS variant FROM (SELECT p_partkey, x, unnest(vs) AS s FROM v) WHERE s IS NOT NULL AND trim(s) <> '' AND trim(s) <> x""")
 def fuzzy_variants(spark, sf_dir) -> DataFrame:
-    k, n = F.col("p_partkey") % 4, F.col("p_name")
-    x = F.when(k == 0, F.concat(F.lit("The "), n, F.lit(" ("), "p_brand", F.lit(")"))).when(k == 1, F.concat(n, F.lit(", "), "p_type")).when(k == 2, F.concat(n, F.lit(" - "), "p_brand")).otherwise(F.concat(F.lit('"'), n, F.lit('"')))
+    k, n, b, t = F.col("p_partkey") % 6, F.col("p_name"), F.col("p_brand"), F.col("p_type")
+    x = (
+        F.when(k == 0, F.concat(F.lit("The "), n, F.lit(" ("), b, F.lit(") and ("), t, F.lit(")"))).when(k == 1, F.concat(n, F.lit(","), t)).when(k == 2, F.concat(n, F.lit(" - "), b, F.lit(" - "), t))
+        .when(k == 3, F.concat(F.lit('"'), n, F.lit('"'))).when(k == 4, F.concat(F.lit("*"), b, F.lit("* / "), t)).otherwise(F.concat(F.lit("a "), b))
+    )
     return read(spark, sf_dir, "part").select("p_partkey", F.explode(tx.fuzzy_variants(x)).alias("variant"))
 
 
+
 _CHANGED = "CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN upper(source) ELSE concat(source, '!') END"
 
 
@@ -138,13 +143,14 @@ def literal_type(spark, sf_dir) -> DataFrame:
     return rk.literal_types(read(spark, sf_dir, "events").select(F.col("user_id").alias("tab_id"), F.lit(0).alias("col_id"), value.alias("value")))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, concat(CASE turn % 3 WHEN 0 THEN 'Answer: Q' WHEN 1 THEN 'I think Q' ELSE 'none of these Q' END, conv_id, ' and not Q', turn + 100) AS r FROM conversations)
-SELECT conv_id, turn, regexp_extract(r, '\\bQ\\d+\\b', 0) AS first_id, CASE turn % 3 WHEN 0 THEN concat('Q', conv_id) ELSE concat('Q', turn + 100) END AS final_id, turn % 3 = 2 AS nil FROM t""")
+@query("""WITH t AS (SELECT conv_id, turn, concat(CASE turn % 4 WHEN 0 THEN 'Answer - Q' WHEN 1 THEN 'I think Q' WHEN 2 THEN 'none of these Q' ELSE 'final: NIL, not Q' END, conv_id, ' and not Q', turn + 100) AS r FROM conversations)
+SELECT conv_id, turn, regexp_extract(r, '\\bQ\\d+\\b', 0) AS first_id, CASE turn % 4 WHEN 0 THEN concat('Q', conv_id) WHEN 3 THEN 'NIL' ELSE concat('Q', turn + 100) END AS final_id,
+  CASE turn % 4 WHEN 2 THEN concat('Q', conv_id) WHEN 3 THEN 'NIL' ELSE concat('Q', conv_id) END AS of_candidates, turn % 4 >= 2 AS nil FROM t""")
 def llm_parse_ids(spark, sf_dir) -> DataFrame:
-    k = F.col("turn") % 3
-    r = F.concat(F.when(k == 0, "Answer: Q").when(k == 1, "I think Q").otherwise("none of these Q"), F.col("conv_id").cast("string"), F.lit(" and not Q"), (F.col("turn") + 100).cast("string"))
-    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", r.alias("r"))
-    return rows.select("conv_id", "turn", tx.entity_id(F.col("r")).alias("first_id"), tx.final_answer(F.col("r")).alias("final_id"), tx.is_nil(F.col("r")).alias("nil"))
+    k, conv = F.col("turn") % 4, F.concat(F.lit("Q"), F.col("conv_id").cast("string"))
+    r = F.concat(F.when(k == 0, "Answer - ").when(k == 1, "I think ").when(k == 2, "none of these ").otherwise("final: NIL, not "), conv, F.lit(" and not Q"), (F.col("turn") + 100).cast("string"))
+    rows = read(spark, sf_dir, "conversations").where("conv_id is not null").select("conv_id", "turn", r.alias("r"), F.array(conv).alias("ids"))
+    return rows.select("conv_id", "turn", tx.entity_id(F.col("r")).alias("first_id"), tx.final_answer(F.col("r")).alias("final_id"), tx.final_answer(F.col("r"), F.col("ids")).alias("of_candidates"), tx.is_nil(F.col("r")).alias("nil"))
 
 
 @query("""SELECT DISTINCT conv_id, turn, trim(regexp_replace(trim(s), '^\\d+[.)]\\s*', '')) AS term FROM (SELECT conv_id, turn, unnest([concat('1. ', role), concat(' 2) ', turn), concat(' ', role)]) AS s FROM conversations)""")
@@ -153,11 +159,13 @@ def llm_parse_final(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(tx.llm_terms(r)).alias("term"))
 
 
-@query("""SELECT conv_id, role AS winner, n FROM (SELECT conv_id, role, n, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, f) AS k FROM (SELECT conv_id, role, count(*) AS n, min(turn) AS f FROM conversations GROUP BY 1, 2)) WHERE k = 1""")
+@query("""WITH t AS (SELECT conv_id, turn % 3 AS sample, turn, CASE WHEN turn % 2 = 0 THEN upper(role) ELSE role END AS term FROM conversations),
+v AS (SELECT conv_id, lower(term) AS folded, count(DISTINCT sample) AS votes, min(sample * 1000000 + turn) AS first, arg_min(term, sample * 1000000 + turn) AS term FROM t GROUP BY 1, 2)
+SELECT conv_id, term, votes, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY votes DESC, first) AS rank FROM v) WHERE rank <= 5""")
 def sc_vote(spark, sf_dir) -> DataFrame:
-    votes = read(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.count(F.lit(1)).alias("n"), F.min("turn").alias("first"))
-    k = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("n"), "first"))
-    return votes.withColumn("k", k).where("k = 1").select("conv_id", F.col("role").alias("winner"), "n")
+    term = F.when(F.col("turn") % 2 == 0, F.upper("role")).otherwise(F.col("role"))
+    rows = read(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") % 3).alias("sample"), F.col("turn").alias("pos"), term.alias("term"))
+    return methods.vote(rows, ["conv_id"], limit=5)
 
 
 @query("SELECT p_partkey, concat('Cell: ', p_name, ' | Options: ', p_brand, ', ', p_type, ' ${x}') AS prompt FROM part")

@@ -30,8 +30,102 @@ def test_numbers(spark):
 
 
 def test_ids(spark):
-    assert values(spark, ["Q57 or Q5", "answer: Q7. Q9", "none", ""], tx.final_answer) == ["Q5", "Q7", "", ""]
-    assert values(spark, ["NIL", "I don't know", "Q5"], tx.is_nil) == [True, True, False]
+    given = ["Q57 or Q5", "answer: Q7. Q9", "none", "", "final Q8", "qid - NIL but Q5", "no match", "answer: Q99, or else Q5"]
+    assert values(spark, given, tx.final_answer) == ["Q5", "Q7", None, None, "Q8", "NIL", "NIL", "Q99"]
+    of = F.array(F.lit("Q5"), F.lit("Q7"))
+    assert values(spark, given, lambda x: tx.final_answer(x, of)) == ["Q5", "Q7", None, None, None, "NIL", "NIL", "Q5"]
+    assert values(spark, given, lambda x: tx.final_answer(x, of, allow_nil=False)) == ["Q5", "Q7", None, None, None, None, None, "Q5"]
+    assert values(spark, ["NIL", "I don't know", "Q5", "none of it", "None of them", "not among the candidates"], tx.is_nil) == [True, True, False, False, True, True]
+
+
+def test_queries_of_names(spark):
+    assert values(spark, ['"Rome".', "**Oslo** .", "etc..", None], tx.clean_query) == ["Rome", "Oslo", "etc..", None]
+    assert values(spark, ["FINAL: 1. a\nb; 2) c"], tx.llm_terms) == [["a b", "c"]]
+    got = values(spark, ['The "Big" (old) Town (north)', "Paris,France", "z - b - c", "*x* / y", "the sea", "one", ""], tx.fuzzy_variants)
+    assert got == [
+        ["The Big (old) Town (north)", "The Big Town", "old", "north", "Big (old) Town (north)", "The Big"],
+        ["France Paris", "Paris"],
+        ["z", "b", "c", "z -"],
+        ["x / y", "x", "y", "x /"],
+        ["sea"],
+        [],
+        [],
+    ]
+
+
+def test_vote(spark):
+    from tabloom.operators import methods
+
+    rows = spark.createDataFrame([(1, 0, 0, "Rome"), (1, 0, 1, "ROME"), (1, 1, 0, "Oslo"), (1, 1, 1, "oslo"), (1, 2, 0, "OSLO"), (1, 2, 1, "Bern"), (2, 0, 0, None)], "k int, sample int, pos int, term string")
+    assert [tuple(r) for r in methods.vote(rows, ["k"], 2).orderBy("rank").collect()] == [(1, "Oslo", 2, 1), (1, "Rome", 1, 2)]
+
+
+def test_properties_by_kind(spark):
+    subjects = spark.createDataFrame([(1, 0, "Q1"), (1, 1, "Q1")], "tab_id int, row_id int, qid string")
+    objects = spark.createDataFrame([(1, 0, True, "Q5", "1990"), (1, 1, False, "Q5", "1990")], "tab_id int, row_id int, is_entity boolean, qid string, value string")
+    claims = spark.createDataFrame([("Q1", "P1", "entity", "Q5", None, None, None), ("Q1", "P2", "quantity", None, 1991.0, None, None), ("Q1", "P3", "time", None, None, "+1990-01-01", None), ("Q1", "P4", "string", None, None, None, " 1990 "), ("Q1", "P5", "string", None, None, None, "")], "qid string, pid string, vtype string, v_entity string, v_num double, v_time string, v_str string")
+    got = sorted((r.row_id, r.pid) for r in rk.matching_properties(subjects, objects, claims).collect())
+    assert got == [(0, "P1"), (1, "P2"), (1, "P3"), (1, "P4")]
+
+
+def test_placeholders(spark):
+    cells = spark.createDataFrame([(1, 0, 0, "a"), (1, 1, 0, "b"), (1, 2, 0, " ")], "tab_id int, row_id int, col_id int, mention string")
+    found = spark.createDataFrame([(1, 0, 0, "a", "Q1", "A", 1, ["T"], [])], "tab_id int, row_id int, col_id int, mention string, qid string, label string, quality int, p31 array<string>, p279 array<string>")
+    got = rk.with_placeholders(cells, found)
+    assert sorted((r.row_id, r.qid) for r in got.collect()) == [(0, "Q1"), (1, "")]
+    assert [(r.type, r.pct) for r in rk.support(got).collect()] == [("T", 0.5)]
+    assert rk.with_placeholders(cells, found, blank=True).count() == 3 and rk.with_placeholders(cells, found.limit(0)).count() == 2
+
+
+def test_selection_shares(spark):
+    rows = [(1, r, 0, 1, q, [t], ["S"]) for r, q, t in ((0, "Q1", "A"), (0, "Q2", "B"), (1, "Q3", "B"))] + [(2, 0, 0, 1, "Q4", ["C"], None)]
+    c = spark.createDataFrame(rows, "tab_id int, row_id int, col_id int, ord int, qid string, p31 array<string>, p279 array<string>")
+    chosen = spark.createDataFrame([(1, 0, 0, "Q1")], "tab_id int, row_id int, col_id int, qid string")
+    got = sorted((r.tab_id, r.prop, r.type, r.pct) for r in rk.support_of_selection(c, chosen).collect())
+    assert got == [(1, "p279", "S", 1.0), (1, "p31", "A", 1.0), (2, "p31", "C", 1.0)]
+    assert rk.support(c.limit(0)).count() == 0
+
+
+def test_small_and_random(spark):
+    from tabloom.operators import prep
+
+    sizes = spark.createDataFrame([(k, k % 10) for k in range(100)], "tab_id long, n int")
+    got = prep.small_and_random(sizes, n_small=5, most=3, n_random=90, seed=1).collect()
+    assert sum(r.part == "small" for r in got) == 5 and len({r.tab_id for r in got}) == 95
+    assert any(r.n <= 3 for r in got if r.part == "random") and all(r.n <= 3 for r in got if r.part == "small")
+
+
+def test_example_status(spark):
+    from tabloom.operators import prep
+
+    cells = spark.createDataFrame([(k, 0, g) for k, g in enumerate(["Q1", "Q1", "Q1", "Q9", "NIL", "Q1", "Q1"])], "tab_id int, row_id int, gold string")
+    rows = []
+    for k, gap, n in ((1, 0.5, 2), (2, 0.01, 2), (3, 0.01, 2), (4, 0.01, 2), (5, 0.01, 2), (6, None, 1)):
+        rows += [(k, 0, f"Q{j + 1}" if k != 5 else "Q1", {3: "Q9", 4: "NIL"}.get(k, "Q1"), j + 1, gap if j == 0 else None, 0.9) for j in range(n)]
+    ranked = spark.createDataFrame(rows, "tab_id int, row_id int, qid string, gold string, rank int, gap double, score double")
+    of = lambda builder, **more: {r.tab_id: r.status for r in prep.example_status(cells, ranked, builder, 0.05, 5, **more).collect()}
+    assert of("limited") == {0: "not_ambiguous", 1: "not_gated", 2: "kept", 3: "gold_absent", 4: "kept_nil", 5: "trivial", 6: "not_ambiguous"}
+    assert of("context")[0] == "no_candidates" and of("context")[6] == "not_gated"
+    assert of("limited", review=0.95)[1] == "kept" and of("limited", switched=cells.where("tab_id = 2"))[2] == "resolved_by_tiebreak"
+
+
+def test_bootstrap_draws(spark):
+    """The standard error is that of independent draws, and both ways to sum draws agree."""
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    hits = rng.normal(500, 100, 200).astype(int).tolist()
+    sums = spark.createDataFrame([("a", k, h, 1000) for k, h in enumerate(hits)], "run string, cluster long, hits long, n long")
+    rates = [r.rate for r in ev.bootstrap(sums, 4000, ["a"]).collect()]
+    x = np.array(hits) / 1000
+    assert abs(np.std(rates) / (x.std() / len(x) ** 0.5) - 1) < 0.03 and abs(np.mean(rates) - x.mean()) < 0.001
+    few = sorted((r.rep, r.rate) for r in ev.bootstrap(sums, 50, ["a"]).collect())
+    most, ev.MOST_CLUSTERS = ev.MOST_CLUSTERS, 10
+    try:
+        assert sorted((r.rep, r.rate) for r in ev.bootstrap(sums, 50, ["a"]).collect()) == few
+    finally:
+        ev.MOST_CLUSTERS = most
+    assert ev.bootstrap(sums.limit(0), 3, ["a"]).count() == 0
 
 
 def test_exact_p(spark):
