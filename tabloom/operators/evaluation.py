@@ -119,40 +119,42 @@ def cluster_sums(hits: DataFrame, cluster: str) -> DataFrame:
     return hits.groupBy("run", F.col(cluster).alias("cluster")).agg(F.sum(F.col("hit").cast("long")).alias("hits"), F.count(F.lit(1)).alias("n"))
 
 
-def mixed(x: Column) -> Column:
-    """A hash of 32 bits of an integer of as many, by multiplying and shifting."""
+def mixed(rows: DataFrame, name: str) -> DataFrame:
+    """rows with the column, an integer of 32 bits, turned into a hash of as many, by multiplying and shifting.
+
+    Each step is a column of its own, as one expression would hold the first one many times over.
+    """
+    x = F.col(name)
     for _ in range(2):
-        x = (F.shiftright(x, 16).bitwiseXOR(x) * 73244475) % 4294967296
-    return F.shiftright(x, 16).bitwiseXOR(x)
+        rows = rows.withColumn(name, (F.shiftright(x, 16).bitwiseXOR(x) * 73244475) % 4294967296)
+    return rows.withColumn(name, F.shiftright(x, 16).bitwiseXOR(x))
 
 
-#: Clusters that are sent along with every replicate, at a few dozen bytes each.
+#: Clusters that are broadcast and numbered in one task, at a few dozen bytes each.
 MOST_CLUSTERS = 200_000
 
 
 def bootstrap(sums: DataFrame, replicates: int, runs: list[str], seed: int = 0) -> DataFrame:
     """(run, rep, rate): clusters drawn with replacement, the same for all runs; draw j of replicate r is a hash of both and the seed.
 
-    Up to MOST_CLUSTERS clusters go as one row of arrays to the replicates, each of which sums its own draws; nothing is
-    exploded or shuffled. Of more clusters, draws are joined with them.
+    The draws are a range of numbers, of which each task has whole replicates but for two; they meet the clusters, broadcast
+    up to MOST_CLUSTERS of them, and are summed before anything is shuffled.
     """
     spark = sums.sparkSession
     of = lambda r, c: F.sum(F.when(F.col("run") == r, F.col(c)).otherwise(0))
+    names = [f"{c}_{k}" for k in range(len(runs)) for c in ("hits", "n")]
     wide = sums.groupBy("cluster").agg(*[of(r, c).alias(f"{c}_{k}") for k, r in enumerate(runs) for c in ("hits", "n")])
     m = wide.count()
-    reps = spark.range(replicates).withColumnRenamed("id", "rep")
-    draw = lambda rep, j: mixed(mixed((rep * 40503 + seed) % 4294967296).bitwiseXOR(j)) % max(m, 1)
-    names = [f"{c}_{k}" for k in range(len(runs)) for c in ("hits", "n")]
     if m <= MOST_CLUSTERS:
-        one = wide.agg(F.array_sort(F.collect_list(F.struct("cluster", *names))).alias("all")).select(*[F.col(f"all.{n}") for n in names])
-        draws = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")), lambda j: draw(F.col("rep"), j).cast("int")) if m else F.array().cast("array<int>")
-        rows = reps.withColumn("draws", draws).crossJoin(F.broadcast(one))
-        total = lambda n: F.aggregate("draws", F.lit(0).cast("long"), lambda acc, k: acc + F.get(F.col(n), k))
-        rows = rows.select("rep", *[total(n).alias(n) for n in names])
+        at = F.broadcast(wide.withColumn("k", F.row_number().over(Window.orderBy("cluster")).cast("long") - 1).select("k", *names))
     else:
-        at = wide.select("cluster").rdd.map(lambda r: r[0]).sortBy(lambda c: c).zipWithIndex().toDF(f"cluster {dict(wide.dtypes)['cluster']}, k long")
-        each = reps.crossJoin(spark.range(m).withColumnRenamed("id", "j")).select("rep", draw(F.col("rep"), F.col("j")).alias("k"))
-        rows = each.join(at.join(wide, "cluster").drop("cluster"), "k").groupBy("rep").agg(*[F.sum(n).alias(n) for n in names])
+        order = wide.select("cluster").rdd.map(lambda r: r[0]).sortBy(lambda c: c).zipWithIndex()
+        at = spark.createDataFrame(order, f"cluster {dict(wide.dtypes)['cluster']}, k long").join(wide, "cluster").select("k", *names)
+    rep, j = F.floor(F.col("id") / max(m, 1)), F.col("id") % max(m, 1)
+    draws = mixed(spark.range(replicates * m).select(rep.alias("rep"), j.alias("j"), ((rep * 40503 + seed) % 4294967296).alias("x")), "x")
+    draws = mixed(draws.select("rep", F.col("x").bitwiseXOR(F.col("j")).alias("x")), "x")
+    draws = draws.select("rep", F.coalesce(F.col("x") % max(m, 1), F.lit(0).cast("long")).alias("k"))
+    rows = draws.join(at, "k").groupBy("rep").agg(*[F.sum(n).alias(n) for n in names])
     every = F.explode(F.array(*[F.struct(F.lit(r).alias("run"), F.col(f"hits_{k}").alias("h"), F.col(f"n_{k}").alias("n")) for k, r in enumerate(runs)])).alias("x")
     return rows.select("rep", every).where("x.n > 0").select("x.run", "rep", (F.col("x.h") / F.col("x.n")).alias("rate"))
 
