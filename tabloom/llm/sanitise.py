@@ -104,6 +104,11 @@ def _tells(n_te: Column, n_t: Column, n_e: Column, n: int, threshold: float) ->
     return F.log2(n_te * n / (n_t * n_e)) >= threshold * F.log2(F.lit(float(max(n, 1))) / n_e)
 
 
+def _least(hashes: Column, i: int) -> Column:
+    """The i-th min-hash."""
+    return F.array_min(F.transform(hashes, lambda h: F.xxhash64(F.lit(i), h)))
+
+
 def candidate_terms(found: DataFrame, n: int, threshold: float = THRESHOLD, contexts: int = CONTEXTS, diverse: float = DIVERSE) -> DataFrame:
     """(term, entity, n_te, n_e) of what tells enough if no other document has the term, of the texts with entities (h1, h2, copies, entities, tokens)."""
     each = found.select("h1", "h2", "copies", F.explode("entities").alias("entity"))
@@ -113,7 +118,7 @@ def candidate_terms(found: DataFrame, n: int, threshold: float = THRESHOLD, cont
     texts = found.join(small(of.select("h1", "h2").distinct()), ["h1", "h2"], "left_semi")
     size = F.size("tokens")
     shingles = F.transform(F.sequence(F.lit(1), F.greatest(size - (SHINGLE - 1), F.lit(1))), lambda k: F.xxhash64(F.slice("tokens", k, SHINGLE)))
-    texts = cut(texts.where(size > 0).withColumn("shingles", shingles).select("h1", "h2", "copies", "tokens", *[F.array_min(F.transform("shingles", lambda h, i=i: F.xxhash64(F.lit(i), h))).alias(f"s{i}") for i in (1, 2, 3)]))
+    texts = cut(texts.where(size > 0).withColumn("shingles", shingles).select("h1", "h2", "copies", "tokens", *[_least(F.col("shingles"), i).alias(f"s{i}") for i in (1, 2, 3)]))
     around = F.transform(F.sequence(F.lit(1), size), lambda k: F.struct(F.get("tokens", k - 1).alias("term"), F.xxhash64(F.slice("tokens", F.greatest(k - NEAR, F.lit(1)), F.least(k, F.lit(NEAR + 1)) + NEAR)).alias("context")))
     words = texts.select("h1", "h2", "copies", "s1", "s2", "s3", F.explode(around).alias("w")).groupBy("h1", "h2", "copies", "s1", "s2", "s3", "w.term").agg(F.min("w.context").alias("context"))
     words = cut(words)
