@@ -79,10 +79,10 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
-def few(df: DataFrame, column: str | None = None) -> bool:
-    """Whether df has at most TEXT_ROWS rows, where every item of an array in the column counts as another."""
+def few(df: DataFrame, column: str | None = None, most: int = TEXT_ROWS) -> bool:
+    """Whether df has at most so many rows, where every item of an array in the column counts as another."""
     rows = F.lit(1) if column is None else 1 + F.coalesce(F.size(column), F.lit(0))
-    return df.agg(F.coalesce(F.sum(rows), F.lit(0)).alias("n")).first()["n"] <= TEXT_ROWS
+    return df.agg(F.coalesce(F.sum(rows), F.lit(0)).alias("n")).first()["n"] <= most
 
 
 def with_marks(docs: DataFrame, key: list[Column], marks: DataFrame, names: list[str], column: str) -> DataFrame:

@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import cut, few, fold, let, small, table, unpacked, with_marks
+from tabloom.llm.common import BROADCAST_ROWS, cut, few, fold, let, small, table, unpacked, with_marks
 from tabloom.llm.contamination import text_key
 
 # Possessive, as no shorter match could do; a match starts at the end of the last one or not inside a run that it could have taken.
@@ -178,7 +178,7 @@ def spans(docs: DataFrame, **how) -> DataFrame:
     one = (h1 == F.col("t1")) & (h2 == F.col("t2")) & F.col("doc_id").eqNullSafe(F.col("rep"))
     picked = let(_places(F.col("text"), f"{EMAIL}|{WORD}"), lambda all_: F.transform("at", lambda k: F.get(all_, k)))
     term = F.transform(picked, lambda s: F.struct(s["start"].alias("start"), F.lit(len(PATTERNS)).alias("number"), F.lit("term").alias("kind"), (s["start"] + F.length(s["value"])).alias("end")))
-    added = docs.join(F.broadcast(marks) if few(marks, "at") else marks, one).select("t1", "t2", term.alias("terms")).dropDuplicates(["t1", "t2"])
+    added = docs.join(F.broadcast(marks) if few(marks, "at", BROADCAST_ROWS) else marks, one).select("t1", "t2", term.alias("terms")).dropDuplicates(["t1", "t2"])
     base = F.transform("base", lambda s: F.struct(s["start"], s["number"], s["kind"], s["end"]))
     both = found.select("h1", "h2", base.alias("base")).join(added, (F.col("h1") == F.col("t1")) & (F.col("h2") == F.col("t2")), "full_outer")
     none = F.array().cast("array<struct<start:int,number:int,kind:string,end:int>>")
