@@ -53,7 +53,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Fingerprints, groups and token ids are beyond SQL; the tests check the pipeline only for how many documents it keeps and for its ids.
+#: Fingerprints, groups and token ids are beyond SQL; the tests hold single stages against brute force, and the whole only by how many documents it keeps and by its ids.
 ORACLE_SQL = None
 
 
