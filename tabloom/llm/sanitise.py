@@ -140,11 +140,10 @@ def told(docs: DataFrame, found: DataFrame, threshold: float = THRESHOLD, contex
     """(h1, h2, rep, at) of the texts with terms that tell too much: the least doc_id of each and which of its words they are."""
     n = docs.count()
     pairs = candidate_terms(found, n, threshold, contexts, diverse)
-    terms = cut(pairs.select("term").distinct())
-    words = docs.select("doc_id", *text_key(F.col("text")), F.monotonically_increasing_id().alias("row"), F.posexplode(_words(F.col("text"))).alias("at", "term"))
-    rows = cut(words.join(small(terms), "term", "left_semi"))
-    counts = rows.select("row", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    good = cut(pairs.join(counts, "term").where(_tells(F.col("n_te"), F.col("n_t"), F.col("n_e"), n, threshold)).select("term").distinct())
+    # every word is counted, and summed before it is shuffled: places are listed of those terms alone that tell enough
+    counts = docs.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    good = cut(counts.join(small(pairs), "term").where(_tells(F.col("n_te"), F.col("n_t"), F.col("n_e"), n, threshold)).select("term").distinct())
+    rows = docs.select("doc_id", *text_key(F.col("text")), F.posexplode(_words(F.col("text"))).alias("at", "term"))
     # of a text, at most its words
     return cut(rows.join(small(good), "term", "left_semi").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.array_sort(F.collect_set("at")).alias("at")))
 
