@@ -1,6 +1,6 @@
 """Queries of the corpus operators, and their SQL where SQL can express them."""
 
-from tabloom.llm import bitplanes, contamination, filter_audit, html_text, licenses, packing, periodic, quality, sanitise, shuffle, simhash, toxicity
+from tabloom.llm import bitplanes, contamination, filter_audit, html_text, licenses, minhash, packing, periodic, quality, sanitise, shuffle, simhash, toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_power_of_two_packing": packing.query,
     "op11_periodic_runs": periodic.query,
     "op12_filter_interaction_audit": filter_audit.query,
+    "op13_minhash_near_dedup": minhash.query,
 }
 
 SQL: dict[str, str] = {"op6_benchmark_decontamination": contamination.SQL, "op12_filter_interaction_audit": filter_audit.SQL}

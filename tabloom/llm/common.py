@@ -99,6 +99,25 @@ def with_marks(docs: DataFrame, key: list[Column], marks: DataFrame, names: list
     return rows.join(marks, same & (F.col("__part") == F.col("__salt")), "left")
 
 
+#: A key with more than one in so many of all rows is hot; there are fewer such keys than that.
+HOT_KEYS = 10_000
+
+
+def hot_join(rows: DataFrame, side: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
+    """rows joined with side, which has a row for each key and in `weight` how many of rows have it; hot keys are broadcast.
+
+    No key that is shuffled has more than one in HOT_KEYS of the rows. Both sides should be cheap to read again.
+    """
+    limit = (side.agg(F.sum(weight)).first()[0] or 0) // HOT_KEYS + 1
+    of = [c for c in rows.columns if c != key]
+    hot = side.where(F.col(weight) > limit).withColumn("__hot", F.lit(True))
+    if hot.isEmpty():
+        return rows.join(side, key, how)
+    marked = rows.join(F.broadcast(hot), key, "left")
+    rest = marked.where("__hot is null").select(key, *of).join(side.where(F.col(weight) <= limit), key, how)
+    return marked.where("__hot").drop("__hot").unionByName(rest)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), where value is found once however often body names it, also inside lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
