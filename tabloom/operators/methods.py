@@ -1,7 +1,7 @@
 """The ways to decide a cell: by score, by row context, by what a model answered, or as not in the knowledge base.
 
 A model's answers are a table, so each method is one plan: asked() tells which cells to ask about, decide() takes the
-answers. Both see a cell's shortlist only, which is as long as the method's topk.
+answers; debate_rounds() are the two questions of the `full` method, whose second depends on the answer to the first. Both see a cell's shortlist only, which is as long as the method's topk.
 """
 
 from __future__ import annotations
@@ -11,7 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.functions.text import is_nil
+from tabloom.functions.text import final_answer, is_nil
+from tabloom.operators.assembly import candidate_line
+from tabloom.operators.prompts import Round, addressed, block, filled, follow, voted
 from tabloom.operators.ranking import CELL, ranked
 
 NIL = "NIL"
@@ -81,6 +83,57 @@ def decide(cells: DataFrame, scored: DataFrame, answers: DataFrame, method: Meth
     return rows.select(*CELL, choice.alias("c")).where("c is not null").select(*CELL, "c.qid", "c.source")
 
 
+DEBATE = "Cell: ${mention}\n${row}Candidates:\n${candidates}\nName the QID of the best one and give three short reasons."
+VERIFY = "Cell: ${mention}\n${row}Chosen: ${chosen}\nAll candidates:\n${candidates}\nDoes the choice fit the cell and its row? Name the winning QID, or NIL if none fits."
+CONTEXT = "Cell: ${mention}\n${row}Candidates:\n${candidates}\nThink first, then end with `Answer: <QID>`${nil}."
+
+
+def questions(scored: DataFrame, method: Method, context: DataFrame | None = None) -> DataFrame:
+    """shortlists() with mention, lines, a text with a line for each candidate, and row, the cell's row as a line of text or nothing.
+
+    scored has label and description, and may have aliases and types, an array of labels; context: tab_id, row_id, context.
+    """
+    line = candidate_line(*[F.col(c) if c in scored.columns else None for c in ("aliases", "types")])
+    rows = ranked(scored).where(F.col("rank") <= method.topk)
+    text = rows.groupBy(*CELL).agg(F.max(F.when(F.col("rank") == 1, F.col("mention"))).alias("mention"), F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("- "), line).alias("line")))).alias("of"))
+    text = text.select(*CELL, "mention", F.array_join(F.transform("of", lambda r: r["line"]), "\n").alias("lines"))
+    both = shortlists(scored, method).join(text, CELL)
+    if context is None:
+        return both.withColumn("row", F.lit(""))
+    return both.join(context.select("tab_id", "row_id", "context"), ["tab_id", "row_id"], "left").withColumn("row", block("Row", F.col("context"))).drop("context")
+
+
+def debate_rounds(verify: bool = True, templates: tuple[str, str] = (DEBATE, VERIFY)) -> list[Round]:
+    """Over questions(): a choice is argued for, then checked. The check may overturn it, or find that none fits, which is null; an answer that names none lets it stand."""
+    known = {"mention": F.col("mention"), "row": F.col("row"), "candidates": F.col("lines")}
+    named = picked(F.col("response"), F.col("ids"), False)
+    rounds = [Round("debate", F.lit(True), filled(templates[0], **known), named)]
+    checked = F.when(~F.upper("response").contains("NIL") | F.col("response").isNull(), F.coalesce(named, F.col("debate")))
+    return [*rounds, Round("verify", F.col("debate").isNotNull(), filled(templates[1], **known, chosen=F.col("debate")), checked)] if verify else rounds
+
+
+def decide_by_debate(cells: DataFrame, responses: DataFrame, verify: bool = True) -> DataFrame:
+    """(cell, qid, source, debate, verify) of all of questions(): what the last round chose, source `model`, else the first by score, source `score`."""
+    rounds = debate_rounds(verify)
+    rows = follow(cells, rounds, responses)
+    if not verify:
+        rows = rows.withColumn("verify", F.lit(None).cast("string"))
+    chosen = F.col(rounds[-1].name)
+    return rows.select(*CELL, F.coalesce(chosen, "first").alias("qid"), F.when(chosen.isNotNull(), "model").otherwise("score").alias("source"), "debate", "verify")
+
+
+def context_questions(cells: DataFrame, method: Method, allow_nil: bool = True, review: float = 0.0) -> DataFrame:
+    """Of questions() the cells that a model is asked about, addressed with a prompt that asks for thoughts and an answer."""
+    tail = F.lit(", or `Answer: NIL` if none fits" if allow_nil else "")
+    text = filled(CONTEXT, mention=F.col("mention"), row=F.col("row"), candidates=F.col("lines"), nil=tail)
+    return addressed(cells.where(asked(method, review if allow_nil else 0.0)), text)
+
+
+def context_votes(items: DataFrame, responses: DataFrame, allow_nil: bool = True) -> DataFrame:
+    """(cell, choice, votes) of context_questions(): what most of several answers end in."""
+    return voted(items.select(*CELL, "ids", "prompt_hash"), responses, CELL, final_answer(F.col("response"), F.col("ids"), allow_nil))
+
+
 def vote(samples: DataFrame, keys: list[str], limit: int) -> DataFrame:
     """(keys, term, votes, rank): the terms that most of several answers to one question suggest, from (keys, sample, pos, term).
 
