@@ -7,7 +7,7 @@ import io
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.text import missing_to_null, split_list, uri
@@ -18,22 +18,53 @@ TARGETS = {"cea": "tab_id string, row_id int, col_id int", "cta": "tab_id string
 GOLD = {"cea": "tab_id string, row_id string, col_id string, entity string", "cta": "tab_id string, col_id string, type string", "cpa": "tab_id string, sub_col string, obj_col string, property string"}
 
 
-def _cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _table(path: str, content: bytes) -> pd.DataFrame:
+    """A file's cells, or one row that says why there are none."""
+    try:
+        text = content.decode("utf-8-sig")
+        if not text.strip():
+            raise ValueError("empty file")
+        try:
+            header, *rows = csv.reader(io.StringIO(text, newline=""), strict=True)
+        except csv.Error as error:
+            if "end of data" in str(error):
+                raise ValueError("unbalanced quotes") from error
+            header, *rows = csv.reader(io.StringIO(text, newline=""))  # text after a closing quote is taken as it is
+        out = [(r, c, header[c] if c < len(header) else None, v, None) for r, row in enumerate(filter(None, rows)) for c, v in enumerate(row)]
+    except (ValueError, csv.Error) as error:
+        kind = "bad encoding" if isinstance(error, UnicodeDecodeError) else str(error)
+        out = [(None, None, None, None, kind)]
+    cells = pd.DataFrame(out, columns=["row_id", "col_id", "header", "value", "error"]).astype({"row_id": "Int32", "col_id": "Int32"})
+    cells.insert(0, "tab_id", path.rsplit("/", 1)[-1].removesuffix(".csv"))
+    return cells
+
+
+def _parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    csv.field_size_limit(1 << 30)
     for frame in frames:
         for path, content in zip(frame["path"], frame["content"], strict=True):
-            rows = csv.reader(io.StringIO(bytes(content).decode("utf-8-sig")))
-            header = next(rows, [])
-            out = [(r, c, header[c] if c < len(header) else None, v) for r, row in enumerate(rows) for c, v in enumerate(row)]
-            cells = pd.DataFrame(out, columns=["row_id", "col_id", "header", "value"])
-            cells.insert(0, "tab_id", path.rsplit("/", 1)[-1].removesuffix(".csv"))
-            yield cells
+            yield _table(path, bytes(content if content is not None else b""))
+
+
+def parsed(files: DataFrame) -> DataFrame:
+    """(tab_id, row_id, col_id, header, value, error) of CSV files (path, content). Files have widths of their own, so each is parsed alone.
+
+    A file that can't be read (bad encoding, unbalanced quotes, no text) gives one row with an error and no cells, and the
+    others are read on. A header alone is a table without rows; blank lines are no rows.
+    """
+    return files.select("path", "content").mapInPandas(_parsed, f"{CELLS}, error string")
+
+
+def split_errors(rows: DataFrame, default_missing: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Of parsed(): the cells, and (tab_id, error) of the files that couldn't be read. Write parsed() first to read the files once."""
+    cells = rows.where("error is null").drop("error")
+    cells = cells.withColumn("value", missing_to_null(F.col("value"))) if default_missing else cells
+    return cells, rows.where("error is not null").select("tab_id", "error")
 
 
 def read_tables(spark: SparkSession, path: str, default_missing: bool = True) -> DataFrame:
-    """All CSV files of a folder as long cells. Files have widths of their own, so each is parsed alone; the file's name is the table's."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select("path", "content")
-    cells = files.mapInPandas(_cells, CELLS)
-    return cells.withColumn("value", missing_to_null(F.col("value"))) if default_missing else cells
+    """The cells of all CSV files of a folder that can be read; the file's name is the table's."""
+    return split_errors(parsed(spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)), default_missing)[0]
 
 
 def read_headerless(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -51,9 +82,16 @@ def read_text(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_candidates(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.option("header", True).csv(path).withColumn("tab_id", F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"_candidates\.csv$", ""))
-    lists = {c.lower(): split_list(F.coalesce(c, F.lit(""))) for c in ("aliases", "P31", "P279")}
-    return rows.select("tab_id", F.col("row").cast("int").alias("row_id"), F.col("columns").cast("int").alias("col_id"), F.col("data").alias("mention"), F.col("candidates").alias("label"), F.col("QID").alias("qid"), F.coalesce(F.col("quality").try_cast("int"), F.lit(99)).alias("quality"), F.coalesce("description", F.lit("")).alias("description"), *[v.alias(k) for k, v in lists.items()], "sitelink")
+    """Files <table>_candidates.csv as sinks.write_candidates writes them; ord is a candidate's place in its cell. No quality counts as 99."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*_candidates.csv").load(path)
+    cells = split_errors(parsed(files), default_missing=False)[0]
+    of = F.map_from_arrays(F.collect_list("header"), F.collect_list("value"))
+    rows = cells.groupBy("tab_id", F.col("row_id").alias("line")).agg(of.alias("of"))
+    text = lambda c: F.coalesce(F.try_element_at("of", F.lit(c)), F.lit(""))
+    tab = F.regexp_replace("tab_id", r"_candidates$", "").alias("tab_id")
+    lists = [split_list(text(c)).alias(c.lower()) for c in ("aliases", "P31", "P279")]
+    out = rows.select(tab, text("row").cast("int").alias("row_id"), text("columns").cast("int").alias("col_id"), "line", text("data").alias("mention"), text("candidates").alias("label"), text("QID").alias("qid"), F.coalesce(text("quality").try_cast("int"), F.lit(99)).alias("quality"), text("description").alias("description"), *lists, text("sitelink").alias("sitelink"))
+    return out.withColumn("ord", F.row_number().over(Window.partitionBy("tab_id", "row_id", "col_id").orderBy("line"))).drop("line")
 
 
 def metadata_header(cta: Column, cpa: Column) -> Column:
@@ -85,10 +123,6 @@ def submission(rows: DataFrame, task: str, value: str = "qid", row_offset: int =
     return out.withColumn("row_id", F.col("row_id") + row_offset) if "row_id" in rows.columns else out
 
 
-def write_submission(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("header", False).csv(path)
-
-
 def hierarchy(json: Column, direction: str) -> list[Column]:
     """For select(): (type, other, depth) from {type: {other: depth}}; explode twice."""
     return [F.explode(F.from_json(json, "map<string,map<string,int>>")).alias("type", "others"), F.lit(direction).alias("direction")]
