@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabloom.operators.order import first_rows, running
+
 
 def draw(key: Column, seed: int) -> Column:
     return (key * 48271 + seed) % 2147483647
@@ -15,23 +17,28 @@ def draw(key: Column, seed: int) -> Column:
 
 def small_and_random(sizes: DataFrame, n_small: int, most: int, n_random: int, seed: int) -> DataFrame:
     """Of (tab_id, n), with part: n_small tables of at most `most`, and n_random of all that are left, small ones too."""
-    small = sizes.where(F.col("n") <= most).orderBy(draw(F.col("tab_id"), seed), "tab_id").limit(n_small)
-    rest = sizes.join(F.broadcast(small.select("tab_id")), "tab_id", "left_anti").orderBy(draw(F.col("tab_id"), seed + 1), "tab_id").limit(n_random)
+    small = first_rows(sizes.where(F.col("n") <= most), n_small, [draw(F.col("tab_id"), seed)], "tab_id")
+    rest = first_rows(sizes.join(small.select("tab_id"), "tab_id", "left_anti"), n_random, [draw(F.col("tab_id"), seed + 1)], "tab_id")
     return small.withColumn("part", F.lit("small")).unionByName(rest.withColumn("part", F.lit("random")))
 
 
 def split_tables(tables: DataFrame, ratio: float, seed: int) -> DataFrame:
-    """(tab_id, split): the share of tables with the least draws, at least one, is for validation. The limit is found by sorting once."""
-    n = tables.count()
-    valid = tables.orderBy(draw(F.col("tab_id"), seed), "tab_id").limit(max(1, int(n * ratio))).withColumn("v", F.lit(True))
-    return tables.join(valid, "tab_id", "left").select("tab_id", F.when(F.col("v"), "valid").otherwise("train").alias("split"))
+    """(tab_id, split): the share of tables with the least draws, at least one, is for validation. Each table is given once."""
+    most = max(1, int(tables.count() * ratio))
+    placed = running(tables.select("tab_id", draw(F.col("tab_id"), seed).alias("__draw")), ["__draw", "tab_id"])
+    return placed.select("tab_id", F.when(F.col("before") < most, "valid").otherwise("train").alias("split"))
 
 
 def cap_nil(rows: DataFrame, key: str, share: float, seed: int) -> DataFrame:
     """rows with is_nil: at most the share of nil rows."""
     rest = rows.where(~F.col("is_nil"))
     cap = int(rest.count() * share / (1 - share) + 1e-9)
-    return rest.unionByName(rows.where("is_nil").orderBy(draw(F.col(key), seed), key).limit(cap))
+    return rest.unionByName(first_rows(rows.where("is_nil"), cap, [draw(F.col(key), seed)], key))
+
+
+def most_examples(examples: DataFrame, most: int | None, order: str) -> DataFrame:
+    """The first examples by the order, if there is a limit to them."""
+    return examples if most is None else first_rows(examples, most, [], order)
 
 
 def example_status(cells: DataFrame, ranked: DataFrame, builder: str, margin: float, topk: int, review: float = 0.0, switched: DataFrame | None = None, nil: str | None = "NIL") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabloom.operators import evaluation as ev
 from tabloom.operators import ranking as rk
+from tabloom.operators.order import correlations
 from tabloom.plans.standin import BASE, CHOICES, HITS, RUNS, SCORED, candidates, cells, read
 
 CATALOG: dict[str, tuple] = {}
@@ -229,9 +230,7 @@ def bootstrap_delta(spark, sf_dir) -> DataFrame:
 @query("WITH r AS (SELECT o_custkey AS run, avg(o_totalprice) AS x, CAST(count(*) AS DOUBLE) AS y FROM orders GROUP BY 1), k AS (SELECT x, y, avg(i) OVER (PARTITION BY x) AS rx, avg(j) OVER (PARTITION BY y) AS ry FROM (SELECT x, y, row_number() OVER (ORDER BY x) AS i, row_number() OVER (ORDER BY y) AS j FROM r)) SELECT round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman, count(*) AS n FROM k")
 def run_correlation(spark, sf_dir) -> DataFrame:
     r = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.avg("o_totalprice").alias("x"), F.count(F.lit(1)).cast("double").alias("y"))
-    i, j = F.row_number().over(Window.orderBy("x")), F.row_number().over(Window.orderBy("y"))
-    k = r.withColumns({"i": i, "j": j}).withColumns({"rx": F.avg("i").over(Window.partitionBy("x")), "ry": F.avg("j").over(Window.partitionBy("y"))})
-    return k.agg(F.round(F.corr("x", "y"), 6).alias("pearson"), F.round(F.corr("rx", "ry"), 6).alias("spearman"), F.count(F.lit(1)).alias("n"))
+    return correlations(r, "x", "y").select(F.round("pearson", 6).alias("pearson"), F.round("spearman", 6).alias("spearman"), "n")
 
 
 #: The weights of text, source and type that are tried.

@@ -9,6 +9,7 @@ from tabloom.functions.text import strip_signs
 from tabloom.operators import evaluation as ev
 from tabloom.operators import prep
 from tabloom.operators import ranking as rk
+from tabloom.operators.order import quantiles
 from tabloom.plans.standin import SCORED, candidates, read
 from tabloom.sources import tables
 
@@ -25,15 +26,16 @@ def query(sql: str | None = None):
 
 @query("SELECT lang, count(n_chars) AS n, round(avg(n_chars), 6) AS mean, round(median(n_chars), 6) AS median, round(stddev_pop(n_chars), 6) AS std, min(n_chars) AS least, max(n_chars) AS most FROM documents GROUP BY lang")
 def eda_columns(spark, sf_dir) -> DataFrame:
-    n = F.col("n_chars")
-    return read(spark, sf_dir, "documents").groupBy("lang").agg(F.count(n).alias("n"), F.round(F.avg(n), 6).alias("mean"), F.round(F.percentile(n, F.lit(0.5)), 6).alias("median"), F.round(F.stddev_pop(n), 6).alias("std"), F.min(n).alias("least"), F.max(n).alias("most"))
+    n, docs = F.col("n_chars"), read(spark, sf_dir, "documents")
+    sums = docs.groupBy("lang").agg(F.count(n).alias("n"), F.round(F.avg(n), 6).alias("mean"), F.round(F.stddev_pop(n), 6).alias("std"), F.min(n).alias("least"), F.max(n).alias("most"))
+    middle = quantiles(docs, ["lang"], "n_chars", [0.5]).select("lang", F.round("quantile", 6).alias("median"))
+    return sums.join(middle, "lang").select("lang", "n", "mean", "median", "std", "least", "most")
 
 
-@query("SELECT lang, round(p, 1) AS p, round(v, 6) AS v FROM (SELECT lang, unnest([0.1, 0.5, 0.9, 1.0]) AS p, unnest(quantile_cont(n_chars, [0.1, 0.5, 0.9, 1.0])) AS v FROM documents GROUP BY lang)".replace("round(p, 1) AS p", "CAST(round(p, 1) AS DOUBLE) AS p"))
+@query("SELECT lang, round(p, 1) AS p, round(v, 6) AS v FROM (SELECT lang, unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS p, unnest(quantile_cont(n_chars, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) AS v FROM documents GROUP BY lang)".replace("round(p, 1) AS p", "CAST(round(p, 1) AS DOUBLE) AS p"))
 def eda_percentiles(spark, sf_dir) -> DataFrame:
-    ps = [0.1, 0.5, 0.9, 1.0]
-    rows = read(spark, sf_dir, "documents").groupBy("lang").agg(F.percentile("n_chars", F.array(*map(F.lit, ps))).alias("v"))
-    return rows.select("lang", F.explode(F.arrays_zip(F.array(*map(F.lit, ps)).alias("p"), F.col("v").alias("v"))).alias("z")).select("lang", F.col("z.p").alias("p"), F.round("z.v", 6).alias("v"))
+    rows = quantiles(read(spark, sf_dir, "documents"), ["lang"], "n_chars", [k / 10 for k in range(1, 11)])
+    return rows.select("lang", F.col("share").alias("p"), F.round("quantile", 6).alias("v"))
 
 
 @query("SELECT event_type, count(*) AS n, count(v) AS n_filled, count(*) - count(v) AS n_missing, round(avg(CASE WHEN v IS NULL THEN 1.0 ELSE 0.0 END), 6) AS share FROM (SELECT event_type, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS v FROM events) GROUP BY event_type")
