@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabloom.operators.order import running
+
 CELL = ["tab_id", "row_id", "col_id"]
 
 
@@ -134,6 +136,19 @@ def mixed(rows: DataFrame, name: str) -> DataFrame:
 MOST_CLUSTERS = 200_000
 
 
+def draws(reps: DataFrame, m: int, seed: int = 0) -> DataFrame:
+    """(rep, k): m draws with replacement from 0 to m - 1 for each rep (rep, j), a row for each j.
+
+    A draw is a hash of j under two keys of its replicate: j is hashed with the first, and the second is added before it is
+    hashed again. The second differs for all replicates, so two that happen to hash the same numbers first don't end in the
+    same sample.
+    """
+    rows = mixed(reps.select("rep", "j", *[((F.col("rep") * odd + seed) % 4294967296).alias(x) for x, odd in (("x", 40503), ("y", 60493))]), "x")
+    rows = mixed(mixed(rows, "y").select("rep", F.col("x").bitwiseXOR(F.col("j")).alias("x"), "y"), "x")
+    rows = mixed(rows.select("rep", ((F.col("x") + F.col("y")) % 4294967296).alias("x")), "x")
+    return rows.select("rep", (F.col("x") % max(m, 1)).alias("k"))
+
+
 def bootstrap(sums: DataFrame, replicates: int, runs: list[str], seed: int = 0) -> DataFrame:
     """(run, rep, rate): clusters drawn with replacement, the same for all runs; draw j of replicate r is a hash of both and the seed.
 
@@ -148,13 +163,9 @@ def bootstrap(sums: DataFrame, replicates: int, runs: list[str], seed: int = 0)
     if m <= MOST_CLUSTERS:
         at = F.broadcast(wide.withColumn("k", F.row_number().over(Window.orderBy("cluster")).cast("long") - 1).select("k", *names))
     else:
-        order = wide.select("cluster").rdd.map(lambda r: r[0]).sortBy(lambda c: c).zipWithIndex()
-        at = spark.createDataFrame(order, f"cluster {dict(wide.dtypes)['cluster']}, k long").join(wide, "cluster").select("k", *names)
-    rep, j = F.floor(F.col("id") / max(m, 1)), F.col("id") % max(m, 1)
-    draws = mixed(spark.range(replicates * m).select(rep.alias("rep"), j.alias("j"), ((rep * 40503 + seed) % 4294967296).alias("x")), "x")
-    draws = mixed(draws.select("rep", F.col("x").bitwiseXOR(F.col("j")).alias("x")), "x")
-    draws = draws.select("rep", F.coalesce(F.col("x") % max(m, 1), F.lit(0).cast("long")).alias("k"))
-    rows = draws.join(at, "k").groupBy("rep").agg(*[F.sum(n).alias(n) for n in names])
+        at = running(wide, ["cluster"]).select(F.col("before").alias("k"), *names)
+    each = spark.range(replicates * m).select(F.floor(F.col("id") / max(m, 1)).alias("rep"), (F.col("id") % max(m, 1)).alias("j"))
+    rows = draws(each, m, seed).join(at, "k").groupBy("rep").agg(*[F.sum(n).alias(n) for n in names])
     every = F.explode(F.array(*[F.struct(F.lit(r).alias("run"), F.col(f"hits_{k}").alias("h"), F.col(f"n_{k}").alias("n")) for k, r in enumerate(runs)])).alias("x")
     return rows.select("rep", every).where("x.n > 0").select("x.run", "rep", (F.col("x.h") / F.col("x.n")).alias("rate"))
 

@@ -197,11 +197,14 @@ def _mixed(x: str) -> str:
 
 _BOOT = f"""WITH s AS (SELECT l_returnflag AS run, l_suppkey AS cluster, count(CASE WHEN l_linestatus = 'F' THEN 1 END) AS hits, count(*) AS n FROM lineitem GROUP BY 1, 2),
 ix AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS k FROM (SELECT DISTINCT cluster FROM s)), m AS (SELECT count(*) AS m FROM ix),
-seeds AS (SELECT rep, {_mixed('(rep * 40503) % 4294967296')} AS x FROM range({REPLICATES}) r(rep)),
-d0 AS (SELECT rep, m, xor(x, j) AS y FROM seeds, m, unnest(range(0, m)) u(j)),
-d1 AS (SELECT rep, m, (xor(y >> 16, y) * 73244475) % 4294967296 AS y FROM d0),
-d2 AS (SELECT rep, m, (xor(y >> 16, y) * 73244475) % 4294967296 AS y FROM d1),
-d AS (SELECT rep, xor(y >> 16, y) % m AS k FROM d2),
+seeds AS (SELECT rep, {_mixed('(rep * 40503) % 4294967296')} AS x, {_mixed('(rep * 60493) % 4294967296')} AS z FROM range({REPLICATES}) r(rep)),
+d0 AS (SELECT rep, m, z, xor(x, j) AS y FROM seeds, m, unnest(range(0, m)) u(j)),
+d1 AS (SELECT rep, m, z, (xor(y >> 16, y) * 73244475) % 4294967296 AS y FROM d0),
+d2 AS (SELECT rep, m, z, (xor(y >> 16, y) * 73244475) % 4294967296 AS y FROM d1),
+d3 AS (SELECT rep, m, (xor(y >> 16, y) + z) % 4294967296 AS y FROM d2),
+d4 AS (SELECT rep, m, (xor(y >> 16, y) * 73244475) % 4294967296 AS y FROM d3),
+d5 AS (SELECT rep, m, (xor(y >> 16, y) * 73244475) % 4294967296 AS y FROM d4),
+d AS (SELECT rep, xor(y >> 16, y) % m AS k FROM d5),
 t AS (SELECT rep, cluster, count(*) AS times FROM d JOIN ix USING (k) GROUP BY 1, 2),
 rate AS (SELECT run, rep, CAST(sum(hits * times) AS DOUBLE) / sum(n * times) AS rate FROM t JOIN s USING (cluster) GROUP BY 1, 2) """
 

@@ -128,6 +128,47 @@ def test_bootstrap_draws(spark):
     assert ev.bootstrap(sums.limit(0), 3, ["a"]).count() == 0
 
 
+def drawn(reps, m, seed=0):
+    """The draws in numpy: an array of m numbers for each replicate."""
+    import numpy as np
+
+    def mixed(x):
+        for _ in range(2):
+            x = ((x >> np.uint64(16)) ^ x) * np.uint64(73244475) & np.uint64(0xFFFFFFFF)
+        return (x >> np.uint64(16)) ^ x
+
+    reps, j = reps.astype(np.uint64)[:, None], np.arange(m, dtype=np.uint64)[None, :]
+    one, two = (mixed((reps * np.uint64(odd) + np.uint64(seed)) & np.uint64(0xFFFFFFFF)) for odd in (40503, 60493))
+    return mixed(mixed(one ^ j) + two & np.uint64(0xFFFFFFFF)) % np.uint64(m)
+
+
+def test_no_two_replicates_are_alike(spark):
+    import numpy as np
+
+    some = np.array([0, 1, 23980, 32668, 42774, 49999])
+    rows = spark.createDataFrame([(int(r), j) for r in some for j in range(300)], "rep long, j long")
+    got = sorted(tuple(r) for r in ev.draws(rows, 300, 7).collect())
+    assert got == sorted((int(r), int(k)) for r, of in zip(some, drawn(some, 300, 7), strict=True) for k in of)
+    # a sample is told by the sum of a random number for each cluster that is drawn
+    rng = np.random.default_rng(0)
+    for m, reps, at_once in ((4096, 50_000, 500), (65_536, 2000, 100)):
+        weight = rng.integers(0, 1 << 62, m, np.uint64)
+        sums = np.concatenate([weight[drawn(np.arange(k, k + at_once), m)].sum(axis=1) for k in range(0, reps, at_once)])
+        assert len(np.unique(sums)) == reps
+    weight = rng.integers(0, 1 << 62, 65_536, np.uint64)
+    assert len(np.unique(weight[drawn(some, 65_536)].sum(axis=1))) == len(some)
+
+
+def test_standard_error_of_many_clusters():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for m, reps in ((200, 20_000), (65_536, 3000)):
+        x = rng.normal(0.5, 0.1, m)
+        means = np.concatenate([x[drawn(np.arange(k, k + 100), m)].mean(axis=1) for k in range(0, reps, 100)])
+        assert abs(np.std(means) / (x.std() / m**0.5) - 1) < 0.03
+
+
 def test_exact_p(spark):
     rows = spark.createDataFrame([(5, 5), (0, 0), (1, 3), (40, 90)], "b long, c long")
     p = [r.p for r in rows.select(ev.exact_p(F.col("b"), F.col("c")).alias("p")).collect()]
