@@ -34,6 +34,40 @@ def search_words(queries: DataFrame, names: DataFrame, limit: int) -> DataFrame:
     return _first(found, ["term"], [F.desc("shared"), "id"], limit)
 
 
+#: Names at most that have a word which is looked up by itself, and parts of the names of a more frequent word.
+FREQUENT, SALTS = 10_000, 16
+
+
+def search_rare_words(queries: DataFrame, names: DataFrame, limit: int, frequent: int = FREQUENT) -> DataFrame:
+    """As search_words, by an index of words: a query looks up its rare words first, and stops where the others can't matter.
+
+    Words of up to `frequent` names are looked up; what that finds is given the query's frequent words that it has too. A name
+    that none of these words finds shares frequent words alone, so a query whose last place goes to a name that shares more
+    than it has of those is settled. Only the others look up frequent words, whose names are dealt into SALTS parts.
+    """
+    words = lambda c: F.array_distinct(F.array_remove(F.split(F.lower(c), " "), ""))
+    posts = names.where("name is not null").select("id", F.explode(words("name")).alias("word"))
+    known = posts.groupBy("word").agg((F.count(F.lit(1)) > frequent).alias("hot"))
+    posts = posts.join(known, "word")
+    terms = queries.select("term").distinct().select("term", F.explode(words("term")).alias("word")).join(known, "word")
+    hot_of = F.collect_set(F.when(F.col("hot"), F.col("word")))
+    of_terms = terms.groupBy("term").agg(hot_of.alias("of_term"))
+    of_names = posts.where("hot").groupBy("id").agg(F.collect_set("word").alias("of_name"))
+    found = terms.where("not hot").join(posts.where("not hot").select("word", "id"), "word").groupBy("term", "id").agg(F.count(F.lit(1)).alias("rare"))
+    found = found.join(of_terms, "term").join(of_names, "id", "left")
+    more = F.coalesce(F.size(F.array_intersect("of_term", "of_name")), F.lit(0))
+    best = _first(found.select("term", "id", (F.col("rare") + more).alias("shared")), ["term"], [F.desc("shared"), "id"], limit)
+    last = best.where(F.col("rank") == limit).select("term", F.col("shared").alias("last"))
+    settled = of_terms.join(last, "term", "left").select("term", ((F.size("of_term") == 0) | F.coalesce(F.col("last") > F.size("of_term"), F.lit(False))).alias("settled"))
+    rest = terms.join(settled.where("not settled").select("term"), "term", "left_semi")
+    salt = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt")
+    dealt = posts.select("word", "id", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(0).alias("salt"))
+    every = rest.select("term", "word", salt).join(dealt, ["word", "salt"]).groupBy("term", "id").agg(F.count(F.lit(1)).alias("shared"))
+    others = _first(every, ["term"], [F.desc("shared"), "id"], limit)
+    columns = ["term", "id", "shared", "rank"]
+    return best.join(settled.where("settled").select("term"), "term", "left_semi").select(*columns).unionByName(others.select(*columns))
+
+
 def labelled(rows: DataFrame, labels: DataFrame, key: str, language: str, fallback: str = "en") -> DataFrame:
     """rows with label: that of the language in labels (id, language, label), else of the fallback, else the id itself."""
     wanted = labels.where(F.col("language").isin(language, fallback)).groupBy(F.col("id").alias(key))

@@ -82,11 +82,49 @@ def table_windows(rows: DataFrame, most: int) -> DataFrame:
     return out.select("tab_id", "row_id", F.size("near").cast("long").alias("n_rows"), F.array_min(F.transform("near", lambda r: r["row_id"])).alias("first_row"), F.array_join(F.transform("near", lambda r: r["text"]), "|").alias("context"))
 
 
-def noise(x: Column, key: Column, seed: int) -> Column:
-    """A text with one letter dropped, doubled or replaced, or none, by the key's draw."""
-    d = draw(key, seed)
-    at = (F.floor(d / 8) % F.greatest(F.length(x), F.lit(1)) + 1).cast("int")
-    head, letter, tail = F.substring(x, F.lit(1), at - 1), F.substring(x, at, F.lit(1)), F.substring(x, at + 1, F.length(x))
-    other = F.char((97 + F.floor(d / 64) % 26).cast("int"))
-    edited = F.when(d % 4 == 0, x).when(d % 4 == 1, F.concat(head, tail)).when(d % 4 == 2, F.concat(head, letter, other, tail)).otherwise(F.concat(head, other, tail))
-    return F.when(letter.rlike("[A-Za-z]"), edited).otherwise(x)
+NOISE = ("clean", "delete", "insert", "substitute")
+
+
+def noise(text: Column, key: Column, seed: int) -> Column:
+    """A struct of the text with misspellings and their kind; a quarter stays clean.
+
+    A walk of draws from the key decides all of it: the kind, how many edits (1 to a quarter of the letters, or of all
+    characters for insertions), and each edit's place and letter. Letters are deleted or replaced once each, upper case stays
+    upper case, at least one letter is left, and letters are inserted anywhere. A text without letters to edit stays as it
+    is; a null one is null.
+    """
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    after = lambda x: (x * 48271 + 11) % 2147483647
+    start = draw(key, seed)
+    kind = (start % 4).cast("int")
+    places = F.filter(F.sequence(F.lit(0), F.size(chars)), lambda p: F.coalesce(F.get(chars, p).rlike(r"^\p{L}$"), F.lit(False)))
+    n = F.when(kind == 2, F.size(chars)).otherwise(F.size(places))
+    edits = 1 + after(start) % F.greatest(F.floor(n / 4), F.lit(1))
+    edits = F.when(kind == 1, F.least(edits, n - 1)).otherwise(F.least(edits, n))
+    letter = lambda x: F.char((97 + x % 26).cast("int"))
+    state = F.struct(after(after(start)).alias("x"), chars.alias("chars"), places.alias("left"))
+
+    def step(acc: Column, _: Column) -> Column:
+        where, new = acc["x"], letter(after(acc["x"]))
+        inserted = (where % (F.size(acc["chars"]) + 1)).cast("int")
+        longer = F.concat(F.slice(acc["chars"], F.lit(1), inserted), F.array(new), F.slice(acc["chars"], inserted + 1, F.size(acc["chars"])))
+        at = F.get(acc["left"], (where % F.greatest(F.size(acc["left"]), F.lit(1))).cast("int"))
+        edited = lambda c: F.when(kind == 1, "").when(c != F.lower(c), F.upper(new)).otherwise(new)
+        changed = F.transform(acc["chars"], lambda c, p: F.when(p == at, edited(c)).otherwise(c))
+        return F.struct(after(after(acc["x"])).alias("x"), F.when(kind == 2, longer).otherwise(changed).alias("chars"), F.filter(acc["left"], lambda p: p != at).alias("left"))
+
+    steps = F.when((kind > 0) & (edits > 0), F.sequence(F.lit(1).cast("long"), edits.cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    noisy = F.aggregate(steps, state, step, lambda acc: F.array_join(acc["chars"], ""))
+    return F.when(text.isNotNull(), F.struct(noisy.alias("text"), F.get(F.array(*map(F.lit, NOISE)), kind).alias("kind")))
+
+
+def smoke_tables(cea: DataFrame, cta: DataFrame, cpa: DataFrame, most: int, available: DataFrame | None = None) -> DataFrame:
+    """(tab_id, n, complete): the tables with the fewest cell targets, first those that have targets of all three kinds, then others with cell targets.
+
+    One aggregation of kinds by table; ties go to the lesser tab_id; with available (tab_id), only those.
+    """
+    kinds = [t.select("tab_id", F.lit(1 << k).alias("kind")) for k, t in enumerate((cea, cta, cpa))]
+    of = kinds[0].union(kinds[1]).union(kinds[2]).groupBy("tab_id").agg(F.bit_or("kind").alias("kinds"), F.count(F.when(F.col("kind") == 1, 1)).alias("n"))
+    if available is not None:
+        of = of.join(available.select("tab_id"), "tab_id", "left_semi")
+    return of.where("n > 0").select("tab_id", "n", (F.col("kinds") == 7).alias("complete")).orderBy(F.desc("complete"), "n", "tab_id").limit(most)

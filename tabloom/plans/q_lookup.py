@@ -41,7 +41,22 @@ def kb_search(spark, sf_dir) -> DataFrame:
 )
 def kb_full_text(spark, sf_dir) -> DataFrame:
     names = _names(spark, sf_dir)
-    return lookup.search_words(names.select(F.col("name").alias("term")).distinct(), names, limit=10).select("term", "id", "shared", "rank")
+    return lookup.search_rare_words(names.select(F.col("name").alias("term")), names, limit=10)
+
+
+#: A part's name, its type, which many share, and a number that few share.
+_LONG = "lower(p_name || ' ' || p_type || ' no' || p_partkey % 97)"
+
+
+@query(
+    f"WITH w AS (SELECT p_partkey AS id, unnest(list_distinct(list_filter(string_split({_LONG}, ' '), lambda x: x <> ''))) AS word FROM part), t AS (SELECT DISTINCT CASE WHEN p_partkey % 3 = 0 THEN lower(p_name) ELSE {_LONG} END AS term FROM part WHERE p_partkey % 10 = 3 OR p_partkey % 3 = 0), q AS (SELECT term, unnest(list_distinct(string_split(term, ' '))) AS word FROM t), "
+    "m AS (SELECT term, id, count(*) AS shared FROM q JOIN w USING (word) GROUP BY 1, 2) SELECT term, id, shared, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY shared DESC, id) AS rank FROM m) WHERE rank <= 10"
+)
+def kb_rare_words(spark, sf_dir) -> DataFrame:
+    part, k = read(spark, sf_dir, "part"), F.col("p_partkey")
+    long = F.lower(F.concat("p_name", F.lit(" "), "p_type", F.lit(" no"), k % 97))
+    terms = part.where((k % 10 == 3) | (k % 3 == 0)).select(F.when(k % 3 == 0, F.lower("p_name")).otherwise(long).alias("term"))
+    return lookup.search_rare_words(terms, part.select(k.alias("id"), long.alias("name")), limit=10, frequent=30)
 
 
 @query("SELECT s_suppkey, coalesce(CASE WHEN n_nationkey % 2 = 0 THEN concat(n_name, ' (fr)') END, CASE WHEN n_nationkey % 3 = 0 THEN n_name END, CAST(s_nationkey AS VARCHAR)) AS label FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey")

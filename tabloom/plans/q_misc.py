@@ -104,6 +104,15 @@ def smoke_pick(spark, sf_dir) -> DataFrame:
     return rows.orderBy(F.desc("has"), "n", "tab_id").limit(5).select("tab_id", "n")
 
 
+@query(
+    "WITH k AS (SELECT l_orderkey AS tab_id, 1 AS kind FROM lineitem UNION ALL SELECT DISTINCT l_orderkey, 2 FROM lineitem WHERE l_returnflag = 'A' UNION ALL SELECT o_orderkey, 4 FROM orders WHERE o_orderpriority < '3'), "
+    "t AS (SELECT tab_id, count(CASE WHEN kind = 1 THEN 1 END) AS n, bit_or(kind) = 7 AS complete FROM k WHERE tab_id % 3 > 0 GROUP BY 1) SELECT tab_id, n, complete FROM t WHERE n > 0 ORDER BY complete DESC, n, tab_id LIMIT 5"
+)
+def smoke_tables(spark, sf_dir) -> DataFrame:
+    lines, orders = (read(spark, sf_dir, t).withColumnRenamed(c, "tab_id") for t, c in (("lineitem", "l_orderkey"), ("orders", "o_orderkey")))
+    return prep.smoke_tables(lines, lines.where("l_returnflag = 'A'"), orders.where("o_orderpriority < '3'"), 5, lines.where("tab_id % 3 > 0"))
+
+
 @query(f"SELECT o_orderkey AS tab_id, CASE WHEN row_number() OVER (ORDER BY {_H}, o_orderkey) <= greatest(1, CAST(floor((SELECT count(*) FROM orders) * 0.1) AS BIGINT)) THEN 'valid' ELSE 'train' END AS split FROM orders")
 def train_valid_split(spark, sf_dir) -> DataFrame:
     return prep.split_tables(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("tab_id")), ratio=0.1, seed=11)
@@ -169,9 +178,29 @@ def cost_totals(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "events").select("user_id", "event_id", F.round(F.col("value") - F.coalesce(F.lag("value").over(w), F.lit(0.0)), 6).alias("delta"), F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("calls"))
 
 
-@query()
+_AFTER = "(({0}) * 48271 + 11) % 2147483647"
+#: The walk of prep.noise() by recursion, an edit at a time.
+_NOISE = f"""WITH RECURSIVE s AS (SELECT p_partkey, upper(left(p_name, 1)) || substr(p_name, 2) || ' ' || p_size AS name, (p_partkey * 48271 + 7) % 2147483647 AS x0 FROM part),
+t AS (SELECT *, string_split(name, '') AS chars, x0 % 4 AS kind FROM s),
+u AS (SELECT *, list_filter(range(0, len(chars)), lambda p: regexp_matches(chars[p + 1], '^\\p{{L}}$')) AS places FROM t),
+v AS (SELECT *, CASE WHEN kind = 2 THEN len(chars) ELSE len(places) END AS n FROM u),
+w AS (SELECT *, CASE WHEN kind = 0 THEN 0 ELSE least(1 + ({_AFTER.format('x0')}) % greatest(n // 4, 1), CASE WHEN kind = 1 THEN n - 1 ELSE n END) END AS edits FROM v),
+walk AS (
+  SELECT p_partkey, kind, edits, 0::BIGINT AS done, {_AFTER.format(_AFTER.format('x0'))} AS x, chars, places FROM w
+  UNION ALL
+  SELECT p_partkey, kind, edits, done + 1, {_AFTER.format(_AFTER.format('x'))},
+    CASE WHEN kind = 2 THEN list_concat(list_concat(chars[1:x % (len(chars) + 1)], [chr(CAST(97 + ({_AFTER.format('x')}) % 26 AS INTEGER))]), chars[x % (len(chars) + 1) + 1:])
+    ELSE list_transform(chars, lambda c, p: CASE WHEN p - 1 <> places[x % len(places) + 1] THEN c WHEN kind = 1 THEN '' WHEN c <> lower(c) THEN upper(chr(CAST(97 + ({_AFTER.format('x')}) % 26 AS INTEGER))) ELSE chr(CAST(97 + ({_AFTER.format('x')}) % 26 AS INTEGER)) END) END,
+    CASE WHEN kind = 2 THEN places ELSE list_filter(places, lambda p: p <> places[x % len(places) + 1]) END
+  FROM walk WHERE done < edits)
+SELECT p_partkey, array_to_string(chars, '') AS noisy, ['clean', 'delete', 'insert', 'substitute'][kind + 1] AS kind FROM walk WHERE done = greatest(edits, 0)"""
+
+
+@query(_NOISE)
 def noise_synth(spark, sf_dir) -> DataFrame:
-    return read(spark, sf_dir, "part").select("p_partkey", "p_name", prep.noise(F.col("p_name"), F.col("p_partkey"), seed=7).alias("noisy"))
+    name = F.concat(F.upper(F.left("p_name", F.lit(1))), F.substring("p_name", 2, 1000), F.lit(" "), "p_size")
+    rows = read(spark, sf_dir, "part").select("p_partkey", prep.noise(name, F.col("p_partkey"), seed=7).alias("n"))
+    return rows.select("p_partkey", F.col("n.text").alias("noisy"), "n.kind")
 
 
 @query("SELECT doc_id, quality, toxic, 'submission' AS kind, concat('http://www.wikidata.org/entity/Q', doc_id) AS entity FROM labels WHERE quality IS NOT NULL")
