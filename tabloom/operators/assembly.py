@@ -39,11 +39,15 @@ def text_cells(cells: DataFrame) -> DataFrame:
 
 
 def with_placeholders(cells: DataFrame, candidates: DataFrame, blank: bool = False) -> DataFrame:
-    """candidates, and a row of quality 0 without entity for each cell (tab_id, row_id, col_id, mention) that has none; for blank cells only if asked."""
+    """candidates, and a row without id for each cell (tab_id, row_id, col_id, mention) that has none; for blank cells only if asked.
+
+    A placeholder's label and qid are empty and its quality is 0, so that shares of types count its cell; other columns are null.
+    """
     empty = F.trim(F.coalesce("mention", F.lit(""))) == ""
-    rows = cells.join(candidates.select(*CELL).distinct(), CELL, "left_anti")
-    rows = rows.where(F.lit(blank) | ~empty).select(*CELL, F.when(empty, "").otherwise(F.col("mention")).alias("mention"), F.lit(0).alias("quality"))
-    return candidates.unionByName(rows, allowMissingColumns=True)
+    rows = cells.join(candidates.select(*CELL).distinct(), CELL, "left_anti").where(F.lit(blank) | ~empty)
+    kinds, text = dict(candidates.dtypes), F.when(empty, "").otherwise(F.col("mention"))
+    given = {"mention": text, "label": F.lit(""), "qid": F.lit(""), "quality": F.lit(0), **{c: F.col(c) for c in CELL}}
+    return candidates.unionByName(rows.select(*[given.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in candidates.columns]))
 
 
 def of_quality(candidates: DataFrame, qualities: list[int] | None) -> DataFrame:

@@ -43,18 +43,6 @@ def support(candidates: DataFrame, own: bool = False) -> DataFrame:
     return sums.where("prop <> ''").select(*COLUMN, "prop", "type", n.alias("n_cells"), (n / of).alias("pct")).where("n_cells > 0")
 
 
-def with_placeholders(cells: DataFrame, candidates: DataFrame, blank: bool = False) -> DataFrame:
-    """candidates and a row without qid for each cell (tab_id, row_id, col_id, mention) that has none; for blank mentions only if asked for.
-
-    The placeholder's label and qid are empty and its quality is 0, so that later counts see the cell.
-    """
-    empty = F.coalesce(F.trim("mention"), F.lit("")) == ""
-    rest = cells.where(~empty | F.lit(blank)).withColumn("mention", F.when(empty, F.lit("")).otherwise(F.col("mention"))).join(candidates.select(*CELL).distinct(), CELL, "left_anti")
-    kinds = dict(candidates.dtypes)
-    given = {"qid": F.lit(""), "label": F.lit(""), "quality": F.lit(0), "mention": F.col("mention"), **{c: F.col(c) for c in CELL}}
-    return candidates.unionByName(rest.select(*[given.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in candidates.columns]))
-
-
 def type_support(candidates: DataFrame, prop: str) -> DataFrame:
     """(tab_id, col_id, type, n_cells, pct) of one of the properties."""
     return support(candidates).where(F.col("prop") == prop).drop("prop")
@@ -66,26 +54,67 @@ def merged_types(candidates: DataFrame) -> DataFrame:
     return support(candidates).groupBy(*COLUMN, "type").agg(F.max(share).alias("weight"))
 
 
-def similarities(candidates: DataFrame) -> DataFrame:
-    """(mention, label[, aliases], sim) of each different pair, once."""
-    names = ["mention", "label", *(["aliases"] if "aliases" in candidates.columns else [])]
-    best = sim.best_similarity(F.col("mention"), F.col("label"), F.col("aliases") if len(names) == 3 else None)
-    return candidates.select(*names).distinct().withColumn("sim", best)
+def features_by_cell(candidates: DataFrame) -> DataFrame:
+    """(cell, of): the candidates of each cell as an array of structs of all their other columns and sim (of the label and, if there, the aliases), qual and coherence.
+
+    Candidates are brought together by cell once; all else is made from that. Types are counted by column, each once a
+    cell, together with a type '' that all cells have, so a cell gets the counts of its types and of its column in one join.
+    Placeholders, candidates without an id, are counted as cells of their column, and not given.
+    """
+    best = sim.best_similarity(F.col("mention"), F.col("label"), F.col("aliases") if "aliases" in candidates.columns else None)
+    rows = candidates.withColumns({"sim": best, "qual": sim.quality_score(F.col("quality"))})
+    others = [c for c in rows.columns if c not in CELL]
+    cells = rows.groupBy(*CELL).agg(F.collect_list(F.struct(*others)).alias("of"))  # a cell has few candidates
+    none = F.array().cast("array<string>")
+    each = lambda p: F.array_distinct(F.flatten(F.transform("of", lambda c: F.coalesce(c[p], none))))
+    types = cells.select(*CELL, each("p31").alias("p31"), each("p279").alias("p279"))
+    type_of = lambda t: F.struct(t.alias("type"), F.array_contains("p31", t).cast("int").alias("p31"), F.array_contains("p279", t).cast("int").alias("p279"))
+    marker = F.array(F.struct(F.lit("").alias("type"), F.lit(0).alias("p31"), F.lit(0).alias("p279")))
+    named = F.filter(F.array_union("p31", "p279"), lambda t: t.isNotNull() & (t != ""))
+    types = types.select(*CELL, F.inline(F.concat(marker, F.transform(named, type_of))))
+    counts = types.groupBy(*COLUMN, "type").agg(F.count(F.lit(1)).alias("n"), F.sum("p31").alias("n31"), F.sum("p279").alias("n279"))
+    known = types.select(*CELL, "type").join(counts, [*COLUMN, "type"]).groupBy(*CELL).agg(F.map_from_entries(F.collect_list(F.struct("type", F.struct("n", "n31", "n279")))).alias("counts"))
+    total = F.element_at("counts", F.lit(""))["n"]
+
+    def weight(t: Column) -> Column:
+        of = F.try_element_at("counts", t)
+        return F.coalesce(F.greatest(of["n31"] / total, 0.5 * (of["n279"] / total)), F.lit(0.0))
+
+    def coherent(c: Column) -> Column:
+        found = F.transform(F.array_union(F.coalesce(c["p31"], none), F.coalesce(c["p279"], none)), weight)
+        return F.struct(*[c[o].alias(o) for o in others], F.coalesce(F.array_max(found), F.lit(0.0)).alias("coherence"))
+
+    real = F.filter("of", lambda c: F.coalesce(c["qid"], F.lit("")) != "")
+    return cells.join(known, CELL).select(*CELL, F.transform(real, coherent).alias("of"))
 
 
 def features(candidates: DataFrame) -> DataFrame:
-    """candidates with sim (of the label and, if there, the aliases), qual and coherence."""
-    types = candidates.select(*CELL, "ord", F.explode(F.array_union("p31", "p279")).alias("type")).join(merged_types(candidates), [*COLUMN, "type"], "left")
-    best = types.groupBy(*CELL, "ord").agg(F.max("weight").alias("w"))
-    pairs = similarities(candidates)
-    same = [F.col(f"__{c}").eqNullSafe(F.col(c)) for c in pairs.columns[:-1]]
-    rows = candidates.join(pairs.withColumnsRenamed({c: f"__{c}" for c in pairs.columns[:-1]}), same, "left").drop(*[f"__{c}" for c in pairs.columns[:-1]])
-    return rows.join(best, [*CELL, "ord"], "left").withColumns({"qual": sim.quality_score(F.col("quality")), "coherence": F.coalesce("w", F.lit(0.0))}).drop("w")
+    """candidates with sim, qual and coherence, without placeholders."""
+    return features_by_cell(candidates).select(*CELL, F.inline("of")).select(*candidates.columns, "sim", "qual", "coherence")
+
+
+def best_by_setting(cells: DataFrame, settings: dict[str, tuple[float, float, float]], carried: list[str]) -> DataFrame:
+    """(setting, cell, carried, score, gap) of the first candidate of features_by_cell() for each setting of the weights; gap is null where it is alone.
+
+    Candidates are compared within their cell's array, so settings are not shuffled or sorted as rows.
+    """
+
+    def order(weights: tuple[float, float, float]) -> Column:
+        return F.array_sort(F.transform("of", lambda c: F.struct((-_combined(*weights, c["sim"], c["qual"], c["coherence"])).alias("minus"), c["ord"].alias("ord"), *[c[n].alias(n) for n in carried])))
+
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("setting"), order(w).alias("by")) for name, w in settings.items()])).alias("s")
+    first, second = F.get("s.by", F.lit(0)), F.get("s.by", F.lit(1))
+    rows = cells.select(*CELL, each).where(F.size("s.by") > 0)
+    return rows.select("s.setting", *CELL, *[first[c].alias(c) for c in carried], (-first["minus"]).alias("score"), F.round(second["minus"] - first["minus"], 9).alias("gap"))
+
+
+def _combined(a: float, b: float, c: float, sim: Column, qual: Column, coherence: Column) -> Column:
+    return F.round(a * sim + b * qual + c * coherence, 9)
 
 
 def combined(a: float, b: float, c: float) -> Column:
     """Rounded, so that the last bits decide no rank."""
-    return F.round(a * F.col("sim") + b * F.col("qual") + c * F.col("coherence"), 9)
+    return _combined(a, b, c, F.col("sim"), F.col("qual"), F.col("coherence"))
 
 
 def scored(candidates: DataFrame, weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:

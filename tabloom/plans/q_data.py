@@ -55,7 +55,7 @@ def missing_share(spark, sf_dir) -> DataFrame:
 def placeholders(spark, sf_dir) -> DataFrame:
     found = asm.of_quality(candidates(spark, sf_dir), [1])
     cells = gold(spark, sf_dir).select("tab_id", "row_id", F.lit(0).alias("col_id"), F.when(F.col("row_id") == 2, "").otherwise("m").alias("mention"))
-    return asm.with_placeholders(cells, found).groupBy("quality").agg(F.count(F.lit(1)).alias("n"), F.count("qid").alias("n_qid"))
+    return asm.with_placeholders(cells, found).groupBy("quality").agg(F.count(F.lit(1)).alias("n"), ev.count_if(F.col("qid") != "").alias("n_qid"))
 
 
 @query(BASE + " SELECT tab_id, row_id, arg_min(qid, quality * 100 + ord) AS qid, arg_min(CASE WHEN ord % 2 = 0 THEN label END, quality * 100 + ord) FILTER (WHERE ord % 2 = 0) AS label FROM cand GROUP BY 1, 2")

@@ -25,11 +25,8 @@ def query(sql: str | None = None):
 
 def choices(spark, sf_dir) -> DataFrame:
     """(run, tab_id, row_id, qid, gold, score, p31, quality): the features are computed once for all runs."""
-    feats = rk.features(candidates(spark, sf_dir))
-    runs = F.explode(F.array(*[F.struct(F.lit(n).alias("run"), rk.combined(*w).alias("score")) for n, w in RUNS.items()])).alias("r")
-    rows = feats.select("*", runs).select("*", "r.run", "r.score")
-    w = Window.partitionBy("run", *rk.CELL).orderBy(F.desc("score"), "ord")
-    return rows.withColumn("rank", F.row_number().over(w)).where("rank = 1").select("run", "tab_id", "row_id", "col_id", "qid", "gold", "score", "p31", "quality")
+    rows = rk.best_by_setting(rk.features_by_cell(candidates(spark, sf_dir)), RUNS, ["qid", "gold", "p31", "quality"])
+    return rows.select(F.col("setting").alias("run"), "tab_id", "row_id", "col_id", "qid", "gold", "score", "p31", "quality")
 
 
 def gold(spark, sf_dir) -> DataFrame:
@@ -245,12 +242,12 @@ g AS (SELECT w.a, w.b, w.c, f.*, round(CAST(w.a AS DOUBLE) * sim + CAST(w.b AS D
 k AS (SELECT *, row_number() OVER o AS rank, round(score - lead(score) OVER o, 9) AS gap FROM g WINDOW o AS (PARTITION BY a, b, c, tab_id, row_id, col_id ORDER BY score DESC, ord))
 SELECT CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, CAST(c AS DOUBLE) AS c, count(*) AS n, round(CAST(count(CASE WHEN qid = gold THEN 1 END) AS DOUBLE) / count(*), 6) AS accuracy, count(CASE WHEN gap < 0.05 THEN 1 END) AS n_close FROM k WHERE rank = 1 GROUP BY 1, 2, 3""")
 def weight_grid(spark, sf_dir) -> DataFrame:
-    each = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("abc", w, strict=True)], rk.combined(*w).alias("score")) for w in GRID])).alias("w")
-    rows = rk.features(candidates(spark, sf_dir)).select("*", each).select("*", "w.*")
-    o = Window.partitionBy("a", "b", "c", *rk.CELL).orderBy(F.desc("score"), "ord")
-    top = rows.withColumns({"rank": F.row_number().over(o), "gap": F.round(F.col("score") - F.lead("score").over(o), 9)}).where("rank = 1")
+    settings = {str(k): w for k, w in enumerate(GRID)}
+    top = rk.best_by_setting(rk.features_by_cell(candidates(spark, sf_dir)), settings, ["qid", "gold"])
     n = F.count(F.lit(1))
-    return top.groupBy("a", "b", "c").agg(n.alias("n"), F.round(ev.count_if(F.col("qid") == F.col("gold")) / n, 6).alias("accuracy"), ev.count_if(F.col("gap") < 0.05).alias("n_close"))
+    sums = top.groupBy("setting").agg(n.alias("n"), F.round(ev.count_if(F.col("qid") == F.col("gold")) / n, 6).alias("accuracy"), ev.count_if(F.col("gap") < 0.05).alias("n_close"))
+    weights = F.element_at(F.array(*[F.struct(*[F.lit(float(v)).alias(c) for c, v in zip("abc", w, strict=True)]) for w in GRID]), F.col("setting").cast("int") + 1)
+    return sums.select(weights.alias("w"), "n", "accuracy", "n_close").select("w.*", "n", "accuracy", "n_close")
 
 
 @query(SCORED + ", m AS (SELECT unnest([0.01, 0.05, 0.1, 0.2, 0.3, 0.5]) AS margin) SELECT CAST(margin AS DOUBLE) AS margin, count(*) AS n_under, count(CASE WHEN qid = gold THEN 1 END) AS n_right, count(CASE WHEN qid <> gold THEN 1 END) AS n_wrong FROM ranked, m WHERE rank = 1 AND gap < CAST(margin AS DOUBLE) GROUP BY 1")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.operators import assembly as asm
 from tabloom.operators import ranking as rk
-from tabloom.plans.standin import BASE, SCORED, candidates, read
+from tabloom.plans.standin import BASE, SCORED, candidates, cells, read
 
 CATALOG: dict[str, tuple] = {}
 
@@ -54,6 +55,26 @@ def type_support(spark, sf_dir) -> DataFrame:
     return rk.support(candidates(spark, sf_dir)).select("tab_id", "col_id", "prop", "type", "n_cells", F.round("pct", 6).alias("pct"))
 
 
+#: Candidates of the first source alone, and a placeholder for each cell that it finds nothing for.
+_FIRST = BASE + """, one AS (SELECT * FROM cand WHERE quality = 1), every AS (SELECT tab_id, count(*) AS n FROM cell GROUP BY 1),
+s1 AS (SELECT tab_id, p31 AS type, count(DISTINCT row_id) AS n_cells FROM one GROUP BY 1, 2), s2 AS (SELECT tab_id, p279 AS type, count(DISTINCT row_id) AS n_cells FROM one GROUP BY 1, 2)"""
+
+
+def _with_placeholders(spark, sf_dir) -> DataFrame:
+    cells_ = cells(spark, sf_dir).select("tab_id", "row_id", F.lit(0).alias("col_id"), F.lit("m").alias("mention"))
+    return asm.with_placeholders(cells_, asm.of_quality(candidates(spark, sf_dir), [1]))
+
+
+@query(_FIRST + " SELECT s.tab_id, prop, type, n_cells, round(CAST(n_cells AS DOUBLE) / n, 6) AS pct FROM (SELECT *, 'p31' AS prop FROM s1 UNION ALL SELECT *, 'p279' FROM s2) s JOIN every e ON e.tab_id = s.tab_id")
+def type_support_of_all_cells(spark, sf_dir) -> DataFrame:
+    return rk.support(_with_placeholders(spark, sf_dir)).select("tab_id", "prop", "type", "n_cells", F.round("pct", 6).alias("pct"))
+
+
+@query(_FIRST + " SELECT o.tab_id, o.row_id, o.qid, round(greatest(CAST(s1.n_cells AS DOUBLE) / n, 0.5::DOUBLE * s2.n_cells / n), 6) AS coherence FROM one o JOIN every e ON e.tab_id = o.tab_id JOIN s1 ON s1.tab_id = o.tab_id AND s1.type = o.p31 JOIN s2 ON s2.tab_id = o.tab_id AND s2.type = o.p279")
+def coherence_of_all_cells(spark, sf_dir) -> DataFrame:
+    return rk.features(_with_placeholders(spark, sf_dir)).select("tab_id", "row_id", "qid", F.round("coherence", 6).alias("coherence"))
+
+
 @query(BASE + " SELECT tab_id, col_id, type, round(w, 6) AS weight FROM weight")
 def type_merge(spark, sf_dir) -> DataFrame:
     return rk.merged_types(candidates(spark, sf_dir)).select("tab_id", "col_id", "type", F.round("weight", 6).alias("weight"))

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions import similarity as sim
 from tabloom.functions import text as tx
+from tabloom.operators import assembly as asm
 from tabloom.operators import evaluation as ev
 from tabloom.operators import ranking as rk
 from tabloom.sources import tables
@@ -71,10 +72,10 @@ def test_properties_by_kind(spark):
 def test_placeholders(spark):
     cells = spark.createDataFrame([(1, 0, 0, "a"), (1, 1, 0, "b"), (1, 2, 0, " ")], "tab_id int, row_id int, col_id int, mention string")
     found = spark.createDataFrame([(1, 0, 0, "a", "Q1", "A", 1, ["T"], [])], "tab_id int, row_id int, col_id int, mention string, qid string, label string, quality int, p31 array<string>, p279 array<string>")
-    got = rk.with_placeholders(cells, found)
+    got = asm.with_placeholders(cells, found)
     assert sorted((r.row_id, r.qid) for r in got.collect()) == [(0, "Q1"), (1, "")]
     assert [(r.type, r.pct) for r in rk.support(got).collect()] == [("T", 0.5)]
-    assert rk.with_placeholders(cells, found, blank=True).count() == 3 and rk.with_placeholders(cells, found.limit(0)).count() == 2
+    assert asm.with_placeholders(cells, found, blank=True).count() == 3 and asm.with_placeholders(cells, found.limit(0)).count() == 2
 
 
 def test_selection_shares(spark):
