@@ -3,7 +3,9 @@
 Each paragraph passes points, one and more for its length and commas, to its ancestors, less with each level and less
 the more of its text lies in links. The container with most points is kept, with those of its siblings that score like
 content; what is a menu, header, footer, sidebar, notice, advert, form, script, style or reader comment by its element,
-role, class or id is left out first, and so are lists and boxes inside the container that consist of links.
+role, class or id is left out first; a name that only holds such a word (share-price) counts where the box has no text to
+speak of outside of links. Lists of links stay, but for those before or after all paragraphs of a page without an article
+or main element.
 
 Null or empty html gives an empty text, as do pages without content. Each row gives one row, repeated or not; an empty
 table gives an empty one; other columns are ignored. Markup cut off at the end is dropped, unclosed elements end with
@@ -35,32 +37,49 @@ DROPPED = frozenset("head nav footer aside form button input dialog menu audio v
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd h2 h3 h4".split())
 TOPS = frozenset("html body article main".split())
-NAMES = re.compile(
-    r"(?:^|[-_])(?:ads?|advert\w*|adbox|adsense|sponsor\w*|promo\w*|banner|sidebar|side|aside|nav\w*|menu|topbar|toolbar|breadcrumbs?|masthead|header|footer|foot|bottom"
-    r"|comments?|commentlist|respond|replies|disqus|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w+|signup|login|search|share|sharing|social|related|recommend\w*|widget|pagination|pager|copyright|legal|disclaimer|skip|tags)(?:$|[-_])"
+#: Parts of names of what is no article text, and parts that say nothing beside them.
+KNOWN = re.compile(
+    r"ads?|advert\w*|adbox|adsense|sponsor\w*|promo(?:s|tions?|ted)?|banner|sidebar|side|aside|nav(?:bar|igation|menu|list|s)?|menu|topbar|toolbar|breadcrumbs?|masthead|header|footer|foot|bottom"
+    r"|comments?|commentlist|respond|replies|disqus|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w+|signup|login|search|share|sharing|social|related|recommend\w*|widget|pagination|pager|copyright|legal|disclaimer|skip|tags"
 )
+GENERIC = frozenset("box bar button buttons btn wrapper wrap container inner outer list links link form area block section site page top left right panel item items post posts article articles story stories icon icons row col column global primary secondary body text author user users thread meta count reply policy info message field input group unit slot dialog bottom main big small fixed sticky new more read also this cloud".split())
+#: Before a name, what makes it mean something else; and, inside an article, names of its own parts.
+OTHER = re.compile(r"(?:no|has|with|without|main|content|article)[-_]")
+OWN = frozenset(["header", "banner"])
 #: An opening tag of the first kind ends an open element of the second.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Points of an ancestor's share, by its distance from the paragraph.
 SHARES = (1.0, 0.5, 0.25, 0.125)
 LINKED = 0.6
+#: Words outside of links below which a box whose name may mean something else isn't text.
+FEW_WORDS = 5
+
+
+def _named(name: str, inside: bool) -> int:
+    """2: a name of no article text; 1: one that has such a part beside others, and may be; 0: another."""
+    parts = [p for p in re.split(r"[-_]+|(?<=\D)(?=\d)", name) if p and not p.isdigit()]
+    known = [p for p in parts if KNOWN.fullmatch(p)]
+    if not known or OTHER.match(name):
+        return 0
+    return 1 if inside and OWN.intersection(known) or any(p not in known and p not in GENERIC for p in parts) else 2
 
 
 def _unwanted(tag: str, attributes: str, inside: bool) -> int:
-    """2: by its element or role; 1: by a name, which is less sure; 0: not unwanted. inside: of an article."""
+    """3: by its element or role; 2: by a name; 1: by a name that may mean something else; 0: not unwanted. inside: of an article."""
     if tag in DROPPED or tag == "header" and not inside:
-        return 2
+        return 3
     if not attributes or tag in TOPS:
         return 0
+    most = 0
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
-            return 2
+            return 3
         if key == "role" and value in ROLES:
-            return 2
-        if key in ("class", "id") and tag not in INLINE and any(NAMES.search(x) and not re.match(r"(?:no|has|with|without|main|content|article)[-_]", x) for x in value.split()):
-            return 1
-    return 0
+            return 3
+        if key in ("class", "id") and tag not in INLINE:
+            most = max([most, *(_named(x, inside) for x in value.split())])
+    return most
 
 
 class _Page:
@@ -111,14 +130,30 @@ class _Page:
             if self.tag[open_[k]] in stop:
                 return
 
+    def _doubtful(self, linked: list[bool]) -> list[bool]:
+        """Whether most of a node's text lies in links, or hardly any outside of them."""
+        n = len(self.tag)
+        words, plain = [0] * n, [0] * n
+        for k, t in self.runs:
+            if t:
+                size = len(t.split())
+                words[k] += size
+                plain[k] += size * (not linked[k])
+        for k in range(n - 1, 0, -1):
+            words[self.parent[k]] += words[k]
+            plain[self.parent[k]] += plain[k]
+        return [p < FEW_WORDS or 2 * p < w for p, w in zip(plain, words, strict=True)]
+
     def text(self, least: int) -> str:
-        """The main text without nodes that are unwanted by at least this much."""
+        """The main text without nodes that are unwanted by at least this much, nor those that may be and have no text to speak of."""
         n = len(self.tag)
-        out, linked = [False] * n, [False] * n
+        out, linked, inner = [False] * n, [False] * n, [False] * n
         for k in range(1, n):
-            p = self.parent[k]
-            out[k] = out[p] or self.unwanted[k] >= least
-            linked[k] = linked[p] or self.tag[k] == "a"
+            linked[k] = linked[self.parent[k]] or self.tag[k] == "a"
+            inner[k] = inner[self.parent[k]] or self.tag[k] in ("article", "main")
+        doubtful = self._doubtful(linked) if 1 in self.unwanted else []
+        for k in range(1, n):
+            out[k] = out[self.parent[k]] or self.unwanted[k] >= least or self.unwanted[k] == 1 and doubtful[k]
         length, links, commas, own = [0] * n, [0] * n, [0] * n, [0] * n
         runs = [(k, t if t is None else unescape(t)) for k, t in self.runs if not out[k]]
         for k, t in runs:
@@ -159,9 +194,15 @@ class _Page:
             for k in range(1, n):
                 if self.parent[k] == self.parent[best] and not out[k] and (score[k] >= max(10.0, 0.2 * score[best]) or self.tag[k] == "p" and density[k] < 0.25 and length[k] > 80):
                     keep.add(k)
+        kept = [False] * n
+        for k in range(n):
+            kept[k] = k in keep or k > 0 and kept[self.parent[k]]
+        told = [k for k in range(n) if kept[k] and not out[k] and self.tag[k] in ("p", "blockquote", "pre", "h1") and length[k] and density[k] < 0.25]
+        first, last = (told[0], told[-1]) if told else (0, n)
         inside = [False] * n
         for k in range(n):
-            menu = k not in keep and self.tag[k] in ("ul", "ol", "div", "section", "table", "dl") and density[k] > LINKED
+            # links alone, before or after all paragraphs of a page that doesn't say where its article is
+            menu = k not in keep and not inner[k] and not first < k < last and self.tag[k] in ("ul", "ol", "div", "section", "table", "dl") and density[k] > LINKED
             inside[k] = (k in keep or k > 0 and inside[self.parent[k]]) and not menu and not out[k]
         blocks, block = [], []
         for k, t in runs:
@@ -178,7 +219,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     page = _Page(html)
-    return page.text(1) or page.text(2)
+    return page.text(2) or page.text(3)
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
