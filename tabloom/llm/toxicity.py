@@ -105,9 +105,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: in
     session(docs)
     known = labels.where(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(small(sample), "doc_id").select("text", "toxic").mapInArrow(_features(bits), "at binary, toxic int")
-    # max_rows rows of places; sorted, as the order of tasks isn't fixed
-    found = sorted((bytes(r.at), r.toxic) for r in rows.limit(2 * max_rows).collect())
+    # of rows that share a doc_id the least text, so that there are max_rows at most
+    texts = docs.select("doc_id", "text").join(small(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    rows = texts.select("text", "toxic").mapInArrow(_features(bits), "at binary, toxic int")
+    # sorted, as the order of tasks isn't fixed
+    found = sorted((bytes(r.at), r.toxic) for r in rows.collect())
     return fit([(np.frombuffer(a, np.int32), y) for a, y in found], bits, epochs)
 
 
