@@ -164,8 +164,8 @@ def _host():
     return F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
 
 
-def frequent_lines(rows: DataFrame) -> DataFrame:
-    """(host, line) of the lines above the limits, from measured()."""
+def frequent_lines(rows: DataFrame, diverse: float = DIVERSE) -> DataFrame:
+    """(host, line) of the lines above the limits, from measured(); with diverse 0 whatever documents they are in."""
     host = _host().alias("host")
     texts = rows.select(host, "text_hash").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n"))
     limits = cut(texts.select("host", F.least(F.lit(float(MOST_DOCS)), F.greatest(F.lit(LEAST_DOCS), F.col("n") * SHARE)).alias("most")))
@@ -173,6 +173,9 @@ def frequent_lines(rows: DataFrame) -> DataFrame:
     lines = rows.select(host, "text_hash", F.explode("lines").alias("line")).where("line is not null")
     often = lines.groupBy("host", "line").count().join(small(limits), "host").where("count > most").select("host", "line", "most")
     often = cut(often)
+    if not diverse:
+        found = lines.distinct().join(small(often), ["host", "line"]).groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs"), F.min("most").alias("most"))
+        return found.where("docs > most").select("host", "line")
     zipped = F.arrays_zip(F.col("lines").alias("line"), *LINE_SKETCHES)
     each = rows.select(host, "text_hash", "sketch_a", "sketch_b", F.explode(zipped).alias("z")).select("host", "text_hash", "sketch_a", "sketch_b", "z.*").where("line is not null")
     few = small(often)
@@ -187,13 +190,13 @@ def frequent_lines(rows: DataFrame) -> DataFrame:
     docs = found.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs"), F.min("most").alias("most"))
     for s in ("sketch_a", "sketch_b"):
         docs = docs.join(found.groupBy("host", "line", s).agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("one").alias(s)), ["host", "line"])
-    return docs.where((F.col("docs") > F.col("most")) & (F.greatest("sketch_a", "sketch_b") >= DIVERSE * F.col("docs"))).select("host", "line")
+    return docs.where((F.col("docs") > F.col("most")) & (F.greatest("sketch_a", "sketch_b") >= diverse * F.col("docs"))).select("host", "line")
 
 
-def decisions(docs: DataFrame) -> DataFrame:
+def decisions(docs: DataFrame, diverse: float = DIVERSE) -> DataFrame:
     """Of every document: the counts, base_failed, n_removed (words in removed lines), removed (places of those lines), kept."""
     rows = cut(measured(docs))
-    bad = cut(frequent_lines(rows))
+    bad = cut(frequent_lines(rows, diverse))
     # by the text, so that copies' rows meet before the shuffle
     host = _host().alias("host")
     each = rows.select(host, "text_hash", F.posexplode("lines").alias("at", "line"), "sizes").select("host", "text_hash", "at", "line", F.element_at("sizes", F.col("at") + 1).alias("size"))
@@ -205,12 +208,12 @@ def decisions(docs: DataFrame) -> DataFrame:
     return out.withColumns({"n_removed": F.coalesce("n", F.lit(0).cast("long")), "base_failed": base}).withColumn("kept", ~F.col("base_failed") & (left >= MIN_WORDS) & (left >= LEFT * F.col("n_words")))
 
 
-def clean(docs: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, diverse: float = DIVERSE) -> DataFrame:
     """The kept documents, all columns, without the removed lines; n_chars, if there, is the new text's.
 
     Decisions go back to the rows by doc_id and the text's hash, so rows that share a doc_id are told apart.
     """
-    found = cut(decisions(docs).where("not kept or n_removed > 0").select("doc_id", "text_hash", "removed", "kept"))
+    found = cut(decisions(docs, diverse).where("not kept or n_removed > 0").select("doc_id", "text_hash", "removed", "kept"))
     marks = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.first("removed").alias("__removed"), F.first("kept").alias("__kept"))
     key = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__hash"))
     marks = cut(marks)
