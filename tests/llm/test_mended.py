@@ -18,8 +18,13 @@ def test_training_takes_one_text_of_a_doc_id(spark):
 
 
 def test_gate_on_content_can_be_off(spark):
-    near = "\n".join(" ".join(f"w{k}x{j}" for j in range(9)) for k in range(6))
-    docs = spark.createDataFrame([(k, f"{near}\nand one more word{k}", "h") for k in range(40)] + [(100 + k, " ".join(f"t{k}y{j}" for j in range(40)), "h") for k in range(40)], "doc_id long, text string, source string")
+    def copy(k):
+        words = [[f"w{i}x{j}" for j in range(12)] for i in range(6)]
+        words[k % 6][k // 6 + 2] = f"edit{k}"
+        return "\n".join(map(" ".join, words))
+
+    rows = [(k, copy(k), "h") for k in range(40)] + [(100 + k, " ".join(f"t{k}y{j}" for j in range(40)), "h") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     kept = {r["doc_id"]: r["kept"] for r in quality.decisions(docs).collect()}
     assert all(kept[k] for k in range(40))  # near copies, whose common lines are no boilerplate
     strict = {r["doc_id"]: r["kept"] for r in quality.decisions(docs, diverse=0).collect()}
