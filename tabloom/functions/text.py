@@ -12,6 +12,17 @@ from pyspark.sql.types import StringType
 
 #: Texts that the CSV reader of the data frames library takes as missing.
 MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+#: How an answer says that there is no match, and how it labels its choice.
+NIL = r"(?i)\bnil\b|\bnone of (?:the|these|them)\b|\bno match\b|\bnot (?:in|among) the candidates\b|\bidk\b|\bi don'?t know\b"
+LABELLED = r"(?i)(?:answer|final|winning\s*qid|qid)\s*[:\-]?\s*(Q\d+|NIL)"
+#: Words of five languages that are not counted.
+STOP_WORDS = """
+the of and in to a an for on at by as is are was with from that this it its or be
+de la le les des du et en un une au aux pour par dans sur avec se sa son ses qui ne
+der die das und von zu im mit den dem ein eine ist
+el los las y por con para del al una su lo
+da do dos das no na em uma
+""".split()
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
@@ -113,7 +124,7 @@ def final_answer(x: Column, ids: Column | None = None, allow_nil: bool = True) -
 
     With ids, only those count; a labelled id that isn't among them is passed over. A labelled NIL that isn't allowed is null.
     """
-    labelled = F.regexp_extract(x, r"(?i)(?:answer|final|winning\s*qid|qid)\s*[:\-]?\s*(Q\d+|NIL)", 1)
+    labelled = F.regexp_extract(x, LABELLED, 1)
     every = F.regexp_extract_all(x, F.lit(r"Q\d+"), F.lit(0))
     known = every if ids is None else F.filter(every, lambda q: F.array_contains(ids, q))
     nil = F.when(F.lit(allow_nil), F.lit("NIL"))
@@ -122,7 +133,7 @@ def final_answer(x: Column, ids: Column | None = None, allow_nil: bool = True) -
 
 
 def is_nil(x: Column) -> Column:
-    return x.rlike(r"(?i)\bnil\b|\bnone of (?:the|these|them)\b|\bno match\b|\bnot (?:in|among) the candidates\b|\bidk\b|\bi don'?t know\b")
+    return x.rlike(NIL)
 
 
 def slug(x: Column) -> Column:
@@ -149,6 +160,11 @@ def strip_signs(x: Column) -> Column:
     return F.regexp_replace(x, r"^[\p{P}\p{S}]+|[\p{P}\p{S}]+$", "")
 
 
+def counts_as_token(token: Column) -> Column:
+    """Whether a token is counted: two characters or more, no stop word and no number."""
+    return (F.length(token) >= 2) & ~token.isin(sorted(set(STOP_WORDS))) & ~token.rlike(r"^\p{N}+$")
+
+
 @F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """In Unicode's compatibility form, for which there is no built-in function; a null stays one."""

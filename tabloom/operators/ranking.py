@@ -90,7 +90,9 @@ def features_by_cell(candidates: DataFrame) -> DataFrame:
 
 def features(candidates: DataFrame) -> DataFrame:
     """candidates with sim, qual and coherence, without placeholders."""
-    return features_by_cell(candidates).select(*CELL, F.inline("of")).select(*candidates.columns, "sim", "qual", "coherence")
+    # outer, as Spark else finds the features once more to filter cells without candidates
+    rows = features_by_cell(candidates).select(*CELL, F.inline_outer("of")).where("qid is not null")
+    return rows.select(*candidates.columns, "sim", "qual", "coherence")
 
 
 def best_by_setting(cells: DataFrame, settings: dict[str, tuple[float, float, float]], carried: list[str]) -> DataFrame:
@@ -102,7 +104,7 @@ def best_by_setting(cells: DataFrame, settings: dict[str, tuple[float, float, fl
     def order(weights: tuple[float, float, float]) -> Column:
         return F.array_sort(F.transform("of", lambda c: F.struct((-_combined(*weights, c["sim"], c["qual"], c["coherence"])).alias("minus"), c["ord"].alias("ord"), *[c[n].alias(n) for n in carried])))
 
-    each = F.explode(F.array(*[F.struct(F.lit(name).alias("setting"), order(w).alias("by")) for name, w in settings.items()])).alias("s")
+    each = F.explode_outer(F.array(*[F.struct(F.lit(name).alias("setting"), order(w).alias("by")) for name, w in settings.items()])).alias("s")
     first, second = F.get("s.by", F.lit(0)), F.get("s.by", F.lit(1))
     rows = cells.select(*CELL, each).where(F.size("s.by") > 0)
     return rows.select("s.setting", *CELL, *[first[c].alias(c) for c in carried], (-first["minus"]).alias("score"), F.round(second["minus"] - first["minus"], 9).alias("gap"))

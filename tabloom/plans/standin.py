@@ -27,8 +27,9 @@ def search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("gold"), F.col("p_name").alias("mention"), "p_brand", "p_size")
     found = cells(spark, sf_dir).join(part, "gold").join(search(spark, sf_dir), ["p_brand", "p_size"])
+    column = F.least(F.lit(0), "ord")  # 0, but not a literal, which Spark would take out of keys
     return found.select(
-        "tab_id", "row_id", F.lit(0).alias("col_id"), "ord", "mention", F.concat(F.lit("Q"), F.col("p_partkey").cast("string")).alias("qid"), F.col("p_name").alias("label"),
+        "tab_id", "row_id", column.alias("col_id"), "ord", "mention", F.concat(F.lit("Q"), F.col("p_partkey").cast("string")).alias("qid"), F.col("p_name").alias("label"),
         (1 + F.col("p_partkey") % 3).cast("int").alias("quality"), F.array("p_type").alias("p31"), F.array("p_brand").alias("p279"), F.concat(F.lit("Q"), F.col("gold").cast("string")).alias("gold"),
     )
 
