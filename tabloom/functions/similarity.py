@@ -57,3 +57,6 @@ def is_numeric(x: Column) -> Column:
     return squeeze(x).rlike(r"\A[-+]?\d[\d,]*\.?\d*\z")
 
 
+def candidate_text(label: Column, description: Column | None = None, aliases: Column | None = None) -> Column:
+    """What row terms are looked for in: label, description and aliases, where there are any."""
+    return F.concat_ws(" ", label, *[x for x in (description, aliases) if x is not None])

@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabloom.functions.text import guard_correction
+
 TASKS = ("cea", "cta", "cpa")
 CELL = ["tab_id", "row_id", "col_id"]
 
@@ -156,8 +158,9 @@ def claim_value(json: Column) -> Column:
 
 
 def corrected(rows: DataFrame, column: str, answers: DataFrame) -> DataFrame:
-    """rows with the answer (value, answer) to each of their values; the value stays where there is none or an empty one. Each different value is asked once."""
-    asked = rows.select(F.col(column).alias("value")).distinct().join(answers, "value").where(F.trim("answer") != "").select(F.col("value").alias("__value"), F.trim("answer").alias("__answer"))
+    """rows with the answer (value, answer) to each of their values, each different value asked once; the value stays where there is none, or one that guard_correction() turns down."""
+    guarded = guard_correction(F.col("value"), F.col("answer"))
+    asked = rows.select(F.col(column).alias("value")).distinct().join(answers, "value").where("answer is not null").select(F.col("value").alias("__value"), guarded.alias("__answer"))
     return rows.join(asked, F.col(column) == F.col("__value"), "left").withColumn(column, F.coalesce("__answer", column)).drop("__value", "__answer")
 
 
@@ -174,6 +177,15 @@ def described(types: DataFrame, entities: DataFrame) -> DataFrame:
     return types.join(known, "type", "left").withColumn("label", F.coalesce("l", "type")).withColumn("description", F.coalesce("d", F.lit(""))).drop("l", "d")
 
 
+def enriched(candidates: DataFrame, entities: DataFrame) -> DataFrame:
+    """candidates with description, aliases, p31, p279 and sitelink of their entity (qid), each once; empty where it is unknown or has none."""
+    kinds = {"description": "string", "aliases": "array<string>", "p31": "array<string>", "p279": "array<string>", "sitelink": "string"}
+    none = lambda kind: F.lit("") if kind == "string" else F.array().cast(kind)
+    known = entities.select(F.col("qid").alias("__qid"), *[F.col(c).alias(f"__{c}") for c in kinds]).dropDuplicates(["__qid"])
+    rows = candidates.drop(*kinds).join(known, F.col("qid") == F.col("__qid"), "left")
+    return rows.withColumns({c: F.coalesce(f"__{c}", none(kind)) for c, kind in kinds.items()}).drop("__qid", *[f"__{c}" for c in kinds])
+
+
 def union_of(frames: list[DataFrame]) -> DataFrame:
     """The candidates of the parts of a run, by name; columns that a part lacks are null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

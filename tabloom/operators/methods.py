@@ -53,9 +53,10 @@ def asked(method: Method, review: float = 0.0) -> Column:
     return several & (gate | doubtful) if method.one_is_sure else gate | doubtful
 
 
-def picked(response: Column, ids: Column, allow_nil: bool) -> Column:
-    """The first id of the shortlist that the answer contains, else NIL if it says so, else null."""
-    found = F.get(F.filter(ids, lambda q: response.contains(q)), F.lit(0))
+def picked(response: Column, ids: Column, allow_nil: bool, strict: bool = False) -> Column:
+    """The first id of the shortlist that the answer contains, else NIL if it says so, else null; strict: only as a whole word, so that Q5 isn't found in Q57."""
+    words = F.regexp_extract_all(response, F.lit(r"[A-Za-z0-9]+"), F.lit(0))
+    found = F.get(F.filter(ids, lambda q: F.array_contains(words, q) if strict else response.contains(q)), F.lit(0))
     return F.coalesce(found, F.when(F.lit(allow_nil) & is_nil(response), F.lit(NIL)))
 
 

@@ -71,15 +71,16 @@ def example_status(cells: DataFrame, ranked: DataFrame, builder: str, margin: fl
 
 
 def table_windows(rows: DataFrame, most: int) -> DataFrame:
-    """(tab_id, row_id, n_rows, first_row, context): up to `most` rows of text, from half of them before the row on; all rows of a table that has no more."""
-    w = Window.partitionBy("tab_id").orderBy("row_id")
-    behind = w.rowsBetween(-(most // 2), most)
-    held = rows.withColumns({"n": F.count(F.lit(1)).over(Window.partitionBy("tab_id")), "near": F.collect_list(F.struct("row_id", "text")).over(behind)})
-    first = F.when(F.col("n") <= most, F.lit(0).cast("long")).otherwise(F.greatest(F.lit(0).cast("long"), F.col("row_id") - most // 2))
-    held = held.withColumn("first", first).withColumn("near", F.filter("near", lambda r: (r["row_id"] >= F.col("first")) & (r["row_id"] < F.col("first") + most)))
-    small = rows.join(held.where(F.col("n") <= most).select("tab_id").distinct(), "tab_id", "left_semi").groupBy("tab_id").agg(F.sort_array(F.collect_list(F.struct("row_id", "text"))).alias("whole"))
-    out = held.join(small, "tab_id", "left").withColumn("near", F.coalesce("whole", "near"))
-    return out.select("tab_id", "row_id", F.size("near").cast("long").alias("n_rows"), F.array_min(F.transform("near", lambda r: r["row_id"])).alias("first_row"), F.array_join(F.transform("near", lambda r: r["text"]), "|").alias("context"))
+    """(tab_id, row_id, n_rows, first_row, context): up to `most` rows of text, from half of them before the row on; all rows of a table that has no more.
+
+    rows: tab_id, row_id from 0, text. A row names the rows of its window, which are joined to it, so no table is held whole.
+    """
+    sizes = rows.groupBy("tab_id").agg((F.max("row_id") + 1).alias("n"))
+    first = F.when(F.col("n") <= most, F.lit(0)).otherwise(F.greatest(F.lit(0), F.col("row_id") - most // 2))
+    near = rows.select("tab_id", "row_id").distinct().join(sizes, "tab_id").select("tab_id", "row_id", F.explode(F.sequence(first.cast("long"), (F.least(F.col("n"), first + most) - 1).cast("long"))).alias("near"))
+    texts = rows.select("tab_id", F.col("row_id").cast("long").alias("near"), "text")
+    held = near.join(texts, ["tab_id", "near"]).groupBy("tab_id", "row_id").agg(F.sort_array(F.collect_list(F.struct("near", "text"))).alias("of"))
+    return held.select("tab_id", "row_id", F.size("of").cast("long").alias("n_rows"), F.get("of", F.lit(0))["near"].alias("first_row"), F.array_join(F.transform("of", lambda r: r["text"]), "|").alias("context"))
 
 
 NOISE = ("clean", "delete", "insert", "substitute")

@@ -178,10 +178,15 @@ def support_of_selection(candidates: DataFrame, chosen: DataFrame) -> DataFrame:
     return support(candidates.join(own, [*CELL, "qid"], "left"), own=True)
 
 
-def literal_types(cells: DataFrame) -> DataFrame:
-    """(tab_id, col_id, literal): whether over 80 % of a column's filled cells are numbers; missing cells count as filled and not numeric."""
+def numeric_shares(cells: DataFrame) -> DataFrame:
+    """(tab_id, col_id, share): the share of numbers in a column's filled cells; missing cells count as filled and not numeric."""
     rows = cells.where(F.col("value").isNull() | (F.trim("value") != ""))
-    return rows.groupBy(*COLUMN).agg((F.avg(F.coalesce(sim.is_numeric(F.col("value")), F.lit(False)).cast("int")) > 0.8).alias("literal"))
+    return rows.groupBy(*COLUMN).agg(F.avg(F.coalesce(sim.is_numeric(F.col("value")), F.lit(False)).cast("int")).alias("share"))
+
+
+def literal_types(cells: DataFrame) -> DataFrame:
+    """(tab_id, col_id, literal): whether numeric_shares() is over 80 %."""
+    return numeric_shares(cells).select(*COLUMN, (F.col("share") > 0.8).alias("literal"))
 
 
 def matching_properties(subjects: DataFrame, objects: DataFrame, claims: DataFrame) -> DataFrame:

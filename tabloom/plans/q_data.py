@@ -9,6 +9,7 @@ from tabloom.operators import assembly as asm
 from tabloom.operators import evaluation as ev
 from tabloom.plans.q_eval import gold
 from tabloom.plans.standin import BASE, candidates, read
+from tabloom.sources import tables
 
 CATALOG: dict[str, tuple] = {}
 
@@ -124,11 +125,31 @@ def claim_values(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "supplier").select("s_suppkey", asm.claim_value(json).alias("v")).select("s_suppkey", "v.kind", "v.text", "v.number", "v.lat")
 
 
-@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'fault' ELSE event_type END AS event_type FROM events")
+@query(
+    "SELECT p_partkey, CASE WHEN starts_with(p_name, 'red') THEN 'crimson' || substr(p_name, 4) WHEN starts_with(p_name, 'blue') THEN p_name WHEN starts_with(p_name, 'green') THEN p_name ELSE 'a ' || p_name END AS p_name FROM part"
+)
 def distinct_answers(spark, sf_dir) -> DataFrame:
-    rows = read(spark, sf_dir, "events").select("event_id", "event_type")
-    answers = rows.select(F.col("event_type").alias("value")).distinct().withColumn("answer", F.when(F.col("value") == "error", " fault ").otherwise(""))
-    return asm.corrected(rows, "event_type", answers)
+    rows, v = read(spark, sf_dir, "part").select("p_partkey", "p_name"), F.col("value")
+    answer = F.when(v.startswith("red"), F.concat(F.lit('"crimson'), F.substring(v, 4, 1000), F.lit('."'))).when(v.startswith("blue"), F.repeat(v, F.lit(4))).when(v.startswith("green"), F.lit(" ")).otherwise(F.concat(F.lit("a\n"), v))
+    answers = rows.select(F.col("p_name").alias("value")).distinct().withColumn("answer", answer)
+    return asm.corrected(rows, "p_name", answers)
+
+
+@query("SELECT tab_id, row_id, col_id, CASE WHEN k % 5 = 1 THEN 'NIL' ELSE 'Q' || k END AS qid FROM (SELECT CAST(l_orderkey AS VARCHAR) AS tab_id, l_linenumber - 2 AS row_id, 0 AS col_id, l_partkey AS k FROM lineitem) WHERE row_id >= 0")
+def gold_loader(spark, sf_dir) -> DataFrame:
+    k, text = F.col("l_partkey"), lambda c: F.col(c).cast("string")
+    entity = F.when(k % 5 == 0, F.concat(F.lit("Q"), k)).when(k % 5 == 1, F.lit("NIL")).when(k % 5 == 2, F.concat(F.lit("http://www.wikidata.org/entity/Q"), k, F.lit("/"))).otherwise(F.concat(F.lit(" http://www.wikidata.org/entity/Q"), k, F.lit(" http://www.wikidata.org/entity/Q1")))
+    rows = read(spark, sf_dir, "lineitem").select(text("l_orderkey").alias("tab_id"), (F.col("l_linenumber") - 1).cast("string").alias("row_id"), F.lit("0").alias("col_id"), entity.alias("entity"))
+    return tables.gold_cells(rows, nil="NIL")
+
+
+@query("SELECT l_orderkey, l_linenumber, 'Q' || l_suppkey AS qid, CASE WHEN l_suppkey % 3 > 0 THEN s_name ELSE '' END AS description, CASE WHEN l_suppkey % 3 = 1 THEN 'N' || s_nationkey || '|x' ELSE '' END AS types FROM lineitem JOIN supplier ON s_suppkey = l_suppkey")
+def enriched_candidates(spark, sf_dir) -> DataFrame:
+    s, name = read(spark, sf_dir, "supplier").where("s_suppkey % 3 > 0"), lambda c: F.concat(F.lit("Q"), F.col(c))
+    types = F.when(F.col("s_suppkey") % 3 == 1, F.array(F.concat(F.lit("N"), F.col("s_nationkey")), F.lit("x")))
+    entities = s.select(name("s_suppkey").alias("qid"), F.col("s_name").alias("description"), F.lit(None).cast("array<string>").alias("aliases"), types.alias("p31"), F.lit(None).cast("array<string>").alias("p279"), F.lit(None).cast("string").alias("sitelink"))
+    rows = asm.enriched(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", name("l_suppkey").alias("qid")), entities.union(entities))
+    return rows.select("l_orderkey", "l_linenumber", "qid", "description", F.array_join("p31", "|").alias("types"))
 
 
 @query("SELECT o_orderkey AS tab_id, CASE WHEN o_orderkey % 2 = 0 THEN 'P57' ELSE 'P5' END AS pid FROM orders")

@@ -151,6 +151,6 @@ def price_histogram(spark, sf_dir) -> DataFrame:
     return lookup.histogram(read(spark, sf_dir, "orders"), "o_totalprice", bins=30).withColumn("density", F.round("density", 15))
 
 
-@query(BASE + ", t AS (SELECT tab_id, col_id, type, pct, row_number() OVER w AS rank, lead(pct) OVER w AS next FROM sup WHERE prop = 'p31' WINDOW w AS (PARTITION BY tab_id, col_id ORDER BY pct DESC, type)), g AS (SELECT tab_id, col_id FROM t WHERE rank = 1 AND round(pct - next, 9) < 0.3) SELECT tab_id, col_id, type, CAST(rank AS INTEGER) AS rank FROM t JOIN g USING (tab_id, col_id) WHERE rank <= 5")
+@query(BASE + ", t AS MATERIALIZED (SELECT tab_id, col_id, type, pct, row_number() OVER w AS rank, lead(pct) OVER w AS next FROM sup WHERE prop = 'p31' WINDOW w AS (PARTITION BY tab_id, col_id ORDER BY pct DESC, type)), g AS (SELECT tab_id, col_id FROM t WHERE rank = 1 AND round(pct - next, 9) < 0.3) SELECT tab_id, col_id, type, CAST(rank AS INTEGER) AS rank FROM t JOIN g USING (tab_id, col_id) WHERE rank <= 5")
 def cta_choice(spark, sf_dir) -> DataFrame:
     return lookup.shortlist(rk.type_support(candidates(spark, sf_dir), "p31"), margin=0.3, limit=5)

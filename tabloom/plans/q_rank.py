@@ -100,9 +100,9 @@ def nil_policy(spark, sf_dir) -> DataFrame:
     return rk.top(rk.scored(candidates(spark, sf_dir))).select("tab_id", "row_id", rk.nil_choice(0.8, 0.9).alias("choice"))
 
 
-@query(SCORED + """, ctx AS (SELECT l_orderkey AS tab_id, l_linenumber AS row_id, min(concat(l_returnflag, ' standard brushed ', l_linestatus)) AS context FROM lineitem GROUP BY 1, 2),
-term AS (SELECT tab_id, row_id, list_distinct(list_filter(regexp_extract_all(lower(context), '[a-z0-9]+'), lambda x: length(x) >= 3)) AS terms FROM ctx),
-near AS (
+@query(SCORED + """, ctx AS MATERIALIZED (SELECT l_orderkey AS tab_id, l_linenumber AS row_id, min(concat(l_returnflag, ' standard brushed ', l_linestatus)) AS context FROM lineitem GROUP BY 1, 2),
+term AS MATERIALIZED (SELECT tab_id, row_id, list_distinct(list_filter(regexp_extract_all(lower(context), '[a-z0-9]+'), lambda x: length(x) >= 3)) AS terms FROM ctx),
+near AS MATERIALIZED (
   SELECT r.*, round(CASE WHEN len(terms) > 0 THEN CAST(len(list_intersect(terms, string_split(lower(concat(label, ' ', p31)), ' '))) AS DOUBLE) / len(terms) ELSE 0 END, 9) AS overlap
   FROM (SELECT *, max(score) OVER (PARTITION BY tab_id, row_id) AS top FROM ranked) r JOIN term t ON t.tab_id = r.tab_id AND t.row_id = r.row_id WHERE rank = 1 OR top - score < 0.10),
 best AS (SELECT *, row_number() OVER (PARTITION BY tab_id, row_id ORDER BY overlap DESC, score DESC, ord) AS k FROM near)

@@ -143,6 +143,14 @@ def literal_type(spark, sf_dir) -> DataFrame:
     return rk.literal_types(read(spark, sf_dir, "events").select(F.col("user_id").alias("tab_id"), F.lit(0).alias("col_id"), value.alias("value")))
 
 
+@query("SELECT user_id AS tab_id, 0 AS col_id, round(avg(CASE WHEN event_id % 7 > 1 THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS share FROM events GROUP BY 1")
+def numeric_share(spark, sf_dir) -> DataFrame:
+    k = F.col("event_id") % 7
+    value = F.when(k == 0, F.col("event_type")).when(k == 1, None).when(k == 2, "1,234.5").otherwise(F.col("event_id").cast("string"))
+    rows = rk.numeric_shares(read(spark, sf_dir, "events").select(F.col("user_id").alias("tab_id"), F.lit(0).alias("col_id"), value.alias("value")))
+    return rows.withColumn("share", F.round("share", 6))
+
+
 @query("""WITH t AS (SELECT conv_id, turn, concat(CASE turn % 4 WHEN 0 THEN 'Answer - Q' WHEN 1 THEN 'I think Q' WHEN 2 THEN 'none of these Q' ELSE 'final: NIL, not Q' END, conv_id, ' and not Q', turn + 100) AS r FROM conversations)
 SELECT conv_id, turn, regexp_extract(r, '\\bQ\\d+\\b', 0) AS first_id, CASE turn % 4 WHEN 0 THEN concat('Q', conv_id) WHEN 3 THEN 'NIL' ELSE concat('Q', turn + 100) END AS final_id,
   CASE turn % 4 WHEN 2 THEN concat('Q', conv_id) WHEN 3 THEN 'NIL' ELSE concat('Q', conv_id) END AS of_candidates, turn % 4 >= 2 AS nil FROM t""")

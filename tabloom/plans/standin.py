@@ -36,26 +36,26 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same in SQL, up to the scores of a run with the weights %(a)s, %(b)s and %(c)s.
 CANDIDATES = f"""
-cell AS (SELECT l_orderkey AS tab_id, l_linenumber AS row_id, min(l_partkey) AS gold FROM lineitem GROUP BY 1, 2),
-kb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) AS ord FROM part) WHERE ord <= {LIMIT}),
-cand AS (
+cell AS MATERIALIZED (SELECT l_orderkey AS tab_id, l_linenumber AS row_id, min(l_partkey) AS gold FROM lineitem GROUP BY 1, 2),
+kb AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) AS ord FROM part) WHERE ord <= {LIMIT}),
+cand AS MATERIALIZED (
   SELECT c.tab_id, c.row_id, 0 AS col_id, k.ord, m.p_name AS mention, concat('Q', k.p_partkey) AS qid, k.p_name AS label,
     CAST(1 + k.p_partkey % 3 AS INTEGER) AS quality, k.p_type AS p31, k.p_brand AS p279, concat('Q', c.gold) AS gold
   FROM cell c JOIN part m ON m.p_partkey = c.gold JOIN kb k ON k.p_brand = m.p_brand AND k.p_size = m.p_size),
 size AS (SELECT tab_id, col_id, count(DISTINCT row_id) AS n FROM cand GROUP BY 1, 2),
-sup AS (
+sup AS MATERIALIZED (
   SELECT tab_id, col_id, prop, type, n_cells, CAST(n_cells AS DOUBLE) / n AS pct
   FROM (SELECT tab_id, col_id, 'p31' AS prop, p31 AS type, count(DISTINCT row_id) AS n_cells FROM cand GROUP BY 1, 2, 3, 4
         UNION ALL SELECT tab_id, col_id, 'p279', p279, count(DISTINCT row_id) FROM cand GROUP BY 1, 2, 3, 4) JOIN size USING (tab_id, col_id)),
-weight AS (SELECT tab_id, col_id, type, max(CASE WHEN prop = 'p31' THEN pct ELSE 0.5 * pct END) AS w FROM sup GROUP BY 1, 2, 3),
+weight AS MATERIALIZED (SELECT tab_id, col_id, type, max(CASE WHEN prop = 'p31' THEN pct ELSE 0.5 * pct END) AS w FROM sup GROUP BY 1, 2, 3),
 pair AS (SELECT DISTINCT mention, label FROM cand),
 word AS (SELECT mention, label, list_distinct(list_filter(string_split(lower(mention), ' '), lambda x: x <> '')) AS a, list_distinct(list_filter(string_split(lower(label), ' '), lambda x: x <> '')) AS b FROM pair),
-simil AS (
+simil AS MATERIALIZED (
   SELECT mention, label, greatest(
     CASE WHEN greatest(length(mention), length(label)) = 0 THEN 0.0 ELSE CAST(greatest(length(mention), length(label)) - levenshtein(lower(mention), lower(label)) AS DOUBLE) / greatest(length(mention), length(label)) END,
     CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE CAST(len(list_intersect(a, b)) AS DOUBLE) / len(list_distinct(list_concat(a, b))) END) AS sim
   FROM word),
-feat AS (
+feat AS MATERIALIZED (
   SELECT c.*, s.sim, 1.0 / c.quality AS qual, greatest(coalesce(x.w, 0.0), coalesce(y.w, 0.0)) AS coherence
   FROM cand c JOIN simil s ON s.mention = c.mention AND s.label = c.label
   LEFT JOIN weight x ON x.tab_id = c.tab_id AND x.col_id = c.col_id AND x.type = c.p31
@@ -65,7 +65,7 @@ feat AS (
 def scored_sql(a: float = 0.5, b: float = 0.2, c: float = 0.3, name: str = "scored", rank: str = "ranked") -> str:
     return f""",
 {name} AS (SELECT *, round(CAST({a} AS DOUBLE) * sim + CAST({b} AS DOUBLE) * qual + CAST({c} AS DOUBLE) * coherence, 9) AS score FROM feat),
-{rank} AS (
+{rank} AS MATERIALIZED (
   SELECT *, row_number() OVER w AS rank, round(score - lead(score) OVER w, 9) AS gap
   FROM {name} WINDOW w AS (PARTITION BY tab_id, row_id, col_id ORDER BY score DESC, ord))"""
 
@@ -73,6 +73,6 @@ def scored_sql(a: float = 0.5, b: float = 0.2, c: float = 0.3, name: str = "scor
 BASE = "WITH " + CANDIDATES.strip()
 SCORED = BASE + scored_sql()
 #: choice: the first candidate of each cell in each run.
-CHOICES = BASE + "".join(scored_sql(*w, name=f"s_{n}", rank=f"r_{n}") for n, w in RUNS.items()) + ",\nchoice AS (" + " UNION ALL ".join(f"SELECT '{n}' AS run, tab_id, row_id, col_id, qid, gold, score, p31, quality FROM r_{n} WHERE rank = 1" for n in RUNS) + ")"
+CHOICES = BASE + "".join(scored_sql(*w, name=f"s_{n}", rank=f"r_{n}") for n, w in RUNS.items()) + ",\nchoice AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT '{n}' AS run, tab_id, row_id, col_id, qid, gold, score, p31, quality FROM r_{n} WHERE rank = 1" for n in RUNS) + ")"
 #: hit: for each run and cell, also those without candidates, whether the choice is right.
-HITS = CHOICES + f",\nhit AS (SELECT r.run, c.tab_id, c.row_id, coalesce(h.qid = concat('Q', c.gold), false) AS hit, h.qid FROM cell c CROSS JOIN (SELECT unnest([{', '.join(repr(n) for n in RUNS)}]) AS run) r LEFT JOIN choice h ON h.run = r.run AND h.tab_id = c.tab_id AND h.row_id = c.row_id)"
+HITS = CHOICES + f",\nhit AS MATERIALIZED (SELECT r.run, c.tab_id, c.row_id, coalesce(h.qid = concat('Q', c.gold), false) AS hit, h.qid FROM cell c CROSS JOIN (SELECT unnest([{', '.join(repr(n) for n in RUNS)}]) AS run) r LEFT JOIN choice h ON h.run = r.run AND h.tab_id = c.tab_id AND h.row_id = c.row_id)"

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabloom.functions.text import missing_to_null, split_list, uri
+from tabloom.functions.text import missing_to_null, split_list, uri, uri_tail
 
 CELLS = "tab_id string, row_id int, col_id int, header string, value string"
 PREFIXES = {"cea": "http://www.wikidata.org/entity/", "cta": "http://www.wikidata.org/entity/", "cpa": "http://www.wikidata.org/prop/direct/"}
@@ -123,6 +123,28 @@ def submission(rows: DataFrame, task: str, value: str = "qid", row_offset: int =
     return out.withColumn("row_id", F.col("row_id") + row_offset) if "row_id" in rows.columns else out
 
 
+def gold_cells(rows: DataFrame, row_offset: int = 1, nil: str | None = None) -> DataFrame:
+    """(tab_id, row_id, col_id, qid) of a gold file (GOLD["cea"], texts): rows count without the header, ids are the ends of the first of several URIs.
+
+    Without an id that starts with Q a row is left out, or given with nil where that is asked for; so is a row of the header, and one whose numbers are none.
+    """
+    last = uri_tail(F.get(F.split(F.trim("entity"), r"\s+"), F.lit(0)))
+    good = last.rlike(r"^Q\d+$")
+    qid = F.when(good, last) if nil is None else F.when(good, last).otherwise(nil)
+    row = F.col("row_id").try_cast("int") - row_offset
+    out = rows.select("tab_id", row.alias("row_id"), F.col("col_id").try_cast("int").alias("col_id"), qid.alias("qid"))
+    return out.where("row_id >= 0 and col_id is not null and qid is not null")
+
+
+def read_hierarchy(spark: SparkSession, ancestors: str, descendants: str) -> DataFrame:
+    """(type, other, direction, depth) of two JSON files {type: {other: depth}}."""
+    out = []
+    for path, direction in ((ancestors, "ancestor"), (descendants, "descendant")):
+        of, name = hierarchy(F.col("value"), direction)
+        out.append(spark.read.text(path, wholetext=True).select(of, name).select("type", F.explode("others").alias("other", "depth"), "direction"))
+    return out[0].union(out[1]).select("type", "other", "direction", "depth")
+
+
 def hierarchy(json: Column, direction: str) -> list[Column]:
     """For select(): (type, other, depth) from {type: {other: depth}}; explode twice."""
     return [F.explode(F.from_json(json, "map<string,map<string,int>>")).alias("type", "others"), F.lit(direction).alias("direction")]

@@ -108,3 +108,16 @@ def test_targets_and_headers(spark):
     assert got == {0: [0, 1], 1: []}
     values = spark.createDataFrame([("[0, 2]",), ("[]",), ("[1",), (None,), ("x",)], "v string")
     assert [r[0] for r in values.select(tables.parse_targets(F.col("v"))).collect()] == [[0, 2], [], None, None, None]
+
+
+def test_gold_and_hierarchy(spark, tmp_path):
+    uri = "http://www.wikidata.org/entity/"
+    rows = [("t", "1", "0", f"{uri}Q5 {uri}Q6"), ("t", "2", "1", "Q7"), ("t", "0", "0", "Q8"), ("t", "x", "0", "Q9"), ("t", "3", "0", "NIL"), ("t", "4", "0", None), ("t", "5", "0", f"{uri}P31")]
+    gold = spark.createDataFrame(rows, tables.GOLD["cea"])
+    got = lambda **how: sorted((r["row_id"], r["col_id"], r["qid"]) for r in tables.gold_cells(gold, **how).collect())
+    assert got() == [(0, 0, "Q5"), (1, 1, "Q7")]
+    assert got(nil="NIL", row_offset=0) == [(0, 0, "Q8"), (1, 0, "Q5"), (2, 1, "Q7"), (3, 0, "NIL"), (4, 0, "NIL"), (5, 0, "NIL")]
+    (tmp_path / "up.json").write_text('{"A": {"B": 1,\n "C": 2}, "D": {}}')
+    (tmp_path / "down.json").write_text('{"A": {"E": 1}}')
+    found = tables.read_hierarchy(spark, str(tmp_path / "up.json"), str(tmp_path / "down.json"))
+    assert sorted(map(tuple, found.collect())) == [("A", "B", "ancestor", 1), ("A", "C", "ancestor", 2), ("A", "E", "descendant", 1)]
