@@ -8,6 +8,10 @@ may be twice as long as it was, a shorter one must be nearly whole. A notice has
 find must have one of them aligned; so no place is missed that has COVERAGE within the slack. Anchors are unique within
 those words and not within the text, as a text may hold a notice twice.
 
+Beside notices, licenses that are named in passing (SPDX identifiers, `GPLv3`, `MIT License`) are found by MENTIONS; they
+are no aligned notices, and a notice that has their words goes before them. A short mention after `not` in its sentence is
+none.
+
 The share of the notice's words that are aligned is its coverage; COVERAGE or more is a find, unless one of the words that
 tell the notice from others of its family (TELLING) is not aligned or a word of another license (FOREIGN) stands among
 the aligned ones. Where notices are aligned to the same words, the one with the most of them aligned wins the place;
@@ -149,6 +153,14 @@ NOTICES |= {
     "epl-1.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution",
     "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
 }
+#: The first paragraph of a header of the GNU licenses, whatever the work is called; and the second.
+_GRANT = "is free software: you can redistribute it and/or modify it under the terms of the GNU {0}General Public License as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
+_GRANTS = {"gpl-2.0": ("", "2"), "gpl-3.0": ("", "3"), "lgpl-2.1": ("Lesser ", "2.1"), "lgpl-3.0": ("Lesser ", "3"), "agpl-3.0": ("Affero ", "3")}
+NOTICES |= {f"{name}-grant": _GRANT.format(*of) for name, of in _GRANTS.items()}
+NOTICES["gnu-warranty"] = (
+    "is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
+    "See the GNU General Public License for more details."
+)
 
 
 def _telling() -> tuple[dict[str, set[str]], dict[str, set[str]]]:
@@ -178,6 +190,10 @@ def _telling() -> tuple[dict[str, set[str]], dict[str, set[str]]]:
             word = {"gpl": set(), "lgpl": {"lesser"}, "agpl": {"affero"}}[m[1]]
             telling[name] = word | ({m[2]} if m[2] else set()) | ({m[3]} if m[3] and m[3] != "0" else set())
             foreign[name] = {"lesser", "affero", "library"} - word
+        elif name.endswith("-grant"):
+            word, version = _GRANTS[name.removesuffix("-grant")]
+            telling[name] = {*word.lower().split(), *version.split(".")}
+            foreign[name] = {"lesser", "affero", "library"} - set(word.lower().split())
     return telling, foreign
 
 
@@ -187,6 +203,43 @@ COVERAGE = 0.8
 #: Words from which on a notice may be twice as long in a text.
 SHORT = 20
 WORD = re.compile(r"\w+")
+#: How licenses are named in passing, in lower case; the name of a find is that of the pattern with its groups.
+MENTIONS = {
+    "spdx-{0}": r"spdx-license-identifier:\s*\(?([a-z0-9][a-z0-9.+-]*)",
+    "mit-mention": r"\bmit[- ]licen[cs]e\b",
+    "{0}-{1}-mention": r"\b([al]?gpl)[- ]?v?\.? ?([123](?:\.[01])?)(?![\w.]*\d)",
+    "gnu-{0}gpl-{1}-mention": r"\bgnu (?:(lesser|affero|library) )?general public licen[cs]e,? ?(?:\([al]?gpl\),? )?v(?:ersion)?\.? ?([123](?:\.[01])?)",
+    "apache-2.0-mention": r"\bapache(?: software)? licen[cs]e,? ?v?(?:ersion )?2(?:\.0)?\b|\bapache-2\.0\b",
+    "bsd-{0}-clause-mention": r"\bbsd[- ]([234])[- ]clause\b|\b([234])[- ]clause bsd\b",
+    "boost-1.0-mention": r"\bboost software licen[cs]e\b|\bbsl-1\.0\b",
+    "mpl-{0}-mention": r"\bmozilla public licen[cs]e,? ?v?(?:ersion )?([12]\.[01])\b|\bmpl[- ]?v?([12]\.[01])\b",
+    "cc-{0}-{1}-mention": r"\bcc[- ](by(?:-(?:nc|sa|nd))*)[- ]v?([1-4]\.0)\b",
+}
+GNU_VERSIONS = {"gpl": ("1.0", "2.0", "3.0"), "lgpl": ("2.0", "2.1", "3.0"), "agpl": ("1.0", "3.0")}
+_MENTIONS = [(name, re.compile(pattern)) for name, pattern in MENTIONS.items()]
+#: A text without any of these has no mention.
+_HINTS = ("licen", "gpl", "apache", "bsd", "bsl", "mpl", "cc-by", "cc by")
+#: What before a short mention, in its sentence, turns it round, and how many words before it.
+NEGATED, BEFORE = re.compile(r"(?:\bnot\b|\bnever\b|n't\b|n’t\b)[^.;:!?\n]*\Z"), 6
+
+
+def mentions(text: str) -> Iterator[tuple[str, int, int]]:
+    """(name, start, end) of the licenses that a lower-case text names in passing; characters."""
+    if not any(hint in text for hint in _HINTS):
+        return
+    for name, pattern in _MENTIONS:
+        for m in pattern.finditer(text):
+            groups = [g for g in m.groups() if g is not None]
+            if "gpl" in pattern.pattern:
+                family = f"{ {'lesser': 'l', 'library': 'l', 'affero': 'a'}.get(m[1], '')}gpl" if name.startswith("gnu") else m[1]
+                if _version(m[2]) in GNU_VERSIONS[family]:
+                    yield f"{family}-{_version(m[2])}-mention", m.start(), m.end()
+            else:
+                yield name.format(*groups), m.start(), m.end()
+
+
+def _version(v: str) -> str:
+    return v if "." in v else f"{v}.0"
 
 
 def slack(n: int) -> int:
@@ -284,6 +337,9 @@ class Scanner:
         self.words = {name: WORD.findall(text.lower()) for name, text in sorted(notices.items())}
         self.counts = {name: Counter(ws) for name, ws in self.words.items()}
         self.coverage = coverage
+        #: Licenses named in passing are looked for beside our own notices only.
+        self.named = notices is NOTICES or notices == NOTICES
+        self.short = {name for name, ws in self.words.items() if len(ws) < SHORT}
         # of notices of the caller's, only those worded as here
         same = {name for name, text in notices.items() if NOTICES.get(name) == text}
         self.telling = {name: TELLING.get(name, set()) if name in same else set() for name in notices}
@@ -340,10 +396,15 @@ class Scanner:
             return []
         return [(x, low + y) for x, y in pairs]
 
+    @staticmethod
+    def _negated(text: str, starts: list[int], first: int) -> bool:
+        return NEGATED.search(text[starts[max(0, first - BEFORE)] : starts[first]]) is not None
+
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """(name, coverage, first and last word) of each place of a notice, by name and place."""
         text = (text or "").lower()
-        if not self.seed or not self.seed.search(text):
+        named = list(mentions(text)) if self.named else []
+        if not named and (not self.seed or not self.seed.search(text)):
             return []
         ws = WORD.findall(text)
         todo: dict[str, set[tuple[int, int]]] = {}
@@ -375,6 +436,12 @@ class Scanner:
                 if pairs := self._aligned(name, seed, k, low, ws[low : int(highs[j])]):
                     known.update(pairs)
                     finds.append((len(pairs), len(pairs) / n, name, [y for _, y in pairs]))
+        if named or any(name in self.short for _, _, name, _ in finds):
+            starts_at = [m.start() for m in WORD.finditer(text)]
+            for name, a, b in named:
+                at = list(range(bisect_left(starts_at, a), bisect_left(starts_at, b)))
+                finds.append((len(at), 1.0, name, at))
+            finds = [f for f in finds if not (f[2] in self.short or f[2] not in self.words) or not self._negated(text, starts_at, f[3][0])]
         out: set[tuple[str, float, int, int]] = set()
         won: dict[int, int] = {}
         for number, (n, share, name, at) in enumerate(sorted(finds, key=lambda f: (-f[0], -f[1], f[3][0], f[2]))):

@@ -2,6 +2,7 @@ import random
 import time
 from itertools import pairwise
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -59,7 +60,8 @@ def test_full_notices():
         assert found[name][1:] == (1.0, 800, 800 + n - 1)
         if n > 20:
             words = text.split()
-            changed = " ".join("other" if k % 12 == 5 else w + " extra" if k % 15 == 7 else w for k, w in enumerate(words))
+            telling = licenses.TELLING.get(name, set())  # without these it is another license
+            changed = " ".join("other" if k % 12 == 5 and telling.isdisjoint(licenses.WORD.findall(w.lower())) else w + " extra" if k % 15 == 7 else w for k, w in enumerate(words))
             assert 0.8 <= {f[0]: f for f in scan(prose + changed + prose)}[name][1] < 1
             assert name not in {f[0] for f in scan(" ".join(words[: len(words) // 2]) + " " + prose)}
 
@@ -116,3 +118,39 @@ def test_align_is_common_and_increasing(a, b):
     pairs = licenses.align(a, b)
     assert all(a[i] == b[j] for i, j in pairs) and all(p < q and r < s for (p, r), (q, s) in pairwise(pairs))
     assert len(licenses.align(a, a)) == len(a)
+
+
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("SPDX-License-Identifier: MIT", ["spdx-mit"]),
+        ("// SPDX-License-Identifier: GPL-2.0-or-later", ["spdx-gpl-2.0-or-later"]),
+        ("(c) 2020 Foo. MIT License", ["mit-mention"]),
+        ("GPLv3", ["gpl-3.0-mention"]),
+        ("This is LGPL v2.1 code.", ["lgpl-2.1-mention"]),
+        ("see the GNU Affero General Public License, version 3", ["agpl-3.0-mention"]),
+        ("Boost Software License - Version 1.0", ["boost-1.0-mention"]),
+        ("under the 3-clause BSD license", ["bsd-3-clause-mention"]),
+        ("Apache License 2.0", ["apache-2.0-mention"]),
+        ("CC BY-SA 4.0", ["cc-by-sa-4.0-mention"]),
+        ("This code is **not** released under the MIT License.", []),
+        ("It isn't licensed under the GPLv3", []),
+        ("Do not remove this line. Released under the MIT License.", ["mit-line"]),
+        ("Released under the MIT License.", ["mit-line"]),
+        ("a gpl 35 part, the mpl of 2.05 and no license at all", []),
+        (
+            "This file is part of Foo. Foo is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+            ["gpl-3.0-grant"],
+        ),
+        (
+            "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+            ["lgpl-2.1-grant"],
+        ),
+    ],
+)
+def test_names_in_passing(text, names):
+    assert sorted({f[0] for f in licenses.Scanner(licenses.NOTICES).scan(text)}) == names
+
+
+def test_empty_table(spark):
+    assert licenses.scan(spark.createDataFrame([], "doc_id long, text string, licenses string")).count() == 0
