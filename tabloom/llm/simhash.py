@@ -10,8 +10,9 @@ That finds fingerprints a few bits apart. Texts whose shingles have a Jaccard si
 no choice of blocks finds such pairs without comparing nearly all. So near_dedup(), which looks for texts of that
 similarity, takes its shards from min-hashes: BANDS keys of ROWS min-hashes each, of which two texts of similarity 0.8
 share one with a probability of 0.998. In a shard the BK-tree is searched as above, within WIDE bits, and a pair that is
-found is linked if its similarity, counted over the shingles, is SIMILARITY or more. Texts of more than LEAST shingles are
-compared by the LEAST least hashes of both, with a standard error of 0.0125.
+found is linked if its similarity, counted over the shingles, is SIMILARITY or more; a text that has too many shingles of
+its own in a shard to be that alike with any is left out before. Texts of more than LEAST shingles are compared by the
+LEAST least hashes of both, with a standard error of 0.0125; with most=None all are compared over whole sets.
 
 Nulls and texts without words have fingerprint zero and are linked like any other; repeated rows each keep their row in
 near_groups(); a null doc_id never is a component's id unless all are null; an empty table gives an empty one; other
@@ -87,20 +88,35 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return ((keys ^ (keys >> np.uint64(29))) * _KEYS[1]).view(np.int64)
 
 
-def least(hashes: np.ndarray) -> np.ndarray:
-    """The LEAST least of the distinct hashes, of which 32 bits are taken."""
-    return np.unique((hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32))[:LEAST]
+def least(hashes: np.ndarray, most: int | None = LEAST) -> np.ndarray:
+    """The least of the distinct hashes, of which 32 bits are taken: `most` of them, or all."""
+    return np.unique((hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32))[:most]
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
+def similarity(a: np.ndarray, b: np.ndarray, most: int | None = LEAST) -> float:
     """Jaccard similarity of what least() gave: exact for whole sets, an estimate if one was cut off."""
-    if len(a) == LEAST or len(b) == LEAST:
-        both = np.union1d(a, b)[:LEAST]
+    if most in (len(a), len(b)):
+        both = np.union1d(a, b)[:most]
         return len(np.intersect1d(np.intersect1d(a, b, assume_unique=True), both, assume_unique=True)) / len(both)
     shared = len(np.intersect1d(a, b, assume_unique=True))
     return shared / max(1, len(a) + len(b) - shared)
 
 
+def may_be_alike(sets: list[np.ndarray], alike: float, most: int | None = LEAST) -> list[int]:
+    """Places of the sets that may be alike with another one: so few of a set's hashes are its own that the rest can be the share that is asked for.
+
+    Pages that have a template in common and a fifth or more of their own text drop out here, before they are compared. A
+    set that was cut off always stays.
+    """
+    every = np.sort(np.concatenate(sets))
+    out = []
+    for k, s in enumerate(sets):
+        shared = len(s) if len(s) == most else int((np.searchsorted(every, s, "right") - np.searchsorted(every, s) > 1).sum())
+        if shared >= alike * len(s) - 1e-9:
+            out.append(k)
+    return out
+
+
 class Tree:
     """A BK-tree of integers. Nodes can be taken out; subtrees without nodes are skipped."""
 
@@ -223,13 +239,14 @@ def _linked(rest: np.ndarray, batch: pa.RecordBatch | None, radius: int) -> tupl
     return [edges] if a else [], rest
 
 
-def _set_runs(radius: int, alike: float):
+def _set_runs(radius: int, alike: float, most: int | None):
     """As _runs, of nodes with shingles: pairs within the radius are linked if they are alike enough."""
 
     def edges(shard: list[tuple[bytes, int, bytes]]) -> pa.RecordBatch | None:
-        nodes, fps = [r[0] for r in shard], [r[1] & 0xFFFFFFFFFFFFFFFF for r in shard]
         sets = [np.frombuffer(r[2], np.uint32) for r in shard]
-        pairs = [(min(nodes[k] for k in group), nodes[j]) for group in groups(fps, radius, lambda i, j: similarity(sets[i], sets[j]) >= alike) for j in group]
+        some = may_be_alike(sets, alike, most)
+        nodes, fps, sets = [shard[k][0] for k in some], [shard[k][1] & 0xFFFFFFFFFFFFFFFF for k in some], [sets[k] for k in some]
+        pairs = [(min(nodes[k] for k in group), nodes[j]) for group in groups(fps, radius, lambda i, j: similarity(sets[i], sets[j], most) >= alike) for j in group]
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"]) if pairs else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +265,7 @@ def _set_runs(radius: int, alike: float):
     return run
 
 
-def _search(keys: DataFrame, radius: int, shard: int, pass_nodes: int, alike: float | None = None) -> DataFrame:
+def _search(keys: DataFrame, radius: int, shard: int, pass_nodes: int, alike: float | None = None, most: int | None = LEAST) -> DataFrame:
     """(a, b): edges that connect the members of shards that are within the radius of each other, and alike if that is asked for.
 
     keys: key, fp (long), a row for each member of a shard; fp is the node, or with `alike` the column node (binary), and set holds its shingles.
@@ -261,7 +278,7 @@ def _search(keys: DataFrame, radius: int, shard: int, pass_nodes: int, alike: fl
         keys = keys.join(small(hot, n_hot), "key", "left").select("key", F.pmod(F.xxhash64(node, "key"), parts).alias("chunk"), *mine)
     else:
         keys = keys.select("key", F.lit(0).cast("long").alias("chunk"), *mine)
-    run = _set_runs(radius, alike) if alike else _runs(radius)
+    run = _set_runs(radius, alike, most) if alike else _runs(radius)
     edges = cut(keys.repartition("key", "chunk").sortWithinPartitions("key", "chunk", node).mapInArrow(run, f"a {kind}, b {kind}"))
     if not n_hot:
         return edges
@@ -278,7 +295,7 @@ def _search(keys: DataFrame, radius: int, shard: int, pass_nodes: int, alike: fl
         for r in minor.where(number() == k).toArrow().to_pylist():  # at most pass_nodes rows
             shards.setdefault(r["key"], []).append(r)
         trees = rows.sparkSession.sparkContext.broadcast({key: (Tree(r["fp"] & 0xFFFFFFFFFFFFFFFF for r in of), [r["label"] for r in of], [r.get("set") for r in of]) for key, of in shards.items()})
-        edges = edges.union(cut(rows.mapInArrow(_against(trees, radius, alike), f"a {kind}, b {kind}").distinct()))
+        edges = edges.union(cut(rows.mapInArrow(_against(trees, radius, alike, most), f"a {kind}, b {kind}").distinct()))
         trees.unpersist()
     return edges.union(labels.select("__node", "label"))
 
@@ -294,14 +311,14 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shard: int
     return components(_search(keys, radius, shard, pass_nodes))
 
 
-def _against(trees, radius: int, alike: float | None):
+def _against(trees, radius: int, alike: float | None, most: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = set()
             for r in batch.to_pylist():
                 tree, labels, sets = trees.value.get(r["key"], (None, None, None))
                 for j in tree.search(r["fp"] & 0xFFFFFFFFFFFFFFFF, radius) if tree else ():
-                    if labels[j] != r["label"] and (alike is None or similarity(np.frombuffer(r["set"], np.uint32), np.frombuffer(sets[j], np.uint32)) >= alike):
+                    if labels[j] != r["label"] and (alike is None or similarity(np.frombuffer(r["set"], np.uint32), np.frombuffer(sets[j], np.uint32), most) >= alike):
                         out.add((min(r["label"], labels[j]), max(r["label"], labels[j])))
             kind = batch.schema.field("label").type
             a, b = zip(*sorted(out), strict=True) if out else ((), ())
@@ -337,18 +354,18 @@ def _described(width: int):
     return run
 
 
-def _sets(width: int):
+def _sets(width: int, most: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [_words(text) for text in batch.column("text").to_pylist()]
             nodes = pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in words], pa.binary())
-            yield pa.RecordBatch.from_arrays([nodes, pa.array([least(shingles(w, width)).tobytes() for w in words], pa.binary())], names=["node", "set"])
+            yield pa.RecordBatch.from_arrays([nodes, pa.array([least(shingles(w, width), most).tobytes() for w in words], pa.binary())], names=["node", "set"])
         give_back()
 
     return run
 
 
-def alike_groups(docs: DataFrame, width: int = WIDTH, alike: float = SIMILARITY, radius: int = WIDE, shard: int = SHARD, pass_nodes: int = PASS_SETS) -> DataFrame:
+def alike_groups(docs: DataFrame, width: int = WIDTH, alike: float = SIMILARITY, radius: int = WIDE, shard: int = SHARD, pass_nodes: int = PASS_SETS, most: int | None = LEAST) -> DataFrame:
     """(doc_id, hash, label) of every row: the text's hash and its group. Texts of the same words are alike, others by their shingles."""
     session(docs)
     kind = dict(docs.dtypes)["doc_id"]
@@ -362,9 +379,9 @@ def alike_groups(docs: DataFrame, width: int = WIDTH, alike: float = SIMILARITY,
     company = cut(company)
     some = cut(nodes.join(small(company), "fp", "left_semi").select("hash").distinct())
     sets = docs.select("text").where("text is not null").join(small(some).withColumnRenamed("hash", "__hash"), hash_ == F.col("__hash"), "left_semi")
-    sets = cut(sets.mapInArrow(_sets(width), "node binary, set binary").dropDuplicates(["node"]))
+    sets = cut(sets.mapInArrow(_sets(width, most), "node binary, set binary").dropDuplicates(["node"]))
     keys = each.join(small(company), "fp", "left_semi").join(sets, "node").select("key", "node", "fp", "set")
-    labels = components(_search(keys, radius, shard, pass_nodes, alike)).withColumnRenamed("node", "__node")
+    labels = components(_search(keys, radius, shard, pass_nodes, alike, most)).withColumnRenamed("node", "__node")
     return rows.join(labels, F.col("node") == F.col("__node"), "left").select("doc_id", "hash", F.coalesce("label", "node").alias("label"))
 
 

@@ -109,3 +109,37 @@ def test_near_dedup_of_table(spark, small_dir):
         first.setdefault(g, k)
     got = simhash.near_dedup(spark.read.parquet(f"{small_dir}/documents.parquet"))
     assert sorted(r.doc_id for r in got.select("doc_id").collect()) == sorted(first.values())
+
+
+def test_templated_pages_are_not_compared():
+    """Thousands of pages of one template drop out of a shard before they are compared; those that are alike stay."""
+    import time
+
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    template = rng.integers(0, 1 << 32, 300, np.uint32)
+    pages = [np.unique(np.concatenate([template, rng.integers(0, 1 << 32, 114, np.uint32)])) for _ in range(20_000)]
+    pages.append(np.unique(np.concatenate([pages[7][:-3], rng.integers(0, 1 << 32, 2, np.uint32)])))
+    began = time.time()
+    assert simhash.may_be_alike(pages, 0.8) == [7, 20_000]
+    assert time.time() - began < 60
+    cut_off = [rng.integers(0, 1 << 32, simhash.LEAST, np.uint32) for _ in range(3)]
+    assert simhash.may_be_alike(cut_off, 0.8) == [0, 1, 2] and simhash.may_be_alike(cut_off, 0.8, None) == []
+
+
+def test_long_texts_over_whole_sets(spark):
+    rng = random.Random(6)
+    texts = []
+    for _ in range(12):
+        first = [f"w{rng.randrange(9000)}" for _ in range(3000)]
+        texts.append(" ".join(first))
+        for k in (55, 62, 66, 70, 75):  # around the limit
+            edited = list(first)
+            for at in rng.sample(range(3000), k):
+                edited[at] = "new%d" % rng.randrange(99999)
+            texts.append(" ".join(edited))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: bytes(r.label) for r in simhash.alike_groups(table, most=None).collect()}
+    want = clusters(texts)
+    assert not [(i, j) for i in range(len(texts)) for j in range(i) if (got[i] == got[j]) != (want[i] == want[j])]
