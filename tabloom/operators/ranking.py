@@ -73,12 +73,13 @@ def features_by_cell(candidates: DataFrame) -> DataFrame:
     named = F.filter(F.array_union("p31", "p279"), lambda t: t.isNotNull() & (t != ""))
     types = types.select(*CELL, F.inline(F.concat(marker, F.transform(named, type_of))))
     counts = types.groupBy(*COLUMN, "type").agg(F.count(F.lit(1)).alias("n"), F.sum("p31").alias("n31"), F.sum("p279").alias("n279"))
-    known = types.select(*CELL, "type").join(counts, [*COLUMN, "type"]).groupBy(*CELL).agg(F.map_from_entries(F.collect_list(F.struct("type", F.struct("n", "n31", "n279")))).alias("counts"))
-    total = F.element_at("counts", F.lit(""))["n"]
+    mine = types.select(*CELL, "type").join(counts, [*COLUMN, "type"])
+    mine = mine.groupBy(*CELL).agg(F.max(F.when(F.col("type") == "", F.col("n"))).alias("total"), F.collect_list(F.struct("type", "n31", "n279")).alias("counts"))
+    share = F.transform("counts", lambda t: F.struct(t["type"], F.greatest(t["n31"] / F.col("total"), 0.5 * (t["n279"] / F.col("total")))))
+    known = mine.select(*CELL, F.map_from_entries(share).alias("weights"))
 
     def weight(t: Column) -> Column:
-        of = F.try_element_at("counts", t)
-        return F.coalesce(F.greatest(of["n31"] / total, 0.5 * (of["n279"] / total)), F.lit(0.0))
+        return F.coalesce(F.try_element_at("weights", t), F.lit(0.0))
 
     def coherent(c: Column) -> Column:
         found = F.transform(F.array_union(F.coalesce(c["p31"], none), F.coalesce(c["p279"], none)), weight)
