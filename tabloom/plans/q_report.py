@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.text import STOP_WORDS, counts_as_token, strip_signs
 from tabloom.operators import assembly as asm
+from tabloom.operators import ranking as rk
 from tabloom.operators import report
-from tabloom.plans.q_eval import choices, gold
-from tabloom.plans.standin import BASE, CHOICES, candidates, read
+from tabloom.plans.q_eval import gold
+from tabloom.plans.standin import BASE, CHOICES, RUNS, features, found, read
 
 CATALOG: dict[str, tuple] = {}
 
@@ -69,10 +70,8 @@ UNION ALL SELECT 'rows', q, sum([q1, q2, q3][q])::BIGINT FROM p, (SELECT unnest(
 
 @query(BASE + _MISSES)
 def candidate_misses(spark, sf_dir) -> DataFrame:
-    cells = gold(spark, sf_dir).withColumn("col_id", F.lit(0))
-    found = candidates(spark, sf_dir).where("quality <> 2 or tab_id % 2 = 0")
-    every = asm.with_placeholders(cells.select("tab_id", "row_id", "col_id", F.lit("m").alias("mention")), found)
-    return report.candidate_misses(cells.select("tab_id", "row_id", "col_id", F.col("gold").alias("qid")), every)
+    one = F.filter("of", lambda c: (c["quality"] != 2) | (F.col("tab_id") % 2 == 0))
+    return report.candidate_misses_of_cells(found(spark, sf_dir).withColumn("of", one))
 
 
 _PAIRS = """WITH g AS (SELECT o_orderkey AS tab_id, 0 AS sub_col, o_custkey % 2 + 1 AS obj_col, 'P' || o_custkey % 5 AS property FROM orders WHERE o_orderkey % 7 > 0),
@@ -97,9 +96,9 @@ SELECT bin, count(score) AS n, round(avg(score), 6) AS mean_score, CASE WHEN cou
 
 @query(CHOICES + _BINNED)
 def accuracy_bins(spark, sf_dir) -> DataFrame:
-    made = choices(spark, sf_dir).where("run = 'a_default'").select("tab_id", "row_id", "qid")
-    hits = gold(spark, sf_dir).join(made, ["tab_id", "row_id"], "left").select("tab_id", F.lit(0).alias("col_id"), F.coalesce(F.col("qid") == F.col("gold"), F.lit(False)).alias("hit"))
-    columns = hits.select("tab_id", "col_id").distinct()
+    made = rk.best_by_setting(features(spark, sf_dir), {"a_default": RUNS["a_default"]}, ["qid"], ["gold"], every=True)
+    hits = made.select("tab_id", "col_id", F.coalesce(F.col("qid") == F.col("gold"), F.lit(False)).alias("hit"))
+    columns = gold(spark, sf_dir).select("tab_id", F.lit(0).alias("col_id")).distinct()
     score = F.element_at(F.array(*map(F.lit, (1.0, 0.8, 0.7, 0.0))), (F.col("tab_id") % 4).cast("int") + 1)
     return report.accuracy_bins(asm.column_accuracy(hits, columns.withColumn("score", score), columns))
 
