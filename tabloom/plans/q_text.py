@@ -123,10 +123,11 @@ def best_string_sim(spark, sf_dir) -> DataFrame:
 
 @query("SELECT p_brand, count(*) AS n, count(CASE WHEN abs(a - b) <= greatest(0.5, 0.02 * greatest(abs(a), abs(b))) THEN 1 END) AS n_close FROM (SELECT a.p_brand, a.p_retailprice AS a, b.p_retailprice AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size) GROUP BY p_brand")
 def numeric_match(spark, sf_dir) -> DataFrame:
-    p = read(spark, sf_dir, "part").select("p_brand", "p_size", "p_retailprice")
-    rows = p.join(p.withColumnRenamed("p_retailprice", "other"), ["p_brand", "p_size"])
+    p = read(spark, sf_dir, "part").groupBy("p_brand", "p_size", "p_retailprice").agg(F.count(F.lit(1)).alias("n"))  # equal prices are compared once
+    rows = p.join(p.withColumnsRenamed({"p_retailprice": "other", "n": "m"}), ["p_brand", "p_size"])
     close = sim.numbers_close(sim.to_number(F.col("p_retailprice").cast("string")), F.col("other"))
-    return rows.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(close, 1)).alias("n_close"))
+    pairs = F.col("n") * F.col("m")
+    return rows.groupBy("p_brand").agg(F.sum(pairs).alias("n"), F.sum(F.when(close, pairs).otherwise(0)).alias("n_close"))
 
 
 @query("SELECT o_orderkey, (1990 + o_orderkey % 10) = CAST(year(o_orderdate) AS BIGINT) AS matched FROM orders")
