@@ -15,3 +15,13 @@ def test_numeric_match_compares_different_prices(spark, tmp_path):
     assert sorted(map(tuple, out.collect())) == [("b", 3001**2 + 1, 3000**2 + 1), ("c", 1, 1)]
     plan = plan_of(out)
     assert "p_retailprice" in plan[plan.index("Join") :].split("HashAggregate(keys=[", 1)[1].split("]")[0]
+
+
+def test_table_windows_shuffle_a_row_once(spark):
+    rows = [(t, k, f"{t}{k}") for t, n in (("a", 25), ("b", 20), ("c", 3)) for k in range(n)] + [("d", 7, "x"), ("d", 0, None), (None, 0, "y"), ("e", None, "z")]
+    out = prep.table_windows(spark.createDataFrame(rows, "tab_id string, row_id int, text string"), 20)
+    plan = plan_of(out)
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    got = {(r.tab_id, r.row_id): (r.n_rows, r.first_row, r.context) for r in out.collect()}
+    assert len(got) == 50 and got["a", 24] == (11, 14, "|".join(f"a{k}" for k in range(14, 25))) and got["a", 3] == (20, 0, "|".join(f"a{k}" for k in range(20)))
+    assert got["b", 19] == (20, 0, "|".join(f"b{k}" for k in range(20))) and got["c", 2] == (3, 0, "c0|c1|c2") and got["d", 7] == (2, 0, "x")
