@@ -1,5 +1,8 @@
 """Plans whose work grows with the input alone, and their results on odd rows."""
 
+from pyspark.sql import functions as F
+
+from tabloom.operators import evaluation as ev
 from tabloom.operators import prep
 from tabloom.plans import catalog
 
@@ -25,3 +28,20 @@ def test_table_windows_shuffle_a_row_once(spark):
     got = {(r.tab_id, r.row_id): (r.n_rows, r.first_row, r.context) for r in out.collect()}
     assert len(got) == 50 and got["a", 24] == (11, 14, "|".join(f"a{k}" for k in range(14, 25))) and got["a", 3] == (20, 0, "|".join(f"a{k}" for k in range(20)))
     assert got["b", 19] == (20, 0, "|".join(f"b{k}" for k in range(20))) and got["c", 2] == (3, 0, "c0|c1|c2") and got["d", 7] == (2, 0, "x")
+
+
+def test_bootstrap_draws_are_no_rows(spark):
+    rows = [(r, c, (c * 7 + k) % 50, 50 + c % 3) for c in range(300) for k, r in enumerate("abc") if (c + k) % 5]
+    sums = spark.createDataFrame(rows, "run string, cluster long, hits long, n long")
+    made = ev.bootstrap(sums, 40, ["a", "b", "c"], seed=3)
+    assert "MapInArrow" in plan_of(made)
+    pairs = spark.range(40 * 300).selectExpr("id div 300 AS rep", "id % 300 AS j")
+    slow = ev.draws(pairs, 300, 3).join(sums, F.col("k") == F.col("cluster")).groupBy("run", "rep").agg((F.sum("hits") / F.sum("n")).alias("rate"))
+    want = sorted(map(tuple, slow.collect()))
+    assert sorted(map(tuple, made.collect())) == want
+    held = ev.MOST_CLUSTERS, ev.BLOCK, ev.SLICE
+    try:
+        ev.MOST_CLUSTERS, ev.BLOCK, ev.SLICE = 10, 64, 100
+        assert sorted(map(tuple, ev.bootstrap(sums, 40, ["a", "b", "c"], seed=3).collect())) == want
+    finally:
+        ev.MOST_CLUSTERS, ev.BLOCK, ev.SLICE = held
