@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tabloom.operators import evaluation as ev
-from tabloom.operators import prep
+from tabloom.operators import lookup, prep
 from tabloom.plans import catalog
 
 
@@ -45,3 +45,16 @@ def test_bootstrap_draws_are_no_rows(spark):
         assert sorted(map(tuple, ev.bootstrap(sums, 40, ["a", "b", "c"], seed=3).collect())) == want
     finally:
         ev.MOST_CLUSTERS, ev.BLOCK, ev.SLICE = held
+
+
+def test_search_of_repeated_names_looks_up_each_once(spark, monkeypatch):
+    looked = []
+    monkeypatch.setattr(lookup, "_by_rare_words", lambda terms, posts, limit, of=lookup._by_rare_words: looked.append((terms.count(), posts.count())) or of(terms, posts, limit))
+    texts = [f"{a} {b} {c}" for a in "pqr" for b in "stu" for c in "vwx"]
+    names = spark.createDataFrame([(k, texts[k * 7 % 27] if k % 2 else texts[k * 7 % 27].upper()) for k in range(540)], "id long, name string")
+    some = [*texts, "v s p", "p p s", "p", "p s nothing", "p nothing"]
+    queries = spark.createDataFrame([(t,) for t in some], "term string")
+    for limit, unsettled in ((5, 0), (500, 31)):
+        want = sorted(map(tuple, lookup.search_words(queries, names, limit).collect()))
+        assert sorted(map(tuple, lookup.search_rare_words(queries, names, limit, 2).collect())) == want
+        assert looked == ([] if not unsettled else [(90, 81)])
