@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tabloom.operators import evaluation as ev
 from tabloom.operators import lookup, prep
+from tabloom.operators import ranking as rk
 from tabloom.plans import catalog
 
 
@@ -58,3 +59,18 @@ def test_search_of_repeated_names_looks_up_each_once(spark, monkeypatch):
         want = sorted(map(tuple, lookup.search_words(queries, names, limit).collect()))
         assert sorted(map(tuple, lookup.search_rare_words(queries, names, limit, 2).collect())) == want
         assert looked == ([] if not unsettled else [(90, 81)])
+
+
+def test_candidates_are_found_once_a_query(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(rk, "LIST_PART", 3)
+    customers = [(k, k % 4) for k in range(60)] + [(7, 1), (7, 1), (30, 3), (5, None), (None, 2), (61, None)]
+    suppliers = [(k, k % 5) for k in range(90)] + [(8, 1), (8, 3), (9, None), (None, 2)]
+    c, s = spark.createDataFrame(customers, "c_custkey long, c_nationkey int"), spark.createDataFrame(suppliers, "s_suppkey long, s_nationkey int")
+    c.write.parquet(str(tmp_path / "customer.parquet"))
+    s.write.parquet(str(tmp_path / "supplier.parquet"))
+    cols = lambda gen: [F.col("c_custkey").alias("tab_id"), F.lit(0).alias("row_id"), F.lit(0).alias("col_id"), F.lit(gen).alias("gen"), F.col("s_suppkey").alias("pos"), F.concat(F.lit("Q"), F.col("s_suppkey").cast("string")).alias("qid")]
+    rows = c.join(s, c.c_nationkey == s.s_nationkey).select(cols(1)).unionByName(c.join(s, c.c_custkey % 25 == s.s_suppkey % 25).select(cols(2)))
+    for name, cap in (("candidate_dedup", 0), ("candidate_cap", 5)):
+        out, want = catalog.QUERIES[name](spark, str(tmp_path)), rk.dedup(rows, cap).select("tab_id", "gen", "qid", "ord")
+        assert "Window" not in plan_of(out) and "tab_id" not in "".join(line for line in plan_of(out).splitlines() if "Exchange" in line)
+        assert sorted(map(str, out.collect())) == sorted(map(str, want.collect())) and out.dtypes == want.dtypes
