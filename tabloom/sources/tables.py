@@ -6,7 +6,7 @@ import csv
 import io
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,41 +18,76 @@ TARGETS = {"cea": "tab_id string, row_id int, col_id int", "cta": "tab_id string
 GOLD = {"cea": "tab_id string, row_id string, col_id string, entity string", "cta": "tab_id string, col_id string, type string", "cpa": "tab_id string, sub_col string, obj_col string, property string"}
 
 
-def _table(path: str, content: bytes) -> pd.DataFrame:
-    """A file's cells, or one row that says why there are none."""
+#: Cells, and bytes of files, that are given out together.
+BATCH_CELLS, BATCH_BYTES = 20_000, 4 << 20
+_PARSED = pa.schema([("tab_id", pa.string()), ("row_id", pa.int32()), ("col_id", pa.int32()), ("header", pa.string()), ("value", pa.string()), ("error", pa.string())])
+
+
+def _rows(content: bytes) -> tuple[list[str], list[list[str]]]:
+    """The header and the rows of a file; a ValueError or csv.Error says why there are none."""
+    text = content.decode("utf-8-sig")
+    if not text.strip():
+        raise ValueError("empty file")
     try:
-        text = content.decode("utf-8-sig")
-        if not text.strip():
-            raise ValueError("empty file")
-        try:
-            header, *rows = csv.reader(io.StringIO(text, newline=""), strict=True)
-        except csv.Error as error:
-            if "end of data" in str(error):
-                raise ValueError("unbalanced quotes") from error
-            header, *rows = csv.reader(io.StringIO(text, newline=""))  # text after a closing quote is taken as it is
-        out = [(r, c, header[c] if c < len(header) else None, v, None) for r, row in enumerate(filter(None, rows)) for c, v in enumerate(row)]
-    except (ValueError, csv.Error) as error:
-        kind = "bad encoding" if isinstance(error, UnicodeDecodeError) else str(error)
-        out = [(None, None, None, None, kind)]
-    cells = pd.DataFrame(out, columns=["row_id", "col_id", "header", "value", "error"]).astype({"row_id": "Int32", "col_id": "Int32"})
-    cells.insert(0, "tab_id", path.rsplit("/", 1)[-1].removesuffix(".csv"))
-    return cells
+        header, *rows = csv.reader(io.StringIO(text, newline=""), strict=True)
+    except csv.Error as error:
+        if "end of data" in str(error):
+            raise ValueError("unbalanced quotes") from error
+        header, *rows = csv.reader(io.StringIO(text, newline=""))  # text after a closing quote is taken as it is
+    return header, rows
 
 
-def _parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _add(out: list[list], path: str, content: bytes) -> None:
+    """Adds a file's cells to the columns, or one row that says why there are none."""
+    name = path.rsplit("/", 1)[-1].removesuffix(".csv")
+    try:
+        header, rows = _rows(content)
+    except (ValueError, csv.Error) as error:
+        kind = "bad encoding" if isinstance(error, UnicodeDecodeError) else str(error)
+        for column, v in zip(out, (name, None, None, None, None, kind), strict=True):
+            column.append(v)
+        return
+    tab, row_id, col_id, headers, values, errors = out
+    for r, row in enumerate(filter(None, rows)):
+        n = len(row)
+        tab += [name] * n
+        row_id += [r] * n
+        col_id += range(n)
+        headers += header[:n]
+        headers += [None] * (n - len(header))
+        values += row
+        errors += [None] * n
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     csv.field_size_limit(1 << 30)
-    for frame in frames:
-        for path, content in zip(frame["path"], frame["content"], strict=True):
-            yield _table(path, bytes(content if content is not None else b""))
+    out: list[list] = [[] for _ in _PARSED]
+    size = 0
+
+    def whole() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _PARSED, strict=True)], schema=_PARSED)
+        for column in out:
+            column.clear()
+        return made
+
+    for batch in batches:
+        for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
+            content = content.as_py() or b""
+            _add(out, path.as_py(), content)
+            size += len(content)
+            if len(out[0]) >= BATCH_CELLS or size >= BATCH_BYTES:
+                yield whole()
+                size = 0
+    yield whole()
 
 
 def parsed(files: DataFrame) -> DataFrame:
-    """(tab_id, row_id, col_id, header, value, error) of CSV files (path, content). Files have widths of their own, so each is parsed alone.
+    """(tab_id, row_id, col_id, header, value, error) of CSV files (path, content). Files have widths of their own, so each is parsed alone; what is given out are batches of many files' cells.
 
     A file that can't be read (bad encoding, unbalanced quotes, no text) gives one row with an error and no cells, and the
     others are read on. A header alone is a table without rows; blank lines are no rows.
     """
-    return files.select("path", "content").mapInPandas(_parsed, f"{CELLS}, error string")
+    return files.select("path", "content").mapInArrow(_parsed, f"{CELLS}, error string")
 
 
 def split_errors(rows: DataFrame, default_missing: bool = True) -> tuple[DataFrame, DataFrame]:

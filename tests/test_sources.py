@@ -3,6 +3,7 @@
 import os
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +122,17 @@ def test_gold_and_hierarchy(spark, tmp_path):
     (tmp_path / "down.json").write_text('{"A": {"E": 1}}')
     found = tables.read_hierarchy(spark, str(tmp_path / "up.json"), str(tmp_path / "down.json"))
     assert sorted(map(tuple, found.collect())) == [("A", "B", "ancestor", 1), ("A", "C", "ancestor", 2), ("A", "E", "descendant", 1)]
+
+
+def test_many_files_are_parsed_in_few_batches(monkeypatch):
+    contents = [b"a,b\n1,2,3\n\n4\n", b"x\n\xff", b'x\n"open\n1', None, b'x\n"a"b\n', b"only,head\n", "﻿é\nü\n".encode()] * 300
+    paths = [f"in/{k}.csv" for k in range(len(contents))]
+    batch = pa.RecordBatch.from_arrays([pa.array(paths), pa.array(contents, pa.binary())], names=["path", "content"])
+    out = list(tables._parsed(iter([batch, batch.slice(0, 0)])))
+    assert len(out) == 1
+    got = [(int(r["tab_id"]), *list(r.values())[1:]) for r in out[0].to_pylist()]
+    one = [[(0, 0, "a", "1", None), (0, 1, "b", "2", None), (0, 2, None, "3", None), (1, 0, "a", "4", None)], [(None, None, None, None, "bad encoding")], [(None, None, None, None, "unbalanced quotes")], [(None, None, None, None, "empty file")], [(0, 0, "x", "ab", None)], [], [(0, 0, "é", "ü", None)]]
+    assert got == [(k, *cell) for k in range(len(contents)) for cell in one[k % 7]]
+    monkeypatch.setattr(tables, "BATCH_CELLS", 50)
+    parts = list(tables._parsed(iter([batch])))
+    assert len(parts) > 20 and max(p.num_rows for p in parts) < 55 and [r for p in parts for r in p.to_pylist()] == out[0].to_pylist()
