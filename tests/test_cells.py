@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tabloom.operators import methods
 from tabloom.operators import ranking as rk
-from tabloom.plans import catalog
+from tabloom.plans import catalog, standin
 from tabloom.plans.standin import candidates, features, found
 
 BY_CELL = ["accuracy_bins", "best_run", "candidate_misses", "candidate_recall", "candidate_recall_detail", "cea_cta_bins", "coherence_of_all_cells", "conditional_accuracy", "cta_from_selection", "example_status", "first_values", "gold_status", "llm_case", "margin_sweep", "placeholders", "rank_cell", "score_candidates", "type_merge", "type_support", "weight_grid"]
@@ -34,3 +34,14 @@ def test_as_rows(spark, small_dir):
     assert rows(rk.support_of_selection(c, by_rows.where("rank = 1")).select(*shares)) == rows(rk.support_of_first(cells).select(*shares))
     m = methods.METHODS["limited"]
     assert rows(methods.shortlists(by_rows, m)) == rows(methods.shortlists(cells, m))
+
+
+@pytest.mark.parametrize("name", ["cea_two_rounds", "cea_context_votes", "context_tiebreak"])
+def test_neither_texts_nor_candidates_are_shuffled(spark, small_dir, name, monkeypatch):
+    out = catalog.QUERIES[name](spark, small_dir)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "prompt_hash" not in plan and "Window" not in plan
+    assert [line for line in plan.splitlines() if "Exchange hashpartitioning(tab_id" in line and "col_id" not in line] == []
+    by_number = rows(out)
+    monkeypatch.setattr(standin, "few", lambda *_: False)
+    assert rows(catalog.QUERIES[name](spark, small_dir)) == by_number
